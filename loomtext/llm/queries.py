@@ -45,7 +45,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), from_files=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-_OPS = [op4_token_counts, op6_chat_format, op8_sentencepiece, op9_exact_dedup]
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import alike
+
+    return alike(documents(spark, sf_dir))
+
+
+_OPS = [op4_token_counts, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
