@@ -37,6 +37,7 @@ def keyed_state(spark: SparkSession, stream: DataFrame, checkpoint: str) -> Data
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would each set space aside
         "spark.sql.streaming.minBatchesToRetain": "1",
     }
     before = {k: spark.conf.get(k, None) for k in conf}
