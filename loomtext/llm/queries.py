@@ -13,6 +13,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_texts
+
+    return score_texts(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -64,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike(documents(spark, sf_dir))
 
 
-_OPS = [op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
+_OPS = [op1_katz, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
