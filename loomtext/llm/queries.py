@@ -19,6 +19,12 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -70,7 +76,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike(documents(spark, sf_dir))
 
 
-_OPS = [op1_katz, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
+_OPS = [op1_katz, op2_quality, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
