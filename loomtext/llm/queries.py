@@ -57,6 +57,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(planted), path), path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
@@ -76,7 +82,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike(documents(spark, sf_dir))
 
 
-_OPS = [op1_katz, op2_quality, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
+_OPS = [op1_katz, op2_quality, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
