@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, text_rows
+from .runtime import arrow_batches, cut, shared_dir, text_rows, without
 from .words import U64, inside, mix, rolling, words_of
 
 RADIUS, BLOCKS = 23, 8
@@ -178,4 +178,5 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]], threshold: float, k
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that contain a benchmark item, with all columns; rows with null ids stay."""
     found = contaminated(docs, benchmark, threshold, k, id_col, text_col).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["__hit"], "left_anti")
+    found = cut(found, f"{shared_dir(docs.sparkSession)}/contaminated")
+    return without(docs, found, docs[id_col].cast("long") == found["__hit"], found.count())

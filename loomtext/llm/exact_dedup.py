@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir
+from .runtime import arrow_batches, cut, drop_path, is_table, shared_dir, without
 
 #: A list of hit digests is broadcast up to this many; beyond it, the texts are shuffled to it.
 BROADCAST_DIGESTS = 100_000
@@ -56,11 +56,11 @@ def keyed_state(spark: SparkSession, stream: DataFrame, checkpoint: str) -> Data
     return store.select(F.col("key.digest").alias("digest"), F.col(f"{best}.doc_id").alias("keep_id"), F.col(f"{best}.place.file").alias("keep_file"), (-F.col(f"{best}.place.row")).alias("keep_row"), F.col(size).alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False, digest=sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool | None = None, digest=sha256) -> DataFrame:
     """One row for each row of docs: doc_id, file, row (its locator), keep_id, group_size, kept, text_sha256.
 
-    from_files: docs is one table just as it was read from files, so that its rows have lasting locators; otherwise
-    it is written to the shared folder first. Null texts are empty and form one group with empty ones. Null ids lose
+    from_files: docs is one table just as it was read from files, so that its rows have lasting locators (found out by
+    default); otherwise it is written to the shared folder first. Null texts are empty and form one group with empty ones. Null ids lose
     against others. Of rows that share both text and id, the first in file order stays. Very long texts are compared
     whole. An empty table gives no rows. Other columns play no part, whatever their names.
     """
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow_batches(spark)
     base = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if not from_files:
+    if not (is_table(docs) if from_files is None else from_files):
         docs = cut(rows, f"{base}/rows")
         id_col, text_col = "doc_id", "text"
     landed = cut(landed_digests(docs, id_col, text_col, digest), f"{base}/landed")
@@ -95,13 +95,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alike.join(clashes, alike["text_sha256"] == clashes["digest"], "left_anti").unionByName(apart)
 
 
-def dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+def dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool | None = None) -> DataFrame:
     """docs without the rows that exact_dedup() drops, with all columns."""
     spark = docs.sparkSession
-    if not from_files:
+    if not (is_table(docs) if from_files is None else from_files):
         docs = cut(docs, f"{shared_dir(spark)}/docs")
     dropped = exact_dedup(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    dropped = cut(dropped, f"{shared_dir(spark)}/dropped")
     names = docs.columns
     placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    kept = placed.join(dropped, ["__file", "__row"], "left_anti")
+    kept = without(placed, dropped, (placed["__file"] == dropped["__file"]) & (placed["__row"] == dropped["__row"]), dropped.count())
     return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in names])

@@ -50,3 +50,17 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Key lists up to this length are broadcast (tens of bytes each); longer ones are shuffled.
+BROADCAST_KEYS = 300_000
+
+
+def without(docs: DataFrame, keys: DataFrame, on: Column, n: int) -> DataFrame:
+    """docs without rows that meet one of the n keys. Texts move only if the keys are too many to broadcast."""
+    return docs.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on, "left_anti")
+
+
+def is_table(docs: DataFrame) -> bool:
+    """Whether docs is one table just as it was read from files, whose rows so have a lasting file and place."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
