@@ -68,6 +68,12 @@ def namespaced(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector_id", F.concat_ws("-", low, F.col("id").cast("string"))).withColumn("namespace", F.explode(F.array(low, F.lit("all"))))
 
 
+def archive(vectors: DataFrame, day: str, model: str) -> DataFrame:
+    """(key, payload) of vectors to archive: embeddings/day/vector_id/embeddings.json and its JSON."""
+    payload = F.to_json(F.struct("vector_id", F.lit(model).alias("model"), "token_count", "embedding", "source_name", "source_url", "chunk_index", "metadata"))
+    return vectors.select(F.concat_ws("/", F.lit("embeddings"), F.lit(day), "vector_id", F.lit("embeddings.json")).alias("key"), payload.alias("payload"))
+
+
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
     """store after new has replaced what has its (namespace, vector_id)."""
     kept = store.join(new.select("namespace", "vector_id"), ["namespace", "vector_id"], "left_anti")

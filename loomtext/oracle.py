@@ -208,6 +208,10 @@ ORACLE = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
     "rrf_fusion": f"WITH {_BM25}, every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT * FROM long), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "retrieval_quality": f"WITH {_BM25}, got AS (SELECT query_id, count(*) AS returned, count(l.doc_id) AS hits FROM ranked r LEFT JOIN long l USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM long GROUP BY 1) SELECT query_id, returned, hits, relevant, round(hits / returned, 6) AS precision, round(hits / relevant, 6) AS recall FROM got JOIN want USING (query_id)",
+    "archive_keys": "SELECT page_id, 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS html_key, 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt' AS text_key FROM pages",
+    "vector_archive": "SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a FROM embeddings",
+    "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]),
+    "schema_violations": "SELECT 'value of status' AS rule, count(*) AS n FROM documents WHERE doc_id % 2 <> 0 UNION ALL SELECT r, count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1) CROSS JOIN (VALUES ('unique id'), ('unique source_id, url')) v(r) GROUP BY r",
     "query_expansion": _values("query_id, text", [(1, "flat tax apartment duty unit"), (2, "nothing "), (3, "Flat apartment unit")]),
 }
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
-from loomtext.operators import chunk, extract, frontier, merge, validate, vectors
+from loomtext import schemas
+from loomtext.operators import chunk, crawl, extract, frontier, merge, validate, vectors
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.sources import rules as R
@@ -409,5 +410,40 @@ def document_pipeline_vectors(spark, d):
     return document_pipeline.vectors_of(rows).groupBy("namespace").agg(F.count(F.lit(1)).alias("vectors"))
 
 
+@query
+def archive_keys(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", F.lit("site").alias("source"), F.to_timestamp(F.lit("2024-03-05")).alias("day"))
+    return pages.select("page_id", extract.archive_key("raw-html", "source", "day", "url").alias("html_key"), extract.archive_key("processed", "source", "day", "url").alias("text_key"))
+
+
+@query
+def vector_archive(spark, d):
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("s-"), F.col("vec_id").cast("string")).alias("vector_id"), F.lit(3).alias("token_count"), F.slice("embedding", 1, 2).alias("embedding"), F.lit("s").alias("source_name"), F.lit("u").alias("source_url"), F.lit(0).alias("chunk_index"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
+    got = vectors.archive(rows, "2024-03-05", "hashed")
+    return got.select("key", F.get_json_object("payload", "$.model").alias("model"), F.get_json_object("payload", "$.metadata.a").alias("a"))
+
+
+@query
+def linked_pdfs(spark, d):
+    links = cases(spark, "route").select(F.col("case_id").cast("long").alias("page_id"), "url")
+    return crawl.linked_pdfs(links.unionByName(links.withColumn("page_id", F.col("page_id") + 10)))
+
+
+@query
+def crawl_results_tax(spark, d):
+    return crawl.crawl_results(table(spark, d, "pages"), "iras").select("page_id", "url", "content_hash", "url_hash", F.get_json_object("metadata", "$.section").alias("section"), F.get_json_object("metadata", "$.has_rate_tables").alias("has_rate_tables"))
+
+
+@query
+def crawl_results_home(spark, d):
+    return crawl.crawl_results(table(spark, d, "pages"), "cpf").select("page_id", F.get_json_object("metadata", "$.section").alias("section"), F.get_json_object("metadata", "$.path").alias("path"))
+
+
+@query
+def schema_violations(spark, d):
+    raw = table(spark, d, "documents").select(F.col("source").alias("id"), F.col("source").alias("source_id"), F.col("source").alias("url"), F.when(F.col("doc_id") % 2 == 0, "pending").otherwise("odd").alias("status"))
+    return schemas.violations(raw, "raw_documents")
+
+
 def queries() -> dict[str, Query]:
     return dict(_registered)
