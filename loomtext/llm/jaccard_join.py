@@ -7,13 +7,16 @@ first, so copies cost nothing further.
 Light: two sets of at most x shingles link exactly if they have a subset of c(a, b) shingles in common; each small set
 enumerates its subsets of that fixed size for each partner size, and a common one is a proven link, no check needed.
 Heavy: pairs with a larger set share one of the first n - ceil(t * n / 100) + 1 shingles of each set in a common order;
-those shingles' inverted lists are scanned and candidates are verified on their whole sets. The order puts frequent
+those shingles' inverted lists are scanned and candidates are verified on their whole sets. A pair counts in a list only
+if both sets have enough shingles left from there on; in the list of the first one they share it then does. The order puts frequent
 shingles last, by counts over all documents in a table of fixed size, so common passages make no lists.
 x is the size with the least cost: subsets enumerated for sets up to x against lists scanned for the others.
 
-Components need no list of all pairs. Each list takes one member as pivot, verifies it against all others and drops it
-from the list; lists whose rest lies in one component are done. What remains is either few enough pairs across
-components to verify them all, or goes on with twice as many pivots. So a list of n near copies costs about n checks.
+Components need no list of all pairs. A list whose pairs across components are few names them all and is done. A longer
+one takes the members with the most such pairs as pivots, names theirs and drops them; what remains
+goes on in the next round with more pivots, unless it lies in one component by then. So a list of n near copies costs
+about n checks. Of named pairs, parities of 1024 places rule out most that differ too much; the others' whole sets
+are compared.
 """
 
 from __future__ import annotations
@@ -24,21 +27,28 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir, text_rows
+from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir, text_rows, without
 from .words import U64, Words, inside, mix, rolling, words_of
 
 _BITS, _SLICES = 20, 16
+PARITY = 1024
 #: Sets up to this size may be light; their sizes are counted one by one.
 MOST_LIGHT = 40
 #: An entry of an inverted list costs this many times an enumerated subset, for the check that may follow.
 SCAN_COST = 3
 #: Lists of ids up to this length are broadcast (8 bytes each); longer ones are shuffled.
 BROADCAST_IDS = 500_000
-#: So many pairs across components, or eight for each entry of a list, are verified without further pivots.
-FEW_PAIRS = 100_000
+#: Components of up to so many links are found in one task (16 bytes each).
+FEW_LINKS = 1_000_000
+#: A list names all its pairs across components if they are at most so many for each member.
+PAIRS_EACH = 8
+#: Lists up to so many members weigh all their pairs at once.
+WHOLE = 4096
+#: Members of a list that a task holds at a time; longer lists stream past their first member as the only pivot.
+HELD = 50_000
 
 
 def needed(a: int, b: int, t: int) -> int:
@@ -85,6 +95,21 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], h[new]
 
 
+def _classes(d: np.ndarray, h: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, where each set begins, and a hash of each set."""
+    n = np.bincount(d, minlength=many)
+    at = np.concatenate([[0], np.cumsum(n)])
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h.copy()))])
+    return n, at, mix((sums[at[1:]] - sums[at[:-1]]) * U64(3) + n.astype(U64)).view(np.int64)
+
+
+def _parities(d: np.ndarray, h: np.ndarray, many: int) -> pa.Array:
+    """PARITY bits for each set, each the parity of its shingles with that place; two sets differ in at least as many shingles as bits."""
+    odd = (np.bincount(d * PARITY + (h & U64(PARITY - 1)).astype(np.int64), minlength=many * PARITY) & 1).astype(np.uint8)
+    words = np.packbits(odd).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * (PARITY // 64)), pa.array(words))
+
+
 def _whole(x: np.ndarray) -> int:
     return int(mix(rolling(x, len(x)) + U64(len(x)))[0])
 
@@ -117,12 +142,16 @@ def _counts(rows: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
-    """(id, comp) for each end of links (u, v): the smallest id that it is connected with. No link leaves the executors.
+    """(id, comp) for each end of links (u, v): the smallest id that it is connected with. No link reaches the driver.
 
-    Each round takes the least label among neighbours and then the label of the label; written rounds keep plans short.
+    Up to FEW_LINKS links meet in one task. More take the least label among neighbours and then the label of the label,
+    round by round; written rounds keep plans short.
     """
     spark = links.sparkSession
-    edges = cut(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), f"{path}/edges")
+    own = cut(links.select("u", "v").distinct(), f"{path}/links")
+    if own.count() <= FEW_LINKS:
+        return cut(own.coalesce(1).mapInArrow(_united, "id long, comp long"), f"{path}/labels")
+    edges = cut(own.union(own.select(F.col("v"), F.col("u"))), f"{path}/edges")
     labels = cut(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("comp")), f"{path}/0")
     step = 0
     while True:
@@ -137,6 +166,25 @@ def components(links: DataFrame, path: str) -> DataFrame:
             return labels
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one bounded partition of links."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], ["id", "comp"])
+
+
 def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest id reachable by links.
 
@@ -155,14 +203,11 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
         for b in batches:
             d, h = shingle_sets(words_of(b.column(1)), k)
             many = b.num_rows
-            n = np.bincount(d, minlength=many)
-            at = np.concatenate([[0], np.cumsum(n)])
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h.copy()))])
-            cls = mix((sums[at[1:]] - sums[at[:-1]]) * U64(3) + n.astype(U64)).view(np.int64)
+            n, at, cls = _classes(d, h, many)
             ordered = np.lexsort((h, levels[(h >> U64(64 - _BITS)).astype(np.int64)], d))
             place = np.arange(len(h)) - at[d]
             heavy = (place < prefix_size_of(n, t)[d]) & (100 * n[d] >= t * (x + 1))
-            keys, owner = [h[ordered][heavy].view(np.int64)], [d[heavy]]
+            keys, owner, places = [h[ordered][heavy].view(np.int64)], [d[heavy]], [place[heavy].astype(np.int32)]
             smaller = [np.zeros(int(heavy.sum()), np.int32)]
             for i in np.flatnonzero((n > 0) & (n <= x)):
                 own = h[at[i] : at[i + 1]]
@@ -172,6 +217,7 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
                     keys.append(key.view(np.int64))
                     owner.append(np.full(len(key), i))
                     smaller.append(np.full(len(key), a, np.int32))
+                    places.append(np.zeros(len(key), np.int32))
             owner = np.concatenate(owner)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,8 +226,10 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
                     pa.array(np.concatenate([cls, cls[owner]])),
                     pa.concat_arrays([pa.nulls(many, pa.int64()), pa.array(np.concatenate(keys))]),
                     pa.concat_arrays([pa.nulls(many, pa.int32()), pa.array(np.concatenate(smaller))]),
+                    pa.concat_arrays([_parities(d, h, many), pa.nulls(len(owner), pa.list_(pa.int64()))]),
+                    pa.concat_arrays([pa.nulls(many, pa.int32()), pa.array(np.concatenate(places))]),
                 ],
-                ["doc_id", "n", "cls", "key", "smaller"],
+                ["doc_id", "n", "cls", "key", "smaller", "bits", "place"],
             )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +237,7 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
         head: tuple | None = None  # first entry of the open key, and whether it has been passed on
         last = None
         for b in batches:
-            key, small, n, cls = (b.column(i).to_numpy() for i in range(4))
+            key, small, n, cls, place = (b.column(i).to_numpy() for i in range(5))
             m = len(key)
             if not m:
                 continue
@@ -215,44 +263,28 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
             u2 = np.concatenate([first_cls[link], np.zeros(len(firsts) + int(live.sum()) + again, np.int64)]).astype(np.int64)
             c2 = np.concatenate([cls[link], cls[firsts], cls[live], np.array([head[3]] if again else [], np.int64)]).astype(np.int64)
             n2 = np.concatenate([n[link], n[firsts], n[live], np.array([head[2]] if again else [], np.int32)]).astype(np.int32)
+            p2 = np.concatenate([place[link], place[firsts], place[live], np.array([head[5]] if again else [], np.int32)]).astype(np.int32)
             l2 = np.arange(len(k2)) < int(link.sum())
             if same[-1] and at[-1] < 0:
-                head = (*head[:4], head[4] or again)
+                head = (*head[:4], head[4] or again, head[5])
             else:
                 i = int(at[-1])
-                head = (int(key[i]), int(small[i]), int(n[i]), int(cls[i]), i in firsts)
+                head = (int(key[i]), int(small[i]), int(n[i]), int(cls[i]), i in firsts, int(place[i]))
             if len(k2):
-                yield pa.RecordBatch.from_arrays([pa.array(l2), pa.array(k2), pa.array(u2), pa.array(c2), pa.array(n2)], ["link", "key", "u", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(l2), pa.array(k2), pa.array(u2), pa.array(c2), pa.array(n2), pa.array(p2)], ["link", "key", "u", "cls", "n", "place"])
 
     spread = partitions(spark)
-    signed = rows.mapInArrow(signatures, "doc_id long, n int, cls long, key long, smaller int")
+    signed = rows.mapInArrow(signatures, "doc_id long, n int, cls long, key long, smaller int, bits array<long>, place int")
     written = cut(signed.withColumn("entry", F.col("key").isNotNull()), f"{base}/signed")
-    members = written.where(~F.col("entry")).select("doc_id", "n", "cls")
-    entries = written.where("entry").select("key", "smaller", "n", "cls")
+    members = cut(written.where(~F.col("entry")).select("doc_id", "n", "cls", "bits"), f"{base}/members")
+    entries = written.where("entry").select("key", "smaller", "n", "cls", "place")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    met = cut(entries.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(scan, "link boolean, key long, u long, cls long, n int"), f"{base}/met")
+    met = cut(entries.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(scan, "link boolean, key long, u long, cls long, n int, place int"), f"{base}/met")
+    drop_path(spark, f"{base}/signed")
     arrow_batches(spark)
     links = met.where("link").select("u", F.col("cls").alias("v")).distinct()
-    lists = met.where(~F.col("link")).select("key", "cls", "n").distinct()
-
-    # The whole sets of the classes that lists name, from one document of each.
-    chosen = cut(members.join(lists.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{base}/chosen")
-    ids = chosen.select("doc_id").where("doc_id is not null")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d, h = shingle_sets(words_of(b.column(1)), k)
-            n = np.bincount(d, minlength=b.num_rows)
-            at = np.concatenate([[0], np.cumsum(n)])
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h.copy()))])
-            cls = mix((sums[at[1:]] - sums[at[:-1]]) * U64(3) + n.astype(U64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "shingles"])
-
-    few = ids.count() <= BROADCAST_IDS
-    picked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi") if not members.where("doc_id is null").count() else rows
-    whole = cut(picked.mapInArrow(sets, "cls long, shingles array<long>").join(F.broadcast(chosen.select("cls")) if few else chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), f"{base}/sets")
-
-    found = _verified_rounds(spark, lists, links, whole, t, base)
+    lists = met.where(~F.col("link")).select("key", "cls", "n", "place").distinct()
+    found = _verified_rounds(lists, links, rows, members, t, k, base)
     labels = components(found, f"{base}/components")
     placed = members.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
     least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -263,42 +295,148 @@ def prefix_size_of(n: np.ndarray, t: int) -> np.ndarray:
     return n - -(-t * n // 100) + 1
 
 
-def _verified_rounds(spark, lists: DataFrame, links: DataFrame, whole: DataFrame, t: int, base: str) -> DataFrame:
-    """All links that components need: proven ones and those that checks of pivots and of remaining pairs find."""
+def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, bits: DataFrame, t: int, k: int, base: str) -> DataFrame:
+    """Those of pairs (u, v) of classes that link. Parities rule out most others before any set is compared."""
+    sides = pairs.join(bits.select(F.col("cls").alias("u"), F.col("bits").alias("ub"), F.col("n").alias("un")), "u").join(bits.select(F.col("cls").alias("v"), F.col("bits").alias("vb"), F.col("n").alias("vn")), "v")
+    differ = F.aggregate(F.zip_with("ub", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # 2 * shared = un + vn - differing, and differing >= differ
+    able = cut(sides.where((100 + t) * (F.col("un") + F.col("vn") - differ) >= 2 * t * (F.col("un") + F.col("vn"))).select("u", "v"), f"{base}/able")
+    named = able.select(F.col("u").alias("cls")).union(able.select(F.col("v"))).distinct()
+    chosen = cut(members.join(named, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{base}/chosen")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, h = shingle_sets(words_of(b.column(1)), k)
+            _, at, cls = _classes(d, h, b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "shingles"])
+
+    few = chosen.count() <= BROADCAST_IDS
+    ids, wanted = chosen.where("doc_id is not null").select("doc_id"), chosen.select("cls")
+    picked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    if not chosen.where("doc_id is null").isEmpty():  # classes all of whose rows have null ids
+        picked = picked.unionByName(rows.where("doc_id is null"))
+    whole = cut(picked.mapInArrow(sets, "cls long, shingles array<long>").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi"), f"{base}/sets")
+    small = able.count() <= BROADCAST_IDS
+    left = whole.select(F.col("cls").alias("u"), F.col("shingles").alias("us"))
+    both = left.join(F.broadcast(able) if small else able, "u").join(whole.select(F.col("cls").alias("v"), F.col("shingles").alias("vs")), "v")
+    shared = F.size(F.array_intersect("us", "vs"))
+    checked = cut(both.where((100 + t) * shared >= t * (F.size("us") + F.size("vs"))).select("u", "v").distinct(), f"{base}/checked")
+    drop_path(rows.sparkSession, f"{base}/sets")
+    return checked
+
+
+def _name_pairs(t: int, pivots: int):
+    """Of entries (key, n, cls, comp, place) sorted by key and n: pairs to verify, and entries of lists that go on."""
+
+    def able(ni, ri, nj, rj):
+        """Sizes that can link, and enough left from this shingle on, as if it were the first that the two share: where it is, that holds."""
+        return (100 * np.minimum(ni, nj) >= t * np.maximum(ni, nj)) & ((100 + t) * np.minimum(ri, rj) >= t * (ni + nj))
+
+    def few(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = len(cls)
+        kinds, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        none, go_on = np.zeros(0, np.int64), np.zeros(m, bool)
+        if len(kinds) == 1:
+            return none, none, go_on
+        if m <= WHOLE:
+            may = (at[:, None] != at[None, :]) & able(n[:, None], rest[:, None], n[None, :], rest[None, :])
+            many = may.sum(axis=1)
+            if many.sum() <= 2 * PAIRS_EACH * m:
+                i, j = np.nonzero(np.triu(may))
+            else:
+                heads = np.argsort(-many, kind="stable")[:pivots]
+                i, j = np.nonzero(may[heads])
+                i = heads[i]
+                go_on = many > 0
+                go_on[heads] = False
+        else:
+            least = np.argsort(sizes, kind="stable")[:pivots]
+            heads = np.array([np.flatnonzero(at == c)[0] for c in least])
+            i, j = np.repeat(heads, m), np.tile(np.arange(m), len(heads))
+            good = (at[i] != at[j]) & able(n[i], rest[i], n[j], rest[j])
+            i, j = i[good], j[good]
+            go_on[:] = True
+            go_on[heads] = False
+        u, v = cls[i], cls[j]
+        return np.minimum(u, v), np.maximum(u, v), go_on
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        key, many, streaming = None, 0, None
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def record(u: np.ndarray, v: np.ndarray, n: np.ndarray, cls: np.ndarray, rest: np.ndarray) -> None:
+            z = lambda x: np.zeros(x, np.int64)
+            out.append((np.concatenate([u, z(len(cls))]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
+
+        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> None:
+            apart = (comp != streaming[2]) & able(streaming[0], streaming[3], n, rest)
+            u = np.full(int(apart.sum()), streaming[1], np.int64)
+            record(np.minimum(u, cls[apart]), np.maximum(u, cls[apart]), n, cls, rest)
+
+        def close() -> None:
+            nonlocal held, many, streaming
+            if held and streaming is None:
+                n, cls, comp, rest = (np.concatenate([h[i] for h in held]) for i in range(4))
+                u, v, go_on = few(n, cls, comp, rest)
+                record(u, v, n[go_on], cls[go_on], rest[go_on])
+            held, many, streaming = [], 0, None
+
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            cols = [b.column(i).to_numpy() for i in (1, 2, 3)]
+            cols.append(cols[0] - b.column(4).to_numpy())
+            if not len(keys):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if keys[i] != key:
+                    close()
+                    key = int(keys[i])
+                part = tuple(c[i:j] for c in cols)
+                if streaming is not None:
+                    past(*part)
+                    continue
+                held.append(part)
+                many += j - i
+                if many > HELD:
+                    n, cls, comp, rest = (np.concatenate([h[x] for h in held]) for x in range(4))
+                    streaming = (int(n[0]), int(cls[0]), int(comp[0]), int(rest[0]))
+                    past(n[1:], cls[1:], comp[1:], rest[1:])
+                    held = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
+
+    return run
+
+
+def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, members: DataFrame, t: int, k: int, base: str) -> DataFrame:
+    """All links that components need: proven ones and those that checks of named pairs find."""
+    spark = rows.sparkSession
+    spread = partitions(spark)
     found, step = cut(links, f"{base}/links0"), 0
     alive = cut(lists, f"{base}/alive0")
+    bits = cut(members.groupBy("cls").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), f"{base}/bits")
     while True:
         step += 1
-        labels = components(found, f"{base}/comp{step}") if step > 1 or not found.isEmpty() else None
-        tagged = alive.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")) if labels is not None else alive.withColumn("comp", F.col("cls"))
-        # Lists in one component are done; in the others, each of the smallest components gives a pivot.
-        by_comp = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("cls", "n")).alias("one"))
-        by_key = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("comps > 1")
-        open_ = cut(by_key.select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("cross")), f"{base}/open{step}")
-        work = open_.agg(F.sum("size").alias("size"), F.sum("cross").alias("cross")).first()
-        if not work["size"]:
+        labels = components(found, f"{base}/comp{step}")
+        small = labels.count() <= BROADCAST_IDS
+        tag = labels.select(F.col("id").alias("cls"), "comp")
+        tagged = alive.join(F.broadcast(tag) if small else tag, "cls", "left").select("key", F.col("n").cast("long").alias("n"), "cls", F.coalesce("comp", "cls").alias("comp"), F.col("place").cast("long").alias("place"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+        named = cut(tagged.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_name_pairs(t, 8 ** (step - 1)), "u long, cls long, key long, n long, place long, pair boolean"), f"{base}/named{step}")
+        arrow_batches(spark)
+        pairs = cut(named.where("pair").select("u", F.col("cls").alias("v")).distinct(), f"{base}/pairs{step}")
+        alive = named.where("not pair").select("key", "cls", "n", "place")
+        if not pairs.isEmpty():
+            checked = _verified(pairs, rows, members, bits, t, k, f"{base}/verify{step}")
+            found = cut(found.union(checked), f"{base}/links{step}")
+        if alive.isEmpty():
             return found
-        rest = cut(tagged.join(open_, "key", "left_semi"), f"{base}/rest{step}")
-        last = work["cross"] <= max(8 * work["size"], FEW_PAIRS)
-        if last:
-            a, b = rest.select("key", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp")), rest.select("key", F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vcomp"))
-            pairs = a.join(b, "key").where("u < v and ucomp <> vcomp")
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("k", "comp"))
-            pivots = cut(by_comp.join(open_, "key", "left_semi").withColumn("rank", rank).where(F.col("rank") <= 2 ** (step - 1)).select("key", F.col("one.cls").alias("u"), F.col("one.n").alias("un"), F.col("comp").alias("ucomp")), f"{base}/pivots{step}")
-            pairs = rest.select("key", F.col("cls").alias("v"), F.col("n").alias("vn"), "comp").join(pivots, "key").where("comp <> ucomp")
-        pairs = pairs.where(f"100 * least(un, vn) >= {t} * greatest(un, vn)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = cut(pairs, f"{base}/pairs{step}")
-        small = pairs.count() <= BROADCAST_IDS
-        left = whole.select(F.col("cls").alias("u"), F.col("shingles").alias("us"))
-        both = left.join(F.broadcast(pairs) if small else pairs, "u").join(whole.select(F.col("cls").alias("v"), F.col("shingles").alias("vs")), "v")
-        shared = F.size(F.array_intersect("us", "vs"))
-        checked = cut(both.where((100 + t) * shared >= t * (F.size("us") + F.size("vs"))).select("u", "v"), f"{base}/checked{step}")
-        merged = found.union(checked)
-        if last:
-            return merged
-        found = cut(merged, f"{base}/links{step}")
-        alive = cut(rest.select("key", "cls", "n").join(pivots.select("key", F.col("u").alias("cls")), ["key", "cls"], "left_anti"), f"{base}/alive{step}")
 
 
 def near_dedup_stage(docs: DataFrame, t: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,5 +445,5 @@ def near_dedup_stage(docs: DataFrame, t: int = 80, k: int = 5, id_col: str = "do
     Of rows that share that id, all stay that belong to it: run exact deduplication first. Rows with null ids stay.
     """
     groups = alike(docs, t, k, id_col, text_col)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["__dropped"], "left_anti")
+    dropped = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), f"{shared_dir(docs.sparkSession)}/near")
+    return without(docs, dropped, docs[id_col].cast("long") == dropped["__dropped"], dropped.count())
