@@ -32,6 +32,8 @@ from .words import U64, mix, words_of
 
 K = 5
 FLUSH = 1 << 21
+#: Training tokens in a bucket (about 100 bytes each in a task that reads it), and how many buckets there are at least.
+BUCKET_TOKENS, LEAST_BUCKETS = 1_750_000, 32
 BEGIN, END = U64(0xB0B0B0B0B0B0B0B1), U64(0xE0E0E0E0E0E0E0E1)
 _ROWS = "bucket long, blob binary"
 
@@ -334,13 +336,16 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     spark = docs.sparkSession
     arrow_batches(spark)
     base, spread = shared_dir(spark), partitions(spark)
-    buckets, doc_buckets, h_buckets = spread * 3 // 2 + 1, spread, spread
+    buckets = spread * 3 // 2 + 1
     side = F.coalesce(crc_mod(id_col, 7) == 2 if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), side.alias("held_out"))
 
     words = cut(by_bucket(rows.where("not held_out").mapInArrow(_count_words(buckets), _ROWS), spread, _sum_words, "word long, count long"), f"{base}/unigrams")
     sizes = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0)), *(F.count(F.when(F.col("count") == r, 1)) for r in range(1, K + 2))).first()
     stats = {"v": sizes[0], "n": sizes[1], "stars": good_turing([0, *sizes[2:]]).tolist()}
+    # Later buckets follow the tokens: a task holds one in memory, and each sends a blob to each of the next ones.
+    buckets = max(min(spread, LEAST_BUCKETS), stats["n"] // BUCKET_TOKENS + 1)
+    doc_buckets = h_buckets = buckets
     begins = 0
     if stats["n"]:
         begins = int((words.where(F.col("word") == int(END.view(np.int64))).first() or [0, 0])[1])
