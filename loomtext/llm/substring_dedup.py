@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import apart, both, by_bucket, cuts, pack, unpack
+from .packed import apart, both, bucket_of, by_bucket, cuts, pack, unpack
 from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir, text_rows
-from .words import inside, rolling, words_of
+from .words import inside, mix, rolling, words_of
 
 WINDOW, BLOCK = 50, 25
 #: Windows that a map task sorts at once.
@@ -121,45 +121,64 @@ def _meet(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["doc_id"])
 
 
-def _flagged(doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each document its removed windows' hashes."""
+def _flagged(doc: np.ndarray, key: np.ndarray, doc_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(document bucket, blob) of removed windows: documents and hashes."""
+    if not len(doc):
+        return
+    at = bucket_of(mix(doc.view(np.uint64).copy()), doc_buckets)
+    order = np.lexsort((key, doc, at))
+    doc, key, at = doc[order], key[order], at[order]
+    edges = np.flatnonzero(np.diff(at, prepend=-1))
+    for i, j in zip(edges, np.append(edges[1:], len(at)), strict=True):
+        yield int(at[i]), pack(doc[i:j].view(np.uint64), key[i:j])
+
+
+def _per_document(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """One row for each document, with the hashes of all its removed windows."""
+    parts = [unpack(blob) for (blob,) in rows]
+    doc, key = np.concatenate([p[0] for p in parts]).view(np.int64), np.concatenate([p[1] for p in parts])
     order = np.lexsort((key, doc))
     doc, key = doc[order], key[order]
-    starts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else []
-    for a, e in zip(starts, np.append(starts[1:], len(doc)) if len(doc) else [], strict=True):
-        yield int(doc[a]), pack(np.unique(key[a:e]))
+    starts, _ = _groups(doc)
+    for i in range(0, len(starts), 256):
+        some = starts[i : i + 256]
+        ends = np.append(starts[i + 1 : i + 256], starts[i + 256] if i + 256 < len(starts) else len(doc))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([pack(key[x:y]) for x, y in zip(some, ends, strict=True)], pa.binary())], ["doc_id", "blob"])
 
 
-def _extend(buckets: int):
+def _extend(buckets: int, doc_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, _ in _windows(batches, WINDOW):
             starts, run_of = _groups(key)
             lost = doc > doc[starts][run_of]
-            rows = [(-1, d, blob) for d, blob in _flagged(doc[lost], key[lost])]
+            rows = [(-1 - at, blob) for at, blob in _flagged(doc[lost], key[lost], doc_buckets)]
             key, doc = key[starts], doc[starts]
             for b, i, j in cuts(key, buckets):
                 ids, place = np.unique(doc[i:j], return_inverse=True)
-                rows.append((b, 0, both(pack(key[i:j], place.astype("<u4")), pack(ids.view(np.uint64)))))
+                rows.append((b, both(pack(key[i:j], place.astype("<u4")), pack(ids.view(np.uint64)))))
             for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int64()), pa.array([r[1] for r in rows[i : i + 64]], pa.int64()), pa.array([r[2] for r in rows[i : i + 64]], pa.binary())], ["bucket", "doc_id", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int64()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _smallest(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    keys, docs = [], []
-    for _, blob in rows:
-        packed, ids = apart(blob)
-        key, place = unpack(packed)
-        keys.append(key)
-        docs.append(unpack(ids)[0].view(np.int64)[place])
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    starts, run_of = _groups(key)
-    lost = doc > doc[starts][run_of]
-    out = list(_flagged(doc[lost], key[lost]))
-    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "blob"])
+def _smallest(doc_buckets: int):
+    def work(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, docs = [], []
+        for (blob,) in rows:
+            packed, ids = apart(blob)
+            key, place = unpack(packed)
+            keys.append(key)
+            docs.append(unpack(ids)[0].view(np.int64)[place])
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        starts, run_of = _groups(key)
+        lost = doc > doc[starts][run_of]
+        out = list(_flagged(doc[lost], key[lost], doc_buckets))
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+
+    return work
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,17 +226,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_batches(spark)
     base, spread = shared_dir(spark), partitions(spark)
-    buckets = 4 * spread
+    buckets, doc_buckets = 2 * spread, max(8, spread // 2)
+    blobs = "bucket long, blob binary"
     rows = text_rows(docs, id_col, text_col)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
-    candidates = cut(by_bucket(rows.mapInArrow(_probe(buckets), "bucket long, blob binary"), spread, _meet, "doc_id long").distinct(), f"{base}/candidates")
+    candidates = cut(by_bucket(rows.mapInArrow(_probe(buckets), blobs), spread, _meet, "doc_id long").distinct(), f"{base}/candidates")
     some = _among(rows, candidates, candidates.count())
-    ended = cut(some.mapInArrow(_extend(buckets), "bucket long, doc_id long, blob binary"), f"{base}/windows")
-    spread_out = by_bucket(ended.where("bucket >= 0"), spread, _smallest, "doc_id long, blob binary")
-    flags = cut(spread_out.union(ended.where("bucket < 0").select("doc_id", "blob")), f"{base}/flags")
+    ended = cut(some.mapInArrow(_extend(buckets, doc_buckets), blobs), f"{base}/windows")
+    lost = by_bucket(ended.where("bucket >= 0"), spread, _smallest(doc_buckets), blobs).union(ended.where("bucket < 0"))
+    flags = cut(by_bucket(lost, spread, _per_document, "doc_id long, blob binary"), f"{base}/flags")
     drop_path(spark, f"{base}/windows")
-    touched = cut(flags.select("doc_id").distinct(), f"{base}/touched")
-    n = touched.count()
+    touched = flags.select("doc_id")
+    n = flags.count()
     with_flags = _among(rows, touched, n) if n <= BROADCAST_IDS else rows
     schema = "doc_id long, n_words long, n_removed long, kept string"
     mixed = with_flags.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text", F.lit(None).cast("binary").alias("blob")).unionByName(flags.select("doc_id", F.lit(None).cast("string").alias("text"), "blob"))
