@@ -13,7 +13,7 @@ shingles last, by counts over all documents in a table of fixed size, so common
 x is the size with the least cost: subsets enumerated for sets up to x against lists scanned for the others.
 
 Components need no list of all pairs. A list whose pairs across components are few names them all and is done. A longer
-one takes the members with the most such pairs as pivots, names theirs and drops them; what remains
+one takes the members with the most such pairs as pivots, names theirs and drops them; what remains, after parities too,
 goes on in the next round with more pivots, unless it lies in one component by then. So a list of n near copies costs
 about n checks. Of named pairs, parities of 1024 places rule out most that differ too much; the others' whole sets
 are compared.
@@ -332,7 +332,16 @@ def _name_pairs(t: int, pivots: int):
         """Sizes that can link, and enough left from this shingle on, as if it were the first that the two share: where it is, that holds."""
         return (100 * np.minimum(ni, nj) >= t * np.maximum(ni, nj)) & ((100 + t) * np.minimum(ri, rj) >= t * (ni + nj))
 
-    def few(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def alike_enough(may: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Those of the marked pairs that parities don't rule out, some rows at a time."""
+        out = may.copy()
+        for a in range(0, len(n), 32):
+            differ = np.bitwise_count(bits[a : a + 32, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = n[a : a + 32, None] + n[None, :]
+            out[a : a + 32] &= (100 + t) * (both - differ) >= 2 * t * both
+        return out
+
+    def few(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = len(cls)
         kinds, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         none, go_on = np.zeros(0, np.int64), np.zeros(m, bool)
@@ -340,6 +349,8 @@ def _name_pairs(t: int, pivots: int):
             return none, none, go_on
         if m <= WHOLE:
             may = (at[:, None] != at[None, :]) & able(n[:, None], rest[:, None], n[None, :], rest[None, :])
+            if bits.shape[1]:
+                may = alike_enough(may, n, bits)
             many = may.sum(axis=1)
             if many.sum() <= 2 * PAIRS_EACH * m:
                 i, j = np.nonzero(np.triu(may))
@@ -369,7 +380,7 @@ def _name_pairs(t: int, pivots: int):
             z = lambda x: np.zeros(x, np.int64)
             out.append((np.concatenate([u, z(len(cls))]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
 
-        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> None:
+        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, *_: np.ndarray) -> None:
             apart = (comp != streaming[2]) & able(streaming[0], streaming[3], n, rest)
             u = np.full(int(apart.sum()), streaming[1], np.int64)
             record(np.minimum(u, cls[apart]), np.maximum(u, cls[apart]), n, cls, rest)
@@ -377,8 +388,8 @@ def _name_pairs(t: int, pivots: int):
         def close() -> None:
             nonlocal held, many, streaming
             if held and streaming is None:
-                n, cls, comp, rest = (np.concatenate([h[i] for h in held]) for i in range(4))
-                u, v, go_on = few(n, cls, comp, rest)
+                n, cls, comp, rest, bits = (np.concatenate([h[i] for h in held]) for i in range(5))
+                u, v, go_on = few(n, cls, comp, rest, bits)
                 record(u, v, n[go_on], cls[go_on], rest[go_on])
             held, many, streaming = [], 0, None
 
@@ -386,6 +397,8 @@ def _name_pairs(t: int, pivots: int):
             keys = b.column(0).to_numpy()
             cols = [b.column(i).to_numpy() for i in (1, 2, 3)]
             cols.append(cols[0] - b.column(4).to_numpy())
+            known = b.column(5).flatten().to_numpy() if b.num_columns > 5 else np.zeros(0, np.int64)
+            cols.append(known.view(np.uint64).reshape(len(keys), -1) if len(known) else np.zeros((len(keys), 0), np.uint64))
             if not len(keys):
                 continue
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
@@ -427,6 +440,8 @@ def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, member
         small = labels.count() <= BROADCAST_IDS
         tag = labels.select(F.col("id").alias("cls"), "comp")
         tagged = alive.join(F.broadcast(tag) if small else tag, "cls", "left").select("key", F.col("n").cast("long").alias("n"), "cls", F.coalesce("comp", "cls").alias("comp"), F.col("place").cast("long").alias("place"))
+        if step > 1:  # what goes on is little, and parities thin it out further
+            tagged = tagged.join(bits.select("cls", "bits"), "cls").select("key", "n", "cls", "comp", "place", "bits")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         named = cut(tagged.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_name_pairs(t, 8 ** (step - 1)), "u long, cls long, key long, n long, place long, pair boolean"), f"{base}/named{step}")
         arrow_batches(spark)
