@@ -1,13 +1,14 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are words without end punctuation and their first 3 to 6 and last 3 to 5 bytes (word families in a language that
-nobody listed), A-Z as a-z. The vocabulary is those terms of the labelled sample that speak most clearly for label 1
-(by the log-likelihood ratio); their document frequencies come from all documents. Examples are vectors over it with
-weights (1 + log tf) * idf, of unit length. Examples with alike terms lie side by side in blocks of 64, and the index
-keeps each term's largest weight in each block. A document's cosine with any example of a block is at most the sum of
-its weights times those, so blocks are read best bound first until no bound reaches the k-th best cosine: the k nearest
-are exact. Their labels vote with weight cosine squared; the vote, the number of terms and their weight become a
-probability by logistic regression on the examples themselves, each without itself among its neighbours.
+nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
+documents. Examples are vectors over it with weights (1 + log tf) * idf, of unit length, and lie in blocks of 64. Terms
+that many examples have are columns of a matrix, with each column's largest weight in each block; all others have lists
+of their examples, which are added up first. A document's cosine with any example of a block is at most the most that
+the lists gave there and the sum of its weights times the block's largest ones, so blocks whose bound is below the k-th
+best cosine are left out. What comes near the k-th best is computed again in double precision: the k nearest are exact.
+Their labels vote with weight cosine squared divided by the number of examples of their class, as the classes are
+sampled and met unevenly; the share of label 1 in these votes is the score.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
+from .packed import pack, unpack
 from .runtime import arrow_batches, cut, shared_dir, text_rows
 from .words import U64, _hash, mix, words_of
 
-#: Examples of each class at most; terms at most; neighbours; examples in a block.
-EACH, TERMS, NEAREST, BLOCK = 4000, 2048, 15, 64
+#: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once.
+EACH, NEAREST, BLOCK, COLUMNS, TOGETHER = 4000, 15, 64, 3072, 128
+#: Ranges of terms whose document frequencies are added up apart.
+RANGES = 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 34, 39, 40, 41, 44, 46, 58, 59, 63]] = True
 _AFFIXES = [(n, False) for n in (3, 4, 5, 6)] + [(n, True) for n in (3, 4, 5)]
@@ -50,225 +54,258 @@ def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.first = np.zeros(1 << 20, bool)
-        self.first[(self.hashes >> U64(44)).astype(np.int64)] = True
+        top = (self.hashes >> U64(42)).astype(np.int64)
+        self.start = np.searchsorted(top, np.arange((1 << 22) + 1)).astype(np.int32)
+
+    def __reduce__(self):
+        return Vocabulary, (self.hashes,)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, term) of those of h that are in the vocabulary."""
+        top = (h >> U64(42)).astype(np.int64)
+        at, end = self.start[top], self.start[top + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        places, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(left):
+            hit = self.hashes[at] == h[left]
+            places.append(left[hit])
+            terms.append(at[hit].astype(np.int64))
+            at = at + 1
+            on = ~hit & (at < end)
+            left, at, end = left[on], at[on], end[on]
+        return np.concatenate(places), np.concatenate(terms)
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, times), sorted, of the terms in the vocabulary."""
         docs, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, h in terms_of(column):
-            near = np.flatnonzero(self.first[(h >> U64(44)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[near]), max(len(self.hashes) - 1, 0))
-            if len(self.hashes):
-                hit = self.hashes[at] == h[near]
-                docs.append(doc[near[hit]])
-                terms.append(at[hit])
+            place, term = self.find(h)
+            docs.append(doc[place])
+            terms.append(term)
         cells, times = np.unique(np.concatenate(docs) * max(len(self.hashes), 1) + np.concatenate(terms), return_counts=True)
         return *np.divmod(cells, max(len(self.hashes), 1)), times
 
 
-def vocabulary(sampled: DataFrame, terms: int = TERMS) -> np.ndarray:
-    """The terms that speak most clearly for label 1; one task reads the bounded sample, label 1 first."""
+def vocabulary(sampled: DataFrame) -> np.ndarray:
+    """All terms of the labelled sample; one task reads the bounded sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        n = [0, 0]
-        chosen = df1 = df0 = None
-
-        def settle() -> None:
-            nonlocal chosen, df1, df0
-            h, c = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U64), np.zeros(0, np.int64))
-            least = max(3, n[1] // 500)
-            chosen, df1 = h[c >= least], c[c >= least]
-            df0 = np.zeros(len(chosen), np.int64)
-
-        def per_doc(column: pa.Array) -> Iterator[np.ndarray]:
-            for doc, h in terms_of(column):
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield h[new]
-
+        seen = np.zeros(0, U64)
         for b in batches:
-            label = b.column(1).to_numpy()
-            for y in (1, 0):
-                part = b.column(0).filter(pa.array(label == y))
-                if not len(part):
-                    continue
-                if y == 0 and chosen is None:
-                    settle()
-                n[y] += len(part)
-                for h in per_doc(part):
-                    if y:
-                        seen.append(h)
-                    elif len(chosen):
-                        at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-                        df0 += np.bincount(at[chosen[at] == h], minlength=len(chosen))
-        if chosen is None:
-            settle()
-        a, b = df1 / max(n[1], 1), df0 / max(n[0], 1)
-        p = (df1 + df0) / max(n[0] + n[1], 1)
-        ratio = df1 * np.log(np.maximum(a, 1e-12) / np.maximum(p, 1e-12)) + df0 * np.log(np.maximum(b, 1e-12) / np.maximum(p, 1e-12))
-        rest1, rest0 = n[1] - df1, n[0] - df0
-        ratio += rest1 * np.log(np.maximum(1 - a, 1e-12) / np.maximum(1 - p, 1e-12)) + rest0 * np.log(np.maximum(1 - b, 1e-12) / np.maximum(1 - p, 1e-12))
-        good = np.flatnonzero((a > 8 * b) & (ratio > 8))
-        best = good[np.lexsort((chosen[good], -ratio[good]))][:terms]
-        yield pa.RecordBatch.from_arrays([pa.array(chosen[best].view(np.int64))], ["term"])
-
-    rows = sampled.select("text", "label").repartition(1).sortWithinPartitions(F.desc("label"))
-    return np.array([r[0] for r in rows.mapInArrow(run, "term long").collect()], np.int64).view(U64)
+            seen = np.unique(np.concatenate([seen, *(h for _, h in terms_of(b.column(0)))]))
+        yield pa.RecordBatch.from_arrays([pa.array([pack(seen)], pa.binary())], ["terms"])
+
+    rows = sampled.select("text").repartition(1).mapInArrow(run, "terms binary").collect()
+    return np.unique(np.concatenate([np.zeros(0, U64), *(unpack(bytes(r[0]))[0] for r in rows)]))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), then the same for the next."""
+    return np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
 
 
 @dataclass
 class Examples:
-    """The index: postings by (term, block), largest weights by term and block, and what turns votes into probabilities."""
+    """The examples' vectors by place, and the index over them, which is built where it is first searched."""
 
     vocab: Vocabulary
     idf: np.ndarray
+    none: float = 0.0
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    slots: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    at: np.ndarray | None = None
-    most: np.ndarray | None = None
-    curve: np.ndarray | None = None
-    none: float = 0.0
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    alike: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    column: np.ndarray | None = None
 
     def vectors(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         x = (1 + np.log(times)) * self.idf[term]
         return x / np.sqrt((x * x).sum())
 
     def build(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        """examples: (id, label, terms, times), those without terms left out."""
-        vectors = [(i, y, t, self.vectors(t, c)) for i, y, t, c in examples]
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.int64)
-        n, m = len(vectors), len(self.vocab.hashes)
-        blocks = -(-n // BLOCK)
-        slot = np.repeat(np.arange(n), [len(v[2]) for v in vectors]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([v[2] for v in vectors]) if n else np.zeros(0, np.int64)
-        x = np.concatenate([v[3] for v in vectors]) if n else np.zeros(0)
-        key = term * blocks + slot // BLOCK
-        order = np.argsort(key, kind="stable")
-        self.slots, self.weights = slot[order], x[order]
-        self.at = np.searchsorted(key[order], np.arange(m * blocks + 1))
-        self.most = np.zeros((m, blocks))
-        np.maximum.at(self.most, (term, slot // BLOCK), x)
-
-    def nearest(self, term: np.ndarray, x: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by place in the index."""
-        blocks = self.most.shape[1]
-        bound = x @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        found_s, found_c, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(found_c) >= k and bound[b] < least - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, q in zip(term.tolist(), x.tolist(), strict=True):
-                i, j = self.at[t * blocks + b], self.at[t * blocks + b + 1]
-                if j > i:
-                    own[self.slots[i:j] - b * BLOCK] += q * self.weights[i:j]
-            hit = np.flatnonzero(own > 0)
-            s = hit + b * BLOCK
-            if without is not None:
-                keep = s != without
-                s, hit = s[keep], hit[keep]
-            found_s, found_c = np.concatenate([found_s, s]), np.concatenate([found_c, own[hit]])
-            if len(found_c) > k:
-                top = np.lexsort((found_s, -np.round(found_c, 12)))[:k]
-                found_s, found_c = found_s[top], found_c[top]
-            if len(found_c) >= k:
-                least = found_c.min()
-        top = np.lexsort((found_s, -np.round(found_c, 12)))
-        return found_s[top], found_c[top]
-
-    def evidence(self, term: np.ndarray, times: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """What the curve takes in, and the nearest examples."""
-        x = (1 + np.log(times)) * self.idf[term]
-        near, cosine = self.nearest(term, x / np.sqrt((x * x).sum()), without=without)
-        pull = cosine**2
-        vote = (pull @ self.labels[near]) / (pull.sum() + 1e-9) if len(near) else 0.0
-        return np.array([1.0, vote, np.log1p(times.sum()), np.log1p(x.sum())]), near
-
-    def calibrate(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: tuple[float, float], bare: tuple[int, int]) -> None:
-        """Logistic regression by Newton steps with a ridge; shares: what an example of each class stands for."""
-        place = {int(d): i for i, d in enumerate(self.ids)}
-        rows = [(self.evidence(t, c, place.get(i))[0], y) for i, y, t, c in examples]
-        self.none = (bare[1] * shares[1] + 0.5) / (bare[0] * shares[0] + bare[1] * shares[1] + 20)
-        if not rows:
-            return
-        a, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        weight = np.where(y == 1, shares[1], shares[0])
-        coef = np.zeros(a.shape[1])
-        ridge = np.diag([1e-3, 0.3, 0.3, 0.3])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ coef, -30, 30)))
-            grad = a.T @ (weight * (p - y)) + ridge @ coef
-            hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge
-            coef -= np.linalg.solve(hess, grad)
-        self.curve = coef
-
-    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
-        if not len(term) or self.curve is None:
-            return self.none, []
-        row, near = self.evidence(term, times)
-        return float(1 / (1 + np.exp(-np.clip(row @ self.curve, -30, 30)))), self.ids[near].tolist()
+        """examples: (id, label, terms, times), those without terms left out. Alike ones get places side by side."""
+        df = np.zeros(len(self.vocab.hashes), np.int64)
+        for _, _, t, _ in examples:
+            df[t] += 1
+        common = df >= max(2, len(examples) // 100)
+
+        def leading(e: tuple[int, int, np.ndarray, np.ndarray]) -> tuple[int, int]:
+            x = self.vectors(e[2], e[3]) * common[e[2]]
+            return int(e[2][np.argmax(x)]), e[0]
+
+        rows = sorted(examples, key=leading)
+        self.ids = np.array([e[0] for e in rows], np.int64)
+        self.labels = np.array([e[1] for e in rows], np.int64)
+        self.at = np.cumsum([0, *(len(e[2]) for e in rows)])
+        self.term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[2], np.int32) for e in rows)])
+        self.times = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[3], np.int32) for e in rows)])
+        first: dict[bytes, int] = {}
+        self.alike = np.array([first.setdefault(np.asarray(t, np.int32).tobytes() + np.asarray(c, np.int32).tobytes(), i) for i, (_, _, t, c) in enumerate(rows)], np.int64)
+        self.column = None
+
+    def _index(self) -> None:
+        n, m = len(self.ids), len(self.vocab.hashes)
+        self.blocks = -(-n // BLOCK)
+        slot = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
+        self.weight = (1 + np.log(self.times)) * self.idf[self.term]
+        self.weight /= np.sqrt(np.bincount(slot, self.weight * self.weight, n))[slot]
+        df = np.bincount(self.term, minlength=m)
+        wide = np.argsort(-df, kind="stable")[:COLUMNS]
+        wide = np.sort(wide[df[wide] > BLOCK])
+        self.column = np.full(m, -1, np.int32)
+        self.column[wide] = np.arange(len(wide))
+        col = self.column[self.term]
+        self.wide = np.zeros((self.blocks * BLOCK, len(wide)), np.float32)
+        self.wide[slot[col >= 0], col[col >= 0]] = self.weight[col >= 0]
+        self.most = self.wide.reshape(self.blocks, BLOCK, len(wide)).max(axis=1)
+        rest = np.flatnonzero(col < 0)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.slots, self.weights = slot[rest], self.weight[rest].astype(np.float32)
+        self.list_at = np.zeros(m + 1, np.int64)
+        self.list_at[1:] = np.cumsum(np.where(self.column < 0, df, 0))
+        self.own = np.zeros(m)
+        self.error = (len(wide) + 16) * 2.0**-23  # of single-precision sums of as many products, at lengths up to 1
+
+    def nearest(self, term: np.ndarray, x: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest with a cosine above 0, nearest first, ties by place in the index."""
+        return self.nearest_of(np.array([0, len(term)]), term, x, k)[0]
+
+    def nearest_of(self, first: np.ndarray, term: np.ndarray, x: np.ndarray, k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each document; document d has terms first[d]:first[d + 1]."""
+        n = len(first) - 1
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        if self.column is None:
+            self._index()
+        size = self.blocks * BLOCK
+        score = np.zeros((n, size), np.float32)
+        q = np.zeros((n, self.wide.shape[1]), np.float32)
+        for d in range(n):
+            t, y = term[first[d] : first[d + 1]], x[first[d] : first[d + 1]]
+            col = self.column[t]
+            q[d, col[col >= 0]] = y[col >= 0]
+            t, y = t[col < 0], y[col < 0]
+            many = self.list_at[t + 1] - self.list_at[t]
+            at = _ranges(self.list_at[t], many)
+            score[d] = np.bincount(self.slots[at], self.weights[at] * np.repeat(y, many), size)
+        bound = (q @ self.most.T + score.reshape(n, self.blocks, BLOCK).max(axis=2)) * (1 + self.error)
+        rank = np.empty((n, self.blocks), np.int64)
+        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.blocks)[None, :], 1)
+        done, least = np.zeros((n, self.blocks), bool), np.zeros(n)
+        found = np.zeros((n, size), np.float32)
+        for upto in (2, 12, self.blocks):
+            todo = (rank < upto) & ~done & (bound > 0) & (bound >= (least - self.error)[:, None])
+            for b in np.flatnonzero(todo.any(axis=0)).tolist():
+                rows, part = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                found[rows, part] = score[rows, part] + q[rows] @ self.wide[part].T
+            done |= todo
+            if size >= k:
+                least = np.partition(found, size - k, axis=1)[:, size - k].astype(float)
+        out = []
+        for d in range(n):
+            s = np.flatnonzero((found[d] > 0) & (found[d] >= least[d] - 2 * self.error))
+            t = term[first[d] : first[d + 1]]
+            self.own[t] = x[first[d] : first[d + 1]]
+            one, back = np.unique(self.alike[s], return_inverse=True)
+            c = np.array([self.own[self.term[self.at[i] : self.at[i + 1]]] @ self.weight[self.at[i] : self.at[i + 1]] for i in one.tolist()])[back] if len(s) else np.zeros(0)
+            self.own[t] = 0
+            top = np.lexsort((s, -np.round(c, 12)))[:k]
+            out.append((s[top], c[top]))
+        return out
+
+    def scores(self, first: np.ndarray, term: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int]]]:
+        """(score, nearest examples' ids) of each document; one that shares no term with any example has no votes."""
+        out = []
+        one = 1 / np.maximum(np.bincount(self.labels, minlength=2), 1)[self.labels]
+        for a in range(0, len(first) - 1, TOGETHER):
+            own = first[a : a + TOGETHER + 1]
+            t, c = term[own[0] : own[-1]], times[own[0] : own[-1]]
+            doc = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            x = (1 + np.log(c)) * self.idf[t]
+            x /= np.sqrt(np.bincount(doc, x * x, len(own) - 1))[doc]
+            for near, cosine in self.nearest_of(own - own[0], t, x):
+                pull = cosine**2 * one[near]
+                out.append((float(min(1.0, pull @ self.labels[near] / pull.sum())) if len(near) else self.none, self.ids[near].tolist()))
+        return out
 
 
 def _term_rows(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, term, times = vocab.counts(b.column(1))
-            at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(at, pa.array(term)), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))], ["doc_id", "label", "terms", "times"])
+            doc, term, times = shared.value.counts(b.column(1))
+            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            blobs = [pack(term[i:j], times[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "label", "terms"])
+
+    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms binary")
+
+
+def frequencies(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
+    """In how many of docs each term is, and how many docs there are. A task sends one blob for each range of terms."""
+    edges = np.linspace(0, len(vocab.hashes), RANGES + 1).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    names = "part int, df binary, n long"
+
+    def rows_of(part: list[int], df: list[np.ndarray], n: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(x, delta=0) for x in df], pa.binary()), pa.array(n, pa.int64())], ["part", "df", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(shared.value.hashes), np.int64), 0
+        for b in batches:
+            df += np.bincount(shared.value.counts(b.column(1))[1], minlength=len(df))
+            n += b.num_rows
+        if n:
+            yield rows_of(list(range(RANGES)), [df[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], [n] * RANGES)
 
-    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms array<long>, times array<long>")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for part, blob, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                df = unpack(blob)[0]
+                old = sums.get(part, [0, 0])
+                sums[part] = [old[0] + df, old[1] + n]
+        yield rows_of(list(sums), [v[0] for v in sums.values()], [v[1] for v in sums.values()])
 
+    df, n = np.zeros(len(vocab.hashes), np.int64), 0
+    for r in text_rows(docs).mapInArrow(count, names).repartition(RANGES, "part").mapInArrow(total, names).collect():
+        df[edges[r["part"]] : edges[r["part"] + 1]] += unpack(bytes(r["df"]))[0]
+        n = max(n, r["n"])
+    return df, n
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, terms: int = TERMS) -> Examples:
-    """The index of at most `each` labelled rows of each class. The sample's terms, not its texts, come to the driver."""
+
+def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Examples:
+    """The examples: at most `each` labelled rows of each class. The sample's terms, not its texts, come to the driver."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows, sizes = sample(docs, labels, "toxic", each)
     sampled = cut(rows, f"{shared_dir(spark)}/sample")
-    vocab = Vocabulary(vocabulary(sampled, terms))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocab.hashes), np.int64), 0
-        for b in batches:
-            df += np.bincount(vocab.counts(b.column(1))[1], minlength=len(df))
-            n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(df)), -1)), pa.array(np.append(df, n))], ["term", "n"])
-
-    got = {r["term"]: r["n"] for r in text_rows(docs).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([got.get(i, 0) for i in range(len(vocab.hashes))], float)
-    model = Examples(vocab, np.log((got.get(-1, 0) + 1) / (df + 1)) + 1)
-    every = sorted({r["doc_id"]: (r["doc_id"], r["label"], np.array(r["terms"], np.int64), np.array(r["times"], np.int64)) for r in _term_rows(sampled, vocab).toLocalIterator()}.values(), key=lambda e: e[0])
-    some = [e for e in every if len(e[2])]
-    model.build(some)
-    taken = [max(1, sum(1 for e in every if e[1] == y)) for y in (0, 1)]
-    shares = tuple(sizes.get(y, 0) / taken[y] for y in (0, 1))
-    model.calibrate(some, shares, tuple(sum(1 for e in every if e[1] == y and not len(e[2])) for y in (0, 1)))
+    vocab = Vocabulary(vocabulary(sampled))
+    df, n = frequencies(docs, vocab)
+    model = Examples(vocab, np.log((n + 1) / (df + 1)) + 1, sizes.get(1, 0) / max(1, sum(sizes.values())))
+    every = {}
+    for r in _term_rows(sampled, vocab).toLocalIterator():
+        term, times = unpack(bytes(r["terms"]))
+        every[r["doc_id"]] = (r["doc_id"], r["label"], term.astype(np.int32), times.astype(np.int32))
+    model.build([every[i] for i in sorted(every) if len(every[i][2])])
     return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row; evidence is the nearest examples' ids, nearest first.
 
-    Learnt from labels of rows that aren't held out. Null and empty texts and texts without a term of the vocabulary
-    get the share of label 1 among such examples. Repeated rows and null ids are scored like others. Without labels
-    of both classes there is no vocabulary, and all get that share. Documents aren't shuffled; the index is bounded by
-    the sample.
+    Learnt from labels of rows that aren't held out. Null and empty texts, and texts that share no term with any example,
+    have no neighbours and get the share of label 1 among those labels. Repeated rows and null ids are scored like
+    others. Without labels all get 0. Documents aren't shuffled; the index is bounded by the sample.
     """
-    model = fit(docs, labels, each)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, term, times = model.vocab.counts(b.column(1))
-            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            out = [model.score(term[i:j], times[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            doc, term, times = shared.value.vocab.counts(b.column(1))
+            out = shared.value.scores(np.searchsorted(doc, np.arange(b.num_rows + 1)), term, times)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     scored = text_rows(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
