@@ -13,8 +13,11 @@ def shared_folder(spark) -> str:
     return f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(url, depth) of all that seeds(url) reach over edges(src, dst); a written table cuts each round's lineage."""
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(url, depth) of all that seeds(url) reach over edges(src, dst), until a round finds no new one.
+
+    A written table cuts each round's lineage; what was visited is read as one table, so plans don't grow with depth.
+    """
     spark, base = edges.sparkSession, shared_folder(edges.sparkSession)
 
     def cut(df: DataFrame, name: str) -> DataFrame:
@@ -22,12 +25,14 @@ def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFram
         return spark.read.parquet(f"{base}/{name}")
 
     links = cut(edges.select("src", "dst").distinct(), "edges")
-    front = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "visited/depth_part=0")
-    seen = front
-    for depth in range(1, most_rounds + 1):
+    schema = "url string, depth int"
+
+    def visited(depths: str = "*") -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{base}/visited/round={depths}")
+
+    front, depth = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "visited/round=0"), 0
+    while not front.isEmpty():
+        depth += 1
         found = links.join(front, links["src"] == front["url"], "left_semi").select(F.col("dst").alias("url")).distinct()
-        front = cut(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), f"visited/depth_part={depth}")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+        front = cut(found.join(visited(), "url", "left_anti").withColumn("depth", F.lit(depth)), f"visited/round={depth}")
+    return visited()
