@@ -389,6 +389,34 @@ def retrieval_quality(spark, d):
     return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+def _by_vector(spark, d):
+    """The 10 documents nearest to each benchmark item, by the cosine of their vectors, among all documents."""
+    vector_of = lambda name, key: vectors.embed(table(spark, d, name).select(F.col(key).alias("id"), F.col("text").alias("chunk_text")))
+    docs = vector_of("documents", "doc_id").select(F.col("id").cast("long").alias("vec_id"), "embedding")
+    asked = vector_of("benchmark", "item_id").select(F.col("id").cast("long").alias("query_id"), "embedding")
+    return vectors.cosine_topk(docs, asked, 10).withColumnRenamed("vec_id", "doc_id")
+
+
+def _hybrid(spark, d):
+    return vectors.rank_fusion([_bm25(spark, d), _by_vector(spark, d)], 10)
+
+
+@query
+def hybrid_fusion(spark, d):
+    """BM25 and vectors fused, both over all documents. Without SQL, which would have to hash every word."""
+    return _hybrid(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def hybrid_quality(spark, d):
+    """hybrid_fusion against the documents that really hold a benchmark item's passage."""
+    from loomtext.llm.decontaminate import contaminated
+
+    holds = contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).select(F.col("item_id").alias("query_id"), "doc_id").distinct()
+    got = vectors.retrieval_quality(_hybrid(spark, d), holds)
+    return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 @query
 def query_expansion(spark, d):
     words = spark.sql("SELECT * FROM VALUES ('flat', 'apartment'), ('flat', 'unit'), ('tax', 'duty') AS t(term, synonym)")
