@@ -122,6 +122,18 @@ def clean_pdf_table(raw: _C) -> Column:
 
 
 # --- URLs -----------------------------------------------------------------------------------------------------------
+def _without_dots(url: Column) -> Column:
+    """url with "." and ".." parts of its path resolved in one fold, as far up as they go; ".." above the root is dropped."""
+    split = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*)([?#].*)?$"
+    head, path, tail = (F.regexp_extract(url, split, i) for i in (1, 2, 3))
+    none = F.array().cast("array<string>")
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    step = lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), none, step)
+    closed = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(kept, "/"), closed, tail)).otherwise(url)
+
+
 def absolute_url(href: _C, base: _C) -> Column:
     """href against an absolute base, by string rules: whole URLs, //host, /path, ?query, #fragment and relative paths."""
     h, b = strip(F.coalesce(col(href), F.lit(""))), col(base)
@@ -139,10 +151,7 @@ def absolute_url(href: _C, base: _C) -> Column:
         .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
         .otherwise(F.concat(folder, h))
     )
-    dots = whole
-    for _ in range(6):  # "a/../" and "./" in the path, innermost first
-        dots = F.regexp_replace(F.regexp_replace(dots, r"(?<=/)\./", ""), r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return dots
+    return _without_dots(whole)
 
 
 def normalize_url(url: _C) -> Column:
