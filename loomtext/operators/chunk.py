@@ -29,7 +29,7 @@ def text_chunks(docs: DataFrame, size: int = R.CHUNK_TOKENS, overlap: int = R.CH
         for i, (p, s, path) in enumerate(zip(pieces, starts, paths, strict=True)):
             yield {"doc_key": row["doc_key"], "chunk_index": i, "chunk_text": p, "start": s, "heading_path": path, "word_count": len(p.split()), "token_count": count(p)}
 
-    return map_rows(docs.select("doc_key", "text", "headings"), work, PIECES, 64)
+    return map_rows(docs.select("doc_key", "text", "headings"), work, PIECES)
 
 
 def table_chunks(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomtext.functions import html as H
 from loomtext.functions import native as N
+from loomtext.session import arrow_batches
 from loomtext.sources import rules as R
 
 HEADINGS = "array<struct<level:int,text:string>>"
@@ -20,10 +21,9 @@ EXTRACTED = f"title string, text string, headings {HEADINGS}, tables {TABLES}, w
 CRAWLED = "title string, text string, links array<string>, rate_tables array<struct<headers:array<string>,rows:array<array<string>>>>"
 
 
-def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict]], schema: str, records: int = 256) -> DataFrame:
+def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
     """Rows to rows in Python, in Arrow batches of bounded size."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    arrow_batches(df.sparkSession)
     kind = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark) -> str:
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
+from loomtext.session import cut, shared_dir
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -18,21 +13,16 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     A written table cuts each round's lineage; what was visited is read as one table, so plans don't grow with depth.
     """
-    spark, base = edges.sparkSession, shared_folder(edges.sparkSession)
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
-
-    links = cut(edges.select("src", "dst").distinct(), "edges")
+    spark, base = edges.sparkSession, shared_dir(edges.sparkSession, "frontier")
+    links = cut(edges.select("src", "dst").distinct(), f"{base}/edges")
     schema = "url string, depth int"
 
     def visited(depths: str = "*") -> DataFrame:
         return spark.read.schema(schema).parquet(f"{base}/visited/round={depths}")
 
-    front, depth = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "visited/round=0"), 0
+    front, depth = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), f"{base}/visited/round=0"), 0
     while not front.isEmpty():
         depth += 1
         found = links.join(front, links["src"] == front["url"], "left_semi").select(F.col("dst").alias("url")).distinct()
-        front = cut(found.join(visited(), "url", "left_anti").withColumn("depth", F.lit(depth)), f"visited/round={depth}")
+        front = cut(found.join(visited(), "url", "left_anti").withColumn("depth", F.lit(depth)), f"{base}/visited/round={depth}")
     return visited()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
 from loomtext.operators.extract import map_rows
+from loomtext.session import arrow_batches
 from loomtext.sources import rules as R
 
 
@@ -32,7 +33,7 @@ def embed_batches(chunks: DataFrame, group: str = "doc_key", order: str = "chunk
         yield row | {"batch": state["batch"]}
 
     ordered = rows.repartition("g").sortWithinPartitions("g", "o")
-    return map_rows(ordered, work, "g string, o long, n long, batch int", 4096).select(F.col("g").alias(group), F.col("o").alias(order), F.col("n").alias("token_count"), "batch")
+    return map_rows(ordered, work, "g string, o long, n long, batch int").select(F.col("g").alias(group), F.col("o").alias(order), F.col("n").alias("token_count"), "batch")
 
 
 def token_share(batched: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -136,7 +137,7 @@ def _best(vectors: DataFrame, block: list, k: int) -> DataFrame:
                 top = np.lexsort((own, -s[:, j]))[:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[j])), pa.array(own[top]), pa.array(s[top, j])], ["query_id", "vec_id", "score"])
 
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    arrow_batches(vectors.sparkSession)
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
