@@ -19,8 +19,8 @@ FALLBACK_DIR = "/tmp/checkpoints"
 def arrow_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once by bytes; a user's tighter bound stays. Spark reads this when a plan runs."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        own = str(spark.conf.get(f"spark.sql.execution.arrow.{key}", "0")).lower()
-        own = int(own) if own.lstrip("-").isdigit() else 0
+        own = str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).lower().removesuffix("b")
+        own = int(own) if own.isdigit() else 0
         if not 0 < own <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     # The shuffle files of a finished write are of no further use: cuts are read from their own files.
