@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoding, read_ranks
-from .runtime import arrow_batches, partitions
+from .runtime import arrow_batches, partitions, released
 
 START, END = "<|im_start|>", "<|im_end|>"
 _GUARD, _GUARDED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -88,6 +88,7 @@ def format_turns(conversations: DataFrame, ranks_path: str) -> DataFrame:
     ranks, n = read_ranks(ranks_path)
     arrow_batches(conversations.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         for b in batches:
@@ -109,6 +110,7 @@ def digests(formatted: DataFrame, ranks_path: str) -> DataFrame:
     spark = formatted.sparkSession
     ranks, n = read_ranks(ranks_path)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

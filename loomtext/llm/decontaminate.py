@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, cut, shared_dir, text_rows, without
+from .runtime import arrow_batches, cut, released, shared_dir, text_rows, without
 from .words import U64, inside, mix, rolling, words_of
 
 RADIUS, BLOCKS = 23, 8
@@ -150,6 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def _one_pass(rows: DataFrame, items: list[tuple[int, str]], threshold: float, k: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, k)
         for b in batches:

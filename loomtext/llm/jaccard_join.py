@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir, text_rows, without
+from .runtime import arrow_batches, cut, drop_path, partitions, released, shared_dir, text_rows, without
 from .words import U64, Words, inside, mix, rolling, words_of
 
 _BITS, _SLICES = 20, 16
@@ -116,6 +116,7 @@ def _whole(x: np.ndarray) -> int:
 
 def _counts(rows: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     """Frequency levels of shingles by their first bits, and the numbers of small sets by size; both cover all rows."""
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sizes = np.zeros(1 << _BITS, np.int64), np.zeros(MOST_LIGHT + 1, np.int64)
         for b in batches:
@@ -125,6 +126,7 @@ def _counts(rows: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
             sizes += np.bincount(n[n <= MOST_LIGHT], minlength=MOST_LIGHT + 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES + 1)), pa.array([x.astype("<u4").tobytes() for x in [*np.split(table, _SLICES), sizes]], pa.binary())], ["slice", "counts"])
 
+    @released
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -166,6 +168,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
             return labels
 
 
+@released
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one bounded partition of links."""
     up: dict[int, int] = {}
@@ -199,6 +202,7 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
     levels, sizes = _counts(rows, k)
     x = boundary(sizes, t)
 
+    @released
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, h = shingle_sets(words_of(b.column(1)), k)
@@ -232,6 +236,7 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
                 ["doc_id", "n", "cls", "key", "smaller", "bits", "place"],
             )
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted entries in: of light keys, a link to the smallest set; of heavy keys with two members, all entries."""
         head: tuple | None = None  # first entry of the open key, and whether it has been passed on
@@ -278,7 +283,6 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
     written = cut(signed.withColumn("entry", F.col("key").isNotNull()), f"{base}/signed")
     members = cut(written.where(~F.col("entry")).select("doc_id", "n", "cls", "bits"), f"{base}/members")
     entries = written.where("entry").select("key", "smaller", "n", "cls", "place")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     met = cut(entries.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(scan, "link boolean, key long, u long, cls long, n int, place int"), f"{base}/met")
     drop_path(spark, f"{base}/signed")
     arrow_batches(spark)
@@ -304,6 +308,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, bits: DataF
     named = able.select(F.col("u").alias("cls")).union(able.select(F.col("v"))).distinct()
     chosen = cut(members.join(named, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{base}/chosen")
 
+    @released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, h = shingle_sets(words_of(b.column(1)), k)
@@ -371,6 +376,7 @@ def _name_pairs(t: int, pivots: int):
         u, v = cls[i], cls[j]
         return np.minimum(u, v), np.maximum(u, v), go_on
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         key, many, streaming = None, 0, None
@@ -442,7 +448,6 @@ def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, member
         tagged = alive.join(F.broadcast(tag) if small else tag, "cls", "left").select("key", F.col("n").cast("long").alias("n"), "cls", F.coalesce("comp", "cls").alias("comp"), F.col("place").cast("long").alias("place"))
         if step > 1:  # what goes on is little, and parities thin it out further
             tagged = tagged.join(bits.select("cls", "bits"), "cls").select("key", "n", "cls", "comp", "place", "bits")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         named = cut(tagged.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_name_pairs(t, 8 ** (step - 1)), "u long, cls long, key long, n long, place long, pair boolean"), f"{base}/named{step}")
         arrow_batches(spark)
         pairs = cut(named.where("pair").select("u", F.col("cls").alias("v")).distinct(), f"{base}/pairs{step}")

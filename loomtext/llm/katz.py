@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import apart, both, bucket_of, by_bucket, cuts, pack, unpack
-from .runtime import arrow_batches, crc_mod, cut, drop_path, partitions, shared_dir
+from .runtime import arrow_batches, crc_mod, cut, drop_path, partitions, released, shared_dir
 from .words import U64, mix, words_of
 
 K = 5
@@ -78,6 +78,7 @@ def _send(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 def _count_words(buckets: int):
     """Word counts of training texts, END included, by bucket."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -106,6 +107,7 @@ def _sum_words(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(buckets: int, doc_buckets: int, hot: np.ndarray):
     """(word, history, document, times) of all texts by bucket, and each document's id and side by document bucket."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -355,13 +357,13 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     hot = sorted((r["word"] & (2**64 - 1), r["count"]) for r in words.where(F.col("count") > share).collect())
     stats["hot"], stats["hot_counts"] = np.array([k for k, _ in hot], U64), np.array([c for _, c in hot], np.int64)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     tokens = rows.mapInArrow(_tokens(buckets, doc_buckets, stats["hot"]), _ROWS)
     parts = cut(by_bucket(tokens, spread, _evaluate(stats, doc_buckets, h_buckets), _ROWS), f"{base}/parts")
     counted = [np.frombuffer(r["blob"][1:], "<i8") for r in parts.where(F.col("bucket") == -(1 << 40)).toLocalIterator()]
     stars2 = good_turing(np.sum(counted, axis=0)[: K + 2]) if counted else good_turing(np.zeros(K + 2))
     weighed = cut(by_bucket(parts.where("bucket >= 0"), spread, _weights(stars2, doc_buckets), _ROWS), f"{base}/weights")
     if weights_to:
+        @released
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for blob in b.column(1).to_pylist():

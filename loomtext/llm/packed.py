@@ -13,6 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .runtime import released
+
 _DTYPES = ["<u8", "<i8", "<u4", "<i4", "<u2", "|u1", "<f8", "<f4"]
 
 
@@ -69,6 +71,7 @@ def cuts(key: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 def by_bucket(rows: DataFrame, spread: int, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply work to the rows (bucket, ...) of each bucket; a task holds one bucket at a time."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         current = None

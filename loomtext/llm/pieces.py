@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import arrow_batches, text_rows
+from .runtime import arrow_batches, released, text_rows
 
 MARK = "▁"
 
@@ -29,10 +29,11 @@ MARK = "▁"
 class PieceModel:
     """Encoder and decoder for the bytes of a merge-type .model file with identity normalisation.
 
-    max_words, max_pairs: entries of the two tables; a full one starts anew (of the words, one full table is kept besides), so memory is bounded.
+    max_words, max_pairs: entries of the two tables, some 230 bytes each; a full one starts anew (of the words, one full
+    table is kept besides), so memory is bounded.
     """
 
-    def __init__(self, proto: bytes, max_words: int = 350_000, max_pairs: int = 400_000):
+    def __init__(self, proto: bytes, max_words: int = 150_000, max_pairs: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -67,6 +68,10 @@ class PieceModel:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def forget(self) -> None:
+        """Empty the tables."""
+        self.words, self.older, self.pairs = {}, {}, {}
+
     def merge(self, s: str) -> list[str]:
         """The definition, step by step: join the best adjacent pair until none is a piece."""
         sym, left, right = list(s), list(range(-1, len(s) - 1)), list(range(1, len(s) + 1))
@@ -214,10 +219,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         proto = f.read()
     arrow_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(proto)
         for b in batches:
             ids = [model.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        model.forget()  # a reused worker has its memory for other tasks
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .packed import pack, unpack
-from .runtime import arrow_batches, text_rows
+from .runtime import arrow_batches, released, text_rows
 from .words import U64, inside, raw, rolling, words_of
 
 BITS, RANK, BINS = 16, 8, 10
@@ -48,8 +48,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.maximum(np.diff(off), 1)
 
     def per_doc(mask: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask)])
-        return sums[edges[1:]] - sums[edges[:-1]]
+        out, some = np.zeros(m, np.int64), edges[1:] > edges[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(mask, edges[:-1][some], dtype=np.int64)
+        return out
 
     stats = [per_doc(kind[buf], off) / size for kind in _KINDS.values()]
     n = np.diff(w.first)
@@ -67,8 +69,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fives = np.bincount(fd, minlength=m)
     last = buf[w.ends - 1] if len(w.ends) else buf[:0]
     letters = _KINDS["upper"] | _KINDS["lower"] | _KINDS["digit"] | _KINDS["wide"] | _KINDS["stop"]
-    caps = np.concatenate([[0], np.cumsum(_KINDS["lower"][buf])])
-    no_lower = caps[w.ends] == caps[w.starts]
+    lower = np.append(_KINDS["lower"][buf], False)
+    no_lower = ~np.logical_or.reduceat(lower, np.stack([w.starts, w.ends], axis=1).ravel())[::2] if len(w.starts) else lower[:0]
     stats += [
         np.log1p(np.diff(off)),
         (per_doc(w.ends - w.starts, w.first)) / many,
@@ -176,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Machine | float
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -203,6 +206,7 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
     """
     arrow_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -224,6 +228,7 @@ def quality_stage(docs: DataFrame, labels: DataFrame, each: int = EACH, threshol
     arrow_batches(spark)
     flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("scored"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

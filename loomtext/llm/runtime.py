@@ -1,41 +1,13 @@
-"""Session helpers shared by the operators: Arrow batch sizes, the shared folder, written cuts."""
+"""Helpers shared by the operators: their rows, ids and lists of keys; and the session's, passed on."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a single machine).
-FALLBACK_DIR = "/tmp/checkpoints"
-
-
-def arrow_batches(spark: SparkSession, records: int = 512, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-    # The shuffle files of a finished write are of no further use: cuts are read from their own files.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder that the driver and all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-    return f"{base.rstrip('/')}/loomtext-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, path: str) -> DataFrame:
-    """Write df to path and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from loomtext.session import arrow_batches, cut, drop_path, give_back, released, shared_dir
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written cut that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["arrow_batches", "crc_mod", "cut", "drop_path", "give_back", "is_table", "partitions", "released", "shared_dir", "text_rows", "without"]
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import apart, both, bucket_of, by_bucket, cuts, pack, unpack
-from .runtime import arrow_batches, cut, drop_path, partitions, shared_dir, text_rows
+from .runtime import arrow_batches, cut, drop_path, partitions, released, shared_dir, text_rows
 from .words import inside, mix, rolling, words_of
 
 WINDOW, BLOCK = 50, 25
@@ -78,6 +78,7 @@ def _several(doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _probe(buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, ref in _windows(batches, BLOCK):
             starts, run_of = _groups(key)
@@ -147,6 +148,7 @@ def _per_document(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _extend(buckets: int, doc_buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, _ in _windows(batches, WINDOW):
             starts, run_of = _groups(key)
@@ -181,6 +183,7 @@ def _smallest(doc_buckets: int):
     return work
 
 
+@released
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text or null, blob): a document's removed windows come before its text."""
     current, lost = None, []
@@ -209,6 +212,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
 
+@released
 def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         split = [t.encode().split() for t in b.column(1).to_pylist()]
@@ -229,7 +233,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets, doc_buckets = 2 * spread, max(8, spread // 2)
     blobs = "bucket long, blob binary"
     rows = text_rows(docs, id_col, text_col)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
     candidates = cut(by_bucket(rows.mapInArrow(_probe(buckets), blobs), spread, _meet, "doc_id long").distinct(), f"{base}/candidates")
     some = _among(rows, candidates, candidates.count())
     ended = cut(some.mapInArrow(_extend(buckets, doc_buckets), blobs), f"{base}/windows")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoding, read_ranks
-from .runtime import arrow_batches, text_rows
+from .runtime import arrow_batches, released, text_rows
 
 BLOCK = "file_id long, block long, tokens binary, doc_ids array<long>"
 
@@ -29,8 +29,9 @@ def flat_blocks(docs: DataFrame, ranks_path: str, block_tokens: int = 1 << 16, i
     the documents that end in the block, in order. A null or empty text has no token before its separator.
     """
     ranks, eod = read_ranks(ranks_path)
-    arrow_batches(docs.sparkSession, 128)
+    arrow_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -60,6 +61,7 @@ def flat_blocks(docs: DataFrame, ranks_path: str, block_tokens: int = 1 << 16, i
 
 def file_blocks(spark: SparkSession, path: str, block_tokens: int = 1 << 20) -> DataFrame:
     """The same blocks from existing .bin files (each below 2 GB); file_id is a hash of the path."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for fid, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -77,6 +79,7 @@ def count_tokens(blocks: DataFrame, eod: int) -> DataFrame:
     doc_id is from the manifest, null where there is none. Tokens after a file's last separator make a last row with
     ended false. Empty documents count 0. An empty table gives no rows.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.flatnonzero(np.frombuffer(x.as_buffer(), "<u2") == eod) for x in b.column(2)]

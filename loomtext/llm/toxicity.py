@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .packed import pack, unpack
-from .runtime import arrow_batches, cut, shared_dir, text_rows
+from .runtime import arrow_batches, cut, released, shared_dir, text_rows
 from .words import U64, _hash, mix, words_of
 
 #: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once.
@@ -89,6 +89,7 @@ class Vocabulary:
 
 def vocabulary(sampled: DataFrame) -> np.ndarray:
     """All terms of the labelled sample; one task reads the bounded sample."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, U64)
         for b in batches:
@@ -233,6 +234,7 @@ class Examples:
 def _term_rows(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, term, times = shared.value.counts(b.column(1))
@@ -252,6 +254,7 @@ def frequencies(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
     def rows_of(part: list[int], df: list[np.ndarray], n: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(x, delta=0) for x in df], pa.binary()), pa.array(n, pa.int64())], ["part", "df", "n"])
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(shared.value.hashes), np.int64), 0
         for b in batches:
@@ -260,6 +263,7 @@ def frequencies(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
         if n:
             yield rows_of(list(range(RANGES)), [df[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], [n] * RANGES)
 
+    @released
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for b in batches:
@@ -302,6 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: fl
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, each))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, term, times = shared.value.vocab.counts(b.column(1))
