@@ -1,12 +1,12 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words without end punctuation and their first 3 to 6 and last 3 to 5 bytes (word families in a language that
-nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
+Terms are words without end punctuation and, of words of more than 4 bytes, their first and their last 4 bytes (word
+families in a language that nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
 documents. Examples are vectors over it with weights (1 + log tf) * idf, of unit length, and lie in blocks of 64. Terms
 that many examples have are columns of a matrix, with each column's largest weight in each block; all others have lists
 of their examples, which are added up first. A document's cosine with any example of a block is at most the most that
 the lists gave there and the sum of its weights times the block's largest ones, so blocks whose bound is below the k-th
-best cosine are left out. What comes near the k-th best is computed again in double precision: the k nearest are exact.
+best cosine are left out. What comes near the k-th best is added up again in double precision: the k nearest are exact.
 Their labels vote with weight cosine squared divided by the number of examples of their class, as the classes are
 sampled and met unevenly; the share of label 1 in these votes is the score.
 """
@@ -26,13 +26,14 @@ from .packed import pack, unpack
 from .runtime import arrow_batches, cut, released, shared_dir, text_rows
 from .words import U64, _hash, mix, words_of
 
-#: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once.
-EACH, NEAREST, BLOCK, COLUMNS, TOGETHER = 4000, 15, 64, 3072, 128
+#: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once;
+#: blocks of each document that give the first bound.
+EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST = 4000, 15, 64, 1536, 128, 8
 #: Ranges of terms whose document frequencies are added up apart.
 RANGES = 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 34, 39, 40, 41, 44, 46, 58, 59, 63]] = True
-_AFFIXES = [(n, False) for n in (3, 4, 5, 6)] + [(n, True) for n in (3, 4, 5)]
+_AFFIXES = [(4, False), (4, True)]
 
 
 def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,7 +166,6 @@ class Examples:
         self.slots, self.weights = slot[rest], self.weight[rest].astype(np.float32)
         self.list_at = np.zeros(m + 1, np.int64)
         self.list_at[1:] = np.cumsum(np.where(self.column < 0, df, 0))
-        self.own = np.zeros(m)
         self.error = (len(wide) + 16) * 2.0**-23  # of single-precision sums of as many products, at lengths up to 1
 
     def nearest(self, term: np.ndarray, x: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ class Examples:
         if self.column is None:
             self._index()
         size = self.blocks * BLOCK
-        score = np.zeros((n, size), np.float32)
+        score = np.zeros((n, size))
         q = np.zeros((n, self.wide.shape[1]), np.float32)
         for d in range(n):
             t, y = term[first[d] : first[d + 1]], x[first[d] : first[d + 1]]
@@ -195,22 +195,23 @@ class Examples:
         np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.blocks)[None, :], 1)
         done, least = np.zeros((n, self.blocks), bool), np.zeros(n)
         found = np.zeros((n, size), np.float32)
-        for upto in (2, 12, self.blocks):
+        for upto in (FIRST, self.blocks):
             todo = (rank < upto) & ~done & (bound > 0) & (bound >= (least - self.error)[:, None])
-            for b in np.flatnonzero(todo.any(axis=0)).tolist():
-                rows, part = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                found[rows, part] = score[rows, part] + q[rows] @ self.wide[part].T
+            many = todo.sum(axis=0)
+            for b in np.flatnonzero(many).tolist():
+                part = slice(b * BLOCK, (b + 1) * BLOCK)
+                if 2 * many[b] >= n:  # most need it: no copies of rows; what the others get is right, too
+                    np.add(score[:, part], q @ self.wide[part].T, out=found[:, part], casting="same_kind")
+                else:
+                    rows = np.flatnonzero(todo[:, b])
+                    found[rows, part] = score[rows, part] + q[rows] @ self.wide[part].T
             done |= todo
             if size >= k:
                 least = np.partition(found, size - k, axis=1)[:, size - k].astype(float)
         out = []
         for d in range(n):
             s = np.flatnonzero((found[d] > 0) & (found[d] >= least[d] - 2 * self.error))
-            t = term[first[d] : first[d + 1]]
-            self.own[t] = x[first[d] : first[d + 1]]
-            one, back = np.unique(self.alike[s], return_inverse=True)
-            c = np.array([self.own[self.term[self.at[i] : self.at[i + 1]]] @ self.weight[self.at[i] : self.at[i + 1]] for i in one.tolist()])[back] if len(s) else np.zeros(0)
-            self.own[t] = 0
+            c = score[d, s] + self.wide[s].astype(float) @ q[d].astype(float)
             top = np.lexsort((s, -np.round(c, 12)))[:k]
             out.append((s[top], c[top]))
         return out
