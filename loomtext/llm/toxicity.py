@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words without end punctuation and, of words of more than 4 bytes, their first and their last 4 bytes (word
-families in a language that nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
+Terms are words without end punctuation and the first 3 and 4 bytes of longer ones (word families in a language that
+nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
 documents. Examples are vectors over it with weights (1 + log tf) * idf, of unit length, and lie in blocks of 64. Terms
 that many examples have are columns of a matrix, with each column's largest weight in each block; all others have lists
 of their examples, which are added up first. A document's cosine with any example of a block is at most the most that
@@ -33,7 +33,7 @@ EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST = 4000, 15, 64, 1536, 128, 8
 RANGES = 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 34, 39, 40, 41, 44, 46, 58, 59, 63]] = True
-_AFFIXES = [(4, False), (4, True)]
+_AFFIXES = [(3, False), (4, False)]
 
 
 def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
