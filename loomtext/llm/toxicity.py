@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words without end punctuation and the first 3 and 4 bytes of longer ones (word families in a language that
+Terms are words without end punctuation and the first 3 and 4 and last 4 bytes of longer ones (word families in a language that
 nobody listed), A-Z as a-z. The vocabulary is all terms of the labelled sample; their document frequencies come from all
 documents. Examples are vectors over it with weights (1 + log tf) * idf, of unit length, and lie in blocks of 64. Terms
 that many examples have are columns of a matrix, with each column's largest weight in each block; all others have lists
@@ -28,12 +28,12 @@ from .words import U64, _hash, mix, words_of
 
 #: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once;
 #: blocks of each document that give the first bound.
-EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST = 4000, 15, 64, 1536, 128, 8
+EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST = 3000, 15, 64, 1536, 128, 8
 #: Ranges of terms whose document frequencies are added up apart.
 RANGES = 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 34, 39, 40, 41, 44, 46, 58, 59, 63]] = True
-_AFFIXES = [(3, False), (4, False)]
+_AFFIXES = [(3, False), (4, False), (4, True)]
 
 
 def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -160,10 +160,12 @@ class Examples:
         col = self.column[self.term]
         self.wide = np.zeros((self.blocks * BLOCK, len(wide)), np.float32)
         self.wide[slot[col >= 0], col[col >= 0]] = self.weight[col >= 0]
+        self.finer = np.zeros_like(self.wide)  # what single precision leaves of the weights
+        self.finer[slot[col >= 0], col[col >= 0]] = self.weight[col >= 0] - self.wide[slot[col >= 0], col[col >= 0]].astype(float)
         self.most = self.wide.reshape(self.blocks, BLOCK, len(wide)).max(axis=1)
         rest = np.flatnonzero(col < 0)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.slots, self.weights = slot[rest], self.weight[rest].astype(np.float32)
+        self.slots, self.weights = slot[rest], self.weight[rest]
         self.list_at = np.zeros(m + 1, np.int64)
         self.list_at[1:] = np.cumsum(np.where(self.column < 0, df, 0))
         self.error = (len(wide) + 16) * 2.0**-23  # of single-precision sums of as many products, at lengths up to 1
@@ -181,15 +183,16 @@ class Examples:
             self._index()
         size = self.blocks * BLOCK
         score = np.zeros((n, size))
-        q = np.zeros((n, self.wide.shape[1]), np.float32)
+        own = np.zeros((n, self.wide.shape[1]))
         for d in range(n):
             t, y = term[first[d] : first[d + 1]], x[first[d] : first[d + 1]]
             col = self.column[t]
-            q[d, col[col >= 0]] = y[col >= 0]
+            own[d, col[col >= 0]] = y[col >= 0]
             t, y = t[col < 0], y[col < 0]
             many = self.list_at[t + 1] - self.list_at[t]
             at = _ranges(self.list_at[t], many)
             score[d] = np.bincount(self.slots[at], self.weights[at] * np.repeat(y, many), size)
+        q = own.astype(np.float32)
         bound = (q @ self.most.T + score.reshape(n, self.blocks, BLOCK).max(axis=2)) * (1 + self.error)
         rank = np.empty((n, self.blocks), np.int64)
         np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.blocks)[None, :], 1)
@@ -211,7 +214,7 @@ class Examples:
         out = []
         for d in range(n):
             s = np.flatnonzero((found[d] > 0) & (found[d] >= least[d] - 2 * self.error))
-            c = score[d, s] + self.wide[s].astype(float) @ q[d].astype(float)
+            c = score[d, s] + (self.wide[s].astype(float) + self.finer[s]) @ own[d]
             top = np.lexsort((s, -np.round(c, 12)))[:k]
             out.append((s[top], c[top]))
         return out
