@@ -1,16 +1,17 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, found by multi-index Hamming blocks.
 
 For a benchmark item of m words, each window of m words of a document (a shorter document is one window) has a multiset
-of k-word shingles; a text shorter than k words is one shingle. Its 64-bit SimHash adds up the shingles' bits as +1 and
--1, which running sums give for all windows at once. Fingerprints are cut into 8 blocks of 8 bits; if two differ in at
-most RADIUS = 23 bits, some block differs in at most 2 (8 * 3 > 23), so tables of all block values within 2 bits give
-every item within the radius, with no miss. Those candidates are verified by the weighted Jaccard similarity of the
-two multisets, sum of minima over sum of maxima.
-
-At similarity s the angle between two equal-sized multisets has a cosine of at least 2s/(1+s) for shingles that occur
-once, 0.89 at s = 0.8: 9.7 of 64 bits are expected to differ, with a deviation of 2.9, so radius 23 is 4.5 of those
-away. Windows that share less than half of the shingles that the similarity calls for are not fingerprinted at all;
-they can't reach it.
+of k-word shingles; a text shorter than k words is one shingle. A shingle that occurs n times counts as n elements
+(shingle, 1) .. (shingle, n), so the weighted Jaccard similarity of two multisets, sum of minima over sum of maxima, is
+the plain one of two sets. A 256-bit SimHash adds up the elements' bits as +1 and -1. When a window moves on, the last
+element of the shingle that leaves goes and the next one of the shingle that enters comes, so running sums over both
+give the fingerprints of all windows at once. Fingerprints are cut into 8 blocks of 32 bits; if two differ in at most
+RADIUS = 64 bits, some block differs in at most 8 (8 * 9 > 64), so the block tests give every item within the radius,
+with no miss; of unrelated pairs 2.8 % pass them. Those within the radius are verified by their similarity.
+
+At similarity s the angle between two such sets has a cosine of at least 2s/(1+s), 0.89 at s = 0.8: 38.8 of 256 bits are
+expected to differ, with a deviation of 5.7, so radius 64 is 4.4 of those away. Windows that share less than half of the
+shingles that the similarity calls for are not fingerprinted at all; they can't reach it.
 """
 
 from __future__ import annotations
@@ -26,43 +27,58 @@ from pyspark.sql import functions as F
 from .runtime import arrow_batches, cut, released, shared_dir, text_rows, without
 from .words import U64, inside, mix, rolling, words_of
 
-RADIUS, BLOCKS = 23, 8
+RADIUS, BLOCKS, BITS = 64, 8, 256
 #: Benchmark text that one pass over the documents holds in each task; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
-_NEAR = np.array([[bin(i ^ j).count("1") <= RADIUS // BLOCKS for j in range(256)] for i in range(256)])
 _BIT = np.arange(64, dtype=np.uint64)
 
 
+def elements(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of (shingle, number); that of the first one is the shingle's own."""
+    return np.where(number > 1, mix(h + number.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), h)
+
+
+def numbers(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each shingle occurs in the `size` places that end with it, and in those that begin with it."""
+    n = len(h)
+    kind = np.unique(h, return_inverse=True)[1].astype(np.int64) * (2 * n + 2 * size + 2) + size
+    place = kind + np.arange(n)
+    order = np.argsort(place)
+    held, at = place[order], np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    return at - np.searchsorted(held, place - size, "right") + 1, np.searchsorted(held, place + size) - at
+
+
 def _signs(h: np.ndarray) -> np.ndarray:
-    """+1 and -1 for the bits of each shingle."""
-    return ((h[:, None] >> _BIT) & U64(1)).astype(np.int32) * 2 - 1
+    """+1 and -1 for the bits of each element."""
+    parts = [mix(h + U64(i * 0xD1B54A32D192ED03 % 2**64)) for i in range(BITS // 64)]
+    return np.concatenate([((p[:, None] >> _BIT) & U64(1)).astype(np.int8) * 2 - 1 for p in parts], axis=1)
 
 
 def _fingerprints(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << _BIT).sum(axis=1, dtype=np.uint64)
+    """One row of BLOCKS 32-bit words for each row of sums."""
+    return np.packbits(sums > 0, axis=1).view(np.uint32)
 
 
 class Group:
-    """Items of one length in words, with their fingerprints and block tables."""
+    """Items of one length in words, with their fingerprints in blocks."""
 
     def __init__(self, m: int, k: int, members: list[tuple[int, np.ndarray]]):
         self.m, self.k = m, min(k, m)
         self.size = m - self.k + 1
         self.ids = [i for i, _ in members]
         self.counts = [Counter(h.tolist()) for _, h in members]
-        self.prints = np.concatenate([_fingerprints(_signs(h).sum(axis=0)[None, :]) for _, h in members])
-        blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        self.tables = [_NEAR[blocks[:, b]].T for b in range(BLOCKS)]
+        own = [elements(h, numbers(h, len(h))[0]) for _, h in members]
+        self.prints = np.concatenate([_fingerprints(_signs(e).sum(axis=0, dtype=np.int64)[None, :]) for e in own])
         self.shingles = np.unique(np.concatenate([h for _, h in members]))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) for every two fingerprints within the radius."""
-        values = prints.view(np.uint8).reshape(-1, BLOCKS)
-        hit = self.tables[0][values[:, 0]]
-        for b in range(1, BLOCKS):
-            hit = hit | self.tables[b][values[:, b]]
+        hit = np.zeros((len(prints), len(self.prints)), bool)
+        for b in range(BLOCKS):
+            hit |= np.bitwise_count(prints[:, b, None] ^ self.prints[None, :, b]) <= RADIUS // BLOCKS
         w, i = np.nonzero(hit)
-        near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+        near = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1) <= RADIUS
         return w[near], i[near]
 
 
@@ -105,12 +121,14 @@ def _matches(g: Group, h: np.ndarray, threshold: float) -> dict[int, tuple[float
     if not len(starts):
         return best
     for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-        for a in range(0, len(part), 4096):
-            some = part[a : a + 4096]
+        for a in range(0, len(part), 1024):
+            some = part[a : a + 1024]
             lo, hi = int(some[0]), int(some[-1]) + size
-            sums = np.zeros((hi - lo + 1, 64), np.int32)
-            np.cumsum(_signs(h[lo:hi]), axis=0, out=sums[1:])
-            w, items = g.candidates(_fingerprints(sums[some - lo + size] - sums[some - lo]))
+            come, go = numbers(h[lo:hi], size)
+            sums, left = np.zeros((hi - lo + 1, BITS), np.int32), np.zeros((hi - lo + 1, BITS), np.int32)
+            np.cumsum(_signs(elements(h[lo:hi], come)), axis=0, out=sums[1:])
+            np.cumsum(_signs(elements(h[lo:hi], go)), axis=0, out=left[1:])
+            w, items = g.candidates(_fingerprints(sums[some - lo + size] - left[some - lo]))
             for i in np.unique(items).tolist():
                 places = some[w[items == i]]
                 # An upper bound first: shingles at places whose shingle the item has.
