@@ -19,19 +19,20 @@ _BLANKS, _LINES = re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "inside", "parent")
+    __slots__ = ("tag", "attrs", "inside", "gone")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.gone = tag, attrs, False
         self.inside: list[Element | str] = []
 
     def walk(self) -> Iterator[Element]:
-        """Elements below, in document order."""
+        """Elements below that weren't dropped, in document order."""
         stack = [x for x in reversed(self.inside) if isinstance(x, Element)]
         while stack:
             e = stack.pop()
-            yield e
-            stack.extend(x for x in reversed(e.inside) if isinstance(x, Element))
+            if not e.gone:
+                yield e
+                stack.extend(x for x in reversed(e.inside) if isinstance(x, Element))
 
     def pieces(self) -> list[str]:
         """Stripped texts below that aren't blank."""
@@ -42,7 +43,7 @@ class Element:
             if isinstance(x, str):
                 if x := x.strip():
                     out.append(x)
-            elif x.tag not in _HIDDEN:
+            elif x.tag not in _HIDDEN and not x.gone:
                 stack.extend(reversed(x.inside))
         return out
 
@@ -56,22 +57,21 @@ class Element:
         return (self.attrs.get("class") or "").split()
 
     def drop(self) -> None:
-        if self.parent is not None:
-            self.parent.inside = [x for x in self.parent.inside if x is not self]
-            self.parent = None
+        """Mark it; what reads the tree passes over it, so that dropping many children takes no list apart."""
+        self.gone = True
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {}, None)
+        self.root = Element("", {})
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
         seen: dict[str, str] = {}
         for k, v in attrs:
             seen[k] = v or ""
-        e = Element(tag, seen, self.open[-1])
+        e = Element(tag, seen)
         self.open[-1].inside.append(e)
         if tag not in _VOID:
             self.open.append(e)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,20 +42,30 @@ def url_hash(url: _C) -> Column:
     return F.substring(F.md5(col(url).cast("binary")), 1, 12)
 
 
-def quality_warnings(text: _C) -> Column:
-    n = word_count(text)
-    return F.when(n == 0, F.array(F.lit("No content text found after extraction"))).when(n < 50, F.array(F.concat(F.lit("Very short content ("), n.cast("string"), F.lit(" words)")))).otherwise(F.array().cast("array<string>"))
-
-
 def pattern(alternatives: tuple[str, ...]) -> str:
     """Alternatives as whole words, in any case; one that ends in an asterisk may go on."""
     return "(?iU)" + "|".join(rf"\b{a[:-1]}" if a.endswith("*") else rf"\b{a}\b" for a in alternatives)
 
 
+def _marks_of(alternative: str) -> str:
+    """A run of letters that each match of an alternative has, in lower case."""
+    sure = re.split(r"[(\[?]", alternative.rstrip("*"))[0]
+    return max(re.split(r"[^A-Za-z]+", sure.replace(r"\s", " ")), key=len).lower()
+
+
 def labels(text: Column, rules, default: tuple[str, ...] = ()) -> Column:
-    """Sorted labels of the rules that match, or the default."""
-    found = F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(pattern(a)), F.lit(label)) for label, a in rules])))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, default)).cast("array<string>"))
+    """Sorted labels of the rules that match, or the default.
+
+    A rule's pattern is only tried on a text that has a run of letters which one of its alternatives needs. The other
+    letters that count as s, i and k in any case are folded first. The labels' list is used once, so it is computed once.
+    """
+    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+    tries = []
+    for label, alternatives in sorted(rules):
+        may = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in sorted({_marks_of(a) for a in alternatives})])
+        tries.append(F.when(may & text.rlike(pattern(alternatives)), F.lit(label)))
+    found = F.regexp_replace(F.concat_ws("|", *tries), "^$", "|".join(default))
+    return F.array_remove(F.split(found, r"\|"), "")
 
 
 def keywords(text: Column, words: tuple[str, ...]) -> Column:
@@ -75,6 +88,11 @@ def effective_date(text: _C, rules=R.DATE_RULES) -> Column:
     return F.coalesce(*tries, F.lit(""))
 
 
+def metadata_string(value: _C) -> Column:
+    """A text of a file's metadata: bytes read as UTF-8, without byte order marks and white space at its beginning and end; null is empty."""
+    return strip(F.regexp_replace(strip(F.coalesce(col(value).cast("string"), F.lit(""))), "^\ufeff+", ""))
+
+
 def agency(source: _C, table: dict[str, str] = R.AGENCIES) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.coalesce(F.try_element_at(pairs, F.lower(F.coalesce(col(source), F.lit("")))), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,56 +15,48 @@ from loomtext.sources import rules as R
 PIECES = f"doc_key string, chunk_index int, chunk_text string, start int, heading_path {HEADINGS}, word_count int, token_count int"
 
 
+def _pieces(text: str | None, headings: list[dict] | None, size: int, overlap: int, count: Callable[[str], int]) -> Iterator[dict]:
+    if not (text or "").strip():
+        return
+    pieces = K.split(text, size, overlap, count)
+    starts = K.offsets(text, pieces)
+    paths = K.heading_paths(text, headings or [], starts)
+    for i, (p, s, path) in enumerate(zip(pieces, starts, paths, strict=True)):
+        yield {"chunk_index": i, "chunk_text": p, "start": s, "heading_path": path, "word_count": len(p.split()), "token_count": count(p)}
+
+
 def text_chunks(docs: DataFrame, size: int = R.CHUNK_TOKENS, overlap: int = R.CHUNK_OVERLAP, tokens: str = "bpe", ranks: str = "") -> DataFrame:
     """docs(doc_key, text, headings) to pieces of its text; blank texts give none. One pass, no shuffle."""
 
     def work(row: dict) -> Iterator[dict]:
-        text = row["text"] or ""
-        if not text.strip():
-            return
-        count = K.counter(tokens, ranks)
-        pieces = K.split(text, size, overlap, count)
-        starts = K.offsets(text, pieces)
-        paths = K.heading_paths(text, row["headings"] or [], starts)
-        for i, (p, s, path) in enumerate(zip(pieces, starts, paths, strict=True)):
-            yield {"doc_key": row["doc_key"], "chunk_index": i, "chunk_text": p, "start": s, "heading_path": path, "word_count": len(p.split()), "token_count": count(p)}
+        for piece in _pieces(row["text"], row["headings"], size, overlap, K.counter(tokens, ranks)):
+            yield {"doc_key": row["doc_key"]} | piece
 
     return map_rows(docs.select("doc_key", "text", "headings"), work, PIECES)
 
 
-def table_chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_key, tables) to one Markdown chunk for each table that has anything; position is the table's order."""
-    rows = docs.select("doc_key", F.posexplode("tables").alias("position", "t"))
-    md = rows.select("doc_key", "position", N.markdown("t.headers", "t.rows", "t.caption").alias("chunk_text"), F.col("t.caption").alias("table_caption"), F.col("t.source_tag").alias("table_source_tag"))
-    return md.where("chunk_text <> ''").withColumn("word_count", N.word_count("chunk_text"))
-
-
 def chunks(docs: DataFrame, size: int = R.CHUNK_TOKENS, overlap: int = R.CHUNK_OVERLAP, tokens: str = "bpe", ranks: str = "") -> DataFrame:
-    """docs(doc_key, text, headings, tables, metadata, url, source, content_type) to chunks, texts before tables."""
-    from pyspark.sql import Window
-
-    count = _counted(tokens, ranks)
-    texts = text_chunks(docs, size, overlap, tokens, ranks).select("doc_key", F.lit(0).alias("part"), F.col("chunk_index").alias("at"), "chunk_text", F.lit("text").alias("chunk_type"), "heading_path", "word_count", "token_count", F.lit(None).cast("string").alias("table_caption"), F.lit(None).cast("string").alias("table_source_tag"))
-    tables = count(table_chunks(docs)).select("doc_key", F.lit(1).alias("part"), F.col("position").alias("at"), "chunk_text", F.lit("table").alias("chunk_type"), F.array().cast(HEADINGS).alias("heading_path"), "word_count", "token_count", "table_caption", "table_source_tag")
-    order = Window.partitionBy("doc_key").orderBy("part", "at")
-    numbered = texts.unionByName(tables).withColumn("chunk_index", F.row_number().over(order) - 1).drop("part", "at")
-    return numbered.join(docs.select("doc_key", "metadata", F.col("url").alias("source_url"), F.col("source").alias("source_name"), "content_type"), "doc_key")
+    """docs(doc_key, text, headings, tables, metadata, url, source, content_type) to chunks, texts before tables.
 
+    Each document is read once: its chunks are made, numbered and given its metadata in the row that holds it. No shuffle.
+    """
+    marked = F.transform("tables", lambda t: F.struct(N.markdown(t["headers"], t["rows"], t["caption"]).alias("text"), t["caption"].alias("caption"), t["source_tag"].alias("tag")))
+    rows = docs.select("doc_key", "text", "headings", F.filter(marked, lambda t: t["text"] != "").alias("tables"), "metadata", F.col("url").alias("source_url"), F.col("source").alias("source_name"), "content_type")
+    own = ("metadata", "source_url", "source_name", "content_type")
 
-def _counted(tokens: str, ranks: str):
-    """Adds token_count to a frame with chunk_text."""
-
-    def add(df: DataFrame) -> DataFrame:
-        if tokens == "words":
-            return df.withColumn("token_count", N.word_count("chunk_text"))
-        schema = df.schema.add("token_count", "int")
-
-        def work(row: dict) -> Iterator[dict]:
-            yield row | {"token_count": K.counter(tokens, ranks)(row["chunk_text"])}
-
-        return map_rows(df, work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
-
-    return add
+    def work(row: dict) -> Iterator[dict]:
+        count = K.counter(tokens, ranks)
+        same = {"doc_key": row["doc_key"]} | {c: row[c] for c in own}
+        at = -1
+        for p in _pieces(row["text"], row["headings"], size, overlap, count):
+            at = p.pop("chunk_index")
+            del p["start"]
+            yield same | p | {"chunk_index": at, "chunk_type": "text", "table_caption": None, "table_source_tag": None}
+        for i, t in enumerate(row["tables"] or [], at + 1):
+            yield same | {"chunk_index": i, "chunk_text": t["text"], "chunk_type": "table", "heading_path": [], "word_count": len(t["text"].split()), "token_count": count(t["text"]), "table_caption": t["caption"], "table_source_tag": t["tag"]}
+
+    made = f"doc_key string, chunk_index int, chunk_text string, chunk_type string, heading_path {HEADINGS}, word_count int, token_count int, table_caption string, table_source_tag string"
+    return map_rows(rows, work, made + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in own))
 
 
 def word_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -27,11 +27,11 @@ def source_metadata(source: str) -> Column:
 
 def crawl_results(pages: DataFrame, source: str) -> DataFrame:
     """pages(page_id, url, html) to (page_id, url, title, content_hash, url_hash, metadata): thin pages, and for one source irrelevant ones, are left out."""
-    seen = extract.drop_thin(extract.crawl_pages(pages))
+    hashed = pages.withColumn("content_hash", N.content_hash("html")).withColumn("url_hash", N.url_hash("url"))
+    seen = extract.drop_thin(extract.crawl_pages(hashed, ("content_hash", "url_hash")))
     if source == "mas":
         seen = seen.where(N.is_relevant("text", "title"))
-    meta = seen.select("page_id", "title", source_metadata(source).alias("metadata"))
-    return pages.select("page_id", "url", N.content_hash("html").alias("content_hash"), N.url_hash("url").alias("url_hash")).join(meta, "page_id")
+    return seen.select("page_id", "url", "content_hash", "url_hash", "title", source_metadata(source).alias("metadata"))
 
 
 def linked_pdfs(links: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,22 +35,26 @@ def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict]], schema: str)
     return df.mapInArrow(run, schema)
 
 
-def extract_pages(pages: DataFrame, selectors: dict[str, tuple[str, ...]] = R.CONTENT_SELECTORS) -> DataFrame:
-    """pages(page_id, url, html, source) to page_id, url, source and what was extracted; an empty page has an error."""
+def _types(df: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def extract_pages(pages: DataFrame, selectors: dict[str, tuple[str, ...]] = R.CONTENT_SELECTORS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages(page_id, url, html, source) to page_id, url, source, the columns to keep and what was extracted; an empty page has an error."""
 
     def work(row: dict) -> Iterator[dict]:
-        yield {"page_id": row["page_id"], "url": row["url"], "source": row["source"]} | H.extract(row["html"], row["source"] or "", selectors)
+        yield {"page_id": row["page_id"], "url": row["url"], "source": row["source"]} | {c: row[c] for c in keep} | H.extract(row["html"], row["source"] or "", selectors)
 
-    return map_rows(pages.select("page_id", "url", "source", "html"), work, f"page_id long, url string, source string, {EXTRACTED}")
+    return map_rows(pages.select("page_id", "url", "source", "html", *keep), work, f"page_id long, url string, source string{_types(pages, keep)}, {EXTRACTED}")
 
 
-def crawl_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) as the crawl stage reads them: title, main text, links as written, rate tables."""
+def crawl_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages(page_id, url, html) as the crawl stage reads them: title, main text, links as written, rate tables; and the columns to keep."""
 
     def work(row: dict) -> Iterator[dict]:
-        yield {"page_id": row["page_id"], "url": row["url"]} | H.crawl_view(row["html"])
+        yield {"page_id": row["page_id"], "url": row["url"]} | {c: row[c] for c in keep} | H.crawl_view(row["html"])
 
-    return map_rows(pages.select("page_id", "url", "html"), work, f"page_id long, url string, {CRAWLED}")
+    return map_rows(pages.select("page_id", "url", "html", *keep), work, f"page_id long, url string{_types(pages, keep)}, {CRAWLED}")
 
 
 def drop_thin(crawled: DataFrame, least: int = 100) -> DataFrame:
@@ -77,6 +82,52 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(F.broadcast(r) if r.count() <= 100_000 else r, (N.authority("url") == F.col("__a")) & F.startswith(N.url_path("url"), F.col("__p")), "left_anti")
 
 
+def landed(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of fetches(url, status, html, ...): the pages, and errors(url, error) of those that failed.
+
+    Status 403 and 404 are neither; no status, and any other of 400 or more, is an error after the last attempt.
+    """
+    bad = F.col("status").isNull() | (F.col("status") >= 400)
+    failed = fetches.where(bad & ~F.coalesce(F.col("status").isin(403, 404), F.lit(False)))
+    return fetches.where(~bad), failed.select("url", F.lit("max_retries_exceeded").alias("error"))
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """robots(authority, text) to (authority, rules array<struct<allow, prefix>>): those for this agent, in their order.
+
+    A missing text has no rules. The files are small and there is one for each authority.
+    """
+
+    def work(row: dict) -> Iterator[dict]:
+        p = RobotFileParser()
+        p.parse((row["text"] or "").splitlines())
+        entry = next((e for e in p.entries if e.applies_to(agent)), p.default_entry)
+        rules = [{"allow": r.allowance, "prefix": r.path} for r in entry.rulelines] if entry else []
+        yield {"authority": row["authority"], "rules": rules}
+
+    return map_rows(robots.select("authority", "text"), work, "authority string, rules array<struct<allow:boolean,prefix:string>>")
+
+
+def robots_allowed_by_text(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """urls that the robots file of their authority lets this agent fetch: the first rule decides whose prefix the path and query begin with; by default all."""
+    rules = robots_rules(robots, agent)
+    target = F.concat(F.when(N.url_path("url") == "", F.lit("/")).otherwise(N.url_path("url")), F.regexp_extract("url", r"(\?[^#]*)?(#.*)?$", 1))
+    hit = F.filter("__rules", lambda r: (r["prefix"] == "*") | F.startswith(target, r["prefix"]))
+    joined = urls.join(rules.select(F.col("authority").alias("__a"), F.col("rules").alias("__rules")), N.authority("url") == F.col("__a"), "left")
+    return joined.where(F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))).select(*urls.columns)
+
+
+def write_archive(objects: DataFrame, path: str) -> DataFrame:
+    """Write objects(kind, source, day, key, content binary) below path and read them back; the same keys' older objects go.
+
+    A table with one partition for each kind, source and day, in place of millions of small files: a key is read by its
+    partition. A repeated run of a day replaces that day's partitions only.
+    """
+    rows = objects.select("kind", "source", F.date_format("day", "yyyy-MM-dd").alias("day"), "key", "content")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "source", "day").parquet(path)
+    return objects.sparkSession.read.schema("key string, content binary, kind string, source string, day string").parquet(path)
+
+
 def archive_key(kind: str, source: str, day: str, url: str) -> Column:
     """Where an object of this kind is archived: kind/source/yyyy-mm-dd/hash.suffix."""
     suffix = {"raw-html": ".html", "raw-pdf": ".pdf", "processed": ".txt"}[kind]

@@ -39,8 +39,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("sour
     return a.join(b, list(keys), "full_outer").select(*keys, "old_hash", "new_hash", change.alias("change"))
 
 
-#: What a changed page overwrites; its content type and time of last modification stay.
-OVERWRITTEN = ("content_hash", "html", "text", "title", "crawled_at", "metadata")
+#: What stays of a page that has changed; all other columns that the new rows have are overwritten.
+LASTING = ("id", "document_id", "content_type", "last_modified")
 
 
 def merge_documents(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_id", "url")) -> DataFrame:
@@ -58,7 +58,7 @@ def merge_documents(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("so
             fields.append(F.col(c))
         elif c == "status":
             fields.append(F.when(hit, F.lit("pending")).otherwise(F.col("o.status")).alias(c))
-        elif c in OVERWRITTEN and c in new.columns:
+        elif c not in LASTING and c in new.columns:
             fields.append(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c in new.columns:
             fields.append(F.when(F.col("o").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
@@ -73,6 +73,21 @@ def job_log(diff: DataFrame, source_id: str = "source_id") -> DataFrame:
     return diff.groupBy(source_id).agg(n("new", "modified", "unchanged").alias("pages_found"), n("new").alias("pages_new"), n("modified").alias("pages_changed"), n("deleted").alias("pages_deleted"))
 
 
+def crawl_jobs(runs: DataFrame, counts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Rows of crawl_jobs for runs(source_id, job_type, started_at, completed_at, failure).
+
+    counts: job_log(); errors(source_id, url, error). A run with a failure has failed, without an end it is running, else
+    it is completed; only a completed one has counts, and its errors as a sorted list in metadata_json.
+    """
+    said = errors.groupBy("source_id").agg(F.count(F.lit(1)).alias("pages_errored"), F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("url", "error"))).alias("errors"))).alias("metadata_json"))
+    done = F.col("status") == "completed"
+    n = lambda c: F.when(done, F.coalesce(c, F.lit(0)).cast("int")).otherwise(0).alias(c)
+    rows = runs.withColumn("status", F.when(F.col("failure").isNotNull(), "failed").when(F.col("completed_at").isNull(), "running").otherwise("completed"))
+    joined = rows.join(counts, "source_id", "left").join(said, "source_id", "left")
+    key = F.sha2(F.concat_ws("|", "source_id", "job_type", F.col("started_at").cast("string")).cast("binary"), 256).alias("id")
+    return joined.select(key, "source_id", "job_type", "status", n("pages_found"), n("pages_new"), n("pages_changed"), n("pages_deleted"), n("pages_errored"), "started_at", "completed_at", F.col("failure").alias("error_message"), F.when(done, F.col("metadata_json")).alias("metadata_json"))
+
+
 def mark_processed(raw: DataFrame, written: DataFrame) -> DataFrame:
     """raw with status processed where this run wrote chunks."""
     done = written.select("document_id").distinct().withColumn("__done", F.lit(True))
@@ -94,8 +109,7 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def content_keys(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with content and url hashes, and how many pages share the content."""
-    from pyspark.sql import Window
-
     rows = pages.select("page_id", "url", N.content_hash("html").alias("content_hash"), N.url_hash("url").alias("url_hash"))
-    w = Window.partitionBy("content_hash")
-    return rows.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("first_page", F.min("page_id").over(w))
+    copies = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first_page"))
+    joined = rows.join(copies.withColumnRenamed("content_hash", "__hash"), F.col("content_hash").eqNullSafe(F.col("__hash")), "left")  # a hot hash is split, as its row is repeated
+    return joined.select("page_id", "url", "content_hash", "url_hash", "copies", "first_page")

@@ -71,6 +71,10 @@ def _warnings() -> Column:
     )
 
 
+def _listed(numbers: Column | str) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda i: i.cast("string")), ", "), F.lit("]"))
+
+
 def kept(checked_chunks: DataFrame) -> DataFrame:
     """Chunks without errors, numbered from 0 in each document; the number in their metadata stays as it was."""
     w = Window.partitionBy("doc_key").orderBy("chunk_index")
@@ -87,4 +91,4 @@ def summary(checked_chunks: DataFrame) -> DataFrame:
     )
     expected = F.when(F.size("kept_at") > 0, F.transform(F.sequence(F.lit(0), F.size("kept_at") - 1), lambda i: i.cast("long"))).otherwise(F.array().cast("array<bigint>"))
     moved = F.transform("kept_at", lambda i: i.cast("long")) != expected
-    return out.select("doc_key", "chunks", "valid", "filtered", "errors", (F.col("warnings") + F.when(moved, 1).otherwise(0)).alias("warnings"), (F.col("errors") == 0).alias("is_valid"), moved.alias("renumbered"))
+    return out.select("doc_key", "chunks", "valid", "filtered", "errors", (F.col("warnings") + F.when(moved, 1).otherwise(0)).alias("warnings"), (F.col("errors") == 0).alias("is_valid"), moved.alias("renumbered"), F.when(moved, F.concat(F.lit("chunk_index not sequential after filtering; re-indexing from "), _listed("kept_at"), F.lit(" to "), _listed(expected))).alias("renumbering"))

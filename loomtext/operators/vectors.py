@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
@@ -54,13 +55,41 @@ def hashed_vector(text: str, dim: int) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embed(chunks: DataFrame, embedder: Callable[[str, int], list[float]] = hashed_vector, dim: int = 64) -> DataFrame:
-    """chunks(id, chunk_text) to (id, embedding); embedder is called in Arrow batches on the executors."""
+def hashed_batch(texts: list[str], dim: int) -> tuple[list[tuple[int, list[float]]], int]:
+    """A batch as a service answers it: (index, vector) in any order, and the tokens used."""
+    return [(i, hashed_vector(t, dim)) for i, t in enumerate(texts)], sum(len(t.split()) for t in texts)
 
-    def work(row: dict) -> Iterator[dict]:
-        yield {"id": row["id"], "embedding": embedder(row["chunk_text"] or "", dim)}
 
-    return map_rows(chunks.select(F.col("id").cast("string").alias("id"), "chunk_text"), work, "id string, embedding array<float>")
+def embed(chunks: DataFrame, embedder: Callable[[list[str], int], tuple[list[tuple[int, list[float]]], int]] = hashed_batch, dim: int = 64, max_items: int = R.EMBED_ITEMS, attempts: int = 3, wait: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunks(id, chunk_text) to (id, embedding, tokens) and the columns to keep; the embedder gets the texts of an Arrow batch, at most max_items.
+
+    Answers may come in any order. A call that fails is made again, after wait, 2 * wait, .. seconds (30 at most), and
+    the last error fails the task. tokens is each item's equal share of its call's usage, rounded down.
+    """
+    import pyarrow as pa
+
+    arrow_batches(chunks.sparkSession)
+
+    def call(texts: list[str]) -> tuple[list[tuple[int, list[float]]], int]:
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return embedder(texts, dim)
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(min(30.0, wait * 2 ** (attempts - 1 - left)))
+        raise ValueError("attempts must be at least 1")
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, max_items):
+                part = b.slice(a, max_items)
+                answers, used = call([t or "" for t in part.column(1).to_pylist()])
+                vectors = [v for _, v in sorted(answers)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(np.full(part.num_rows, used // part.num_rows)), *part.columns[2:]], ["id", "embedding", "tokens", *keep])
+
+    rows = chunks.select(F.col("id").cast("string").alias("id"), "chunk_text", *keep)
+    return rows.mapInArrow(run, "id string, embedding array<float>, tokens long" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep))
 
 
 def namespaced(vectors: DataFrame) -> DataFrame:
@@ -76,9 +105,32 @@ def archive(vectors: DataFrame, day: str, model: str) -> DataFrame:
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
-    """store after new has replaced what has its (namespace, vector_id)."""
-    kept = store.join(new.select("namespace", "vector_id"), ["namespace", "vector_id"], "left_anti")
-    return kept.unionByName(new.select(*store.columns))
+    """store after new has replaced what has its (namespace, vector_id). Of new rows with one key the largest counts."""
+    keys = ["namespace", "vector_id"]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in store.columns if c not in keys])).alias("__n")).select(*keys, "__n.*")
+    return store.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*store.columns))
+
+
+def upsert_fallback(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """chunks(id, source_name, embedding, embedding_id, ...) with the vectors of results(id, embedding) written to their rows.
+
+    Rows without a new vector, or with a null one, keep what they have; of repeated results the largest counts.
+    """
+    new = results.groupBy("id").agg(F.max("embedding").alias("__v"))
+    vector_id = F.concat_ws("-", "source_name", F.col("id").cast("string"))
+    got = chunks.join(new, "id", "left")
+    return got.withColumn("embedding_id", F.when(F.col("__v").isNotNull(), vector_id).otherwise(F.col("embedding_id"))).withColumn("embedding", F.coalesce("__v", "embedding")).drop("__v")
+
+
+def ensure_index(spark: SparkSession, path: str, dimension: int = R.DIMENSION, metric: str = "cosine") -> bool:
+    """Make the vector table at path, partitioned by namespace, with its dimension and metric; False if it is there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return False
+    spark.createDataFrame([(dimension, metric)], "dimension int, metric string").coalesce(1).write.json(f"{path}/_index")
+    spark.createDataFrame([], "vector_id string, embedding array<float>, metadata string, namespace string").write.partitionBy("namespace").parquet(f"{path}/vectors")
+    return True
 
 
 METADATA_FIELDS = ("source_name", "source_url", "chunk_index", "chunk_type", "word_count", "title", "section", "source_agency", "effective_date", "topic_tags", "property_types", "citizenship_types")
@@ -130,7 +182,7 @@ def _best(vectors: DataFrame, block: list, k: int) -> DataFrame:
             if not b.num_rows or not len(ids):
                 continue
             own = b.column(0).to_numpy()
-            v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             s = np.round(v @ q.T, 9)
             for j in range(len(ids)):
@@ -164,6 +216,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def coordination(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): the documents with the most distinct terms of each query, ties by doc_id."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
+    said = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("term"))
+    scored = said.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def holding(docs: DataFrame, queries: DataFrame, words: int = 8, share: float = 0.5) -> DataFrame:
+    """(query_id, doc_id) of documents that have at least this share of a query's distinct runs of so many words."""
+    split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")
+
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        listed = df.select(key, split.alias("w")).where(F.size("w") >= words)
+        at = listed.select(key, F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.md5(F.array_join(F.slice("w", i, words), " ").cast("binary"))).alias("runs"))
+        return at.select(key, F.explode(F.array_distinct("runs")).alias("run"))
+
+    asked = runs(queries, "query_id")
+    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    met = runs(docs, "doc_id").join(asked, "run").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+    return met.join(size, "query_id").where(F.col("m") >= share * F.col("n")).select("query_id", "doc_id")
+
+
 def rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
     """(query_id, doc_id, score, rank) from lists of (query_id, doc_id, rank): the sum of 1 / (c + rank)."""
     every = lists[0].select("query_id", "doc_id", "rank")

@@ -71,6 +71,29 @@ PDF_ROWS = [
     (3, None, None, None, "OSError", "x y", "Untitled", 0, None),
     (4, None, None, None, "OSError", None, None, None, "KeyError"),
 ]
+ROBOTS_ROWS = [
+    ("a.example", "User-agent: *\nDisallow: /private\n\nUser-agent: loomtext\nDisallow: /no\nAllow: /"), ("b.example", "User-agent: *\nDisallow:\n"), ("c.example", "User-agent: *\nAllow: /open\nDisallow: /\n"), ("e.example", None),
+]
+ROBOTS_URL_ROWS = [
+    (1, "https://a.example/private/x", True), (2, "https://a.example/no/way", False), (3, "https://b.example/any", True), (4, "https://c.example/x", False), (5, "https://d.example/x", True),
+    (6, "https://a.example/nothing?q=1", False), (7, "https://c.example", False), (8, "https://c.example/open/x", True), (9, "https://e.example/x", True),
+]
+METADATA_STRING_ROWS = [(1, "\ufeff Title ", "Title"), (2, "  a b ", "a b"), (3, None, ""), (4, " \ufeff\ufeff", ""), (5, "x\ufeff", "x\ufeff")]
+_PDF = "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /Parent 2 0 R /Contents 4 0 R>> endobj\n4 0 obj <</Length 90>>\nstream\nBT /F1 12 Tf 72 700 Td (Hello plain world) Tj 0 -14 Td [(sec) 20 (ond) -400 (line)] TJ ET\nendstream endobj\n5 0 obj <</Title (Sample)>> endobj\n%%EOF"
+PDF_FILE_ROWS = [("a.pdf", _PDF, "Hello plain world\nsecond line", "Sample", 1, False, True), ("b.pdf", "no such file", "", "Untitled", 0, True, True), ("c.pdf", _PDF.replace("/Root", "/Encrypt").replace("<</Title", "<</Encrypt 1 /Title"), "", "Untitled", 0, True, True)]
+#: What the literal pages give: title, text, headings, words, warnings, error.
+_SHORT = "Very short content ({0} words)"
+HTML_WANTED = [
+    (1, "A", "Part\none\nx\ny\nz", "2:Partone", 5, _SHORT.format(5), ""), (2, "Only heading", "some text", "", 2, _SHORT.format(2), ""), (3, "Named", "t", "", 1, _SHORT.format(1), ""), (4, "Given", "in", "", 1, _SHORT.format(1), ""), (5, "Untitled", "kept", "", 1, _SHORT.format(1), ""),
+    (6, "Untitled", "chosen", "", 1, _SHORT.format(1), ""), (7, "Untitled", "chosen", "", 1, _SHORT.format(1), ""), (8, "Untitled", "", "", 0, "No content text found after extraction", ""), (9, None, None, "", 0, "", "html input is empty"), (10, "Untitled", "a&b <c> open\ntwo", "", 4, _SHORT.format(4), ""),
+]
+_SCANNED = "Scanned PDF detected (only {0} words extracted) — flagged for OCR queue"
+PDF_WANTED = [
+    (1, " ".join(["word"] * 25), "T", 3, 25, False, False, ""),
+    (2, "from fallback", "F", 4, 2, True, True, "primary reader returned no text, using fallback|" + _SCANNED.format(2)),
+    (3, "x y", "Untitled", 0, 2, True, True, "primary reader failed (OSError), using fallback|" + _SCANNED.format(2)),
+    (4, "", "Untitled", 0, 0, True, True, "primary reader failed (OSError), using fallback|fallback reader also failed (KeyError)|" + _SCANNED.format(0)),
+]
 META_ROWS = [(1, "A", 0, '{"title":"t","source_agency":"X","topic_tags":["a","b"]}'), (2, "B", 1, "{}"), (3, "C", 2, '{"property_types":["p"]}')]
 
 CASES = {
@@ -84,6 +107,10 @@ CASES = {
     "table": _values("case_id, headers, rows, caption", [tuple(x.replace("\\", "\\\\") if isinstance(x, str) else x for x in r[:4]) for r in TABLE_ROWS]),
     "html_table": _values("case_id, html", [r[:2] for r in HTML_TABLE_ROWS]),
     "pdf": _values("url, primary_text, primary_title, primary_pages, primary_error, fallback_text, fallback_title, fallback_pages, fallback_error", PDF_ROWS),
+    "robots": _values("authority, text", ROBOTS_ROWS),
+    "robots_url": _values("case_id, url", [r[:2] for r in ROBOTS_URL_ROWS]),
+    "metadata_string": _values("case_id, value", [r[:2] for r in METADATA_STRING_ROWS]),
+    "pdf_file": _values("url, content", [r[:2] for r in PDF_FILE_ROWS]),
     "meta": _values("id, source_name, chunk_index, metadata", META_ROWS),
 }
 
@@ -126,6 +153,8 @@ _EXTRACTED = (
 )
 _URL = r"CASE WHEN regexp_matches(u, '^[^:]+://') THEN lower(regexp_extract(u, '^([^:]+)://', 1)) || '://' || regexp_extract(u, '^[^:]+://([^/?#]*)', 1) || regexp_replace(regexp_replace(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/+$', '') || CASE WHEN regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) = '?' THEN '' ELSE regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) END ELSE u END"
 _HOST = "regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
+_PATH = "regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_CRAWLED = f"(SELECT * FROM (SELECT page_id, url, html, {_TEXT} AS text FROM pages) WHERE length(text) >= 100)"
 _OLD = "(SELECT url || '#' || page_id AS url, sha256(html) AS h, page_id FROM pages WHERE page_id % 13 <> 0)"
 _NEW = "(SELECT url || '#' || page_id AS url, sha256(CASE WHEN page_id % 7 = 0 THEN html || '!' ELSE html END) AS h, page_id FROM pages WHERE page_id % 11 <> 0)"
 _DIFF = f"(SELECT url, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS change, o.h AS oh, n.h AS nh FROM {_OLD} o FULL OUTER JOIN {_NEW} n USING (url))"
@@ -153,8 +182,18 @@ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM tokens WHERE term IN (SELEC
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))), 9) AS score
   FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN size GROUP BY ALL),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10),
-long AS (SELECT item_id AS query_id, doc_id, doc_id // 40 + 1 AS rank FROM documents JOIN benchmark ON doc_id % 40 = item_id % 40 WHERE doc_id // 40 + 1 <= 10)"""
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10)"""
+
+
+def _runs(table: str, key: str, name: str) -> str:
+    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\x0b\f]+'), lambda x: x <> '')"
+    return f"(SELECT DISTINCT {key} AS {name}, md5(array_to_string(w[i : i + 7], ' ')) AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) >= 8))"
+
+
+_HOLDING = f"""
+runs AS {_runs("benchmark", "item_id", "query_id")},
+holding AS (SELECT query_id, doc_id FROM runs JOIN {_runs("documents", "doc_id", "doc_id")} USING (run) JOIN (SELECT query_id, count(*) AS n FROM runs GROUP BY 1) USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) >= 0.5 * n)"""
+_CHECKSUM = "round(list_sum(list_transform({0}, lambda x, i: CAST(x AS DOUBLE) * i)), 4)"
 
 
 def _cosine(where: str) -> str:
@@ -166,6 +205,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
 
+_PAGE_LINKS = r'''WITH l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS position FROM pages) SELECT page_id, position, ''' + _URL + " AS url FROM (SELECT page_id, position, CASE WHEN starts_with(h, '/') THEN regexp_extract(base, '^[^:]+://[^/?#]*') || h ELSE h END AS u FROM (SELECT * REPLACE (" + _unescaped("h") + " AS h) FROM l))"
+
 ORACLE = {
     "html_extract_text": f"SELECT page_id, title, text, {_WORDS.format('text')} AS word_count FROM {_EXTRACTED}",
     "page_word_stats": f"SELECT {_HOST} AS host, count(*) AS pages, sum(n) AS words, max(n) AS most_words, count(*) FILTER (n < 50) AS short_pages, count(DISTINCT sha256(html)) AS contents FROM (SELECT *, {_WORDS.format('text')} AS n FROM {_EXTRACTED}) GROUP BY 1",
@@ -175,7 +216,8 @@ ORACLE = {
     "follow_link_filter": _values("case_id, follow", [(r[0], r[3]) for r in FOLLOW_ROWS]),
     "content_router": _values("case_id, kind, title", [(r[0], *r[3:]) for r in ROUTE_ROWS]),
     "path_sections": "SELECT case_id, CASE WHEN len(p) > 1 THEN p[2] ELSE 'general' END AS second, p[-1] AS last, CASE WHEN contains(lower(url), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower(url), 'property-tax') THEN 'property_tax' ELSE 'general' END AS tax FROM (SELECT *, string_split(trim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS p FROM (" + CASES["follow"] + "))",
-    "page_links": r'''WITH l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS position FROM pages) SELECT page_id, position, ''' + _URL + " AS url FROM (SELECT page_id, position, CASE WHEN starts_with(h, '/') THEN regexp_extract(base, '^[^:]+://[^/?#]*') || h ELSE h END AS u FROM (SELECT * REPLACE (" + _unescaped("h") + " AS h) FROM l))",
+    "page_links": _PAGE_LINKS,
+    "link_frontier_bfs": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), edges AS (SELECT DISTINCT src, url AS dst FROM links JOIN src USING (page_id)), r AS (SELECT src AS url, 0 AS depth FROM src WHERE page_id % 20 = 0 UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.url WHERE depth < 200) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
     "robots_filter": f"SELECT page_id, url FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 5 = 0))",
     "content_hash_dups": "SELECT page_id, url, sha256(html) AS content_hash, left(md5(url), 12) AS url_hash, count(*) OVER w AS copies, min(page_id) OVER w AS first_page FROM pages WINDOW w AS (PARTITION BY html)",
     "unprocessed_documents": "SELECT doc_id AS document_id, source AS code FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL AND doc_id % 3 <> 0",
@@ -198,18 +240,37 @@ ORACLE = {
     "chunk_words": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(w) - 300) / 260.0)) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0) SELECT doc_id AS doc_key, k AS chunk_index, len(w[k * 260 + 1 : k * 260 + 300]) AS word_count, sha256(array_to_string(w[k * 260 + 1 : k * 260 + 300], ' ')) AS chunk_sha256 FROM c",
     "validate_errors": f"WITH {_CHECKED} SELECT message, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blank THEN 'chunk_text is empty or whitespace-only' END, CASE WHEN kind AND NOT blank THEN 'chunk_type ''other'' is not one of [''table'', ''text'']' END, CASE WHEN low AND NOT blank THEN 'token count # is below minimum 5' END, CASE WHEN high THEN 'token count # exceeds maximum 100' END, CASE WHEN boiler AND NOT blank THEN 'chunk contains only navigation or boilerplate content' END, CASE WHEN dup THEN 'duplicate chunk (sha256# …)' END], lambda x: x IS NOT NULL)) AS message FROM done) GROUP BY 1",
     "validate_dedupe_reindex": f"WITH {_CHECKED} SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY i) - 1 AS chunk_index, sha256(t) AS chunk_sha256 FROM done WHERE keep",
-    "validate_summary": f"WITH {_CHECKED} SELECT doc_key, count(*) AS chunks, count(*) FILTER (keep) AS valid, count(*) FILTER (NOT keep) AS filtered, bool_and(keep) AS is_valid, coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) AS renumbered FROM done GROUP BY doc_key",
+    "validate_summary": f"WITH {_CHECKED} SELECT doc_key, count(*) AS chunks, count(*) FILTER (keep) AS valid, count(*) FILTER (NOT keep) AS filtered, bool_and(keep) AS is_valid, coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) AS renumbered, CASE WHEN coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) THEN 'chunk_index not sequential after filtering; re-indexing from [' || array_to_string(list(i ORDER BY i) FILTER (keep), ', ') || '] to [' || array_to_string(range(0, count(*) FILTER (keep)), ', ') || ']' ELSE '' END AS renumbering FROM done GROUP BY doc_key",
     "token_share": f"SELECT source, doc_id, CAST(floor(sum(n) OVER w / count(*) OVER w) AS BIGINT) AS share FROM (SELECT source, doc_id, {_WORDS.format('text')} AS n FROM documents) WINDOW w AS (PARTITION BY source, doc_id // 16)",
-    "vector_namespace_upsert": "WITH v AS (SELECT lower('NS' || label) || '-' || vec_id AS vector_id, lower('NS' || label) AS ns, CASE WHEN vec_id % 10 = 7 THEN 0.0 ELSE CAST(embedding[1] AS DOUBLE) END AS first FROM embeddings) SELECT unnest([ns, 'all']) AS namespace, vector_id, first FROM v",
+    "vector_namespace_upsert": f"WITH v AS (SELECT lower('NS' || label) || '-' || vec_id AS vector_id, lower('NS' || label) AS ns, len(embedding) AS dim, CASE WHEN vec_id % 10 = 7 THEN -1 ELSE 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings) SELECT unnest([ns, 'all']) AS namespace, vector_id, dim, checksum FROM v",
+    "vector_fallback_upsert": f"SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 's-' || vec_id END AS embedding_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 5 = 0 THEN 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
+    "embedding_usage": "SELECT doc_id AS id, 16 AS dim FROM documents",
+    "html_cases": _values("case_id, title, text, headings, word_count, warnings, error", HTML_WANTED),
+    "rate_tables": _values("case_id, position, headers, n_rows", [(1, 0, "A|B", 1), (2, 0, "A", 2), (3, 0, "H", 1)]),
+    "pdf_table_clean": _values("case_id, headers, rows", [(1, "1|2", "3"), (2, "x|y|b c", "1;2;3"), (3, "", "1;2")]),
+    "pdf_choice": _values("url, text, title, page_count, word_count, used_fallback, needs_ocr, warnings", PDF_WANTED),
+    "pdf_text": _values("url, text, title, page_count, used_fallback, needs_ocr", [(r[0], *r[2:]) for r in PDF_FILE_ROWS]),
+    "robots_text": _values("case_id", [(r[0],) for r in ROBOTS_URL_ROWS if r[2]]),
+    "metadata_strings": _values("case_id, value", [(r[0], r[2]) for r in METADATA_STRING_ROWS]),
+    "migrated_sources": _values("id, name, code, is_active, no_base_url", [("a", "A", "x", True, True)]),
+    "fetch_status": "SELECT CASE WHEN page_id % 10 IN (3, 4) THEN 'max_retries_exceeded' ELSE '' END AS error, count(*) AS n FROM pages WHERE page_id % 10 NOT IN (1, 2) GROUP BY 1",
+    "crawl_jobs": f"SELECT source_id, 'full' AS job_type, 'completed' AS status, count(*) FILTER (change <> 'deleted') AS pages_found, count(*) FILTER (change = 'new') AS pages_new, count(*) FILTER (change = 'modified') AS pages_changed, count(*) FILTER (change = 'deleted') AS pages_deleted, (SELECT count(*) FROM pages WHERE page_id % 10 IN (3, 4)) AS pages_errored, '' AS error_message, true AS has_errors FROM (SELECT 's' AS source_id, change FROM {_DIFF}) GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('t', 'incremental', 'running', 0, 0, 0, 0, 0, '', false), ('u', 'full', 'failed', 0, 0, 0, 0, 0, 'no disk', false))",
+    "raw_documents_upsert": f"SELECT url, CASE WHEN k = 'new' THEN nh ELSE oh END AS content_hash, true AS page_fits, k || url AS raw_text, k AS title, 'raw-html/' || k || '/' || CASE WHEN k = 'new' THEN nh ELSE oh END AS s3_html_key, '{{\"crawl\":\"' || k || '\"}}' AS metadata_json, CASE WHEN change = 'new' THEN 'text/new' ELSE 'text/old' END AS content_type, CASE WHEN k = 'new' THEN 'pending' ELSE 'processed' END AS status FROM (SELECT *, CASE WHEN change IN ('new', 'modified') THEN 'new' ELSE 'old' END AS k FROM {_DIFF})",
+    "archive_objects": "SELECT 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS key, '2024-03-05' AS day, sha256(html) AS sha256 FROM pages",
+    "crawl_content": f"SELECT page_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM {_CRAWLED}",
+    "crawl_results_tax": f"SELECT page_id, url, sha256(html) AS content_hash, left(md5(url), 12) AS url_hash, CASE WHEN contains(lower({_PATH}), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower({_PATH}), 'property-tax') THEN 'property_tax' ELSE 'general' END AS section, 'false' AS has_rate_tables FROM {_CRAWLED}",
+    "crawl_results_home": f"SELECT page_id, string_split(trim({_PATH}, '/'), '/')[-1] AS section, {_PATH} AS path FROM {_CRAWLED}",
+    "validate_warnings": f"WITH {_CHECKED}, w AS (SELECT unnest(list_filter([CASE WHEN {_WORDS.format('own')} <> n THEN 'word_count' END, CASE WHEN turn = 2 THEN 'source_url' END, 'metadata', 'metadata.source_agency', CASE WHEN role NOT IN ('user', 'system') AND regexp_matches(s, '^[a-z]') THEN 'chunk_text' END, CASE WHEN role NOT IN ('user', 'system') AND NOT regexp_matches(s, '[.!?…\"'')\\]]+\\s*$') THEN 'chunk_text' END], lambda x: x IS NOT NULL)) AS field FROM done WHERE keep) SELECT field, count(*) AS n FROM w GROUP BY 1",
+    "embed_batches": f"WITH RECURSIVE t AS (SELECT source, {_WORDS.format('text')} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)), r AS (SELECT source, k, n AS held, 1 AS items, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.source, t.k, CASE WHEN held + n > 5000 OR items >= 20 THEN n ELSE held + n END, CASE WHEN held + n > 5000 OR items >= 20 THEN 1 ELSE items + 1 END, CASE WHEN held + n > 5000 OR items >= 20 THEN batch + 1 ELSE batch END FROM r JOIN t ON t.source = r.source AND t.k = r.k + 1) SELECT source, batch, count(*) AS items, sum(n) AS tokens FROM r JOIN t USING (source, k) GROUP BY ALL",
     "vector_metadata": _values("id, source_name, chunk_index, title, source_agency, topic_tags, n_property", [(1, "A", 0, "t", "X", "a|b", 0), (2, "B", 1, "", "", "", 0), (3, "C", 2, "", "", "", 1)]),
     "embedding_ids": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'v-' || vec_id WHEN vec_id % 2 = 0 THEN 'old' END AS embedding_id FROM embeddings",
     "cosine_topk": _cosine(""),
     "filtered_topk": _cosine("WHERE label = 3"),
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
-    "rrf_fusion": f"WITH {_BM25}, every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT * FROM long), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
-    "retrieval_quality": f"WITH {_BM25}, got AS (SELECT query_id, count(*) AS returned, count(l.doc_id) AS hits FROM ranked r LEFT JOIN long l USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM long GROUP BY 1) SELECT query_id, returned, hits, relevant, round(hits / returned, 6) AS precision, round(hits / relevant, 6) AS recall FROM got JOIN want USING (query_id)",
+    "rrf_fusion": f"WITH {_BM25}, met AS (SELECT query_id, doc_id, count(*) AS n FROM tf JOIN asked USING (term) GROUP BY ALL), second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM met) WHERE rank <= 10), every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM second), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, returned, hits, relevant, round(hits / returned, 6) AS precision, round(hits / relevant, 6) AS recall FROM got JOIN want USING (query_id)",
     "archive_keys": "SELECT page_id, 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS html_key, 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt' AS text_key FROM pages",
-    "vector_archive": "SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a FROM embeddings",
+    "vector_archive": f"SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a, {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
     "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]),
     "schema_violations": "SELECT 'value of status' AS rule, count(*) AS n FROM documents WHERE doc_id % 2 <> 0 UNION ALL SELECT r, count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1) CROSS JOIN (VALUES ('unique id'), ('unique source_id, url')) v(r) GROUP BY r",
     "query_expansion": _values("query_id, text", [(1, "flat tax apartment duty unit"), (2, "nothing "), (3, "Flat apartment unit")]),

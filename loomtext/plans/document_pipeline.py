@@ -25,7 +25,8 @@ def process(pages: DataFrame | None, texts: DataFrame | None, tokens: str = "bpe
     docs = docs.withColumn("metadata", N.metadata("text", "headings", "title", "source"))
     made = chunk.chunks(docs, size, overlap, tokens)
     made = made.withColumn("document_metadata", F.col("metadata")).withColumn("metadata", F.create_map(F.lit("source_agency"), F.col("metadata.source_agency"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("chunk_type"), F.col("chunk_type")))
-    return validate.checked(made, least, most)
+    # one shuffle for all that follows: the windows over a document's chunks are satisfied by it
+    return validate.checked(made.repartition("doc_key"), least, most)
 
 
 def to_rows(checked: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def to_rows(checked: DataFrame) -> DataFrame:
     return merge.with_chunk_ids(rows).select("id", "document_id", "chunk_text", "chunk_index", "total_chunks", "token_count", "word_count", "chunk_type", F.to_json("heading_path").alias("heading_path"), "source_url", "source_name", "document_metadata", F.lit(None).cast("string").alias("embedding_id"))
 
 
-def vectors_of(rows: DataFrame, dim: int = 64, embedder=vectors.hashed_vector) -> DataFrame:
+def vectors_of(rows: DataFrame, dim: int = 64, embedder=vectors.hashed_batch) -> DataFrame:
     """(namespace, vector_id, id, embedding) of rows that have no embedding yet."""
     todo = rows.where("embedding_id is null")
-    made = vectors.embed(todo, embedder, dim).join(todo.select("id", "source_name"), "id")
+    made = vectors.embed(todo, embedder, dim, keep=("source_name",))
     return vectors.namespaced(made).select("namespace", "vector_id", "id", "embedding")

@@ -12,6 +12,8 @@ from loomtext import schemas
 from loomtext.operators import chunk, crawl, extract, frontier, merge, validate, vectors
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
+from loomtext.session import shared_dir
+from loomtext.sources import pdf
 from loomtext.sources import rules as R
 from loomtext.sources.tables import table
 
@@ -44,7 +46,7 @@ def html_extract_text(spark, d):
 @query
 def page_word_stats(spark, d):
     """Flagship: pages by authority, with their words, short pages and distinct contents."""
-    got = extract.extract_pages(_pages(spark, d)).join(table(spark, d, "pages").select("page_id", N.content_hash("html").alias("hash")), "page_id")
+    got = extract.extract_pages(_pages(spark, d).withColumn("hash", N.content_hash("html")), keep=("hash",))
     return got.groupBy(N.authority("url").alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.sum("word_count").alias("words"), F.max("word_count").alias("most_words"), F.count_if(F.size("warnings") > 0).alias("short_pages"), F.countDistinct("hash").alias("contents"))
 
 
@@ -180,6 +182,74 @@ def raw_documents_merge(spark, d):
     return merge.merge_documents(*_snapshots(spark, d)).select("url", "content_hash", "content_type", "status", F.date_format("crawled_at", "yyyy-MM-dd").alias("crawled_on"))
 
 
+@query
+def raw_documents_upsert(spark, d):
+    """The upsert on the whole schema: a changed page's text, keys and metadata go with its hash."""
+    def rows(snapshot, tag):
+        got = snapshot.select("url", F.col("html").alias("raw_html"), "content_hash", "crawled_at")
+        tagged = {"raw_text": F.concat(F.lit(tag), F.col("url")), "title": F.lit(tag), "s3_html_key": F.concat(F.lit(f"raw-html/{tag}/"), F.col("content_hash")), "metadata_json": F.lit(f'{{"crawl":"{tag}"}}'), "source_id": F.lit("s"), "id": F.concat(F.lit(tag), F.col("content_hash")), "content_type": F.lit(f"text/{tag}"), "status": F.lit("processed")}
+        for c in schemas.schema("raw_documents").fieldNames():
+            if c not in got.columns:
+                got = got.withColumn(c, tagged.get(c, F.lit(None)).cast(schemas.schema("raw_documents")[c].dataType))
+        return got.select(*schemas.schema("raw_documents").fieldNames())
+
+    old, new = _snapshots(spark, d)
+    got = merge.merge_documents(rows(old, "old"), rows(new, "new"))
+    same = N.content_hash("raw_html") == F.col("content_hash")
+    return got.select("url", "content_hash", same.alias("page_fits"), "raw_text", "title", "s3_html_key", "metadata_json", "content_type", "status")
+
+
+@query
+def crawl_jobs(spark, d):
+    at = lambda s: F.to_timestamp(F.lit(s))
+    runs = spark.sql("SELECT * FROM VALUES ('s', 'full', '2024-01-01 00:00:00', '2024-01-01 01:00:00', NULL), ('t', 'incremental', '2024-01-02 00:00:00', NULL, NULL), ('u', 'full', '2024-01-03 00:00:00', '2024-01-03 00:10:00', 'no disk') AS t(source_id, job_type, started_at, completed_at, failure)")
+    runs = runs.withColumn("started_at", F.col("started_at").cast("timestamp")).withColumn("completed_at", F.col("completed_at").cast("timestamp"))
+    errors = extract.landed(_fetches(spark, d))[1].select(F.lit("s").alias("source_id"), "url", "error")
+    got = merge.crawl_jobs(runs, merge.job_log(merge.snapshot_diff(*_snapshots(spark, d))), errors)
+    return got.select("source_id", "job_type", "status", "pages_found", "pages_new", "pages_changed", "pages_deleted", "pages_errored", F.coalesce("error_message", F.lit("")).alias("error_message"), (F.col("metadata_json").isNotNull()).alias("has_errors"))
+
+
+def _fetches(spark, d):
+    code = F.col("page_id") % 10
+    return table(spark, d, "pages").select("page_id", "url", "html", F.when(code == 1, 404).when(code == 2, 403).when(code == 3, 500).when(code == 4, F.lit(None).cast("int")).otherwise(200).alias("status"))
+
+
+@query
+def fetch_status(spark, d):
+    pages, errors = extract.landed(_fetches(spark, d))
+    return pages.select("url", F.lit("").alias("error")).unionByName(errors).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def robots_text(spark, d):
+    return extract.robots_allowed_by_text(cases(spark, "robots_url"), cases(spark, "robots"), "loomtext/1.0").select("case_id")
+
+
+@query
+def archive_objects(spark, d):
+    pages = table(spark, d, "pages").withColumn("source", F.lit("site")).withColumn("day", F.to_timestamp(F.lit("2024-03-05")))
+    rows = pages.select(F.lit("raw-html").alias("kind"), "source", "day", extract.archive_key("raw-html", "source", "day", "url").alias("key"), F.col("html").cast("binary").alias("content"))
+    kept = extract.write_archive(rows, shared_dir(spark, "archive"))
+    return kept.select("key", "day", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def metadata_strings(spark, d):
+    return cases(spark, "metadata_string").select("case_id", N.metadata_string("value").alias("value"))
+
+
+@query
+def pdf_text(spark, d):
+    objects = cases(spark, "pdf_file").select("url", F.col("content").cast("binary").alias("content"))
+    return extract.choose_pdf_text(pdf.read_pdfs(objects)).select("url", "text", "title", "page_count", "used_fallback", "needs_ocr")
+
+
+@query
+def migrated_sources(spark, d):
+    old = spark.sql("SELECT 'a' AS id, 'A' AS name, 'x' AS code, 1 AS is_active, 'gone' AS dropped")
+    return schemas.migrate(old, "sources").select("id", "name", "code", "is_active", F.col("base_url").isNull().alias("no_base_url"))
+
+
 @query
 def mark_processed(spark, d):
     return merge.mark_processed(_raw(spark, d), _some_chunks(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
@@ -304,7 +374,7 @@ def validate_dedupe_reindex(spark, d):
 
 @query
 def validate_summary(spark, d):
-    return validate.summary(_checked(spark, d)).select("doc_key", "chunks", "valid", "filtered", "is_valid", "renumbered")
+    return validate.summary(_checked(spark, d)).select("doc_key", "chunks", "valid", "filtered", "is_valid", "renumbered", F.coalesce("renumbering", F.lit("")).alias("renumbering"))
 
 
 def _counted(spark, d):
@@ -327,10 +397,33 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("NS"), F.col("label").cast("string")).alias("source_name"), "embedding")
 
 
+def _checksum(embedding):
+    """Of all of a vector's values and their places."""
+    return F.round(F.aggregate(F.transform(embedding, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+
+
 @query
 def vector_namespace_upsert(spark, d):
-    rows = vectors.namespaced(_vectors(spark, d)).select("namespace", "vector_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
-    return vectors.upsert_vectors(rows.where("pmod(xxhash64(vector_id), 2) >= 0"), rows.where("vector_id like '%7'").withColumn("first", F.lit(0.0)))
+    rows = vectors.namespaced(_vectors(spark, d)).select("namespace", "vector_id", "embedding")
+    new = rows.where("vector_id like '%7'").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    old = new.withColumn("embedding", F.array(F.lit(-9e9).cast("float")))  # a repeated key: the larger row counts
+    return vectors.upsert_vectors(rows, new.unionByName(old)).select("namespace", "vector_id", F.size("embedding").alias("dim"), _checksum("embedding").alias("checksum"))
+
+
+@query
+def vector_fallback_upsert(spark, d):
+    c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("s").alias("source_name"), F.when(F.col("vec_id") % 5 == 0, F.col("embedding")).alias("embedding"), F.lit(None).cast("string").alias("embedding_id"))
+    new = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: -x)).alias("embedding"))
+    return vectors.upsert_fallback(c, new).select("id", "embedding_id", _checksum("embedding").alias("checksum"))
+
+
+@query
+def embedding_usage(spark, d):
+    """Every text embedded, in batches that answer out of order."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
+    backwards = lambda texts, dim: (vectors.hashed_batch(texts, dim)[0][::-1], sum(len(t) for t in texts))
+    got = vectors.embed(docs, backwards, 16, 50)
+    return got.select(F.col("id").cast("long").alias("id"), F.size("embedding").alias("dim"))
 
 
 @query
@@ -373,19 +466,24 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _long(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    return table(spark, d, "documents").join(asked, F.col("doc_id") % 40 == F.col("query_id") % 40).select("query_id", "doc_id", (F.floor(F.col("doc_id") / 40) + 1).alias("rank")).where("rank <= 10")
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _holding(spark, d):
+    return vectors.holding(table(spark, d, "documents"), _items(spark, d))
 
 
 @query
 def rrf_fusion(spark, d):
-    return vectors.rank_fusion([_bm25(spark, d), _long(spark, d)], 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """BM25 and the number of distinct terms, both ranked over all documents."""
+    lists = [_bm25(spark, d), vectors.coordination(table(spark, d, "documents"), _items(spark, d), 10)]
+    return vectors.rank_fusion(lists, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def retrieval_quality(spark, d):
-    got = vectors.retrieval_quality(_bm25(spark, d), _long(spark, d))
+    got = vectors.retrieval_quality(_bm25(spark, d), _holding(spark, d))
     return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -409,11 +507,8 @@ def hybrid_fusion(spark, d):
 
 @query
 def hybrid_quality(spark, d):
-    """hybrid_fusion against the documents that really hold a benchmark item's passage."""
-    from loomtext.llm.decontaminate import contaminated
-
-    holds = contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).select(F.col("item_id").alias("query_id"), "doc_id").distinct()
-    got = vectors.retrieval_quality(_hybrid(spark, d), holds)
+    """hybrid_fusion against the documents that hold an item's runs of words. Without SQL, as above."""
+    got = vectors.retrieval_quality(_hybrid(spark, d), _holding(spark, d))
     return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -428,13 +523,13 @@ def query_expansion(spark, d):
 def document_pipeline_chunks(spark, d):
     pages = _pages(spark, d)
     texts = table(spark, d, "documents").select("doc_id", "source", "text")
-    rows = document_pipeline.to_rows(document_pipeline.process(pages, texts, "words"))
+    rows = document_pipeline.to_rows(document_pipeline.process(pages, texts))
     return rows.select("id", "document_id", "chunk_index", "total_chunks", "token_count", "chunk_type", "source_name")
 
 
 @query
 def document_pipeline_vectors(spark, d):
-    rows = document_pipeline.to_rows(document_pipeline.process(_pages(spark, d), None, "words"))
+    rows = document_pipeline.to_rows(document_pipeline.process(_pages(spark, d), table(spark, d, "documents").select("doc_id", "source", "text")))
     return document_pipeline.vectors_of(rows).groupBy("namespace").agg(F.count(F.lit(1)).alias("vectors"))
 
 
@@ -446,9 +541,9 @@ def archive_keys(spark, d):
 
 @query
 def vector_archive(spark, d):
-    rows = table(spark, d, "embeddings").select(F.concat(F.lit("s-"), F.col("vec_id").cast("string")).alias("vector_id"), F.lit(3).alias("token_count"), F.slice("embedding", 1, 2).alias("embedding"), F.lit("s").alias("source_name"), F.lit("u").alias("source_url"), F.lit(0).alias("chunk_index"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("s-"), F.col("vec_id").cast("string")).alias("vector_id"), F.lit(3).alias("token_count"), "embedding", F.lit("s").alias("source_name"), F.lit("u").alias("source_url"), F.lit(0).alias("chunk_index"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
     got = vectors.archive(rows, "2024-03-05", "hashed")
-    return got.select("key", F.get_json_object("payload", "$.model").alias("model"), F.get_json_object("payload", "$.metadata.a").alias("a"))
+    return got.select("key", F.get_json_object("payload", "$.model").alias("model"), F.get_json_object("payload", "$.metadata.a").alias("a"), _checksum(F.from_json("payload", "embedding array<float>")["embedding"]).alias("checksum"))
 
 
 @query

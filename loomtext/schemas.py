@@ -24,8 +24,20 @@ def schema(name: str) -> T.StructType:
     return T._parse_datatype_string(_DDL[name])
 
 
-def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], schema(name))
+def create(spark: SparkSession, base: str) -> list[str]:
+    """Make the tables below base that aren't there yet; their names."""
+    jvm, made = spark.sparkContext._jvm, []
+    for name in _DDL:
+        p = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            spark.createDataFrame([], schema(name)).write.parquet(f"{base}/{name}")
+            made.append(name)
+    return made
+
+
+def migrate(df: DataFrame, name: str) -> DataFrame:
+    """An older table's rows in the present schema: new columns are null, types are cast, and columns that are gone go."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
 
 
 def violations(df: DataFrame, name: str) -> DataFrame:

@@ -122,3 +122,4 @@ BOILERPLATE = (
 REQUIRED_METADATA = ("chunk_index", "chunk_type", "source_agency")
 SCANNED_WORDS = 20
 EMBED_TOKENS, EMBED_ITEMS = 250_000, 2048
+DIMENSION = 3072

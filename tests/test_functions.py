@@ -63,7 +63,6 @@ def test_embed_batches(spark):
     tokens = [5, 5, 11, 1, 1, 1, 9, 2, 30, 1]
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate(tokens)], "doc_key string, chunk_index int, token_count int")
     got = [r.batch for r in embed_batches(df, max_tokens=12, max_items=3).orderBy("chunk_index").collect()]
-    assert got == [0, 0, 1, 2, 2, 2, 3, 3, 4, 5][: len(got)] or got == [0, 0, 1, 1, 2, 2, 2, 3, 4, 5]
     want, batch, items, total = [], 0, 0, 0
     for n in tokens:
         if items and (total + n > 12 or items >= 3):
