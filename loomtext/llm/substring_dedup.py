@@ -9,7 +9,9 @@ smaller than its own document. Overlapping removed windows merge, so what goes i
 
 A map task first settles what its own documents settle: of documents with a window in common all but the smallest
 lose it, and only one entry for a window leaves the task. So the shuffle has at most one entry for each window and
-task, also for a passage that a third of all documents share. Words are compared by 64-bit hashes.
+task, also for a passage that a third of all documents share. Candidates may meet by chance, which costs time only; the
+windows that decide are compared by two independent 64-bit hashes of their words. Among 10^13 windows the chance that
+any two different ones agree in both is about 10^-13.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .packed import apart, both, bucket_of, by_bucket, cuts, pack, unpack
 from .runtime import arrow_batches, cut, drop_path, partitions, released, shared_dir, text_rows
-from .words import inside, mix, rolling, words_of
+from .words import inside, mix, rolling, second_hashes, words_of
 
 WINDOW, BLOCK = 50, 25
 #: Windows that a map task sorts at once.
 FLUSH = 1 << 21
+#: Bytes of text whose windows a bucket holds, about 1.5 million (a task has one bucket in memory at a time).
+BUCKET_BYTES = 10 << 20
 #: Lists of document ids up to this length are broadcast (8 bytes each); longer ones are shuffled.
 BROADCAST_IDS = 500_000
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than all others
@@ -37,13 +41,16 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, document, whether it is a reference block) of all rolling windows of k words of documents that have WINDOW words, sorted by the first two."""
+def _windows(batches: Iterator[pa.RecordBatch], k: int, twice: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, document, whether it is a reference block) of all rolling windows of k words of documents that have WINDOW words, sorted by the first two.
+
+    twice: a second hash in place of the last, and sorted by both hashes and then the document.
+    """
     keys, docs, refs, n = [], [], [], 0
 
     def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, doc, ref = np.concatenate(keys), np.concatenate(docs), np.concatenate(refs)
-        order = np.lexsort((doc, key))
+        order = np.lexsort((doc, ref, key) if twice else (doc, key))
         return key[order], doc[order], ref[order]
 
     for b in batches:
@@ -55,7 +62,7 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nda
         ok = inside(w.first, k) & (many[d] >= WINDOW)
         keys.append(h[ok])
         docs.append(_ids(b.column(0))[d[ok]])
-        refs.append(((np.arange(len(h)) - w.first[d]) % BLOCK == 0)[ok])
+        refs.append(rolling(second_hashes(w, lower=False), k)[ok] if twice else ((np.arange(len(h)) - w.first[d]) % BLOCK == 0)[ok])
         n += int(ok.sum())
         if n >= FLUSH:
             yield flush()
@@ -64,10 +71,12 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nda
         yield flush()
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of runs of equal keys, and each entry's run."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -150,14 +159,14 @@ def _per_document(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _extend(buckets: int, doc_buckets: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, _ in _windows(batches, WINDOW):
-            starts, run_of = _groups(key)
+        for key, doc, other in _windows(batches, WINDOW, twice=True):
+            starts, run_of = _groups(key, other)
             lost = doc > doc[starts][run_of]
             rows = [(-1 - at, blob) for at, blob in _flagged(doc[lost], key[lost], doc_buckets)]
-            key, doc = key[starts], doc[starts]
+            key, doc, other = key[starts], doc[starts], other[starts]
             for b, i, j in cuts(key, buckets):
                 ids, place = np.unique(doc[i:j], return_inverse=True)
-                rows.append((b, both(pack(key[i:j], place.astype("<u4")), pack(ids.view(np.uint64)))))
+                rows.append((b, both(pack(key[i:j], other[i:j], place.astype("<u4")), pack(ids.view(np.uint64)))))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int64()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], ["bucket", "blob"])
 
@@ -166,16 +175,17 @@ def _extend(buckets: int, doc_buckets: int):
 
 def _smallest(doc_buckets: int):
     def work(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
+        keys, others, docs = [], [], []
         for (blob,) in rows:
             packed, ids = apart(blob)
-            key, place = unpack(packed)
+            key, other, place = unpack(packed)
             keys.append(key)
+            others.append(other)
             docs.append(unpack(ids)[0].view(np.int64)[place])
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        starts, run_of = _groups(key)
+        key, other, doc = np.concatenate(keys), np.concatenate(others), np.concatenate(docs)
+        order = np.lexsort((doc, other, key))
+        key, other, doc = key[order], other[order], doc[order]
+        starts, run_of = _groups(key, other)
         lost = doc > doc[starts][run_of]
         out = list(_flagged(doc[lost], key[lost], doc_buckets))
         yield pa.RecordBatch.from_arrays([pa.array([-1 - d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
@@ -230,9 +240,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_batches(spark)
     base, spread = shared_dir(spark), partitions(spark)
-    buckets, doc_buckets = 2 * spread, max(8, spread // 2)
     blobs = "bucket long, blob binary"
     rows = text_rows(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, doc_buckets = max(2 * spread, size // BUCKET_BYTES), max(8, spread // 2, size // (4 * BUCKET_BYTES))
     candidates = cut(by_bucket(rows.mapInArrow(_probe(buckets), blobs), spread, _meet, "doc_id long").distinct(), f"{base}/candidates")
     some = _among(rows, candidates, candidates.count())
     ended = cut(some.mapInArrow(_extend(buckets, doc_buckets), blobs), f"{base}/windows")

@@ -2,12 +2,14 @@
 
 A word is a run of characters other than U+0020 and U+0009..U+000D. Each word gets a 64-bit hash: the sum of
 random values of its bytes times powers of an odd number, mixed. The same words give the same hashes in every
-task of every run. With w distinct words the chance that any two share a hash is about w * w / 2**60.
+task of every run. Words of more than LONG bytes, for which such sums have known collisions, get a BLAKE2 digest. With w
+distinct words the chance that any two share a hash is about w * w / 2**60; a second, independent hash makes it 2**124.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BYTES, _OTHER = (np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for seed in (20240501, 20240502))
+LONG = 64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93 | 1
@@ -97,8 +100,13 @@ def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
     return Words(buf, starts, ends, first, _hash(buf, starts, ends, lower))
 
 
-def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    table = _BYTES[_LOWER] if lower else _BYTES
+def second_hashes(w: Words, lower: bool = True) -> np.ndarray:
+    """Hashes of the same words, independent of the first ones."""
+    return _hash(w.buf, w.starts, w.ends, lower, _OTHER)
+
+
+def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, values: np.ndarray = _BYTES) -> np.ndarray:
+    table = values[_LOWER] if lower else values
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
@@ -109,7 +117,12 @@ def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) ->
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = (sums[e] - sums[s]) * powers(_P_INV, b - a)[s] + (e - s).astype(U64)
         i = j
-    return mix(out)
+    out = mix(out)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        word = buf[starts[i] : ends[i]]
+        salt = int(values[0]).to_bytes(8, "little")
+        out[i] = int.from_bytes(blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -142,13 +155,3 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
         at = at[(at >= 0) & (at < len(ok))]
         ok[at] = False
     return ok
-
-
-def one(words: list[bytes]) -> np.ndarray:
-    """Hashes of words given one by one."""
-    return words_of(pa.array([b" ".join(words).decode("utf-8", "surrogateescape")]), lower=False).hashes
-
-
-def kept_text(w: Words, a: int, b: int, keep: np.ndarray) -> bytes:
-    """The kept words among a..b of the batch, joined by one space."""
-    return b" ".join(w.buf[s:e].tobytes() for s, e in zip(w.starts[a:b][keep], w.ends[a:b][keep], strict=True))
