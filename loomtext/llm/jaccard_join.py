@@ -15,7 +15,8 @@ x is the size with the least cost: subsets enumerated for sets up to x against l
 Components need no list of all pairs. A list whose pairs across components are few names them all and is done. A longer
 one takes the members with the most such pairs as pivots, names theirs and drops them; what remains, after parities too,
 goes on in the next round with more pivots, unless it lies in one component by then. So a list of n near copies costs
-about n checks. Of named pairs, parities of 1024 places rule out most that differ too much; the others' whole sets
+about n checks and two rounds, however long it is: lists too long for a task's memory stream past the pivots, and those
+in one component are left out before, by their least and largest component. Of named pairs, parities of 1024 places rule out most that differ too much; the others' whole sets
 are compared.
 """
 
@@ -47,8 +48,8 @@ FEW_LINKS = 1_000_000
 PAIRS_EACH = 8
 #: Lists up to so many members weigh all their pairs at once.
 WHOLE = 4096
-#: Members of a list that a task holds at a time; longer lists stream past their first member as the only pivot.
-HELD = 50_000
+#: Members of a list that a task holds at a time; longer lists stream past pivots from among the first ones held, so many at most.
+HELD, PASSED = 50_000, 4096
 
 
 def needed(a: int, b: int, t: int) -> int:
@@ -290,9 +291,26 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
     lists = met.where(~F.col("link")).select("key", "cls", "n", "place").distinct()
     found = _verified_rounds(lists, links, rows, members, t, k, base)
     labels = components(found, f"{base}/components")
-    placed = members.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cls").alias("comp"))
-    least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _placed(members, labels, base)
+
+
+def _placed(members: DataFrame, labels: DataFrame, base: str) -> DataFrame:
+    """Each row's component, settled for classes first: copies and components are as large as they like, classes are rows.
+
+    Only classes with copies or links have an entry, which is broadcast or, beyond BROADCAST_IDS, joined; all others are
+    their own component.
+    """
+    few = labels.count() <= BROADCAST_IDS
+    ids = labels.withColumnRenamed("id", "cls")
+    classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1").unionByName(
+        members.where("n > 0").join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("least"), F.lit(0).cast("long").alias("copies"))), f"{base}/classes")
+    linked = classes.where("copies = 0").join(F.broadcast(ids) if few else ids, "cls")
+    heads = linked.groupBy("comp").agg(F.min("least").alias("component"))
+    of_links = linked.join(F.broadcast(heads) if few else heads, "comp").select("cls", "component")
+    of_copies = classes.where("copies > 1").join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_anti").select("cls", F.col("least").alias("component"))
+    entries = cut(of_links.unionByName(of_copies), f"{base}/entries")
+    joined = members.join(F.broadcast(entries) if entries.count() <= BROADCAST_IDS else entries, "cls", "left")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def prefix_size_of(n: np.ndarray, t: int) -> np.ndarray:
@@ -331,7 +349,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, bits: DataF
 
 
 def _name_pairs(t: int, pivots: int):
-    """Of entries (key, n, cls, comp, place) sorted by key and n: pairs to verify, and entries of lists that go on."""
+    """Of entries (key, n, cls, comp, place) sorted by key and n: pairs to verify, and entries of lists that go on, whose u is 1 where the list is longer than HELD."""
 
     def able(ni, ri, nj, rj):
         """Sizes that can link, and enough left from this shingle on, as if it were the first that the two share: where it is, that holds."""
@@ -382,14 +400,22 @@ def _name_pairs(t: int, pivots: int):
         key, many, streaming = None, 0, None
         out: list[tuple[np.ndarray, ...]] = []
 
-        def record(u: np.ndarray, v: np.ndarray, n: np.ndarray, cls: np.ndarray, rest: np.ndarray) -> None:
+        def record(u: np.ndarray, v: np.ndarray, n: np.ndarray, cls: np.ndarray, rest: np.ndarray, long: int = 0) -> None:
             z = lambda x: np.zeros(x, np.int64)
-            out.append((np.concatenate([u, z(len(cls))]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
-
-        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, *_: np.ndarray) -> None:
-            apart = (comp != streaming[2]) & able(streaming[0], streaming[3], n, rest)
-            u = np.full(int(apart.sum()), streaming[1], np.int64)
-            record(np.minimum(u, cls[apart]), np.maximum(u, cls[apart]), n, cls, rest)
+            out.append((np.concatenate([u, z(len(cls)) + long]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
+
+        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> None:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for pn, pc, pm, pr, pb in zip(*streaming, strict=True):
+                may = (comp != pm) & able(pn, pr, n, rest)
+                if len(pb):
+                    differ = np.bitwise_count(bits[may] ^ pb).sum(axis=1, dtype=np.int64)
+                    may[may] = (100 + t) * (pn + n[may] - differ) >= 2 * t * (pn + n[may])
+                us.append(np.full(int(may.sum()), pc, np.int64))
+                vs.append(cls[may])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            on = ~np.isin(cls, streaming[1])
+            record(np.minimum(u, v), np.maximum(u, v), n[on], cls[on], rest[on], 1)
 
         def close() -> None:
             nonlocal held, many, streaming
@@ -419,9 +445,11 @@ def _name_pairs(t: int, pivots: int):
                 held.append(part)
                 many += j - i
                 if many > HELD:
-                    n, cls, comp, rest = (np.concatenate([h[x] for h in held]) for x in range(4))
-                    streaming = (int(n[0]), int(cls[0]), int(comp[0]), int(rest[0]))
-                    past(n[1:], cls[1:], comp[1:], rest[1:])
+                    first = tuple(np.concatenate([h[x] for h in held]) for x in range(5))
+                    _, one, sizes = np.unique(first[2], return_index=True, return_counts=True)
+                    heads = one[np.argsort(sizes, kind="stable")[: min(pivots, PASSED)]]
+                    streaming = tuple(c[heads] for c in first)
+                    past(*first)
                     held = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
@@ -438,20 +466,25 @@ def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, member
     spark = rows.sparkSession
     spread = partitions(spark)
     found, step = cut(links, f"{base}/links0"), 0
-    alive = cut(lists, f"{base}/alive0")
+    alive = cut(lists.withColumn("u", F.lit(0).cast("long")), f"{base}/alive0")
     bits = cut(members.groupBy("cls").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), f"{base}/bits")
     while True:
         step += 1
         labels = components(found, f"{base}/comp{step}")
         small = labels.count() <= BROADCAST_IDS
         tag = labels.select(F.col("id").alias("cls"), "comp")
-        tagged = alive.join(F.broadcast(tag) if small else tag, "cls", "left").select("key", F.col("n").cast("long").alias("n"), "cls", F.coalesce("comp", "cls").alias("comp"), F.col("place").cast("long").alias("place"))
+        tagged = alive.join(F.broadcast(tag) if small else tag, "cls", "left").select("key", F.col("n").cast("long").alias("n"), "cls", F.coalesce("comp", "cls").alias("comp"), F.col("place").cast("long").alias("place"), "u")
+        long = tagged.where("u = 1")
+        if step > 1 and not alive.where("u = 1").isEmpty():  # a task can't see all of these at once
+            mixed = long.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            tagged = tagged.where("u = 0").unionByName(long.join(mixed, "key", "left_semi"))
+        tagged = tagged.drop("u")
         if step > 1:  # what goes on is little, and parities thin it out further
             tagged = tagged.join(bits.select("cls", "bits"), "cls").select("key", "n", "cls", "comp", "place", "bits")
         named = cut(tagged.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_name_pairs(t, 8 ** (step - 1)), "u long, cls long, key long, n long, place long, pair boolean"), f"{base}/named{step}")
         arrow_batches(spark)
         pairs = cut(named.where("pair").select("u", F.col("cls").alias("v")).distinct(), f"{base}/pairs{step}")
-        alive = named.where("not pair").select("key", "cls", "n", "place")
+        alive = named.where("not pair").select("key", "cls", "n", "place", "u")
         if not pairs.isEmpty():
             checked = _verified(pairs, rows, members, bits, t, k, f"{base}/verify{step}")
             found = cut(found.union(checked), f"{base}/links{step}")
