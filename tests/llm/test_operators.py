@@ -52,16 +52,26 @@ def close(a, b):
 
 
 def test_katz(table, empty, spark, tmp_path):
-    from loomtext.llm.katz import score_texts
+    from loomtext.llm.katz import read_bigrams, read_weights, score, score_texts
+    from loomtext.llm.runtime import crc_mod
 
     rows, df = table
-    got = order(map(tuple, score_texts(df, weights_to=str(tmp_path / "weights")).collect()))
+    path = str(tmp_path / "model")
+    got = order(map(tuple, score_texts(df, model_to=path).collect()))
     want = order(brute.katz(rows))
     key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
     assert len(got) == len(want) and all(close(a, b) for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True))
-    weights = spark.read.parquet(str(tmp_path / "weights"))
+    weights, pairs = read_weights(spark, path), read_bigrams(spark, path)
     assert weights.count() > 0 and weights.where("weight <= 0").count() == 0
-    assert score_texts(empty).count() == 0
+    sums = pairs.groupBy("history").agg({"count": "sum"}).join(weights, "history")
+    assert sums.count() == weights.count() and sums.where("`sum(count)` <> count").count() == 0
+    again = sorted(map(tuple, score(df, path, crc_mod("doc_id", 7) == 2).collect()), key=key)
+    assert all(close(a, b) for a, b in zip(again, sorted(want, key=key), strict=True))
+    new = score(spark.createDataFrame([(1, "never seen"), (2, None)], SCHEMA), path).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in new) == [(1, 3, 1), (2, 1, 1)]
+    assert score_texts(empty).count() == 0 and score(empty, path).count() == 0
+    none = {r.doc_id: r for r in score_texts(df.where("doc_id < 3"), df.doc_id > 0).collect()}
+    assert len(none) == 2 and all(r.n_known == r.train_tokens == r.score == 0 for r in none.values())
 
 
 def test_good_turing_falls_back():
