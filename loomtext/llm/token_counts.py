@@ -9,15 +9,19 @@ positions take part in the scan, never tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import NativeFile
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoding, read_ranks
-from .runtime import arrow_batches, released, text_rows
+from .runtime import arrow_batches, partitions, released, text_rows
 
 BLOCK = "file_id long, block long, tokens binary, doc_ids array<long>"
 
@@ -59,18 +63,40 @@ def flat_blocks(docs: DataFrame, ranks_path: str, block_tokens: int = 1 << 16, i
     return text_rows(docs, id_col, text_col).mapInArrow(run, BLOCK)
 
 
-def file_blocks(spark: SparkSession, path: str, block_tokens: int = 1 << 20) -> DataFrame:
-    """The same blocks from existing .bin files (each below 2 GB); file_id is a hash of the path."""
+def _open_file(path: str) -> NativeFile:
+    """A file by its path as Spark names it, local or of a file system that pyarrow knows."""
+    if path.startswith("file:"):
+        return LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    fs, name = FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def file_blocks(spark: SparkSession, path: str, block_tokens: int = 1 << 20, open_file: Callable[[str], NativeFile] = _open_file) -> DataFrame:
+    """The same blocks from existing .bin files of any size; file_id is a hash of the path.
+
+    Each block is a byte range of its own, so the tasks share even one file and a task holds one block. Files without a
+    whole token give none, and an odd last byte is no token. open_file: how executors open a path that Spark lists.
+    """
+    arrow_batches(spark)
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fid, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = content.as_buffer()
-                for k, a in enumerate(range(0, data.size // 2 * 2, 2 * block_tokens)):
-                    yield pa.RecordBatch.from_arrays([pa.array([fid]), pa.array([k]), pa.array([data[a : a + 2 * block_tokens].to_pybytes()], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["file_id", "block", "tokens", "doc_ids"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "content")
-    return files.mapInArrow(run, BLOCK)
+            for _, ranges in groupby(sorted(zip(*(c.to_pylist() for c in b.columns), strict=True)), key=itemgetter(0)):
+                ranges = list(ranges)
+                with open_file(ranges[0][0]) as f:
+                    for _, fid, block, size in ranges:
+                        f.seek(2 * block * block_tokens)
+                        data = f.read(size)
+                        if len(data) != size:
+                            raise EOFError(f"{ranges[0][0]} got shorter while it was read")
+                        yield pa.RecordBatch.from_arrays([pa.array([fid]), pa.array([block]), pa.array([data], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["file_id", "block", "tokens", "doc_ids"])
+
+    tokens, at = F.floor(F.col("length") / 2), F.col("block") * block_tokens
+    files = spark.read.format("binaryFile").load(path).where("length >= 2").select("path", F.xxhash64("path").alias("file_id"), tokens.alias("tokens"))
+    ranges = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))))
+    ranges = ranges.select("path", "file_id", "block", (F.least(F.lit(block_tokens), F.col("tokens") - at) * 2).alias("size"))
+    return ranges.repartition(partitions(spark), "path", "block").mapInArrow(run, BLOCK)
 
 
 def count_tokens(blocks: DataFrame, eod: int) -> DataFrame:
