@@ -82,7 +82,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike(documents(spark, sf_dir))
 
 
-_OPS = [op1_katz, op2_quality, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join]
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merge_replay import encode_documents
+
+    rows = encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_OPS = [op1_katz, op2_quality, op3_decontamination, op4_token_counts, op5_substring_dedup, op6_chat_format, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_jaccard_join, op11_whitening, op12_byte_bpe, op13_search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -113,6 +133,17 @@ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 m AS (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, y), doc_id) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op13_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+size AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+words AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, size GROUP BY term, docs),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS s FROM held JOIN weight USING (term), size),
+total AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY ALL HAVING sum(s) > 0),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM total)
+SELECT * FROM ranked WHERE rank <= 10""",
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
