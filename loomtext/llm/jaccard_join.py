@@ -46,8 +46,10 @@ BROADCAST_IDS = 500_000
 FEW_LINKS = 1_000_000
 #: A list names all its pairs across components if they are at most so many for each member.
 PAIRS_EACH = 8
-#: Lists up to so many members weigh all their pairs at once.
-WHOLE = 4096
+#: Lists up to so many members weigh all their pairs at once (8 MB a matrix); longer ones go past their pivots one by one.
+WHOLE = 1024
+#: Pairs and entries that a task gathers before it gives them out, and sets whose parities it counts at once.
+GIVEN, COUNTED = 200_000, 2048
 #: Members of a list that a task holds at a time; longer lists stream past pivots from among the first ones held, so many at most.
 HELD, PASSED = 50_000, 4096
 
@@ -106,8 +108,12 @@ def _classes(d: np.ndarray, h: np.ndarray, many: int) -> tuple[np.ndarray, np.nd
 
 def _parities(d: np.ndarray, h: np.ndarray, many: int) -> pa.Array:
     """PARITY bits for each set, each the parity of its shingles with that place; two sets differ in at least as many shingles as bits."""
-    odd = (np.bincount(d * PARITY + (h & U64(PARITY - 1)).astype(np.int64), minlength=many * PARITY) & 1).astype(np.uint8)
-    words = np.packbits(odd).view(np.int64)
+    place, words = (h & U64(PARITY - 1)).astype(np.int64), np.empty(many * (PARITY // 64), np.int64)
+    for a in range(0, many, COUNTED):
+        e = min(many, a + COUNTED)
+        i, j = np.searchsorted(d, [a, e])
+        odd = (np.bincount((d[i:j] - a) * PARITY + place[i:j], minlength=(e - a) * PARITY) & 1).astype(np.uint8)
+        words[a * (PARITY // 64) : e * (PARITY // 64)] = np.packbits(odd).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * (PARITY // 64)), pa.array(words))
 
 
@@ -366,30 +372,21 @@ def _name_pairs(t: int, pivots: int):
 
     def few(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = len(cls)
-        kinds, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        kinds, at = np.unique(comp, return_inverse=True)
         none, go_on = np.zeros(0, np.int64), np.zeros(m, bool)
         if len(kinds) == 1:
             return none, none, go_on
-        if m <= WHOLE:
-            may = (at[:, None] != at[None, :]) & able(n[:, None], rest[:, None], n[None, :], rest[None, :])
-            if bits.shape[1]:
-                may = alike_enough(may, n, bits)
-            many = may.sum(axis=1)
-            if many.sum() <= 2 * PAIRS_EACH * m:
-                i, j = np.nonzero(np.triu(may))
-            else:
-                heads = np.argsort(-many, kind="stable")[:pivots]
-                i, j = np.nonzero(may[heads])
-                i = heads[i]
-                go_on = many > 0
-                go_on[heads] = False
+        may = (at[:, None] != at[None, :]) & able(n[:, None], rest[:, None], n[None, :], rest[None, :])
+        if bits.shape[1]:
+            may = alike_enough(may, n, bits)
+        many = may.sum(axis=1)
+        if many.sum() <= 2 * PAIRS_EACH * m:
+            i, j = np.nonzero(np.triu(may))
         else:
-            least = np.argsort(sizes, kind="stable")[:pivots]
-            heads = np.array([np.flatnonzero(at == c)[0] for c in least])
-            i, j = np.repeat(heads, m), np.tile(np.arange(m), len(heads))
-            good = (at[i] != at[j]) & able(n[i], rest[i], n[j], rest[j])
-            i, j = i[good], j[good]
-            go_on[:] = True
+            heads = np.argsort(-many, kind="stable")[:pivots]
+            i, j = np.nonzero(may[heads])
+            i = heads[i]
+            go_on = many > 0
             go_on[heads] = False
         u, v = cls[i], cls[j]
         return np.minimum(u, v), np.maximum(u, v), go_on
@@ -404,25 +401,41 @@ def _name_pairs(t: int, pivots: int):
             z = lambda x: np.zeros(x, np.int64)
             out.append((np.concatenate([u, z(len(cls)) + long]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
 
-        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> None:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        def given(least: int) -> Iterator[pa.RecordBatch]:
+            """What has been recorded, once it is so much."""
+            if out and sum(len(o[0]) for o in out) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
+                out.clear()
+
+        def heads_of(first: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            """Pivots: members of the smallest components."""
+            _, one, sizes = np.unique(first[2], return_index=True, return_counts=True)
+            heads = one[np.argsort(sizes, kind="stable")[: min(pivots, PASSED)]]
+            return tuple(c[heads] for c in first)
+
+        def past(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray, long: int = 1) -> Iterator[pa.RecordBatch]:
+            none = np.zeros(0, np.int64)
             for pn, pc, pm, pr, pb in zip(*streaming, strict=True):
                 may = (comp != pm) & able(pn, pr, n, rest)
                 if len(pb):
                     differ = np.bitwise_count(bits[may] ^ pb).sum(axis=1, dtype=np.int64)
                     may[may] = (100 + t) * (pn + n[may] - differ) >= 2 * t * (pn + n[may])
-                us.append(np.full(int(may.sum()), pc, np.int64))
-                vs.append(cls[may])
-            u, v = np.concatenate(us), np.concatenate(vs)
+                if may.any():
+                    record(np.minimum(pc, cls[may]), np.maximum(pc, cls[may]), none, none, none)
+                    yield from given(GIVEN)
             on = ~np.isin(cls, streaming[1])
-            record(np.minimum(u, v), np.maximum(u, v), n[on], cls[on], rest[on], 1)
+            record(none, none, n[on], cls[on], rest[on], long)
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal held, many, streaming
             if held and streaming is None:
-                n, cls, comp, rest, bits = (np.concatenate([h[i] for h in held]) for i in range(5))
-                u, v, go_on = few(n, cls, comp, rest, bits)
-                record(u, v, n[go_on], cls[go_on], rest[go_on])
+                n, cls, comp, rest, bits = whole = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
+                if len(cls) <= WHOLE:
+                    u, v, go_on = few(*whole)
+                    record(u, v, n[go_on], cls[go_on], rest[go_on])
+                elif (comp != comp[0]).any():
+                    streaming = heads_of(whole)
+                    yield from past(*whole, 0)
             held, many, streaming = [], 0, None
 
         for b in batches:
@@ -436,27 +449,23 @@ def _name_pairs(t: int, pivots: int):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if keys[i] != key:
-                    close()
+                    yield from close()
                     key = int(keys[i])
+                    yield from given(GIVEN)
                 part = tuple(c[i:j] for c in cols)
                 if streaming is not None:
-                    past(*part)
+                    yield from past(*part)
                     continue
                 held.append(part)
                 many += j - i
                 if many > HELD:
                     first = tuple(np.concatenate([h[x] for h in held]) for x in range(5))
-                    _, one, sizes = np.unique(first[2], return_index=True, return_counts=True)
-                    heads = one[np.argsort(sizes, kind="stable")[: min(pivots, PASSED)]]
-                    streaming = tuple(c[heads] for c in first)
-                    past(*first)
+                    streaming = heads_of(first)
+                    yield from past(*first)
                     held = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
+            yield from given(1)
+        yield from close()
+        yield from given(1)
 
     return run
 
