@@ -166,11 +166,21 @@ def train(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], ep
     return Machine(float(bias), both[:, 0].copy(), both[:, 1:].copy(), mean, spread, edges)
 
 
+def _in_order(ids: np.ndarray, doc: np.ndarray, word: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sample by id and hash of the text, whatever files, splits and batches it came in: training depends on the order."""
+    order = np.lexsort((ids[2], ids[0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    doc = rank[doc]
+    cells = np.lexsort((word, doc))
+    return doc[cells], word[cells], stats[order], ids[1][order].astype(np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Machine | float:
     """A machine from at most `each` labelled rows of each class; with fewer than two classes, the share of label 1 (or 0.5).
 
     Features of the sample, not texts, come to the driver. Classes keep their shares: the larger one is thinned no
-    further than the bound, and the bias is set right for it.
+    further than the bound, and the bias is set right for it. The same rows give the same machine on any layout of files.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -183,13 +193,18 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Machine | float
         for b in batches:
             if b.num_rows:
                 doc, word, stats = features(b.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py()]), pa.array([pack((doc << BITS | word).view(np.uint64))], pa.binary()), pa.array([stats.astype("<f8").tobytes()], pa.binary()), pa.array([b.column(2).to_numpy().astype("<i4").tobytes()], pa.binary())], ["first", "cells", "stats", "label"])
+                ids = np.stack([b.column(i).to_numpy().astype("<i8") for i in (0, 2, 3)])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), pack((doc << BITS | word).view(np.uint64)), stats.astype("<f8").tobytes())], ["ids", "cells", "stats"])
 
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(run, "first long, cells binary, stats binary, label binary").toLocalIterator(), key=lambda r: r["first"])
-    parts = []
-    for r in got:
+    base, ids, docs_of, words, stats_of = 0, [], [], [], []
+    for r in rows.select("doc_id", "text", "label", F.xxhash64("text").alias("hash")).mapInArrow(run, "ids binary, cells binary, stats binary").toLocalIterator():
+        ids.append(np.frombuffer(r["ids"], "<i8").reshape(3, -1))
         cells = unpack(r["cells"])[0].view(np.int64)
-        parts.append((cells >> BITS, cells & ((1 << BITS) - 1), np.frombuffer(r["stats"], "<f8").reshape(-1, len(STATS)), np.frombuffer(r["label"], "<i4")))
+        docs_of.append((cells >> BITS) + base)
+        words.append(cells & ((1 << BITS) - 1))
+        stats_of.append(np.frombuffer(r["stats"], "<f8").reshape(-1, len(STATS)))
+        base += ids[-1].shape[1]
+    parts = [_in_order(np.concatenate(ids, axis=1), np.concatenate(docs_of), np.concatenate(words), np.concatenate(stats_of))] if ids else []
     y = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0)
     if len(np.unique(y)) < 2:
         return float(y[0]) if len(y) else 0.5

@@ -8,7 +8,9 @@ of their examples, which are added up first. A document's cosine with any exampl
 the lists gave there and the sum of its weights times the block's largest ones, so blocks whose bound is below the k-th
 best cosine are left out. What comes near the k-th best is added up again in double precision: the k nearest are exact.
 Their labels vote with weight cosine squared divided by the number of examples of their class, as the classes are
-sampled and met unevenly; the share of label 1 in these votes is the score.
+sampled and met unevenly; the share of label 1 in these votes is the score. It ranks; a rising map makes it a
+probability, which is given beside it. The map is learnt from the examples alone, each searched among all others and
+counted by how many labelled rows of its class it stands for. Labels of held-out rows play no part in it.
 """
 
 from __future__ import annotations
@@ -120,6 +122,7 @@ class Examples:
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     alike: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     column: np.ndarray | None = None
+    knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def vectors(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         x = (1 + np.log(times)) * self.idf[term]
@@ -221,18 +224,53 @@ class Examples:
 
     def scores(self, first: np.ndarray, term: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int]]]:
         """(score, nearest examples' ids) of each document; one that shares no term with any example has no votes."""
-        out = []
-        one = 1 / np.maximum(np.bincount(self.labels, minlength=2), 1)[self.labels]
+        return [(self.vote(near, cosine) if len(near) else self.none, self.ids[near].tolist()) for near, cosine in self.neighbours(first, term, times)]
+
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        pull = cosine**2 / np.maximum(np.bincount(self.labels, minlength=2), 1)[self.labels[near]]
+        return float(min(1.0, pull @ self.labels[near] / pull.sum()))
+
+    def neighbours(self, first: np.ndarray, term: np.ndarray, times: np.ndarray, k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest_of() of documents with terms and their times, some documents at once."""
         for a in range(0, len(first) - 1, TOGETHER):
             own = first[a : a + TOGETHER + 1]
             t, c = term[own[0] : own[-1]], times[own[0] : own[-1]]
             doc = np.repeat(np.arange(len(own) - 1), np.diff(own))
             x = (1 + np.log(c)) * self.idf[t]
             x /= np.sqrt(np.bincount(doc, x * x, len(own) - 1))[doc]
-            for near, cosine in self.nearest_of(own - own[0], t, x):
-                pull = cosine**2 * one[near]
-                out.append((float(min(1.0, pull @ self.labels[near] / pull.sum())) if len(near) else self.none, self.ids[near].tolist()))
-        return out
+            yield from self.nearest_of(own - own[0], t, x, k)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising map from x to the weighted mean of y: neighbours that fall are pooled. Each pool's mean is drawn
+    towards that of all by one observation, so that a pure pool isn't certain; between knots the map is linear."""
+    base, one = float(np.average(y, weights=w)), float(w.mean())
+    pools: list[list[float]] = []  # weight, sum of y, sum of x
+    for i in np.argsort(x, kind="stable").tolist():
+        pools.append([w[i], w[i] * y[i], w[i] * x[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return np.array([p[2] / p[0] for p in pools]), np.maximum.accumulate(np.array([(p[1] + one * base) / (p[0] + one) for p in pools]))
+
+
+def _each_among_others(sampled: DataFrame, model: Examples) -> list[tuple[int, int, float]]:
+    """(id, label, score from all other examples) of each example that has neighbours among them, by id; searched in tasks."""
+    shared = sampled.sparkSession.sparkContext.broadcast(model)
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            doc, term, times = m.vocab.counts(b.column(1))
+            out: list[float | None] = []
+            for i, (near, cosine) in zip(b.column(0).to_pylist(), m.neighbours(np.searchsorted(doc, np.arange(b.num_rows + 1)), term, times, NEAREST + 1), strict=True):
+                other = np.flatnonzero(m.ids[near] != i)[:NEAREST]
+                out.append(m.vote(near[other], cosine[other]) if len(other) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.float64())], ["doc_id", "label", "score"])
+
+    found = sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, score double")
+    return sorted((r["doc_id"], r["label"], r["score"]) for r in found.where("score is not null").toLocalIterator())
 
 
 def _term_rows(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -298,15 +336,20 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Examples:
         term, times = unpack(bytes(r["terms"]))
         every[r["doc_id"]] = (r["doc_id"], r["label"], term.astype(np.int32), times.astype(np.int32))
     model.build([every[i] for i in sorted(every) if len(every[i][2])])
+    rows = _each_among_others(sampled, model)
+    y, x = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+    if len(np.unique(y)) == 2:
+        model.knots = isotonic(x, y, np.array([sizes[c] / int((y == c).sum()) for c in (0, 1)])[y])
     return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) for each row; evidence is the nearest examples' ids, nearest first.
+    """(doc_id, held_out, score, predicted, evidence, probability) for each row; evidence is the nearest examples' ids, nearest first.
 
     Learnt from labels of rows that aren't held out. Null and empty texts, and texts that share no term with any example,
     have no neighbours and get the share of label 1 among those labels. Repeated rows and null ids are scored like
-    others. Without labels all get 0. Documents aren't shuffled; the index is bounded by the sample.
+    others. Without labels all get 0. probability is the calibrated score; with examples of one class only it is the score
+    itself, as where nothing votes. Documents aren't shuffled; the index is bounded by the sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, each))
 
@@ -315,7 +358,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: fl
         for b in batches:
             doc, term, times = shared.value.vocab.counts(b.column(1))
             out = shared.value.scores(np.searchsorted(doc, np.arange(b.num_rows + 1)), term, times)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            likely = [float(np.interp(s, *shared.value.knots)) if near and shared.value.knots else s for s, near in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array(likely, pa.float64())], ["doc_id", "score", "evidence", "probability"])
 
-    scored = text_rows(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence")
+    scored = text_rows(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>, probability double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", "probability")
