@@ -250,6 +250,8 @@ ORACLE = {
     "pdf_table_clean": _values("case_id, headers, rows", [(1, "1|2", "3"), (2, "x|y|b c", "1;2;3"), (3, "", "1;2")]),
     "pdf_choice": _values("url, text, title, page_count, word_count, used_fallback, needs_ocr, warnings", PDF_WANTED),
     "pdf_text": _values("url, text, title, page_count, used_fallback, needs_ocr", [(r[0], *r[2:]) for r in PDF_FILE_ROWS]),
+    "pdf_documents": r"SELECT doc_id, 'Document ' || doc_id AS title, CAST(greatest(1, ceil(len(w) / 600.0)) AS INTEGER) AS page_count, doc_id % 5 = 0 OR len(w) = 0 AS used_fallback, sha256(array_to_string(w, ' ')) AS words_sha256 FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents)",
+    "pdf_tables": "SELECT conv_id, 1 AS page_number, 'turn|role|chars|md5' AS headers, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars, left(md5(coalesce(text, '')), 16) AS md5 FROM conversations",
     "robots_text": _values("case_id", [(r[0],) for r in ROBOTS_URL_ROWS if r[2]]),
     "metadata_strings": _values("case_id, value", [(r[0], r[2]) for r in METADATA_STRING_ROWS]),
     "migrated_sources": _values("id, name, code, is_active, no_base_url", [("a", "A", "x", True, True)]),

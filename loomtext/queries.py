@@ -13,7 +13,7 @@ from loomtext.operators import chunk, crawl, extract, frontier, merge, validate,
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.session import shared_dir
-from loomtext.sources import pdf
+from loomtext.sources import pdf, pdf_write
 from loomtext.sources import rules as R
 from loomtext.sources.tables import table
 
@@ -244,6 +244,34 @@ def pdf_text(spark, d):
     return extract.choose_pdf_text(pdf.read_pdfs(objects)).select("url", "text", "title", "page_count", "used_fallback", "needs_ocr")
 
 
+_BLANKS = r"[ \t\n\r\x0b\f]+"
+
+
+def _words(c):
+    return F.filter(F.split(F.coalesce(F.col(c), F.lit("")), _BLANKS), lambda w: w != "")
+
+
+@query
+def pdf_documents(spark, d):
+    """Every document written as a PDF and read again: both versions, lines drawn out of order, and a fifth of the files damaged."""
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(n.cast("string").alias("url"), F.concat(F.lit("Document "), n.cast("string")).alias("title"), _words("text").alias("words"), F.when(n % 2 == 0, "1.4").otherwise("1.5").alias("version"), ((n % 3 == 1) & (n % 5 != 0)).alias("shuffled"), (n % 5 != 0).alias("tree"))
+    got = extract.choose_pdf_text(pdf.read_pdfs(pdf_write.write_texts(rows)))
+    return got.select(F.col("url").cast("long").alias("doc_id"), "title", "page_count", "used_fallback", F.sha2(F.array_join(_words("text"), " ").cast("binary"), 256).alias("words_sha256"))
+
+
+@query
+def pdf_tables(spark, d):
+    """Every conversation's turns written as a ruled table in a PDF and read back cell by cell."""
+    t = table(spark, d, "conversations")
+    cells = F.array(F.col("turn").cast("string"), F.coalesce("role", F.lit("")), F.char_length(F.coalesce("text", F.lit(""))).cast("string"), F.left(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit(16)))
+    heads = F.array(*map(F.lit, ("turn", "role", "chars", "md5")))
+    of_one = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", cells.alias("cells")))).alias("rows"))
+    files = pdf_write.write_tables(of_one.select(F.col("conv_id").cast("string").alias("url"), F.array(F.concat(F.array(heads), F.transform("rows", lambda r: r["cells"]))).alias("tables"), F.when(F.col("conv_id") % 2 == 0, "1.4").otherwise("1.5").alias("version")))
+    got = pdf.read_tables(files).select(F.col("url").cast("long").alias("conv_id"), "page_number", _join("headers").alias("headers"), F.explode("rows").alias("r"))
+    return got.select("conv_id", "page_number", "headers", F.col("r")[0].cast("long").alias("turn"), F.col("r")[1].alias("role"), F.col("r")[2].cast("long").alias("chars"), F.col("r")[3].alias("md5"))
+
+
 @query
 def migrated_sources(spark, d):
     old = spark.sql("SELECT 'a' AS id, 'A' AS name, 'x' AS code, 1 AS is_active, 'gone' AS dropped")

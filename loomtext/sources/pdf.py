@@ -1,107 +1,189 @@
-"""A small reader of PDFs' text, and the step that gives choose_pdf_text() its two readings.
+"""PDFs as rows: a task reads a file's objects into marks, Spark lays them out as lines, pages and table grids.
 
-It reads plain and deflated content streams and their text operators, with one-byte fonts. Encrypted files, object
-streams that hold pages, embedded encodings and images aren't read: such a file gives an error or no text, and so goes
-to the fallback reader, which is a parameter like the primary one.
+Two readings, as choose_pdf_text() wants them. The primary one follows the cross references and the page tree and
+orders text by its place on the page: lines from the top, runs from the left. It fails on damaged files. The fallback
+scans for objects, skips what it can't read, takes pages by number where the tree is broken, and keeps the order in
+which text is drawn. Images aren't read: a page of them has no text and so goes to the OCR queue.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import native as N
 from loomtext.session import arrow_batches
+from loomtext.sources import pdf_objects as P
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
-_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
-_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-Reader = Callable[[bytes], tuple[str, str, int]]
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _NAMED.get(m[1], m[1]), token[1:-1])
-    return raw.decode("utf-16") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("cp1252", "replace")
-
-
-def _shown(content: bytes) -> str:
-    """The strings that text operators show, a new line for each move to one."""
-    out, held, inside = [], [], False
-    for t in _TOKEN.findall(content):
-        if t in (b"[", b"]"):
-            inside = t == b"["
-        elif t[:1] in b"(<":
-            held.append(_string(t))
-        elif t in (b"Tj", b"TJ"):
-            out.append("".join(held))
-            held = []
-        elif t in (b"'", b'"', b"T*", b"Td", b"TD", b"Tm", b"ET"):
-            out.append("\n" + "".join(held))
-            held = []
-        elif inside and t[:1] == b"-" and len(t) > 3:  # a wide gap within shown strings is a space
-            held.append(" ")
-        elif t[:1].isalpha():
-            held = []
-    return re.sub(r"\n{2,}", "\n", "".join(out)).strip("\n")
+#: Runs of one line differ by no more points in height; edges this near to one another are one grid line.
+LINE, SNAP = 3.0, 3.0
+#: Marks in one batch of a task's output.
+MARKS = 20_000
+_FIELDS = [("url", pa.string()), ("kind", pa.string()), ("page", pa.int32()), ("seq", pa.int32()), ("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64()), ("size", pa.float64()), ("text", pa.string())]
+_SUMMARY = [("primary_title", pa.string()), ("primary_pages", pa.int32()), ("primary_error", pa.string()), ("fallback_text", pa.string()), ("fallback_title", pa.string()), ("fallback_pages", pa.int32()), ("fallback_error", pa.string())]
+_SQL = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
 
 
 def read_pdf(data: bytes) -> tuple[str, str, int]:
-    """(text, title, number of pages); a ValueError if it is no PDF that can be read."""
-    if not data.lstrip()[:5] == b"%PDF-":
-        raise ValueError("not a PDF")
-    if b"/Encrypt" in data:
-        raise ValueError("encrypted")
-    objects = {int(n): body for n, body in _OBJECT.findall(data)}
-    pages, text = 0, []
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b", body):
-            continue
+    """The fallback reading: (text in the order it is drawn, title, number of pages); a ValueError for what is no PDF or encrypted."""
+    try:
+        file = P.File(data, scan=True)
+    except P.DAMAGE as e:
+        raise ValueError(str(e)) from e
+    pages, texts = 0, []
+    try:
+        listed = list(file.pages())
+    except P.DAMAGE:
+        listed = list(file.loose_pages())
+    for page in listed:
         pages += 1
-        listed = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        for n in re.findall(rb"(\d+)\s+\d+\s+R", listed[1]) if listed else []:
-            m = _STREAM.search(objects.get(int(n), b""))
-            if m:
-                text.append(_shown(zlib.decompressobj().decompress(m[2]) if b"/FlateDecode" in m[1] else m[2]))
-    title = re.search(rb"/Title\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", data)
-    return "\n".join(t for t in text if t), (_string(title[1]) if title else "").lstrip("\ufeff").strip() or "Untitled", pages
+        marks = P.Marks(file)
+        try:
+            marks.page(page)
+        except P.DAMAGE:
+            pass  # what was drawn before the damage stays
+        texts.append(_drawn(marks.texts))
+    return "\n\n".join(t for t in texts if t), file.title() or "Untitled", pages
+
+
+def _drawn(texts: list[tuple]) -> str:
+    """Runs as drawn: another height, or a step back, begins a line; a gap is a blank."""
+    out: list[str] = []
+    last = None
+    for x0, y, x1, size, text, _ in texts:
+        if last is not None:
+            new = abs(y - last[1]) > LINE or x0 < last[2] - P.GAP * size
+            out.append("\n" if new else " " if x0 - last[2] > P.GAP * size else "")
+        out.append(text)
+        last = (x0, y, x1)
+    return re.sub(r"\s*\n\s*", "\n", "".join(out)).strip()
+
+
+def _primary(data: bytes) -> tuple[list[tuple], str, int]:
+    """(marks as rows without url, title, number of pages)."""
+    file = P.File(data)
+    rows, pages = [], 0
+    for page in file.pages():
+        pages += 1
+        marks = P.Marks(file)
+        marks.page(page)
+        rows += [("text", pages, i, x0, y, x1, y, size, text) for i, (x0, y, x1, size, text, _) in enumerate(marks.texts) if text.strip()]
+        rows += [("edge", pages, i, *e, None, None) for i, e in enumerate(marks.edges)]
+    return rows, file.title() or "Untitled", pages
 
 
-def read_pdfs(objects: DataFrame, primary: Reader = read_pdf, fallback: Reader | None = None) -> DataFrame:
-    """objects(url, content) to what choose_pdf_text() takes: each reader's text, title, pages and error, in Arrow batches.
+def marks(objects: DataFrame, with_fallback: bool = True) -> DataFrame:
+    """objects(url, content) to rows of kind text or edge, and for each file one of kind file that sums it up.
 
-    The fallback only reads what the primary reader failed on or found blank. Without one its error is "no reader".
+    A file that the primary reading fails on, or finds no text in, has the fallback's answer in its summary.
     """
     arrow_batches(objects.sparkSession)
-    names = [f"{r}_{c}" for r in ("primary", "fallback") for c in ("text", "title", "pages", "error")]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.string()] * 2
+    every = [*_FIELDS, *_SUMMARY]
 
-    def tried(reader: Reader | None, data: bytes) -> tuple:
-        if reader is None:
-            return None, None, None, "no reader"
-        try:
-            return *reader(data), None
-        except Exception as e:  # whatever a damaged file makes a reader raise is a row's error, not the job's
-            return None, None, None, type(e).__name__
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(every)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, every, strict=True)], [n for n, _ in every])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * len(_SUMMARY)
+        out: list[tuple] = []
         for b in batches:
-            rows = []
-            for data in b.column(1).to_pylist():
-                first = tried(primary, data or b"")
-                again = first[3] is not None or not first[0].strip()
-                rows.append((*first, *(tried(fallback, data or b"") if again else (None,) * 4)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["url", *names])
-
-    schema = "url string, " + ", ".join(f"{n} {'int' if n.endswith('pages') else 'string'}" for n in names)
-    return objects.select(F.col("url").cast("string").alias("url"), "content").mapInArrow(run, schema)
+            for url, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, first, again = [], (None, None, None), (None,) * 4
+                try:
+                    rows, title, pages = _primary(data or b"")
+                    first = (title, pages, None)
+                except P.DAMAGE as e:  # a damaged file is a row's error, not the job's
+                    first = (None, None, type(e).__name__)
+                if with_fallback and not any(r[0] == "text" for r in rows):
+                    try:
+                        again = (*read_pdf(data or b""), None)
+                    except P.DAMAGE as e:
+                        again = (None, None, None, type(e).__name__)
+                out += [(url, *r, *none) for r in rows]
+                out.append((url, "file", 0, 0, None, None, None, None, None, None, *first, *again))
+                while len(out) >= MARKS:
+                    yield batch(out[:MARKS])
+                    out = out[MARKS:]
+        yield batch(out)
+
+    return objects.select(F.col("url").cast("string").alias("url"), F.col("content").cast("binary").alias("content")).mapInArrow(run, ", ".join(f"{n} {_SQL[k]}" for n, k in every))
+
+
+def lines(runs: DataFrame, keys: list[str], carry: dict[str, Column] | None = None) -> DataFrame:
+    """runs(keys, seq, x0, y0, x1, size, text) to one row for each key: its text by place, lines from the top, runs from the left.
+
+    carry: aggregates of each key's rows that go along. Rows without a place only count for these.
+    """
+    carry = carry or {}
+    down = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("y0"), "x0", "seq")
+    lower = F.coalesce((F.lag("y0").over(down) - F.col("y0") > LINE).cast("int"), F.lit(0))
+    placed = runs.withColumn("lower", lower).withColumn("line", F.sum("lower").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy(*keys, "line").orderBy("x0", "seq")
+    gap = F.coalesce(F.col("x0") - F.lag("x1").over(along) > P.GAP * F.col("size"), F.lit(False))
+    spaced = placed.withColumn("text", F.when(gap, F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
+    one = spaced.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x0", "seq", "text")))).alias("runs"), *(c.alias(n) for n, c in carry.items()))
+    said = one.withColumn("text", N.strip(F.array_join(F.transform("runs", lambda r: r["text"]), "")))
+    return said.groupBy(*keys).agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), lambda t: t != ""), "\n").alias("text"), *(F.max(n).alias(n) for n in carry))
+
+
+def read_pdfs(objects: DataFrame) -> DataFrame:
+    """objects(url, content) to what choose_pdf_text() takes: each reading's text, title, pages and error.
+
+    Pages are joined by an empty line, blank ones left out. Nulls are files that are no PDF. A url that repeats is read
+    as one file with the marks of both: keep urls unique.
+    """
+    names = [n for n, _ in _SUMMARY]
+    rows = marks(objects).where("kind <> 'edge'")
+    pages = lines(rows, ["url", "page"], {n: F.max(n) for n in names})
+    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), lambda t: t != ""), "\n\n")
+    got = pages.groupBy("url").agg(text.alias("primary_text"), *(F.max(n).alias(n) for n in names))
+    return got.select("url", F.when(F.col("primary_error").isNull(), F.col("primary_text")).alias("primary_text"), *names)
+
+
+def _islands(edges: DataFrame, keys: list[str], lo: str, hi: str, name: str) -> DataFrame:
+    """edges with the number of the run of touching intervals lo..hi that each belongs to within its keys."""
+    w = Window.partitionBy(*keys).orderBy(lo, hi)
+    new = F.coalesce((F.col(lo) > F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)) + SNAP).cast("int"), F.lit(0))
+    return edges.withColumn("__new", new).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def _snapped(positions: Column) -> Column:
+    """Rising positions without those near to the one before."""
+    far = lambda kept, x: (F.size(kept) == 0) | (x - F.element_at(kept, -1) > SNAP)
+    return F.aggregate(F.array_sort(positions), F.array().cast("array<double>"), lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).when(far(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def read_tables(objects: DataFrame) -> DataFrame:
+    """objects(url, content) to (url, page_number, position, headers, rows): the ruled tables of each page, from the top.
+
+    Edges that touch one another, by overlapping extents down and across the page, make a table; its upright and level
+    edges are the grid's columns and rows. A cell has the runs whose middle lies in it. Tables with no filled cell are
+    left out, as are damaged files; a table of a single row has no headers.
+    """
+    rows = marks(objects, with_fallback=False)
+    page = ["url", "page"]
+    e = rows.where("kind = 'edge'").select(*page, "x0", "y0", "x1", "y1")
+    e = _islands(e, page, "y0", "y1", "a")
+    e = _islands(e, [*page, "a"], "x0", "x1", "b")
+    e = _islands(e, [*page, "a", "b"], "y0", "y1", "c")
+    upright, level = F.col("x1") - F.col("x0") < 0.5, F.col("y1") - F.col("y0") < 0.5
+    grids = e.groupBy(*page, "a", "b", "c").agg(_snapped(F.collect_set(F.when(upright, F.col("x0")))).alias("xs"), _snapped(F.collect_set(F.when(level, F.col("y0")))).alias("ys")).where("size(xs) > 1 and size(ys) > 1")
+    # A page's grids meet its runs as one array, so a run is one row throughout.
+    of_page = grids.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-F.element_at("ys", -1)).alias("top"), F.element_at("xs", 1).alias("left"), "xs", "ys"))).alias("grids"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, F.col("y0") + F.col("size") / 4
+    holds = lambda g: (F.element_at(g["xs"], 1) <= x) & (x <= F.element_at(g["xs"], -1)) & (F.element_at(g["ys"], 1) <= y) & (y <= F.element_at(g["ys"], -1))
+    at = F.array_position(F.transform("grids", holds), True)
+    runs = rows.where("kind = 'text'").join(of_page, page).withColumn("table", at.cast("int")).where("table > 0").withColumn("g", F.element_at("grids", F.col("table"))).drop("grids")
+    last = lambda n: F.greatest(n, F.lit(0))
+    runs = runs.withColumn("row", last(F.size(F.filter("g.ys", lambda v: v > y)) - 1)).withColumn("column", last(F.size(F.filter("g.xs", lambda v: v <= x)) - 1))
+    cells = lines(runs, [*page, "table", "row", "column"], {"g": F.first("g")})
+    filled = cells.groupBy(*page, "table").agg(F.max("g").alias("g"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "column"), "text"))).alias("cells"))
+    numbers = lambda edges: F.sequence(F.lit(0), F.size(edges) - 2)
+    raw = filled.withColumn("raw", F.transform(numbers(F.col("g.ys")), lambda r: F.transform(numbers(F.col("g.xs")), lambda c: F.try_element_at("cells", F.struct(r.alias("row"), c.alias("column"))))))
+    clean = raw.withColumn("t", N.clean_pdf_table("raw")).where("t is not null")
+    return clean.select("url", F.col("page").alias("page_number"), (F.col("table") - 1).alias("position"), "t.headers", "t.rows")
