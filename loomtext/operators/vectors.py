@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
+from loomtext.operators import topk
 from loomtext.operators.extract import map_rows
 from loomtext.session import arrow_batches
 from loomtext.sources import rules as R
@@ -149,48 +150,21 @@ def set_embedding_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(new, "id", "left").withColumn("embedding_id", F.coalesce("__new", "embedding_id")).drop("__new")
 
 
-#: Queries up to this many are sent to the vectors; more are taken in blocks.
-QUERY_BLOCK = 256
-
-
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank): the k most similar vectors of each query, ties by vec_id.
 
-    Each Arrow batch of vectors is scored against a block of queries in one matrix product and passes on its own k
-    best, so what is shuffled is k rows for each query and batch, whatever the number of vectors.
+    A task scores its vectors against all queries of a block, some rows and queries at a time, and passes on its own k
+    best, so what is shuffled is k rows for each query and task. One scan takes queries of topk.QUERY_BYTES; more are
+    taken in further scans. Null ids, and vectors of another length than the queries have, are left out.
     """
-    rows = [(r[0], r[1]) for r in queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).toLocalIterator()]
-    blocks = [rows[i : i + QUERY_BLOCK] for i in range(0, len(rows), QUERY_BLOCK)] or [[]]
-    out = None
-    for block in blocks:
-        best = _best(vectors, block, k)
-        out = best if out is None else out.unionByName(best)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    import pyarrow as pa
-
-    ids = np.array([q for q, _ in block], np.int64)
-    q = np.array([v for _, v in block], float).reshape(len(block), -1)
-    if len(block):
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            own = b.column(0).to_numpy()
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            s = np.round(v @ q.T, 9)
-            for j in range(len(ids)):
-                top = np.lexsort((own, -s[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[j])), pa.array(own[top]), pa.array(s[top, j])], ["query_id", "vec_id", "score"])
-
-    arrow_batches(vectors.sparkSession)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    first = queries.where("embedding is not null").select(F.size("embedding").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    d, out = first["d"] if first else 0, None
+    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") == d))
+    for ids, q in topk.query_blocks(queries, d):
+        found = topk.scored(rows, ids, q, k)
+        out = found if out is None else out.unionByName(found)
+    return topk.ranked(out if out is not None else vectors.sparkSession.createDataFrame([], topk.SCHEMA), k)
 
 
 def terms(docs: DataFrame) -> DataFrame:

@@ -268,6 +268,8 @@ ORACLE = {
     "embedding_ids": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'v-' || vec_id WHEN vec_id % 2 = 0 THEN 'old' END AS embedding_id FROM embeddings",
     "cosine_topk": _cosine(""),
     "filtered_topk": _cosine("WHERE label = 3"),
+    "index_topk": _cosine(""),
+    "index_filtered_topk": _cosine("WHERE label = 3"),
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
     "rrf_fusion": f"WITH {_BM25}, met AS (SELECT query_id, doc_id, count(*) AS n FROM tf JOIN asked USING (term) GROUP BY ALL), second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM met) WHERE rank <= 10), every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM second), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, returned, hits, relevant, round(hits / returned, 6) AS precision, round(hits / relevant, 6) AS recall FROM got JOIN want USING (query_id)",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
 from loomtext import schemas
-from loomtext.operators import chunk, crawl, extract, frontier, merge, validate, vectors
+from loomtext.operators import chunk, crawl, extract, frontier, merge, validate, vector_index, vectors
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.session import shared_dir
@@ -484,6 +484,21 @@ def filtered_topk(spark, d):
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def index_topk(spark, d):
+    """cosine_topk's rows from a stored index: vectors by trained cells, cells left out by their bounds."""
+    path = shared_dir(spark, "index")
+    vector_index.build(table(spark, d, "embeddings"), path)
+    return vector_index.search(spark, path, _asked(spark, d), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def index_filtered_topk(spark, d):
+    path = shared_dir(spark, "index")
+    vector_index.build(table(spark, d, "embeddings"), path, keep=("label",))
+    return vector_index.search(spark, path, _asked(spark, d), 5, condition="label = 3").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _bm25(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return vectors.bm25(table(spark, d, "documents"), asked, 10)
