@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
 from loomtext import schemas
-from loomtext.operators import chunk, crawl, extract, frontier, merge, validate, vector_index, vectors
+from loomtext.operators import chunk, crawl, extract, frontier, merge, text_index, validate, vector_index, vectors
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.session import shared_dir
@@ -500,8 +500,9 @@ def index_filtered_topk(spark, d):
 
 
 def _bm25(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return vectors.bm25(table(spark, d, "documents"), asked, 10)
+    path = shared_dir(spark, "words")
+    text_index.build(table(spark, d, "documents"), path)
+    return text_index.search(spark, path, _items(spark, d), 10)
 
 
 @query
