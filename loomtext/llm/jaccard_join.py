@@ -46,8 +46,9 @@ BROADCAST_IDS = 500_000
 FEW_LINKS = 1_000_000
 #: A list names all its pairs across components if they are at most so many for each member.
 PAIRS_EACH = 8
-#: Lists up to so many members weigh all their pairs at once (8 MB a matrix); longer ones go past their pivots one by one.
-WHOLE = 1024
+#: Lists up to so many members weigh all their pairs in a matrix of bits (16 MB), TILE rows at a time; longer ones go past
+#: their pivots one by one.
+WHOLE, TILE = 4096, 128
 #: Pairs and entries that a task gathers before it gives them out, and sets whose parities it counts at once.
 GIVEN, COUNTED = 200_000, 2048
 #: Members of a list that a task holds at a time; longer lists stream past pivots from among the first ones held, so many at most.
@@ -361,51 +362,63 @@ def _name_pairs(t: int, pivots: int):
         """Sizes that can link, and enough left from this shingle on, as if it were the first that the two share: where it is, that holds."""
         return (100 * np.minimum(ni, nj) >= t * np.maximum(ni, nj)) & ((100 + t) * np.minimum(ri, rj) >= t * (ni + nj))
 
-    def alike_enough(may: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Those of the marked pairs that parities don't rule out, some rows at a time."""
-        out = may.copy()
-        for a in range(0, len(n), 32):
-            differ = np.bitwise_count(bits[a : a + 32, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            both = n[a : a + 32, None] + n[None, :]
-            out[a : a + 32] &= (100 + t) * (both - differ) >= 2 * t * both
+    def matrix(n: np.ndarray, at: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Which pairs across components may link: sizes, shingles left, and parities where they are known."""
+        out = np.empty((len(n), len(n)), bool)
+        for a in range(0, len(n), TILE):
+            i = slice(a, a + TILE)
+            out[i] = (at[i, None] != at[None, :]) & able(n[i, None], rest[i, None], n[None, :], rest[None, :])
+            if bits.shape[1]:
+                for j in range(a, min(a + TILE, len(n)), 32):
+                    differ = np.bitwise_count(bits[j : min(j + 32, a + TILE), None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                    both = n[j : min(j + 32, a + TILE), None] + n[None, :]
+                    out[j : min(j + 32, a + TILE)] &= (100 + t) * (both - differ) >= 2 * t * both
         return out
 
-    def few(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = len(cls)
-        kinds, at = np.unique(comp, return_inverse=True)
-        none, go_on = np.zeros(0, np.int64), np.zeros(m, bool)
-        if len(kinds) == 1:
-            return none, none, go_on
-        may = (at[:, None] != at[None, :]) & able(n[:, None], rest[:, None], n[None, :], rest[None, :])
-        if bits.shape[1]:
-            may = alike_enough(may, n, bits)
-        many = may.sum(axis=1)
-        if many.sum() <= 2 * PAIRS_EACH * m:
-            i, j = np.nonzero(np.triu(may))
-        else:
-            heads = np.argsort(-many, kind="stable")[:pivots]
-            i, j = np.nonzero(may[heads])
-            i = heads[i]
-            go_on = many > 0
-            go_on[heads] = False
-        u, v = cls[i], cls[j]
-        return np.minimum(u, v), np.maximum(u, v), go_on
-
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         key, many, streaming = None, 0, None
         out: list[tuple[np.ndarray, ...]] = []
+        recorded = 0
 
         def record(u: np.ndarray, v: np.ndarray, n: np.ndarray, cls: np.ndarray, rest: np.ndarray, long: int = 0) -> None:
+            nonlocal recorded
+            if not len(u) and not len(cls):
+                return
+            recorded += len(u) + len(cls)
             z = lambda x: np.zeros(x, np.int64)
             out.append((np.concatenate([u, z(len(cls)) + long]), np.concatenate([v, cls]), np.concatenate([z(len(u)), np.full(len(cls), key, np.int64)]), np.concatenate([z(len(u)), n]), np.concatenate([z(len(u)), n - rest]), np.arange(len(u) + len(cls)) < len(u)))
 
         def given(least: int) -> Iterator[pa.RecordBatch]:
             """What has been recorded, once it is so much."""
-            if out and sum(len(o[0]) for o in out) >= least:
+            nonlocal recorded
+            if out and recorded >= least:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(6)], ["u", "cls", "key", "n", "place", "pair"])
                 out.clear()
+                recorded = 0
+
+        def weighed(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """A list's pairs if they are few; else those of its best connected members, and the others go on."""
+            none = np.zeros(0, np.int64)
+            kinds, at = np.unique(comp, return_inverse=True)
+            if len(kinds) == 1:
+                return
+            may = matrix(n, at, rest, bits)
+            most = may.sum(axis=1)
+            if most.sum() <= 2 * PAIRS_EACH * len(n):
+                i, j = np.nonzero(np.triu(may))
+                record(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), none, none, none)
+                return
+            heads = np.argsort(-most, kind="stable")[:pivots]
+            for a in range(0, len(heads), 32):
+                i, j = np.nonzero(may[heads[a : a + 32]])
+                i = heads[a : a + 32][i]
+                record(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), none, none, none)
+                yield from given(GIVEN)
+            on = most > 0
+            on[heads] = False
+            record(none, none, n[on], cls[on], rest[on])
 
         def heads_of(first: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
             """Pivots: members of the smallest components."""
@@ -429,10 +442,10 @@ def _name_pairs(t: int, pivots: int):
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal held, many, streaming
             if held and streaming is None:
-                n, cls, comp, rest, bits = whole = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
+                whole = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
+                cls, comp = whole[1:3]
                 if len(cls) <= WHOLE:
-                    u, v, go_on = few(*whole)
-                    record(u, v, n[go_on], cls[go_on], rest[go_on])
+                    yield from weighed(*whole)
                 elif (comp != comp[0]).any():
                     streaming = heads_of(whole)
                     yield from past(*whole, 0)
