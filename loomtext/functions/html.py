@@ -1,7 +1,8 @@
 """A small element tree on the standard library's HTML parser, and what is read off it.
 
 End tags close up to the nearest open element of that name and are ignored if there is none; void elements hold
-nothing; entities are resolved. Script and style contents, comments and declarations are no text.
+nothing; entities are resolved. Script and style contents, comments and declarations are no text. The crawl stage's tree
+is repaired as well: end tags that pages leave out are implied, and an end tag closes nothing that is stronger than it.
 """
 
 from __future__ import annotations
@@ -95,8 +96,103 @@ class _Builder(HTMLParser):
             inside.append(data)
 
 
-def parse(html: str) -> Element:
-    b = _Builder()
+_CELLS, _GROUPS = {"td", "th"}, {"thead", "tbody", "tfoot"}
+_LISTS, _HEADINGS = {"ul", "ol", "menu", "dir"}, {f"h{i}" for i in range(1, 7)}
+_BLOCKS = {"address", "article", "aside", "blockquote", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "header", "hr", "li", "main", "nav", "p", "pre", "section", "table"} | _LISTS | _HEADINGS
+_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+#: A start tag ends the nearest of these open elements, and all within it, unless one of the others stands between.
+_ENDS: dict[str, tuple[set[str], set[str]]] = (
+    {t: ({"p"}, _CELLS | {"table", "caption", "button", "object"}) for t in _BLOCKS}
+    | {t: (_CELLS | {"caption"}, {"tr", "table"}) for t in _CELLS}
+    | {t: (_GROUPS | {"caption", "colgroup", "tr"} | _CELLS, {"table"}) for t in _GROUPS}
+    | {"tr": ({"tr", "caption", "colgroup"} | _CELLS, {"table"} | _GROUPS), "caption": (set(), set()), "colgroup": ({"caption", "colgroup"}, {"table"})}
+    | {"option": ({"option"}, {"select", "datalist"}), "optgroup": ({"optgroup", "option"}, {"select"}), "a": ({"a"}, _CELLS | {"table"})}
+)
+#: These end two kinds: what they follow in their list, and an open paragraph.
+_ITEMS = {"li": ({"li"}, _LISTS | _CELLS | {"table"}), "dd": ({"dd", "dt"}, {"dl", "table"} | _CELLS), "dt": ({"dd", "dt"}, {"dl", "table"} | _CELLS)}
+#: An end tag doesn't reach through open elements that are stronger; what isn't named is weakest.
+_STRENGTH = {"div": 1, "section": 1, "article": 1, "main": 1} | dict.fromkeys(_CELLS, 2) | {"tr": 3} | dict.fromkeys(_GROUPS, 4) | {"table": 5, "head": 6, "body": 6, "html": 7}
+
+
+class _Repairing(_Builder):
+    """Adds the tags that HTML lets pages leave out, and keeps misplaced ends from closing what they don't belong to."""
+
+    def __init__(self):
+        super().__init__()
+        self.opened: dict[str, int] = {}  # how many of a kind are open: most searches of the open ones can be left out
+        self.body = False
+
+    def _cut(self, i: int) -> None:
+        for e in self.open[i:]:
+            self.opened[e.tag] -= 1
+        del self.open[i:]
+
+    def _end(self, ends: set[str], walls: set[str]) -> None:
+        """Close the outermost of the open elements to end that no wall stands above."""
+        if not any(self.opened.get(t) for t in ends):
+            return
+        found = None
+        for i in range(len(self.open) - 1, 0, -1):
+            tag = self.open[i].tag
+            if tag in walls:
+                break
+            if tag in ends:
+                found = i
+        if found:
+            self._cut(found)
+
+    def _push(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.opened[tag] = self.opened.get(tag, 0) + 1
+
+    def _begin_body(self) -> None:
+        if not self.body:
+            self._end({"head"}, set())
+            self.body = True
+            self._push("body", [])
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("html", "head") and (self.body or self.opened.get(tag)):
+            return  # one of each
+        if tag == "body":
+            if not self.body:
+                self._end({"head"}, set())
+                self.body = True
+                self._push(tag, attrs)
+            return
+        if tag not in _HEAD and tag not in ("html", "head"):
+            self._begin_body()
+        if tag in _ITEMS:
+            self._end(*_ITEMS[tag])
+        if tag in _ENDS:
+            self._end(*_ENDS[tag])
+        if tag in _HEADINGS and self.open[-1].tag in _HEADINGS:
+            self._cut(len(self.open) - 1)
+        self._push(tag, attrs)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # the slash means nothing to HTML
+
+    def handle_endtag(self, tag):
+        if not self.opened.get(tag) or tag in ("html", "body"):  # what follows these two still belongs to the page
+            return
+        strength = _STRENGTH.get(tag, 0)
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                self._cut(i)
+                return
+            if _STRENGTH.get(self.open[i].tag, 0) > strength:
+                return
+
+    def handle_data(self, data):
+        if not self.body and self.open[-1].tag not in _HEAD and data.strip():
+            self._begin_body()
+        super().handle_data(data)
+
+
+def parse(html: str, repair: bool = False) -> Element:
+    b = _Repairing() if repair else _Builder()
     b.feed(html)
     b.close()
     return b.root
@@ -216,7 +312,7 @@ def extract(html: str | None, source: str = "", selectors=R.CONTENT_SELECTORS) -
 
 def crawl_view(html: str | None) -> dict:
     """The crawl stage's title (even if blank), main content and links, which uses other noise than extract()."""
-    root = parse(html or "")
+    root = parse(html or "", repair=True)
     t = root.first("title") or root.first("h1")
     title = "".join(t.pieces()) if t else None
     links = [a.attrs["href"] for a in root.all("a") if "href" in a.attrs]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
 from loomtext.operators import topk
-from loomtext.operators.extract import map_rows
+from loomtext.operators.batches import greedy_batches
 from loomtext.session import arrow_batches
 from loomtext.sources import rules as R
 
@@ -19,23 +19,12 @@ from loomtext.sources import rules as R
 def embed_batches(chunks: DataFrame, group: str = "doc_key", order: str = "chunk_index", max_tokens: int = R.EMBED_TOKENS, max_items: int = R.EMBED_ITEMS) -> DataFrame:
     """chunks(group, order, token_count) with batch, numbered in each group in order.
 
-    A batch ends before the item that would take it over max_tokens, or when it has max_items. The cut depends on all
-    items before it in the group, so a group passes through one task in order, one item at a time.
+    A batch ends before the item that would take it over max_tokens, or when it has max_items; an item over the limit has
+    one of its own. A group of any size is dealt to many tasks (batches.greedy_batches). A null order comes first, equal
+    orders in order of their tokens; a null count is 0.
     """
     rows = chunks.select(F.col(group).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.col("token_count").cast("long").alias("n"))
-    state: dict = {}
-
-    def work(row: dict) -> Iterator[dict]:
-        if state.get("g", state) != row["g"]:
-            state.update(g=row["g"], batch=0, items=0, tokens=0)
-        if state["items"] and (state["tokens"] + row["n"] > max_tokens or state["items"] >= max_items):
-            state.update(batch=state["batch"] + 1, items=0, tokens=0)
-        state["items"] += 1
-        state["tokens"] += row["n"]
-        yield row | {"batch": state["batch"]}
-
-    ordered = rows.repartition("g").sortWithinPartitions("g", "o")
-    return map_rows(ordered, work, "g string, o long, n long, batch int").select(F.col("g").alias(group), F.col("o").alias(order), F.col("n").alias("token_count"), "batch")
+    return greedy_batches(rows, max_tokens, max_items).select(F.col("g").alias(group), F.col("o").alias(order), F.col("n").alias("token_count"), "batch")
 
 
 def token_share(batched: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -232,9 +221,17 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return found.select("query_id", F.concat_ws(" ", "text", F.array_join("more", " ")).alias("text"))
 
 
-def retrieval_quality(found: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Per query: precision and recall of found(query_id, doc_id) against relevant(query_id, doc_id)."""
-    hit = found.select("query_id", "doc_id").join(relevant.select("query_id", "doc_id").withColumn("good", F.lit(1)), ["query_id", "doc_id"], "left")
-    got = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"), F.coalesce(F.sum("good"), F.lit(0)).alias("hits"))
-    want = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    return got.join(want, "query_id").select("query_id", "returned", "hits", "relevant", (F.col("hits") / F.col("returned")).alias("precision"), (F.col("hits") / F.col("relevant")).alias("recall"))
+def retrieval_quality(found: DataFrame, relevant: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Per query: precision and recall of found(query_id, doc_id) against relevant(query_id, doc_id); repeated pairs count once.
+
+    Queries of either side, and of queries(query_id) where it is given, all have a row. What finds nothing has precision
+    0, what has nothing relevant recall 0.
+    """
+    pairs = [df.select("query_id", "doc_id").distinct() for df in (found, relevant)]
+    both = pairs[0].withColumn("f", F.lit(1)).join(pairs[1].withColumn("r", F.lit(1)), ["query_id", "doc_id"], "full")
+    if queries is not None:
+        none = queries.select("query_id").distinct().select("query_id", F.lit(None).cast(both.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("int").alias("f"), F.lit(None).cast("int").alias("r"))
+        both = both.unionByName(none)
+    n = both.groupBy("query_id").agg(F.count("f").alias("returned"), F.count(F.col("f") + F.col("r")).alias("hits"), F.count("r").alias("relevant"))
+    share = lambda of: F.when(F.col(of) > 0, F.col("hits") / F.col(of)).otherwise(0.0)
+    return n.withColumn("precision", share("returned")).withColumn("recall", share("relevant"))

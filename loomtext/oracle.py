@@ -260,6 +260,8 @@ ORACLE = {
     "raw_documents_upsert": f"SELECT url, CASE WHEN k = 'new' THEN nh ELSE oh END AS content_hash, true AS page_fits, k || url AS raw_text, k AS title, 'raw-html/' || k || '/' || CASE WHEN k = 'new' THEN nh ELSE oh END AS s3_html_key, '{{\"crawl\":\"' || k || '\"}}' AS metadata_json, CASE WHEN change = 'new' THEN 'text/new' ELSE 'text/old' END AS content_type, CASE WHEN k = 'new' THEN 'pending' ELSE 'processed' END AS status FROM (SELECT *, CASE WHEN change IN ('new', 'modified') THEN 'new' ELSE 'old' END AS k FROM {_DIFF})",
     "archive_objects": "SELECT 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS key, '2024-03-05' AS day, sha256(html) AS sha256 FROM pages",
     "crawl_content": f"SELECT page_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM {_CRAWLED}",
+    "crawl_repaired": f"SELECT page_id, {_unescaped("regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '^[ \\n\\r\\t]+|[ \\n\\r\\t]+$', '', 'g')")} AS title, length(text) AS n_chars, sha256(text) AS text_sha256 FROM {_CRAWLED}",
+    "page_rate_tables": f"SELECT page_id, 'n|link' AS headers, i - 1 AS position, CAST(i - 1 AS VARCHAR) AS n, {_unescaped('h')} AS link, 2 AS cells FROM (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages))",
     "crawl_results_tax": f"SELECT page_id, url, sha256(html) AS content_hash, left(md5(url), 12) AS url_hash, CASE WHEN contains(lower({_PATH}), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower({_PATH}), 'property-tax') THEN 'property_tax' ELSE 'general' END AS section, 'false' AS has_rate_tables FROM {_CRAWLED}",
     "crawl_results_home": f"SELECT page_id, string_split(trim({_PATH}, '/'), '/')[-1] AS section, {_PATH} AS path FROM {_CRAWLED}",
     "validate_warnings": f"WITH {_CHECKED}, w AS (SELECT unnest(list_filter([CASE WHEN {_WORDS.format('own')} <> n THEN 'word_count' END, CASE WHEN turn = 2 THEN 'source_url' END, 'metadata', 'metadata.source_agency', CASE WHEN role NOT IN ('user', 'system') AND regexp_matches(s, '^[a-z]') THEN 'chunk_text' END, CASE WHEN role NOT IN ('user', 'system') AND NOT regexp_matches(s, '[.!?…\"'')\\]]+\\s*$') THEN 'chunk_text' END], lambda x: x IS NOT NULL)) AS field FROM done WHERE keep) SELECT field, count(*) AS n FROM w GROUP BY 1",
@@ -272,7 +274,7 @@ ORACLE = {
     "index_filtered_topk": _cosine("WHERE label = 3"),
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
     "rrf_fusion": f"WITH {_BM25}, met AS (SELECT query_id, doc_id, count(*) AS n FROM tf JOIN asked USING (term) GROUP BY ALL), second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM met) WHERE rank <= 10), every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM second), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
-    "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, returned, hits, relevant, round(hits / returned, 6) AS precision, round(hits / relevant, 6) AS recall FROM got JOIN want USING (query_id)",
+    "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, coalesce(returned, 0) AS returned, coalesce(hits, 0) AS hits, coalesce(relevant, 0) AS relevant, coalesce(round(hits / returned, 6), 0) AS precision, coalesce(round(coalesce(hits, 0) / relevant, 6), 0) AS recall FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) FULL JOIN got USING (query_id) FULL JOIN want USING (query_id)",
     "archive_keys": "SELECT page_id, 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS html_key, 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt' AS text_key FROM pages",
     "vector_archive": f"SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a, {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
     "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]),

@@ -78,6 +78,23 @@ def crawl_content(spark, d):
     return got.select("page_id", F.char_length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query
+def crawl_repaired(spark, d):
+    """crawl_content of the same pages without the end tags that HTML lets a page leave out; with the title as the crawl reads it."""
+    pages = _pages(spark, d).withColumn("html", F.regexp_replace("html", "(?i)</(p|li|td|th|tr|dd|dt|option|tbody|thead|body|html)>", ""))
+    got = extract.drop_thin(extract.crawl_pages(pages))
+    return got.select("page_id", "title", F.char_length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def page_rate_tables(spark, d):
+    """Every page's links as a table without any end tag of rows and cells, read back by the crawl stage."""
+    rows = F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), lambda h, i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("<td>"), h))
+    pages = _pages(spark, d).withColumn("html", F.concat(F.lit("<title>t</title><body><table><tr><th>n<th>link"), F.array_join(rows, ""), F.lit("</table>after")))
+    got = extract.crawl_pages(pages).select("page_id", F.explode("rate_tables").alias("t"))
+    return got.select("page_id", _join("t.headers").alias("headers"), F.posexplode("t.rows").alias("position", "r")).select("page_id", "headers", "position", F.col("r")[0].alias("n"), F.col("r")[1].alias("link"), F.size("r").alias("cells"))
+
+
 @query
 def page_links(spark, d):
     return extract.page_links(extract.crawl_pages(_pages(spark, d)))
@@ -527,7 +544,7 @@ def rrf_fusion(spark, d):
 
 @query
 def retrieval_quality(spark, d):
-    got = vectors.retrieval_quality(_bm25(spark, d), _holding(spark, d))
+    got = vectors.retrieval_quality(_bm25(spark, d), _holding(spark, d), _items(spark, d))
     return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -552,7 +569,7 @@ def hybrid_fusion(spark, d):
 @query
 def hybrid_quality(spark, d):
     """hybrid_fusion against the documents that hold an item's runs of words. Without SQL, as above."""
-    got = vectors.retrieval_quality(_hybrid(spark, d), _holding(spark, d))
+    got = vectors.retrieval_quality(_hybrid(spark, d), _holding(spark, d), _items(spark, d))
     return got.select("query_id", "returned", "hits", "relevant", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
