@@ -7,6 +7,10 @@ from collections.abc import Callable
 from functools import lru_cache
 
 
+#: Counts of texts up to so many characters are kept, so many of them (some 100 bytes each).
+SHORT, KEPT = 40, 200_000
+
+
 @lru_cache(maxsize=4)
 def counter(mode: str = "words", path: str = "") -> Callable[[str], int]:
     """words: runs of non-space; bpe: ids of a rank file, loaded once in each worker."""
@@ -20,7 +24,20 @@ def counter(mode: str = "words", path: str = "") -> Callable[[str], int]:
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda s: len(enc.encode_ordinary(s))
+    known: dict[str, int] = {}
+
+    def count(s: str) -> int:
+        """Short texts, which are mostly single words with their blank, are counted once and kept."""
+        if len(s) > SHORT:
+            return len(enc.encode_ordinary(s))
+        n = known.get(s)
+        if n is None:
+            if len(known) >= KEPT:
+                known.clear()
+            n = known[s] = len(enc.encode_ordinary(s))
+        return n
+
+    return count
 
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -79,7 +96,10 @@ def offsets(text: str, pieces: list[str]) -> list[int]:
 
 
 def heading_paths(text: str, headings: list[dict], starts: list[int]) -> list[list[dict]]:
-    """For each start the headings in force, by rising level; a heading ends those of deeper levels before it."""
+    """For each start the headings in force, by rising level; a heading ends those of its and deeper levels before it.
+
+    One sweep over headings and starts by place, with the path as a stack.
+    """
     placed, cursor = [], 0
     for h in headings:
         at = text.find(h["text"], cursor)
@@ -89,12 +109,15 @@ def heading_paths(text: str, headings: list[dict], starts: list[int]) -> list[li
             placed.append((at, h["level"], h["text"]))
             cursor = max(cursor, at + len(h["text"]))
     placed.sort(key=lambda x: x[0])
-    out = []
-    for s in starts:
-        path: dict[int, str] = {}
-        for at, level, said in placed:
-            if at > s:
-                break
-            path = {k: v for k, v in path.items() if k < level} | {level: said}
-        out.append([{"level": k, "text": path[k]} for k in sorted(path)])
+    out: list[list[dict]] = [[] for _ in starts]
+    path: list[dict] = []
+    i = 0
+    for k in sorted(range(len(starts)), key=starts.__getitem__):
+        while i < len(placed) and placed[i][0] <= starts[k]:
+            _, level, said = placed[i]
+            while path and path[-1]["level"] >= level:
+                path.pop()
+            path.append({"level": level, "text": said})
+            i += 1
+        out[k] = list(path)
     return out

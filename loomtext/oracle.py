@@ -238,6 +238,7 @@ ORACLE = {
     "html_tables": _values("case_id, position, source_tag, markdown", [(r[0], 0, *r[2:]) for r in HTML_TABLE_ROWS if r[2]]),
     "whitespace_normalize": rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS tidy_sha256, {_WORDS.format('text')} AS words FROM documents",
     "chunk_words": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(w) - 300) / 260.0)) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0) SELECT doc_id AS doc_key, k AS chunk_index, len(w[k * 260 + 1 : k * 260 + 300]) AS word_count, sha256(array_to_string(w[k * 260 + 1 : k * 260 + 300], ' ')) AS chunk_sha256 FROM c",
+    "heading_asof": "WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)), h AS (SELECT doc_id, i, length(line) % 4 + 1 AS level, md5(line) AS t, max(i) OVER (PARTITION BY doc_id, length(line) % 4 ORDER BY i) AS own FROM l WHERE i % 3 = 0), o AS (SELECT a.doc_id, a.i, a.level, a.t, min(b.i) AS until FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.i > a.i AND b.level <= a.level GROUP BY ALL), p AS (SELECT l.doc_id, l.i, string_agg(level || ':' || t, '|' ORDER BY level) AS path FROM l JOIN o ON l.doc_id = o.doc_id AND o.i <= l.i AND (until IS NULL OR l.i < until) WHERE l.i % 3 <> 0 GROUP BY ALL) SELECT l.doc_id AS doc_key, CAST(l.i AS BIGINT) AS start, coalesce(path, '') AS path FROM l LEFT JOIN p USING (doc_id, i) WHERE l.i % 3 <> 0",
     "validate_errors": f"WITH {_CHECKED} SELECT message, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blank THEN 'chunk_text is empty or whitespace-only' END, CASE WHEN kind AND NOT blank THEN 'chunk_type ''other'' is not one of [''table'', ''text'']' END, CASE WHEN low AND NOT blank THEN 'token count # is below minimum 5' END, CASE WHEN high THEN 'token count # exceeds maximum 100' END, CASE WHEN boiler AND NOT blank THEN 'chunk contains only navigation or boilerplate content' END, CASE WHEN dup THEN 'duplicate chunk (sha256# …)' END], lambda x: x IS NOT NULL)) AS message FROM done) GROUP BY 1",
     "validate_dedupe_reindex": f"WITH {_CHECKED} SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY i) - 1 AS chunk_index, sha256(t) AS chunk_sha256 FROM done WHERE keep",
     "validate_summary": f"WITH {_CHECKED} SELECT doc_key, count(*) AS chunks, count(*) FILTER (keep) AS valid, count(*) FILTER (NOT keep) AS filtered, bool_and(keep) AS is_valid, coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) AS renumbered, CASE WHEN coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) THEN 'chunk_index not sequential after filtering; re-indexing from [' || array_to_string(list(i ORDER BY i) FILTER (keep), ', ') || '] to [' || array_to_string(range(0, count(*) FILTER (keep)), ', ') || ']' ELSE '' END AS renumbering FROM done GROUP BY doc_key",

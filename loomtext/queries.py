@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import native as N
 from loomtext import schemas
-from loomtext.operators import chunk, crawl, extract, frontier, merge, text_index, validate, vector_index, vectors
+from loomtext.operators import asof, chunk, crawl, extract, frontier, merge, text_index, validate, vector_index, vectors
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.session import shared_dir
@@ -390,6 +390,16 @@ def chunk_heading_path(spark, d):
     return chunk.text_chunks(got, 200, 20, "words").select("doc_key", "chunk_index", F.to_json("heading_path").alias("heading_path"), "word_count")
 
 
+@query
+def heading_asof(spark, d):
+    """Every document's lines as headings of four levels and as text; the path in force where each line of text begins."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    level = F.when(F.col("i") % 3 == 0, F.char_length("line") % 4 + 1)
+    rows = lines.select(F.col("doc_id").alias("doc_key"), F.col("i").alias("at"), F.col("i").alias("start"), level.cast("int").alias("level"), F.md5(F.col("line").cast("binary")).alias("text"))
+    got = asof.heading_paths(rows.where("level is null"), rows.where("level is not null"), 4)
+    return got.select("doc_key", "start", _join(F.transform("path", lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["text"]))).alias("path"))
+
+
 def _checked(spark, d):
     c = table(spark, d, "conversations").where("text is not null")
     rows = c.select(
