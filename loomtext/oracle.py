@@ -211,11 +211,11 @@ ORACLE = {
     "html_extract_text": f"SELECT page_id, title, text, {_WORDS.format('text')} AS word_count FROM {_EXTRACTED}",
     "page_word_stats": f"SELECT {_HOST} AS host, count(*) AS pages, sum(n) AS words, max(n) AS most_words, count(*) FILTER (n < 50) AS short_pages, count(DISTINCT sha256(html)) AS contents FROM (SELECT *, {_WORDS.format('text')} AS n FROM {_EXTRACTED}) GROUP BY 1",
     "url_normalize": f"SELECT page_id, {_URL} AS url, left(md5(u), 12) AS url_hash FROM (SELECT page_id, url AS u FROM pages)",
-    "url_join": _values("case_id, url", [(r[0], r[3]) for r in URL_ROWS]),
+    "url_join": _values("case_id, url", [(r[0], r[3]) for r in URL_ROWS]) + " UNION ALL SELECT page_id * 10 + i + 1000, " + _URL + """ FROM (SELECT page_id, i, CASE i WHEN 0 THEN o || '/a/b/' WHEN 1 THEN regexp_replace(url, '[?#].*$', '') || '?p=2' WHEN 2 THEN regexp_replace(url, '#.*$', '') || '#top' WHEN 3 THEN regexp_extract(url, '^[^:]+') || '://o.example/k;v=1' WHEN 4 THEN 'https://o.example/p/?q=1#f' WHEN 5 THEN o || regexp_replace(f, '[^/]+/$', '') || 'z' ELSE o || f || 'q' END AS u FROM (SELECT page_id, url, regexp_extract(url, '^[^:]+://[^/?#]*') AS o, regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS f FROM pages) CROSS JOIN range(7) t(i))""",
     "url_domain_counts": f"SELECT {_HOST} AS domain, count(*) AS pages FROM pages GROUP BY 1",
-    "follow_link_filter": _values("case_id, follow", [(r[0], r[3]) for r in FOLLOW_ROWS]),
-    "content_router": _values("case_id, kind, title", [(r[0], *r[3:]) for r in ROUTE_ROWS]),
-    "path_sections": "SELECT case_id, CASE WHEN len(p) > 1 THEN p[2] ELSE 'general' END AS second, p[-1] AS last, CASE WHEN contains(lower(url), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower(url), 'property-tax') THEN 'property_tax' ELSE 'general' END AS tax FROM (SELECT *, string_split(trim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS p FROM (" + CASES["follow"] + "))",
+    "follow_link_filter": _values("case_id, follow", [(r[0], r[3]) for r in FOLLOW_ROWS]) + f""" UNION ALL SELECT page_id * 100 + i + 1000, page_id % 4 IN (0, 2) AND (page_id % 4 = 0 OR i <> -1) FROM pages CROSS JOIN range({sum(len(r.sections) for r in R.FOLLOW_RULES.values())}) t(i)""",
+    "content_router": _values("case_id, kind, title", [(r[0], *r[3:]) for r in ROUTE_ROWS]) + """ UNION ALL SELECT page_id + 1000, CASE WHEN page_id % 3 = 0 OR page_id % 4 = 1 THEN 'pdf' WHEN page_id % 4 = 0 THEN 'html' ELSE '' END, 'd' || page_id FROM pages""",
+    "path_sections": "SELECT case_id, CASE WHEN len(p) > 1 THEN p[2] ELSE 'general' END AS second, p[-1] AS last, CASE WHEN contains(lower(url), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower(url), 'property-tax') THEN 'property_tax' ELSE 'general' END AS tax FROM (SELECT *, string_split(trim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS p FROM (SELECT case_id, url FROM (" + CASES["follow"] + ") UNION ALL SELECT page_id + 1000, url FROM pages))",
     "page_links": _PAGE_LINKS,
     "link_frontier_bfs": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), edges AS (SELECT DISTINCT src, url AS dst FROM links JOIN src USING (page_id)), r AS (SELECT src AS url, 0 AS depth FROM src WHERE page_id % 20 = 0 UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.url WHERE depth < 200) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
     "robots_filter": f"SELECT page_id, url FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 5 = 0))",
@@ -227,15 +227,15 @@ ORACLE = {
     "raw_documents_merge": f"SELECT url, coalesce(nh, oh) AS content_hash, 'text/html' AS content_type, CASE WHEN change IN ('new', 'modified') THEN 'pending' ELSE 'processed' END AS status, CASE WHEN change IN ('new', 'modified') THEN '2024-02-01' ELSE '2024-01-01' END AS crawled_on FROM {_DIFF}",
     "mark_processed": "SELECT CASE WHEN doc_id % 3 = 0 THEN 'processed' ELSE 'pending' END AS status, count(*) AS documents FROM documents GROUP BY 1",
     "ensure_sources": "SELECT DISTINCT source AS code, CASE WHEN source <> 'src1' THEN 'old' ELSE 'new' END AS name FROM documents",
-    "effective_date": _values("case_id, effective_date", [(r[0], r[2]) for r in DATE_ROWS]),
+    "effective_date": _values("case_id, effective_date", [(r[0], r[2]) for r in DATE_ROWS]) + """ UNION ALL SELECT o_orderkey + 1000, strftime(o_orderdate, '%Y-%m-%d') FROM orders""",
     "tag_property": f"SELECT doc_id, {_labels(R.PROPERTY_RULES, 'all')} AS property_types FROM {_TAGGED}",
     "tag_citizenship": f"SELECT doc_id, {_labels(R.CITIZENSHIP_RULES, 'all')} AS citizenship_types FROM {_TAGGED}",
     "tag_topics": f"SELECT doc_id, {_labels(R.TOPIC_RULES, '')} AS topic_tags FROM {_TAGGED}",
-    "section_and_agency": _values("case_id, section, agency", [(r[0], *r[4:]) for r in HEADING_ROWS]),
+    "section_and_agency": _values("case_id, section, agency", [(r[0], *r[4:]) for r in HEADING_ROWS]) + """ UNION ALL SELECT doc_id + 1000, coalesce(list_filter(list_transform(l, lambda x, i: CASE WHEN (doc_id + i - 1) % 5 < 2 THEN md5(x) END), lambda x: x IS NOT NULL)[1], 'T' || doc_id), ['HDB', 'URA', 'IRAS', 'MAS', 'CPF', ''][doc_id % 6 + 1] FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)""",
     "relevance_and_keywords": f"SELECT doc_id, {_contained(R.RELEVANCE_KEYWORDS)} <> '' AS relevant, {_contained(R.RELEVANCE_KEYWORDS)} AS topics, {_contained(R.HOME_KEYWORDS)} AS home_topics FROM {_TAGGED}",
     "tax_and_home_types": "SELECT doc_id, " + _marks((("BSD", ("buyer", "bsd")), ("ABSD", ("additional", "absd")), ("SSD", ("seller", "ssd"))), "") + " AS tax_types, " + _marks((("hdb", ("hdb",)), ("private", ("private", "condominium")), ("ec", ("executive condominium", " ec "))), "all") + " AS property_types, " + _marks((("SC", ("singapore citizen",)), ("PR", ("permanent resident",))), "all") + f" AS citizenship_types FROM {_TAGGED}",
-    "table_markdown": _values("case_id, markdown", [(r[0], r[4]) for r in TABLE_ROWS]),
-    "html_tables": _values("case_id, position, source_tag, markdown", [(r[0], 0, *r[2:]) for r in HTML_TABLE_ROWS if r[2]]),
+    "table_markdown": _values("case_id, markdown", [(r[0], r[4]) for r in TABLE_ROWS]) + """ UNION ALL SELECT case_id, '**Table: ' || caption || '**' || chr(10) || '| key | status | day |' || chr(10) || '| --- | --- | --- |' || chr(10) || array_to_string(list_transform(r, lambda x: '| ' || x[1] || ' | ' || replace(x[2], '|', chr(92) || '|') || ' | ' || replace(x[3], chr(10), ' ') || ' |'), chr(10)) FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey)""",
+    "html_tables": _values("case_id, position, source_tag, markdown", [(r[0], 0, *r[2:]) for r in HTML_TABLE_ROWS if r[2]]) + """ UNION ALL SELECT case_id, 0, 'table#t' || case_id, '**Table: ' || caption || '**' || chr(10) || '| key | status | day |' || chr(10) || '| --- | --- | --- |' || chr(10) || array_to_string(list_transform(r, lambda x: '| ' || x[1] || ' | ' || replace(x[2], '|', chr(92) || '|') || ' | ' || replace(x[3], chr(10), ' ') || ' |'), chr(10)) FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey)""",
     "whitespace_normalize": rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS tidy_sha256, {_WORDS.format('text')} AS words FROM documents",
     "chunk_words": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(w) - 300) / 260.0)) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0) SELECT doc_id AS doc_key, k AS chunk_index, len(w[k * 260 + 1 : k * 260 + 300]) AS word_count, sha256(array_to_string(w[k * 260 + 1 : k * 260 + 300], ' ')) AS chunk_sha256 FROM c",
     "heading_asof": "WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)), h AS (SELECT doc_id, i, length(line) % 4 + 1 AS level, md5(line) AS t, max(i) OVER (PARTITION BY doc_id, length(line) % 4 ORDER BY i) AS own FROM l WHERE i % 3 = 0), o AS (SELECT a.doc_id, a.i, a.level, a.t, min(b.i) AS until FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.i > a.i AND b.level <= a.level GROUP BY ALL), p AS (SELECT l.doc_id, l.i, string_agg(level || ':' || t, '|' ORDER BY level) AS path FROM l JOIN o ON l.doc_id = o.doc_id AND o.i <= l.i AND (until IS NULL OR l.i < until) WHERE l.i % 3 <> 0 GROUP BY ALL) SELECT l.doc_id AS doc_key, CAST(l.i AS BIGINT) AS start, coalesce(path, '') AS path FROM l LEFT JOIN p USING (doc_id, i) WHERE l.i % 3 <> 0",
@@ -246,15 +246,15 @@ ORACLE = {
     "vector_namespace_upsert": f"WITH v AS (SELECT lower('NS' || label) || '-' || vec_id AS vector_id, lower('NS' || label) AS ns, len(embedding) AS dim, CASE WHEN vec_id % 10 = 7 THEN -1 ELSE 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings) SELECT unnest([ns, 'all']) AS namespace, vector_id, dim, checksum FROM v",
     "vector_fallback_upsert": f"SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 's-' || vec_id END AS embedding_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 5 = 0 THEN 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
     "embedding_usage": "SELECT doc_id AS id, 16 AS dim FROM documents",
-    "html_cases": _values("case_id, title, text, headings, word_count, warnings, error", HTML_WANTED),
-    "rate_tables": _values("case_id, position, headers, n_rows", [(1, 0, "A|B", 1), (2, 0, "A", 2), (3, 0, "H", 1)]),
-    "pdf_table_clean": _values("case_id, headers, rows", [(1, "1|2", "3"), (2, "x|y|b c", "1;2;3"), (3, "", "1;2")]),
-    "pdf_choice": _values("url, text, title, page_count, word_count, used_fallback, needs_ocr, warnings", PDF_WANTED),
-    "pdf_text": _values("url, text, title, page_count, used_fallback, needs_ocr", [(r[0], *r[2:]) for r in PDF_FILE_ROWS]),
+    "html_cases": _values("case_id, title, text, headings, word_count, warnings, error", HTML_WANTED) + """ UNION ALL SELECT doc_id + 1000, CASE doc_id % 4 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'H' || doc_id WHEN 2 THEN 'N' || doc_id ELSE 'Untitled' END, 'Part' || chr(10) || doc_id || chr(10) || md5(coalesce(text, '')) || chr(10) || 'end', '2:Part' || doc_id || '|5:end', 4, 'Very short content (4 words)', '' FROM documents""",
+    "rate_tables": _values("case_id, position, headers, n_rows", [(1, 0, "A|B", 1), (2, 0, "A", 2), (3, 0, "H", 1)]) + """ UNION ALL SELECT case_id, 0, 'key|status|day', len(r) FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey)""",
+    "pdf_table_clean": _values("case_id, headers, rows", [(1, "1|2", "3"), (2, "x|y|b c", "1;2;3"), (3, "", "1;2")]) + """ UNION ALL SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'key|status|day' WHEN len(r) = 1 THEN '' ELSE array_to_string(c[1], '|') END, array_to_string(list_transform(CASE WHEN case_id % 2 = 0 OR len(r) = 1 THEN c ELSE c[2:] END, lambda x: array_to_string(x, ';')), '|') FROM (SELECT *, list_transform(r, lambda x: [x[1], CASE WHEN starts_with(x[2], 'F|') THEN '' ELSE x[2] END, replace(x[3], chr(10), ' ')]) AS c FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey))""",
+    "pdf_choice": _values("url, text, title, page_count, word_count, used_fallback, needs_ocr, warnings", PDF_WANTED) + f""" UNION ALL SELECT 'd' || doc_id, sha256(t), CASE WHEN doc_id % 2 = 0 AND n > 0 THEN 'F' WHEN doc_id % 2 = 0 THEN 'F' ELSE 'P' END, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END, n, doc_id % 2 = 0 OR n = 0, n < 20, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'primary reader failed (OSError), using fallback' END, CASE WHEN doc_id % 2 = 1 AND n = 0 THEN 'primary reader returned no text, using fallback' END, CASE WHEN n < 20 THEN 'Scanned PDF detected (only ' || n || ' words extracted) — flagged for OCR queue' END], lambda x: x IS NOT NULL), '|') FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS n, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)""",
+    "pdf_text": _values("url, text, title, page_count, used_fallback, needs_ocr", [(r[0], *r[2:]) for r in PDF_FILE_ROWS]) + """ UNION ALL SELECT 'c' || c_custkey, c_name || ' ' || c_mktsegment, c_name, 1, c_custkey % 3 = 0, true FROM customer""",
     "pdf_documents": r"SELECT doc_id, 'Document ' || doc_id AS title, CAST(greatest(1, ceil(len(w) / 600.0)) AS INTEGER) AS page_count, doc_id % 5 = 0 OR len(w) = 0 AS used_fallback, sha256(array_to_string(w, ' ')) AS words_sha256 FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents)",
     "pdf_tables": "SELECT conv_id, 1 AS page_number, 'turn|role|chars|md5' AS headers, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars, left(md5(coalesce(text, '')), 16) AS md5 FROM conversations",
-    "robots_text": _values("case_id", [(r[0],) for r in ROBOTS_URL_ROWS if r[2]]),
-    "metadata_strings": _values("case_id, value", [(r[0], r[2]) for r in METADATA_STRING_ROWS]),
+    "robots_text": _values("case_id", [(r[0],) for r in ROBOTS_URL_ROWS if r[2]]) + """ UNION ALL SELECT page_id + 1000 FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND regexp_extract(url, '^[^:]+://([^/?#]*)', 1) IN (SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) FROM pages WHERE page_id % 5 = 0))""",
+    "metadata_strings": _values("case_id, value", [(r[0], r[2]) for r in METADATA_STRING_ROWS]) + """ UNION ALL SELECT c_custkey + 1000, c_name || ' of ' || c_mktsegment FROM customer""",
     "migrated_sources": _values("id, name, code, is_active, no_base_url", [("a", "A", "x", True, True)]),
     "fetch_status": "SELECT CASE WHEN page_id % 10 IN (3, 4) THEN 'max_retries_exceeded' ELSE '' END AS error, count(*) AS n FROM pages WHERE page_id % 10 NOT IN (1, 2) GROUP BY 1",
     "crawl_jobs": f"SELECT source_id, 'full' AS job_type, 'completed' AS status, count(*) FILTER (change <> 'deleted') AS pages_found, count(*) FILTER (change = 'new') AS pages_new, count(*) FILTER (change = 'modified') AS pages_changed, count(*) FILTER (change = 'deleted') AS pages_deleted, (SELECT count(*) FROM pages WHERE page_id % 10 IN (3, 4)) AS pages_errored, '' AS error_message, true AS has_errors FROM (SELECT 's' AS source_id, change FROM {_DIFF}) GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('t', 'incremental', 'running', 0, 0, 0, 0, 0, '', false), ('u', 'full', 'failed', 0, 0, 0, 0, 0, 'no disk', false))",
@@ -267,7 +267,7 @@ ORACLE = {
     "crawl_results_home": f"SELECT page_id, string_split(trim({_PATH}, '/'), '/')[-1] AS section, {_PATH} AS path FROM {_CRAWLED}",
     "validate_warnings": f"WITH {_CHECKED}, w AS (SELECT unnest(list_filter([CASE WHEN {_WORDS.format('own')} <> n THEN 'word_count' END, CASE WHEN turn = 2 THEN 'source_url' END, 'metadata', 'metadata.source_agency', CASE WHEN role NOT IN ('user', 'system') AND regexp_matches(s, '^[a-z]') THEN 'chunk_text' END, CASE WHEN role NOT IN ('user', 'system') AND NOT regexp_matches(s, '[.!?…\"'')\\]]+\\s*$') THEN 'chunk_text' END], lambda x: x IS NOT NULL)) AS field FROM done WHERE keep) SELECT field, count(*) AS n FROM w GROUP BY 1",
     "embed_batches": f"WITH RECURSIVE t AS (SELECT source, {_WORDS.format('text')} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)), r AS (SELECT source, k, n AS held, 1 AS items, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.source, t.k, CASE WHEN held + n > 5000 OR items >= 20 THEN n ELSE held + n END, CASE WHEN held + n > 5000 OR items >= 20 THEN 1 ELSE items + 1 END, CASE WHEN held + n > 5000 OR items >= 20 THEN batch + 1 ELSE batch END FROM r JOIN t ON t.source = r.source AND t.k = r.k + 1) SELECT source, batch, count(*) AS items, sum(n) AS tokens FROM r JOIN t USING (source, k) GROUP BY ALL",
-    "vector_metadata": _values("id, source_name, chunk_index, title, source_agency, topic_tags, n_property", [(1, "A", 0, "t", "X", "a|b", 0), (2, "B", 1, "", "", "", 0), (3, "C", 2, "", "", "", 1)]),
+    "vector_metadata": _values("id, source_name, chunk_index, title, source_agency, topic_tags, n_property", [(1, "A", 0, "t", "X", "a|b", 0), (2, "B", 1, "", "", "", 0), (3, "C", 2, "", "", "", 1)]) + """ UNION ALL SELECT CAST(vec_id + 1000 AS INTEGER), 'L' || label, label, 'T' || vec_id, CASE WHEN label > 1 THEN 'X' ELSE '' END, CASE WHEN vec_id % 3 = 0 THEN 'a|' || label ELSE '' END, CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END FROM embeddings""",
     "embedding_ids": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'v-' || vec_id WHEN vec_id % 2 = 0 THEN 'old' END AS embedding_id FROM embeddings",
     "cosine_topk": _cosine(""),
     "filtered_topk": _cosine("WHERE label = 3"),
@@ -278,7 +278,7 @@ ORACLE = {
     "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, coalesce(returned, 0) AS returned, coalesce(hits, 0) AS hits, coalesce(relevant, 0) AS relevant, coalesce(round(hits / returned, 6), 0) AS precision, coalesce(round(coalesce(hits, 0) / relevant, 6), 0) AS recall FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) FULL JOIN got USING (query_id) FULL JOIN want USING (query_id)",
     "archive_keys": "SELECT page_id, 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS html_key, 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt' AS text_key FROM pages",
     "vector_archive": f"SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a, {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
-    "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]),
+    "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]) + """ UNION ALL SELECT min(page_id) + 1000, o || '/f' || n || '.pdf', 'f' || n FROM (SELECT page_id, page_id % 7 AS n, regexp_extract(url, '^[^:]+://[^/?#]*') AS o FROM pages WHERE page_id % 2 = 0) GROUP BY o, n""",
     "schema_violations": "SELECT 'value of status' AS rule, count(*) AS n FROM documents WHERE doc_id % 2 <> 0 UNION ALL SELECT r, count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1) CROSS JOIN (VALUES ('unique id'), ('unique source_id, url')) v(r) GROUP BY r",
     "query_expansion": _values("query_id, text", [(1, "flat tax apartment duty unit"), (2, "nothing "), (3, "Flat apartment unit")]),
 }

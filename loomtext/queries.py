@@ -30,6 +30,30 @@ def cases(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(CASES[name])
 
 
+#: Rows made from the given tables have case ids from here on, literal cases smaller ones.
+FROM = 1000
+
+
+def _orders(spark, d):
+    """A table for each customer: heads, rows of cells by order, caption; a cell with a bar and a line break in every row."""
+    o = table(spark, d, "orders")
+    cells = F.array(F.col("o_orderkey").cast("string"), F.concat("o_orderstatus", F.lit("|"), "o_orderpriority"), F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("\n"), F.date_format("o_orderdate", "MM")))
+    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("c")))).alias("r"))
+    return rows.select((F.col("o_custkey") + FROM).alias("case_id"), F.array(*map(F.lit, ("key", "status", "day"))).alias("headers"), F.transform("r", lambda r: r["c"]).alias("rows"), F.concat(F.lit("Orders of "), F.col("o_custkey").cast("string")).alias("caption"))
+
+
+def _order_pages(spark, d):
+    """The same tables as markup, with heads in a thead."""
+    cell = lambda tag: lambda c: F.concat(F.lit(f"<{tag}>"), F.replace(c, F.lit("\n"), F.lit("<br>")), F.lit(f"</{tag}>"))
+    line = lambda cells, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, cell(tag)), ""), F.lit("</tr>"))
+    html = F.concat(F.lit("<table id=t"), F.col("case_id").cast("string"), F.lit("><caption>"), "caption", F.lit("</caption><thead>"), line(F.col("headers"), "th"), F.lit("</thead><tbody>"), F.array_join(F.transform("rows", lambda r: line(r, "td")), ""), F.lit("</tbody></table>"))
+    return _orders(spark, d).select(F.col("case_id").cast("long").alias("page_id"), F.lit("http://x.example/a").alias("url"), F.lit("").alias("source"), html.alias("html"))
+
+
+def _origin(url="url"):
+    return F.regexp_extract(url, "^[^:]+://[^/?#]*", 0)
+
+
 def _pages(spark, d):
     return table(spark, d, "pages").withColumn("source", F.lit("site"))
 
@@ -53,7 +77,11 @@ def page_word_stats(spark, d):
 @query
 def html_cases(spark, d):
     rows = cases(spark, "html").select(F.col("case_id").cast("long").alias("page_id"), F.lit("http://x.example/a").alias("url"), "source", "html")
-    got = extract.extract_pages(rows)
+    n, said = F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    top = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<title> T"), n, F.lit("</title>"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<h1>H"), n, F.lit("</h1>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("<meta name=og:title content=N"), n, F.lit(">"))).otherwise("")
+    body = F.concat(top, F.lit("<div class=my-sidebar>s</div><div id=Cookies>c</div><nav>n</nav><main><h2>Part <i>"), n, F.lit("</i></h2><p>"), said, F.lit("<div role=banner>b</div><h4></h4><h5>end</h5></main>out"))
+    made = table(spark, d, "documents").select((F.col("doc_id") + FROM).alias("page_id"), F.lit("http://x.example/a").alias("url"), "source", body.alias("html"))
+    got = extract.extract_pages(rows.unionByName(made))
     heads = _join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["text"])))
     return got.select(F.col("page_id").alias("case_id"), "title", "text", heads.alias("headings"), "word_count", _join("warnings").alias("warnings"), F.coalesce("error", F.lit("")).alias("error"))
 
@@ -61,14 +89,14 @@ def html_cases(spark, d):
 @query
 def html_tables(spark, d):
     rows = cases(spark, "html_table").select(F.col("case_id").cast("long").alias("page_id"), F.lit("http://x.example/a").alias("url"), F.lit("").alias("source"), "html")
-    t = extract.extract_pages(rows).select(F.col("page_id").alias("case_id"), F.posexplode("tables").alias("position", "t"))
+    t = extract.extract_pages(rows.unionByName(_order_pages(spark, d))).select(F.col("page_id").alias("case_id"), F.posexplode("tables").alias("position", "t"))
     return t.select("case_id", "position", "t.source_tag", N.markdown("t.headers", "t.rows", "t.caption").alias("markdown"))
 
 
 @query
 def rate_tables(spark, d):
     rows = cases(spark, "html_table").select(F.col("case_id").cast("long").alias("page_id"), F.lit("http://x.example/a").alias("url"), "html")
-    t = extract.crawl_pages(rows).select(F.col("page_id").alias("case_id"), F.posexplode("rate_tables").alias("position", "t"))
+    t = extract.crawl_pages(rows.unionByName(_order_pages(spark, d).drop("source"))).select(F.col("page_id").alias("case_id"), F.posexplode("rate_tables").alias("position", "t"))
     return t.select("case_id", "position", _join("t.headers").alias("headers"), F.size("t.rows").alias("n_rows"))
 
 
@@ -122,7 +150,9 @@ def url_normalize(spark, d):
 
 @query
 def url_join(spark, d):
-    return cases(spark, "url").select("case_id", N.normalize_url(N.absolute_url("href", "base")).alias("url"))
+    hrefs = F.array(*map(F.lit, ("/a/b/", "?p=2", "#top", "//o.example/k;v=1", "https://o.example/p/?q=1#f", "../z", "./q")))
+    made = table(spark, d, "pages").select("page_id", F.col("url").alias("base"), F.posexplode(hrefs).alias("i", "href")).select((F.col("page_id") * 10 + F.col("i") + FROM).alias("case_id"), "href", "base")
+    return cases(spark, "url").unionByName(made).select("case_id", N.normalize_url(N.absolute_url("href", "base")).alias("url"))
 
 
 @query
@@ -132,17 +162,25 @@ def url_domain_counts(spark, d):
 
 @query
 def follow_link_filter(spark, d):
-    return cases(spark, "follow").select("case_id", N.follows_of("url", "source").alias("follow"))
+    """Every page's host with a section of each source's rule, as a page, a picture, a PDF and below a part to skip."""
+    ends = F.array(*map(F.lit, ("", ".png", ".PDF", "/careers")))
+    sections = F.array(*[F.struct(F.lit(code).alias("source"), F.lit(part).alias("part")) for code, rule in R.FOLLOW_RULES.items() for part in rule.sections])
+    made = table(spark, d, "pages").select("page_id", "url", F.posexplode(sections).alias("i", "s")).select("page_id", "i", "s.source", F.concat(_origin(), "s.part", F.lit("/"), F.col("page_id").cast("string"), F.get(ends, (F.col("page_id") % 4).cast("int"))).alias("url"))
+    made = made.select((F.col("page_id") * 100 + F.col("i") + FROM).alias("case_id"), "source", "url")
+    return cases(spark, "follow").select("case_id", "source", "url").unionByName(made).select("case_id", N.follows_of("url", "source").alias("follow"))
 
 
 @query
 def content_router(spark, d):
-    return cases(spark, "route").select("case_id", F.coalesce(N.content_kind("header", "url"), F.lit("")).alias("kind"), N.pdf_title("url").alias("title"))
+    n = F.col("page_id")
+    made = table(spark, d, "pages").select((n + FROM).alias("case_id"), F.when(n % 4 == 0, "text/html; charset=x").when(n % 4 == 1, "Application/PDF").when(n % 4 == 2, "image/png").alias("header"), F.concat(_origin(), F.lit("/d"), n.cast("string"), F.when(n % 3 == 0, ".pdf").otherwise("")).alias("url"))
+    return cases(spark, "route").unionByName(made).select("case_id", F.coalesce(N.content_kind("header", "url"), F.lit("")).alias("kind"), N.pdf_title("url").alias("title"))
 
 
 @query
 def path_sections(spark, d):
-    return cases(spark, "follow").select("case_id", N.path_section("url", "second").alias("second"), N.path_section("url", "last").alias("last"), N.path_section("url", "tax").alias("tax"))
+    made = table(spark, d, "pages").select((F.col("page_id") + FROM).alias("case_id"), "url")
+    return cases(spark, "follow").select("case_id", "url").unionByName(made).select("case_id", N.path_section("url", "second").alias("second"), N.path_section("url", "last").alias("last"), N.path_section("url", "tax").alias("tax"))
 
 
 @query
@@ -239,7 +277,12 @@ def fetch_status(spark, d):
 
 @query
 def robots_text(spark, d):
-    return extract.robots_allowed_by_text(cases(spark, "robots_url"), cases(spark, "robots"), "loomtext/1.0").select("case_id")
+    """Pages that a robots file of every fifth page's host allows, besides the literal files."""
+    pages = table(spark, d, "pages").select((F.col("page_id") + FROM).alias("case_id"), "url")
+    said = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nAllow: /\n")
+    robots = pages.where("case_id % 5 = 0").select(N.authority("url").alias("authority"), said.alias("text")).distinct()
+    urls = cases(spark, "robots_url").unionByName(pages)
+    return extract.robots_allowed_by_text(urls, cases(spark, "robots").unionByName(robots), "loomtext/1.0").select("case_id")
 
 
 @query
@@ -252,12 +295,16 @@ def archive_objects(spark, d):
 
 @query
 def metadata_strings(spark, d):
-    return cases(spark, "metadata_string").select("case_id", N.metadata_string("value").alias("value"))
+    made = table(spark, d, "customer").select((F.col("c_custkey") + FROM).alias("case_id"), F.concat(F.lit(" \ufeff\ufeff "), "c_name", F.lit(" of "), "c_mktsegment", F.lit("\t ")).alias("value"))
+    return cases(spark, "metadata_string").unionByName(made).select("case_id", N.metadata_string("value").alias("value"))
 
 
 @query
 def pdf_text(spark, d):
     objects = cases(spark, "pdf_file").select("url", F.col("content").cast("binary").alias("content"))
+    n = F.col("c_custkey")
+    made = table(spark, d, "customer").select(F.concat(F.lit("c"), n.cast("string")).alias("url"), F.col("c_name").alias("title"), F.array("c_name", "c_mktsegment").alias("words"), F.when(n % 2 == 0, "1.4").otherwise("1.5").alias("version"), F.lit(False).alias("shuffled"), (n % 3 != 0).alias("tree"))
+    objects = objects.unionByName(pdf_write.write_texts(made))
     return extract.choose_pdf_text(pdf.read_pdfs(objects)).select("url", "text", "title", "page_count", "used_fallback", "needs_ocr")
 
 
@@ -314,7 +361,11 @@ def _texts(spark, d):
 
 @query
 def effective_date(spark, d):
-    return cases(spark, "date").select("case_id", N.effective_date("text").alias("effective_date"))
+    said = F.date_format("o_orderdate", "d MMMM yyyy")
+    ways = [("with effect  from ", said, " and 1999-01-01"), ("Effective ", said, " and with effect from May"), ("as\nof ", F.upper(said), ""), ("Last updated: ", said, "."), ("on ", F.lower(said), " or 1999-01-01"), ("dated ", F.date_format("o_orderdate", "yyyy-MM-dd"), "")]
+    text = F.get(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in ways]), (F.col("o_orderkey") % len(ways)).cast("int"))
+    made = table(spark, d, "orders").select((F.col("o_orderkey") + FROM).alias("case_id"), text.alias("text"))
+    return cases(spark, "date").unionByName(made).select("case_id", N.effective_date("text").alias("effective_date"))
 
 
 @query
@@ -335,6 +386,11 @@ def tag_topics(spark, d):
 @query
 def section_and_agency(spark, d):
     rows = cases(spark, "heading").withColumn("headings", F.from_json("headings", extract.HEADINGS))
+    n = F.col("doc_id")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(((n + i) % 5 + 1).cast("int").alias("level"), F.md5(line.cast("binary")).alias("text")))
+    codes = F.array(*map(F.lit, ("HDB", "ura", "Iras", "mas", "cpf", "none")))
+    made = table(spark, d, "documents").select((n + FROM).alias("case_id"), lines.cast(extract.HEADINGS).alias("headings"), F.concat(F.lit("T"), n.cast("string")).alias("title"), F.get(codes, (n % 6).cast("int")).alias("source"))
+    rows = rows.unionByName(made)
     return rows.select("case_id", N.section("headings", "title").alias("section"), N.agency("source").alias("agency"))
 
 
@@ -352,18 +408,29 @@ def tax_and_home_types(spark, d):
 @query
 def table_markdown(spark, d):
     rows = cases(spark, "table").select("case_id", F.from_json("headers", "array<string>").alias("headers"), F.from_json("rows", "array<array<string>>").alias("rows"), "caption")
-    return rows.select("case_id", N.markdown("headers", "rows", "caption").alias("markdown"))
+    return rows.unionByName(_orders(spark, d)).select("case_id", N.markdown("headers", "rows", "caption").alias("markdown"))
 
 
 @query
 def pdf_table_clean(spark, d):
-    rows = cases(spark, "table").select("case_id", N.clean_pdf_table(F.from_json("rows", "array<array<string>>")).alias("t")).where("t is not null")
+    rows = cases(spark, "table").select("case_id", F.from_json("rows", "array<array<string>>").alias("rows"))
+    # Every other customer's table has its heads in it; those of others begin with their first order. Some cells are null.
+    made = _orders(spark, d).withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda c: F.when(~c.startswith("F|"), F.concat(F.lit(" "), c)))))
+    made = made.select("case_id", F.when(F.col("case_id") % 2 == 0, F.concat(F.array("headers"), "rows")).otherwise(F.col("rows")).alias("rows"))
+    rows = rows.unionByName(made).select("case_id", N.clean_pdf_table("rows").alias("t")).where("t is not null")
     return rows.select("case_id", _join("t.headers").alias("headers"), _join(F.transform("t.rows", lambda r: F.array_join(r, ";"))).alias("rows"))
 
 
 @query
 def pdf_choice(spark, d):
-    return extract.choose_pdf_text(cases(spark, "pdf")).select("url", "text", "title", "page_count", "word_count", "used_fallback", "needs_ocr", _join("warnings").alias("warnings"))
+    n, none = F.col("doc_id"), F.lit(None).cast("string")
+    failed = n % 2 == 0
+    made = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), n.cast("string")).alias("url"), F.when(~failed, F.coalesce("text", F.lit(""))).alias("primary_text"), F.when(~failed, "P").alias("primary_title"), F.when(~failed, 2).alias("primary_pages"), F.when(failed, "OSError").alias("primary_error"),
+        F.when(failed, F.coalesce("text", F.lit(""))).alias("fallback_text"), F.when(failed, "F").alias("fallback_title"), F.when(failed, 3).alias("fallback_pages"), none.alias("fallback_error"),
+    )
+    literal = cases(spark, "pdf").withColumn("url", F.col("url").cast("string"))
+    return extract.choose_pdf_text(literal.unionByName(made)).withColumn("text", F.when(F.col("url").startswith("d"), F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.col("text"))).select("url", "text", "title", "page_count", "word_count", "used_fallback", "needs_ocr", _join("warnings").alias("warnings"))
 
 
 @query
@@ -484,6 +551,8 @@ def embedding_usage(spark, d):
 @query
 def vector_metadata(spark, d):
     rows = cases(spark, "meta").withColumn("metadata", F.from_json("metadata", "struct<title:string,section:string,source_agency:string,effective_date:string,topic_tags:array<string>,property_types:array<string>,citizenship_types:array<string>>"))
+    m = F.struct(F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("title"), F.when(F.col("vec_id") % 2 == 0, "S").alias("section"), F.when(F.col("label") > 1, "X").alias("source_agency"), F.lit(None).cast("string").alias("effective_date"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("a"), F.col("label").cast("string"))).alias("topic_tags"), F.when(F.col("vec_id") % 5 == 0, F.array(F.lit("p"))).alias("property_types"), F.lit(None).cast("array<string>").alias("citizenship_types"))
+    rows = rows.unionByName(table(spark, d, "embeddings").select((F.col("vec_id") + FROM).cast("int").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("source_name"), F.col("label").cast("int").alias("chunk_index"), m.alias("metadata")))
     got = vectors.vector_metadata(rows.withColumn("chunk_type", F.lit("text")).withColumn("word_count", F.lit(3)).withColumn("source_url", F.lit("u")))
     return got.select("id", "source_name", "chunk_index", "title", "source_agency", _join("topic_tags").alias("topic_tags"), F.size("property_types").alias("n_property"))
 
@@ -620,6 +689,8 @@ def vector_archive(spark, d):
 @query
 def linked_pdfs(spark, d):
     links = cases(spark, "route").select(F.col("case_id").cast("long").alias("page_id"), "url")
+    n = F.col("page_id")
+    links = links.unionByName(table(spark, d, "pages").select((n + FROM).alias("page_id"), F.concat(_origin(), F.lit("/f"), (n % 7).cast("string"), F.when(n % 2 == 0, ".pdf").otherwise(".html")).alias("url")))
     return crawl.linked_pdfs(links.unionByName(links.withColumn("page_id", F.col("page_id") + 10)))
 
 
