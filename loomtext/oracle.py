@@ -218,6 +218,7 @@ ORACLE = {
     "path_sections": "SELECT case_id, CASE WHEN len(p) > 1 THEN p[2] ELSE 'general' END AS second, p[-1] AS last, CASE WHEN contains(lower(url), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower(url), 'property-tax') THEN 'property_tax' ELSE 'general' END AS tax FROM (SELECT *, string_split(trim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS p FROM (SELECT case_id, url FROM (" + CASES["follow"] + ") UNION ALL SELECT page_id + 1000, url FROM pages))",
     "page_links": _PAGE_LINKS,
     "link_frontier_bfs": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), edges AS (SELECT DISTINCT src, url AS dst FROM links JOIN src USING (page_id)), r AS (SELECT src AS url, 0 AS depth FROM src WHERE page_id % 20 = 0 UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.url WHERE depth < 200) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
+    "crawl_order": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, regexp_extract(u, '^[^:]+://[^/?#]*') AS host, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), every AS (SELECT src, position, url FROM links JOIN src USING (page_id) UNION ALL SELECT src, 1000, host || unnest(['/', '/f.pdf']) FROM src UNION ALL SELECT host || '/', page_id, src FROM src), known AS (SELECT src, url, min(position) AS position FROM every GROUP BY ALL), queued AS (SELECT * FROM known WHERE NOT contains(" + _PATH + ", '/and') AND NOT ends_with(lower(url), '.pdf')), ruled AS (SELECT DISTINCT " + _HOST + " AS host FROM pages WHERE page_id % 5 = 0), may AS (SELECT url, NOT (starts_with(" + _PATH + ", '/fr/') AND " + _HOST + " IN (SELECT host FROM ruled)) AS fetched FROM (SELECT url FROM known UNION SELECT src FROM src)), start AS (SELECT src AS url, min(page_id) AS p FROM src WHERE page_id % 20 = 0 GROUP BY 1), reach AS (SELECT url, 0 AS depth FROM start UNION SELECT q.url, depth + 1 FROM reach JOIN may ON may.url = reach.url AND fetched JOIN queued q ON src = reach.url WHERE depth < 50), level AS (SELECT url, min(depth) AS depth FROM reach GROUP BY 1), visit AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY p, url) - 1 AS n FROM start UNION ALL SELECT url, depth, row_number() OVER (ORDER BY f, url) - 1 AS n FROM (SELECT q.url, v.depth + 1 AS depth, min((v.n, q.position)) AS f FROM visit v JOIN may ON may.url = v.url AND fetched JOIN queued q ON q.src = v.url JOIN level l ON l.url = q.url AND l.depth = v.depth + 1 GROUP BY 1, 2)), sizes AS (SELECT depth, count(*) AS c FROM visit GROUP BY 1), order_of AS (SELECT v.url, v.depth, CAST(v.n + (SELECT coalesce(sum(c), 0) FROM sizes s WHERE s.depth < v.depth) AS BIGINT) AS visit, fetched, false AS inline FROM visit v JOIN may USING (url)), pdfs AS (SELECT k.url, min((visit, position, depth)) AS f FROM known k JOIN order_of o ON o.url = k.src AND fetched WHERE ends_with(lower(k.url), '.pdf') AND k.url NOT IN (SELECT url FROM order_of) GROUP BY 1) SELECT * FROM order_of UNION ALL SELECT url, f[3], f[1], true, true FROM pdfs",
     "robots_filter": f"SELECT page_id, url FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 5 = 0))",
     "content_hash_dups": "SELECT page_id, url, sha256(html) AS content_hash, left(md5(url), 12) AS url_hash, count(*) OVER w AS copies, min(page_id) OVER w AS first_page FROM pages WINDOW w AS (PARTITION BY html)",
     "unprocessed_documents": "SELECT doc_id AS document_id, source AS code FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL AND doc_id % 3 <> 0",

@@ -136,6 +136,22 @@ def link_frontier_bfs(spark, d):
     return frontier.reach(edges, pages.where("page_id % 20 = 0").select(F.col("src").alias("url")))
 
 
+@query
+def crawl_order(spark, d):
+    """The queue's order from every page's host on, with a robots rule, links that aren't followed, and PDFs fetched inline.
+
+    Every page's links also lead to a page of its own host and to a PDF, so that there is more than one round.
+    """
+    pages = table(spark, d, "pages").select("page_id", N.normalize_url("url").alias("src"), _origin().alias("host"))
+    links = extract.page_links(extract.crawl_pages(_pages(spark, d))).join(pages, "page_id")
+    own = pages.select("src", F.explode(F.array(F.concat("host", F.lit("/")), F.concat("host", F.lit("/f.pdf")))).alias("url"))
+    back = pages.select(F.concat("host", F.lit("/")).alias("src"), F.col("page_id").alias("position"), F.col("src").alias("url"))
+    every = links.select("src", "position", "url").unionByName(own.select("src", F.lit(1000).alias("position"), "url")).unionByName(back)
+    rules = table(spark, d, "pages").where("page_id % 5 = 0").select(N.authority("url").alias("authority"), F.lit("/fr/").alias("prefix")).distinct()
+    seeds = pages.where("page_id % 20 = 0").select(F.col("src").alias("url"), F.col("page_id").alias("position"))
+    return frontier.crawl_order(every, seeds, lambda u: ~N.is_asset(u) & ~F.contains(N.url_path(u), F.lit("/and")), lambda urls: extract.robots_allowed(urls, rules), True)
+
+
 @query
 def robots_filter(spark, d):
     urls = table(spark, d, "pages").select("page_id", "url")
