@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,46 +141,58 @@ def clean_pdf_table(raw: _C) -> Column:
 
 
 # --- URLs -----------------------------------------------------------------------------------------------------------
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _without_dots(url: Column) -> Column:
     """url with "." and ".." parts of its path resolved in one fold, as far up as they go; ".." above the root is dropped."""
     split = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*)([?#].*)?$"
-    head, path, tail = (F.regexp_extract(url, split, i) for i in (1, 2, 3))
     none = F.array().cast("array<string>")
     up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
     step = lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
-    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), none, step)
-    closed = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(kept, "/"), closed, tail)).otherwise(url)
+
+    def resolved(u: Column, path: Column) -> Column:
+        head, tail = F.regexp_extract(u, split, 1), F.regexp_extract(u, split, 3)
+        closed = lambda kept: F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+        return once(F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), none, step), lambda kept: F.concat(head, F.lit("/"), F.array_join(kept, "/"), closed(kept), tail))
+
+    return once(url, lambda u: once(F.regexp_extract(u, split, 2), lambda path: F.when(path.rlike(r"/\.\.?(/|$)"), resolved(u, path)).otherwise(u)))
 
 
 def absolute_url(href: _C, base: _C) -> Column:
     """href against an absolute base, by string rules: whole URLs, //host, /path, ?query, #fragment and relative paths."""
-    h, b = strip(F.coalesce(col(href), F.lit(""))), col(base)
-    scheme, host = F.try_parse_url(b, F.lit("PROTOCOL")), F.try_parse_url(b, F.lit("AUTHORITY"))
-    root = F.concat(scheme, F.lit("://"), host)
-    path = F.coalesce(F.try_parse_url(b, F.lit("PATH")), F.lit(""))
-    plain = F.regexp_replace(b, r"[?#].*$", "")
-    folder = F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")))
-    whole = (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
-        .when(h == "", b)
-        .when(h.startswith("?"), F.concat(plain, h))
-        .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
-        .otherwise(F.concat(folder, h))
-    )
-    return _without_dots(whole)
+
+    def whole(h: Column, b: Column) -> Column:
+        scheme, host = F.try_parse_url(b, F.lit("PROTOCOL")), F.try_parse_url(b, F.lit("AUTHORITY"))
+        root = F.concat(scheme, F.lit("://"), host)
+        path = F.coalesce(F.try_parse_url(b, F.lit("PATH")), F.lit(""))
+        folder = F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")))
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(root, h))
+            .when(h == "", b)
+            .when(h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
+            .otherwise(F.concat(folder, h))
+        )
+
+    return _without_dots(once(strip(F.coalesce(col(href), F.lit(""))), lambda h: whole(h, col(base))))
 
 
 def normalize_url(url: _C) -> Column:
     """scheme://authority, path without closing slashes and parameters, and ?query; no fragment. Not for relative URLs."""
-    u = F.regexp_replace(col(url), "#.*$", "")
-    head = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?]*))?([^?]*)(\?.*)?$", 0)
-    part = lambda i: F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?]*))?([^?]*)(\?.*)?$", i)
-    path = F.regexp_replace(F.regexp_replace(part(3), r";[^/]*$", ""), "/+$", "")
-    query = F.when(part(4) == "?", F.lit("")).otherwise(part(4))
-    return F.when(head == "", u).otherwise(F.concat(F.lower(part(1)), F.lit("://"), part(2), path, query))
+    whole = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?]*))?([^?]*)(\?.*)?$"
+
+    def parts(u: Column) -> Column:
+        part = lambda i: F.regexp_extract(u, whole, i)
+        path = F.regexp_replace(F.regexp_replace(part(3), r";[^/]*$", ""), "/+$", "")
+        query = once(part(4), lambda q: F.when(q == "?", F.lit("")).otherwise(q))
+        return F.when(u.rlike(whole), F.concat(F.lower(part(1)), F.lit("://"), part(2), path, query)).otherwise(u)
+
+    return once(F.regexp_replace(col(url), "#.*$", ""), parts)
 
 
 def authority(url: _C) -> Column:

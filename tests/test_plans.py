@@ -29,3 +29,9 @@ def test_numbers_follow_text_and_tables(spark):
     got = document_pipeline.process(pages, None, "words", 40, 5, 1, 600).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in got] == list(range(len(got))) and got[-1].chunk_type == "table" and got[0].chunk_type == "text"
     assert got[0].document_metadata.source_agency == "HDB" and all(r.source_url == "u" for r in got)
+
+
+def test_urls_are_computed_once(spark, sf):
+    """A link's URL is bound to a name before it is taken apart, so that it isn't copied into each of its parts."""
+    got = plan(queries()["page_links"](spark, sf))
+    assert got.count("RLIKE") <= 5 and got.count("regexp_extract") <= 8 and got.count("aggregate(") <= 1 and len(got) < 12_000
