@@ -131,6 +131,27 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, scra
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def expand(spark: SparkSession, path: str, queries: DataFrame, docs: int = 5, words: int = 5, scratch: str | None = None) -> DataFrame:
+    """queries(query_id, text) with their first `words` new words from the `docs` best documents of each, by pseudo relevance feedback.
+
+    A word's weight is the sum of its shares of these documents' words, times ln(N / df); ties by the word. Words of the
+    query aren't added again. Queries that find nothing stay as they are; a null text is empty. Words come in
+    alphabetical order.
+    """
+    scratch = scratch or f"{path}/feedback"
+    n = json.loads(spark.read.text(f"{path}/_index").first()[0])["n"]
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    best = cut(search(spark, path, asked, docs, f"{scratch}/search").select("query_id", "doc_id"), f"{scratch}/best")
+    held = spark.read.schema(SCHEMA).parquet(f"{path}/postings").where("term <> ''").join(best, "doc_id")
+    share = held.groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len")).alias("share"))
+    own = asked.select("query_id", F.explode(F.split(F.lower("text"), r"[ \t\n\r\x0b\f]+")).alias("term"))
+    fresh = share.join(own, ["query_id", "term"], "left_anti").join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
+    weighed = fresh.withColumn("weight", F.round(F.col("share") * F.log(F.lit(float(n)) / F.col("df")), DIGITS))
+    top = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
+    more = weighed.withColumn("place", F.row_number().over(top)).where(F.col("place") <= words).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("more"))
+    return asked.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "text", F.array_join("more", " ")).alias("text"))
+
+
 def pruned(spark: SparkSession, path: str, scratch: str | None = None) -> dict[str, int]:
     """Of the last search: postings of all asked terms, candidates of essential terms, and those scored in full."""
     scratch = scratch or f"{path}/scratch"

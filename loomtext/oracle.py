@@ -193,6 +193,13 @@ def _runs(table: str, key: str, name: str) -> str:
 _HOLDING = f"""
 runs AS {_runs("benchmark", "item_id", "query_id")},
 holding AS (SELECT query_id, doc_id FROM runs JOIN {_runs("documents", "doc_id", "doc_id")} USING (run) JOIN (SELECT query_id, count(*) AS n FROM runs GROUP BY 1) USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) >= 0.5 * n)"""
+_FED = rf"""
+every AS (SELECT doc_id, len, term, count(*) AS tf FROM tokens GROUP BY ALL),
+spread AS (SELECT term, count(*) AS df FROM every GROUP BY term),
+held AS (SELECT query_id, every.term, sum(tf / len) AS share FROM ranked JOIN every USING (doc_id) WHERE rank <= 5 GROUP BY ALL),
+weighed AS (SELECT query_id, term, round(share * ln(n / df), 9) AS w FROM held ANTI JOIN asked USING (query_id, term) JOIN spread USING (term) CROSS JOIN size),
+more AS (SELECT query_id, string_agg(term, ' ' ORDER BY term) AS more FROM (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, term) <= 5) GROUP BY query_id),
+fed AS (SELECT item_id AS query_id, coalesce(text, '') || ' ' || coalesce(more, '') AS text FROM benchmark LEFT JOIN more ON query_id = item_id)"""
 _CHECKSUM = "round(list_sum(list_transform({0}, lambda x, i: CAST(x AS DOUBLE) * i)), 4)"
 
 
@@ -246,7 +253,8 @@ ORACLE = {
     "token_share": f"SELECT source, doc_id, CAST(floor(sum(n) OVER w / count(*) OVER w) AS BIGINT) AS share FROM (SELECT source, doc_id, {_WORDS.format('text')} AS n FROM documents) WINDOW w AS (PARTITION BY source, doc_id // 16)",
     "vector_namespace_upsert": f"WITH v AS (SELECT lower('NS' || label) || '-' || vec_id AS vector_id, lower('NS' || label) AS ns, len(embedding) AS dim, CASE WHEN vec_id % 10 = 7 THEN -1 ELSE 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings) SELECT unnest([ns, 'all']) AS namespace, vector_id, dim, checksum FROM v",
     "vector_fallback_upsert": f"SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 's-' || vec_id END AS embedding_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 5 = 0 THEN 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
-    "embedding_usage": "SELECT doc_id AS id, 16 AS dim FROM documents",
+    "embedding_usage": "SELECT doc_id AS id, 3 AS dim, CAST(length(t) + 2 * (length(t) - length(replace(t, ' ', ''))) + 3 * (strlen(t) % 1000) AS DOUBLE) AS checksum FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "migrated_documents": "SELECT source AS source_id, 'u' || doc_id % 400 AS url, CAST(doc_id AS VARCHAR) AS id, sha256(coalesce(text, '')) AS content_hash, true AS no_status FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id % 400 ORDER BY doc_id % 3 DESC, sha256(coalesce(text, '')) DESC, CAST(doc_id AS VARCHAR) DESC) = 1",
     "html_cases": _values("case_id, title, text, headings, word_count, warnings, error", HTML_WANTED) + """ UNION ALL SELECT doc_id + 1000, CASE doc_id % 4 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'H' || doc_id WHEN 2 THEN 'N' || doc_id ELSE 'Untitled' END, 'Part' || chr(10) || doc_id || chr(10) || md5(coalesce(text, '')) || chr(10) || 'end', '2:Part' || doc_id || '|5:end', 4, 'Very short content (4 words)', '' FROM documents""",
     "rate_tables": _values("case_id, position, headers, n_rows", [(1, 0, "A|B", 1), (2, 0, "A", 2), (3, 0, "H", 1)]) + """ UNION ALL SELECT case_id, 0, 'key|status|day', len(r) FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey)""",
     "pdf_table_clean": _values("case_id, headers, rows", [(1, "1|2", "3"), (2, "x|y|b c", "1;2;3"), (3, "", "1;2")]) + """ UNION ALL SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'key|status|day' WHEN len(r) = 1 THEN '' ELSE array_to_string(c[1], '|') END, array_to_string(list_transform(CASE WHEN case_id % 2 = 0 OR len(r) = 1 THEN c ELSE c[2:] END, lambda x: array_to_string(x, ';')), '|') FROM (SELECT *, list_transform(r, lambda x: [x[1], CASE WHEN starts_with(x[2], 'F|') THEN '' ELSE x[2] END, replace(x[3], chr(10), ' ')]) AS c FROM (SELECT o_custkey + 1000 AS case_id, 'Orders of ' || o_custkey AS caption, list([CAST(o_orderkey AS VARCHAR), o_orderstatus || '|' || o_orderpriority, strftime(o_orderdate, '%Y') || chr(10) || strftime(o_orderdate, '%m')] ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey))""",
@@ -256,11 +264,12 @@ ORACLE = {
     "pdf_tables": "SELECT conv_id, 1 AS page_number, 'turn|role|chars|md5' AS headers, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars, left(md5(coalesce(text, '')), 16) AS md5 FROM conversations",
     "robots_text": _values("case_id", [(r[0],) for r in ROBOTS_URL_ROWS if r[2]]) + """ UNION ALL SELECT page_id + 1000 FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND regexp_extract(url, '^[^:]+://([^/?#]*)', 1) IN (SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) FROM pages WHERE page_id % 5 = 0))""",
     "metadata_strings": _values("case_id, value", [(r[0], r[2]) for r in METADATA_STRING_ROWS]) + """ UNION ALL SELECT c_custkey + 1000, c_name || ' of ' || c_mktsegment FROM customer""",
-    "migrated_sources": _values("id, name, code, is_active, no_base_url", [("a", "A", "x", True, True)]),
+    "migrated_sources": _values("id, name, code, is_active, no_base_url", [("a", "A", "x", True, True)]) + " UNION ALL SELECT DISTINCT source, upper(source), source, false, true FROM documents",
     "fetch_status": "SELECT CASE WHEN page_id % 10 IN (3, 4) THEN 'max_retries_exceeded' ELSE '' END AS error, count(*) AS n FROM pages WHERE page_id % 10 NOT IN (1, 2) GROUP BY 1",
     "crawl_jobs": f"SELECT source_id, 'full' AS job_type, 'completed' AS status, count(*) FILTER (change <> 'deleted') AS pages_found, count(*) FILTER (change = 'new') AS pages_new, count(*) FILTER (change = 'modified') AS pages_changed, count(*) FILTER (change = 'deleted') AS pages_deleted, (SELECT count(*) FROM pages WHERE page_id % 10 IN (3, 4)) AS pages_errored, '' AS error_message, true AS has_errors FROM (SELECT 's' AS source_id, change FROM {_DIFF}) GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('t', 'incremental', 'running', 0, 0, 0, 0, 0, '', false), ('u', 'full', 'failed', 0, 0, 0, 0, 0, 'no disk', false))",
     "raw_documents_upsert": f"SELECT url, CASE WHEN k = 'new' THEN nh ELSE oh END AS content_hash, true AS page_fits, k || url AS raw_text, k AS title, 'raw-html/' || k || '/' || CASE WHEN k = 'new' THEN nh ELSE oh END AS s3_html_key, '{{\"crawl\":\"' || k || '\"}}' AS metadata_json, CASE WHEN change = 'new' THEN 'text/new' ELSE 'text/old' END AS content_type, CASE WHEN k = 'new' THEN 'pending' ELSE 'processed' END AS status FROM (SELECT *, CASE WHEN change IN ('new', 'modified') THEN 'new' ELSE 'old' END AS k FROM {_DIFF})",
     "archive_objects": "SELECT 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS key, '2024-03-05' AS day, sha256(html) AS sha256 FROM pages",
+    "object_store_pages": f"SELECT key, strlen(c) AS n_bytes, sha256(c) AS sha256 FROM (SELECT 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS key, CASE WHEN page_id % 3 = 0 THEN html || '<!-- again -->' ELSE html END AS c FROM pages UNION ALL SELECT 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt', text FROM {_EXTRACTED})",
     "crawl_content": f"SELECT page_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM {_CRAWLED}",
     "crawl_repaired": f"SELECT page_id, {_unescaped("regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '^[ \\n\\r\\t]+|[ \\n\\r\\t]+$', '', 'g')")} AS title, length(text) AS n_chars, sha256(text) AS text_sha256 FROM {_CRAWLED}",
     "page_rate_tables": f"SELECT page_id, 'n|link' AS headers, i - 1 AS position, CAST(i - 1 AS VARCHAR) AS n, {_unescaped('h')} AS link, 2 AS cells FROM (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages))",
@@ -277,11 +286,20 @@ ORACLE = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
     "rrf_fusion": f"WITH {_BM25}, met AS (SELECT query_id, doc_id, count(*) AS n FROM tf JOIN asked USING (term) GROUP BY ALL), second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM met) WHERE rank <= 10), every AS (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM second), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM every GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "retrieval_quality": f"WITH {_BM25}, {_HOLDING}, got AS (SELECT query_id, count(*) AS returned, count(h.doc_id) AS hits FROM ranked r LEFT JOIN holding h USING (query_id, doc_id) GROUP BY 1), want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1) SELECT query_id, coalesce(returned, 0) AS returned, coalesce(hits, 0) AS hits, coalesce(relevant, 0) AS relevant, coalesce(round(hits / returned, 6), 0) AS precision, coalesce(round(coalesce(hits, 0) / relevant, 6), 0) AS recall FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) FULL JOIN got USING (query_id) FULL JOIN want USING (query_id)",
+    "expansion_quality": rf"""WITH {_BM25}, {_FED}, {_HOLDING},
+asked2 AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\x0b\f]+'), lambda x: x <> '')) AS term FROM fed),
+bm2 AS (SELECT a.query_id, doc_id, round(sum(ln(1 + (n - s.df + 0.5) / (s.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))), 9) AS score FROM every JOIN spread s USING (term) JOIN asked2 a USING (term) CROSS JOIN size GROUP BY ALL),
+ranked2 AS (SELECT * FROM bm2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
+want AS (SELECT query_id, count(*) AS relevant FROM holding GROUP BY 1),
+one AS (SELECT query_id, count(*) AS hits FROM ranked JOIN holding USING (query_id, doc_id) GROUP BY 1),
+two AS (SELECT query_id, count(*) AS hits FROM ranked2 JOIN holding USING (query_id, doc_id) GROUP BY 1)
+SELECT item_id AS query_id, coalesce(round(coalesce(one.hits, 0) / relevant, 6), 0) AS plain, coalesce(round(coalesce(two.hits, 0) / relevant, 6), 0) AS fed
+FROM benchmark LEFT JOIN want ON want.query_id = item_id LEFT JOIN one ON one.query_id = item_id LEFT JOIN two ON two.query_id = item_id""",
     "archive_keys": "SELECT page_id, 'raw-html/site/2024-03-05/' || left(md5(url), 12) || '.html' AS html_key, 'processed/site/2024-03-05/' || left(md5(url), 12) || '.txt' AS text_key FROM pages",
     "vector_archive": f"SELECT 'embeddings/2024-03-05/s-' || vec_id || '/embeddings.json' AS key, 'hashed' AS model, 'b' AS a, {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",
     "linked_pdfs": _values("page_id, url, title", [(1, "http://h.example/a/doc.pdf", "doc"), (5, "http://h.example/x.PDF", "x.PDF")]) + """ UNION ALL SELECT min(page_id) + 1000, o || '/f' || n || '.pdf', 'f' || n FROM (SELECT page_id, page_id % 7 AS n, regexp_extract(url, '^[^:]+://[^/?#]*') AS o FROM pages WHERE page_id % 2 = 0) GROUP BY o, n""",
     "schema_violations": "SELECT 'value of status' AS rule, count(*) AS n FROM documents WHERE doc_id % 2 <> 0 UNION ALL SELECT r, count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1) CROSS JOIN (VALUES ('unique id'), ('unique source_id, url')) v(r) GROUP BY r",
-    "query_expansion": _values("query_id, text", [(1, "flat tax apartment duty unit"), (2, "nothing "), (3, "Flat apartment unit")]),
+    "query_expansion": _values("query_id, text", [(1, "flat tax apartment duty unit"), (2, "nothing "), (3, "Flat apartment unit")]) + f" UNION ALL (WITH {_BM25}, {_FED} SELECT query_id + 1000, text FROM fed)",
 }
 
 

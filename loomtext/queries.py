@@ -13,7 +13,7 @@ from loomtext.operators import asof, chunk, crawl, extract, frontier, merge, tex
 from loomtext.oracle import CASES
 from loomtext.plans import document_pipeline
 from loomtext.session import shared_dir
-from loomtext.sources import pdf, pdf_write
+from loomtext.sources import object_store, pdf, pdf_write
 from loomtext.sources import rules as R
 from loomtext.sources.tables import table
 
@@ -309,6 +309,20 @@ def archive_objects(spark, d):
     return kept.select("key", "day", F.sha2("content", 256).alias("sha256"))
 
 
+@query
+def object_store_pages(spark, d):
+    """Every page and its text written as keyed objects, by two writes of which the second replaces some, and read back."""
+    kind = object_store.register(spark)
+    root = shared_dir(spark, "objects").removeprefix("file:")
+    pages = _pages(spark, d).withColumn("day", F.to_timestamp(F.lit("2024-03-05")))
+    put = lambda kind_of, rows, content: rows.select(extract.archive_key(kind_of, "source", "day", "url").alias("key"), content.alias("content"))
+    one = put("raw-html", pages, F.col("html").cast("binary")).unionByName(put("processed", extract.extract_pages(pages, keep=("day",)), F.col("text").cast("binary")))
+    one.write.format(kind).option("path", root).mode("append").save()
+    put("raw-html", pages.where("page_id % 3 = 0"), F.concat("html", F.lit("<!-- again -->")).cast("binary")).write.format(kind).option("path", root).mode("append").save()
+    got = spark.read.format(kind).option("path", root).load()
+    return got.select("key", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query
 def metadata_strings(spark, d):
     made = table(spark, d, "customer").select((F.col("c_custkey") + FROM).alias("case_id"), F.concat(F.lit(" \ufeff\ufeff "), "c_name", F.lit(" of "), "c_mktsegment", F.lit("\t ")).alias("value"))
@@ -355,7 +369,18 @@ def pdf_tables(spark, d):
 @query
 def migrated_sources(spark, d):
     old = spark.sql("SELECT 'a' AS id, 'A' AS name, 'x' AS code, 1 AS is_active, 'gone' AS dropped")
-    return schemas.migrate(old, "sources").select("id", "name", "code", "is_active", F.col("base_url").isNull().alias("no_base_url"))
+    code = F.col("source")
+    made = table(spark, d, "documents").select(code.alias("id"), F.upper(code).alias("name"), code.alias("code"), F.lit(0).alias("is_active"), F.lit("gone").alias("dropped")).distinct()
+    return schemas.migrate(old.unionByName(made), "sources").select("id", "name", "code", "is_active", F.col("base_url").isNull().alias("no_base_url"))
+
+
+@query
+def migrated_documents(spark, d):
+    """Documents as an old table in which pages repeat, brought to the version with one row for each page of a source."""
+    n = F.col("doc_id")
+    old = table(spark, d, "documents").select(n.cast("string").alias("id"), F.col("source").alias("source_id"), F.concat(F.lit("u"), (n % 400).cast("string")).alias("url"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"), F.timestamp_seconds(n % 3).alias("crawled_at"), F.lit(1).alias("other"))
+    got = schemas.move(old, "raw_documents", 1, 2)
+    return got.select("source_id", "url", "id", "content_hash", F.col("status").isNull().alias("no_status"))
 
 
 @query
@@ -557,11 +582,12 @@ def vector_fallback_upsert(spark, d):
 
 @query
 def embedding_usage(spark, d):
-    """Every text embedded, in batches that answer out of order."""
+    """Every text embedded, in batches that answer out of order; the vectors are sums that SQL can take, too."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
-    backwards = lambda texts, dim: (vectors.hashed_batch(texts, dim)[0][::-1], sum(len(t) for t in texts))
-    got = vectors.embed(docs, backwards, 16, 50)
-    return got.select(F.col("id").cast("long").alias("id"), F.size("embedding").alias("dim"))
+    counted = lambda t: [float(len(t)), float(t.count(" ")), float(len(t.encode()) % 1000)]
+    backwards = lambda texts, dim: ([(i, counted(t)) for i, t in enumerate(texts)][::-1], sum(len(t) for t in texts))
+    got = vectors.embed(docs, backwards, 3, 50)
+    return got.select(F.col("id").cast("long").alias("id"), F.size("embedding").alias("dim"), _checksum("embedding").alias("checksum"))
 
 
 @query
@@ -672,7 +698,21 @@ def hybrid_quality(spark, d):
 def query_expansion(spark, d):
     words = spark.sql("SELECT * FROM VALUES ('flat', 'apartment'), ('flat', 'unit'), ('tax', 'duty') AS t(term, synonym)")
     asked = spark.sql("SELECT * FROM VALUES (1, 'flat tax'), (2, 'nothing'), (3, 'Flat') AS t(query_id, text)")
-    return vectors.expand_queries(asked, words)
+    path = shared_dir(spark, "words")
+    text_index.build(table(spark, d, "documents"), path)
+    fed = text_index.expand(spark, path, _items(spark, d)).select((F.col("query_id") + FROM).alias("query_id"), "text")
+    return vectors.expand_queries(asked, words).unionByName(fed)
+
+
+@query
+def expansion_quality(spark, d):
+    """Recall at 10 of every benchmark item, as it is and with words from its five best documents."""
+    path = shared_dir(spark, "words")
+    text_index.build(table(spark, d, "documents"), path)
+    items, relevant = _items(spark, d), _holding(spark, d)
+    fed = text_index.expand(spark, path, items)
+    recall = lambda q, name: vectors.retrieval_quality(text_index.search(spark, path, q, 10, f"{path}/{name}"), relevant, q).select("query_id", F.round("recall", 6).alias(name))
+    return recall(items, "plain").join(recall(fed, "fed"), "query_id")
 
 
 @query
