@@ -37,8 +37,8 @@ def test_writes_are_whole(spark, tmp_path, monkeypatch):
 
 def test_landed_files_and_sites(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF-")
-    (tmp_path / "y.html").write_bytes(b"")
-    assert sorted((r.path.rpartition("/")[2], bytes(r.content)) for r in tables.objects(spark, str(tmp_path)).collect()) == [("x.pdf", b"%PDF-"), ("y.html", b"")]
+    (tmp_path / "y.html").write_bytes(b"<p>")
+    assert sorted((r.path.rpartition("/")[2], bytes(r.content)) for r in tables.objects(spark, str(tmp_path)).collect()) == [("x.pdf", b"%PDF-"), ("y.html", b"<p>")]
     got = tables.sites(spark, {"sources": {"b": {"name": "B", "crawl_delay": 2, "allowed_domains": ["x.example"], "unknown": 1}, "a": {}}}).collect()
     assert [(r.code, r.name, r.crawl_delay, r.allowed_domains) for r in got] == [("a", None, None, None), ("b", "B", 2.0, ["x.example"])]
 
@@ -72,4 +72,4 @@ def test_feedback_words(spark, tmp_path):
     text_index.build(docs, str(tmp_path))
     asked = spark.createDataFrame([(1, "Cat"), (2, "nothing"), (3, None)], "query_id int, text string")
     got = {r.query_id: r.text for r in text_index.expand(spark, str(tmp_path), asked, 2, 2).collect()}
-    assert got == {1: "Cat milk purr", 2: "nothing ", 3: " "}
+    assert got == {1: "Cat milk purr", 2: "nothing", 3: ""}
