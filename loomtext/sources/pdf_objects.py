@@ -20,6 +20,11 @@ _REF = re.compile(rb"(\d+)\s+(\d+)\s+R(?![^\s()<>\[\]{}/%])")
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b")
 _SPACE = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 _WORD = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
+#: Blocks of single codes in ToUnicode maps, where all are plain pairs of whole bytes.
+_PAIRS = re.compile(rb"beginbfchar((?:\s*<(?:[0-9A-Fa-f]{2})+>\s*<(?:[0-9A-Fa-f]{2})*>)*)\s*endbfchar")
+_PAIR = re.compile(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]*)>")
+#: The values of most content: numbers, hexadecimal strings, strings without escapes or brackets, names and operators.
+_USUAL = re.compile(rb"[\0\t\n\f\r ]*(?:(?P<n>[+-]?(?:\d+\.?\d*|\.\d+))(?=[\0\t\n\f\r \[\]<(/])|<(?P<x>(?:[0-9A-Fa-f]{2})*)>|\((?P<s>[^()\\\r]*)\)|/(?P<a>[A-Za-z0-9_.+-]+)(?=[\0\t\n\f\r \[\]<(/])|(?P<w>[A-Za-z'\"][A-Za-z*01]*)(?=[\0\t\n\f\r \[\]<(/]|$))")
 _OCTAL = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 #: What a damaged file makes the reader raise.
@@ -28,6 +33,9 @@ DAMAGE = (ValueError, KeyError, IndexError, TypeError, AttributeError, zlib.erro
 DEEPEST = 30
 
 
+_CONSTANTS = (b"true", b"false", b"null")
+
+
 class Name(str):
     pass
 
@@ -339,6 +347,18 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-16", "replace") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw[3:].decode("utf-8", "replace") if raw[:3] == b"\xef\xbb\xbf" else raw.decode("cp1252", "replace")
 
 
+class _Table(dict):
+    """Code number to text, filled as codes are met."""
+
+    def __init__(self, font: Font):
+        super().__init__()
+        self.font, self.size = font, max(font.sizes)
+
+    def __missing__(self, code: int) -> str:
+        text = self[code] = self.font._plain(code.to_bytes(self.size))
+        return text
+
+
 class Font:
     """Codes of a font: their text and their width in thousandths of the size."""
 
@@ -348,6 +368,7 @@ class Font:
         self.sizes = {2} if self.wide else {1}
         self.widths: dict[int, float] = {}
         self.usual = 500.0
+        self.table: dict[int, str] | None = None
         if isinstance(to := file.get(spec.get("ToUnicode")), Stream):
             self._read_map(file.content(to))
         encoding = file.get(spec.get("Encoding"))
@@ -373,10 +394,16 @@ class Font:
                 else:
                     self.widths |= dict.fromkeys(range(w[i], w[i + 1] + 1), float(w[i + 2]))
                     i += 3
-        elif isinstance(w := file.get(spec.get("Widths")), list):
+        if max(self.sizes) <= 2 and len(self.sizes) == 1:
+            self.table = _Table(self)
+        if not self.wide and isinstance(w := file.get(spec.get("Widths")), list):
             self.widths = {file.get(spec.get("FirstChar", 0)) + j: float(file.get(x)) for j, x in enumerate(w)}
 
     def _read_map(self, body: bytes) -> None:
+        for block in _PAIRS.findall(body):
+            for code, to in _PAIR.findall(block):
+                self.map[bytes.fromhex(code.decode())] = bytes.fromhex(to.decode()).decode("utf-16-be", "replace")
+        body = _PAIRS.sub(b" ", body)
         at, held = 0, []
         while True:
             value, at = read_value(body, at)
@@ -399,6 +426,11 @@ class Font:
 
     def shown(self, raw: bytes) -> tuple[str, float, int, int]:
         """(text, width, number of codes, how many of them are the one-byte blank) of a string."""
+        if self.table is not None and not self.widths:  # codes of one size and width: the string is translated as a whole
+            n = max(self.sizes)
+            said = raw.decode("latin-1" if n == 1 else "utf-16-be", "replace")
+            if len(said) * n == len(raw) and "\ufffd" not in said:
+                return said.translate(self.table), self.usual * len(said), len(said), said.count(" ") if n == 1 else 0
         if len(self.sizes) == 1:
             n = max(self.sizes)
             codes = [raw[i : i + n] for i in range(0, len(raw), n)]
@@ -408,10 +440,8 @@ class Font:
                 n = next((n for n in sorted(self.sizes) if raw[i : i + n] in self.map), max(self.sizes))
                 codes.append(raw[i : i + n])
                 i += n
-        get = self.map.get
-        text = [get(c) or self._plain(c) for c in codes]
         width = sum([self.widths.get(int.from_bytes(c), self.usual) for c in codes]) if self.widths else self.usual * len(codes)
-        return "".join(text), width, len(codes), codes.count(b" ")
+        return "".join([self._plain(c) for c in codes]), width, len(codes), codes.count(b" ")
 
     def _plain(self, code: bytes) -> str:
         text = self.map.get(code)
@@ -492,10 +522,18 @@ class Marks:
             path.clear()
 
         while True:
-            value, at = read_value(body, at)
-            if not isinstance(value, Word):
-                held.append(value)
+            if (m := _USUAL.match(body, at)) and (kind := m.lastgroup) != "w":
+                at = m.end()
+                got = m[kind]
+                held.append((float(got) if b"." in got else int(got)) if kind == "n" else bytes.fromhex(got.decode()) if kind == "x" else got if kind == "s" else Name(got.decode()))
                 continue
+            if m and m["w"] not in _CONSTANTS:
+                value, at = m["w"].decode(), m.end()
+            else:
+                value, at = read_value(body, at)
+                if not isinstance(value, Word):
+                    held.append(value)
+                    continue
             if value == "":
                 if at >= len(body):
                     return

@@ -20,20 +20,26 @@ LEADING, SIZE, LINES, WORDS = 14, 10, 50, 12
 
 
 class _Codes(dict):
-    def __missing__(self, c: str) -> int:
-        n = self[c] = len(self) + 1
-        return n
+    """Character number to a character that stands for its code; codes of surrogates are passed over."""
+
+    def __missing__(self, c: int) -> str:
+        n = len(self) + 1
+        self[c] = got = chr(n if n < 0xD800 else n + 0x800)
+        return got
+
+    def listed(self) -> list[tuple[int, str]]:
+        return [(ord(code), chr(c)) for c, code in self.items()]
 
 
 def _hex(text: str, codes: _Codes) -> bytes:
-    return b"<" + b"".join(b"%04x" % codes[c] for c in text) + b">"
+    return b"<" + text.translate(codes).encode("utf-16-be").hex().encode() + b">"
 
 
 def write_pdf(pages: list[bytes], codes: _Codes, title: str, version: str = "1.4", tree: bool = True) -> bytes:
     """A file of pages' contents; tree: False leaves the page tree out and the cross references wrong, as damage does."""
     n = len(pages)
-    shown = [(c, b"<%04x> <%s>" % (i, c.encode("utf-16-be").hex().encode())) for c, i in codes.items()]
-    maps = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(part), b"\n".join(x for _, x in part)) for part in (shown[a : a + 100] for a in range(0, len(shown), 100)))
+    shown = [b"<%04x> <%s>" % (i, c.encode("utf-16-be").hex().encode()) for i, c in codes.listed()]
+    maps = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(part), b"\n".join(part)) for part in (shown[a : a + 100] for a in range(0, len(shown), 100)))
     to_unicode = b"/CIDInit /ProcSet findresource begin\n1 begincodespacerange <0000> <ffff> endcodespacerange\n" + maps + b"end"
     plain = {
         1: b"<</Type /Catalog" + (b" /Pages 2 0 R" if tree else b"") + b">>",
@@ -53,7 +59,7 @@ def write_pdf(pages: list[bytes], codes: _Codes, title: str, version: str = "1.4
         out.extend(b"%d 0 obj\n%s\nendobj\n" % (number, body))
 
     def stream(body: bytes, more: bytes = b"") -> bytes:
-        packed = zlib.compress(body)
+        packed = zlib.compress(body, 3)
         return b"<</Length %d /Filter /FlateDecode%s>>\nstream\n%s\nendstream" % (len(packed), more, packed)
 
     last = 7 + 2 * n
