@@ -1,4 +1,4 @@
-"""A BM25 index: postings stored by term, with the largest weight of each term and block of documents, and pruned top-k search.
+"""A BM25 index: postings stored by term, with the largest weights of terms (of frequent ones in each block), and pruned top-k search.
 
 A task counts the words of its documents; postings go through one shuffle and are stored in buckets of terms. Documents
 belong to blocks of about BLOCK by the hash of their id. A search first scores the documents of each query's rarest words
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from loomtext.session import arrow_batches, cut, released
 
 BLOCK, BUCKETS = 128, 16
+#: Words of at least N / SHARE documents are frequent.
+SHARE = 8
 #: The rarest words of a query whose best documents, so many for each row of the result, give the first bound.
 RAREST, SEEDS = 3, 4
 #: Scores are compared at this many digits; bounds give way by SLACK.
@@ -68,13 +70,16 @@ def build(docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75) -> None:
     postings = rows.mapInArrow(count, "term string, doc_id long, len int, tf int").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("bucket", _bucket())
     # A bucket is dealt to several tasks by block, so that a frequent word's list is written by many.
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // BUCKETS)
-    postings.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.schema(SCHEMA).parquet(f"{path}/postings")
     n, mean = stored.where(_is("")).agg(F.count(F.lit(1)), F.avg("len")).first()
     mean = float(mean or 0.0) or 1.0
     weight = F.expr(_WEIGHT.format(k1=k1, b=b, mean=mean))
-    maxima = stored.where("term <> '' and doc_id is not null").groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
-    cut(maxima, f"{path}/maxima").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/terms")
+    words = stored.where("term <> '' and doc_id is not null")
+    terms = cut(words.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max(weight).alias("most")), f"{path}/terms")
+    # Frequent words, at most SHARE times as many as a document has on average, have maxima for each block, too.
+    often = terms.where(F.col("df") * SHARE >= n).select("bucket", "term")
+    cut(words.join(F.broadcast(often), ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.max(weight).alias("most")), f"{path}/maxima")
     spark.createDataFrame([(json.dumps({"n": n, "mean": mean, "k1": k1, "b": b}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_index")
 
 
@@ -99,7 +104,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, scra
     asked = queries.select("query_id", F.explode(words).alias("term")).distinct().withColumn("bucket", _bucket())
     idf = F.log(1 + (F.lit(float(meta["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     by_most = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
-    known = asked.join(spark.read.parquet(f"{path}/terms").withColumn("idf", idf), key).select("query_id", *key, "idf", (F.col("most") * F.col("idf")).alias("most"))
+    known = asked.join(spark.read.parquet(f"{path}/terms").withColumn("idf", idf), key).select("query_id", *key, "df", "idf", (F.col("most") * F.col("idf")).alias("most"))
     # below: what a term and all terms of smaller maxima can give together
     known = cut(known.withColumn("place", F.row_number().over(by_most)).withColumn("below", F.sum("most").over(by_most.rowsBetween(0, Window.unboundedFollowing))), f"{scratch}/known")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -122,11 +127,15 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, scra
     rest = told.where("not essential").groupBy("query_id").agg(F.sum("most").alias("rest"))
     near = partial(told.where("essential")).join(least, "query_id", "left").join(rest, "query_id", "left")
     near = cut(near.where(F.col("least").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) + SLACK >= F.col("least"))).drop("rest"), f"{scratch}/near")
-    # The same with the maxima of each candidate's own block.
-    blocks = near.select("query_id", "block").distinct().join(told.where("not essential").select("query_id", *key, "idf"), "query_id")
+    # The same with the maxima of each candidate's own block, for frequent terms; the others keep their own.
+    weak = told.where("not essential")
+    often = F.col("df") * SHARE >= F.lit(meta["n"])
+    seldom = weak.where(~often).groupBy("query_id").agg(F.sum("most").alias("seldom"))
+    blocks = near.select("query_id", "block").distinct().join(weak.where(often).select("query_id", *key, "idf"), "query_id")
     maxima = spark.read.parquet(f"{path}/maxima").select(*key, "block", "most").join(blocks, [*key, "block"])
-    own = maxima.groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("idf")).alias("rest"))
-    left = near.join(own, ["query_id", "block"], "left").where(F.col("least").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) + SLACK >= F.col("least")))
+    own = maxima.groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("idf")).alias("own"))
+    bound = F.col("score") + F.coalesce("own", F.lit(0.0)) + F.coalesce("seldom", F.lit(0.0))
+    left = near.join(own, ["query_id", "block"], "left").join(seldom, "query_id", "left").where(F.col("least").isNull() | (bound + SLACK >= F.col("least")))
     scored = full(cut(left, f"{scratch}/left"), told.where("not essential"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -155,6 +164,5 @@ def expand(spark: SparkSession, path: str, queries: DataFrame, docs: int = 5, wo
 def pruned(spark: SparkSession, path: str, scratch: str | None = None) -> dict[str, int]:
     """Of the last search: postings of all asked terms, candidates of essential terms, and those scored in full."""
     scratch = scratch or f"{path}/scratch"
-    known, df = spark.read.parquet(f"{scratch}/known"), spark.read.parquet(f"{path}/terms").select("term", "df")
-    every = known.join(df, "term").agg(F.sum("df")).first()[0] or 0
+    every = spark.read.parquet(f"{scratch}/known").agg(F.sum("df")).first()[0] or 0
     return {"postings": every, "candidates": spark.read.parquet(f"{scratch}/near").count(), "scored": spark.read.parquet(f"{scratch}/left").count()}
