@@ -1,4 +1,4 @@
-"""Embedding batches, vector upsert by namespace, and retrieval: cosine, BM25, rank fusion and its quality."""
+"""Embedding batches, vector upsert by namespace, and retrieval: cosine, rank fusion and its quality. BM25 is in text_index.py."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions import native as N
 from loomtext.operators import topk
 from loomtext.operators.batches import greedy_batches
 from loomtext.session import arrow_batches
@@ -156,29 +155,6 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return topk.ranked(out if out is not None else vectors.sparkSession.createDataFrame([], topk.SCHEMA), k)
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, term, tf): lower-cased words, blanks dropped."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")
-    return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) for queries(query_id, text). Only query terms leave the scan of documents."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")
-    asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
-    counted = docs.select("doc_id", words.alias("words")).withColumn("len", F.size("words"))
-    size = counted.agg(F.count(F.lit(1)), F.avg("len")).first()
-    n, mean = F.lit(float(size[0])), F.lit(float(size[1] or 1.0))
-    tf = counted.select("doc_id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    hits = tf.join(df, "term").select("doc_id", "term", weight.alias("w")).join(asked, "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def coordination(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the documents with the most distinct terms of each query, ties by doc_id."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")

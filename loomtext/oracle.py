@@ -224,6 +224,7 @@ ORACLE = {
     "content_router": _values("case_id, kind, title", [(r[0], *r[3:]) for r in ROUTE_ROWS]) + """ UNION ALL SELECT page_id + 1000, CASE WHEN page_id % 3 = 0 OR page_id % 4 = 1 THEN 'pdf' WHEN page_id % 4 = 0 THEN 'html' ELSE '' END, 'd' || page_id FROM pages""",
     "path_sections": "SELECT case_id, CASE WHEN len(p) > 1 THEN p[2] ELSE 'general' END AS second, p[-1] AS last, CASE WHEN contains(lower(url), 'stamp-duty') THEN 'stamp_duty' WHEN contains(lower(url), 'property-tax') THEN 'property_tax' ELSE 'general' END AS tax FROM (SELECT *, string_split(trim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS p FROM (SELECT case_id, url FROM (" + CASES["follow"] + ") UNION ALL SELECT page_id + 1000, url FROM pages))",
     "page_links": _PAGE_LINKS,
+    "page_links_allowed": "SELECT * FROM (" + _PAGE_LINKS + ") WHERE " + _HOST + " IN (SELECT " + _HOST + " FROM pages WHERE page_id % 2 = 0) AND url NOT IN (SELECT regexp_extract(url, '^[^:]+://[^/?#]*') || unnest(['/the', '/The', '/and', '/to', '/in']) FROM pages WHERE page_id % 3 = 0)",
     "link_frontier_bfs": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), edges AS (SELECT DISTINCT src, url AS dst FROM links JOIN src USING (page_id)), r AS (SELECT src AS url, 0 AS depth FROM src WHERE page_id % 20 = 0 UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.url WHERE depth < 200) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
     "crawl_order": "WITH RECURSIVE links AS (" + _PAGE_LINKS + "), src AS (SELECT page_id, regexp_extract(u, '^[^:]+://[^/?#]*') AS host, " + _URL + " AS src FROM (SELECT page_id, url AS u FROM pages)), every AS (SELECT src, position, url FROM links JOIN src USING (page_id) UNION ALL SELECT src, 1000, host || unnest(['/', '/f.pdf']) FROM src UNION ALL SELECT host || '/', page_id, src FROM src), known AS (SELECT src, url, min(position) AS position FROM every GROUP BY ALL), queued AS (SELECT * FROM known WHERE NOT contains(" + _PATH + ", '/and') AND NOT ends_with(lower(url), '.pdf')), ruled AS (SELECT DISTINCT " + _HOST + " AS host FROM pages WHERE page_id % 5 = 0), may AS (SELECT url, NOT (starts_with(" + _PATH + ", '/fr/') AND " + _HOST + " IN (SELECT host FROM ruled)) AS fetched FROM (SELECT url FROM known UNION SELECT src FROM src)), start AS (SELECT src AS url, min(page_id) AS p FROM src WHERE page_id % 20 = 0 GROUP BY 1), reach AS (SELECT url, 0 AS depth FROM start UNION SELECT q.url, depth + 1 FROM reach JOIN may ON may.url = reach.url AND fetched JOIN queued q ON src = reach.url WHERE depth < 50), level AS (SELECT url, min(depth) AS depth FROM reach GROUP BY 1), visit AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY p, url) - 1 AS n FROM start UNION ALL SELECT url, depth, row_number() OVER (ORDER BY f, url) - 1 AS n FROM (SELECT q.url, v.depth + 1 AS depth, min((v.n, q.position)) AS f FROM visit v JOIN may ON may.url = v.url AND fetched JOIN queued q ON q.src = v.url JOIN level l ON l.url = q.url AND l.depth = v.depth + 1 GROUP BY 1, 2)), sizes AS (SELECT depth, count(*) AS c FROM visit GROUP BY 1), order_of AS (SELECT v.url, v.depth, CAST(v.n + (SELECT coalesce(sum(c), 0) FROM sizes s WHERE s.depth < v.depth) AS BIGINT) AS visit, fetched, false AS inline FROM visit v JOIN may USING (url)), pdfs AS (SELECT k.url, min((visit, position, depth)) AS f FROM known k JOIN order_of o ON o.url = k.src AND fetched WHERE ends_with(lower(k.url), '.pdf') AND k.url NOT IN (SELECT url FROM order_of) GROUP BY 1) SELECT * FROM order_of UNION ALL SELECT url, f[3], f[1], true, true FROM pdfs",
     "robots_filter": f"SELECT page_id, url FROM pages WHERE NOT (starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AND {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 5 = 0))",
@@ -250,6 +251,7 @@ ORACLE = {
     "validate_errors": f"WITH {_CHECKED} SELECT message, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blank THEN 'chunk_text is empty or whitespace-only' END, CASE WHEN kind AND NOT blank THEN 'chunk_type ''other'' is not one of [''table'', ''text'']' END, CASE WHEN low AND NOT blank THEN 'token count # is below minimum 5' END, CASE WHEN high THEN 'token count # exceeds maximum 100' END, CASE WHEN boiler AND NOT blank THEN 'chunk contains only navigation or boilerplate content' END, CASE WHEN dup THEN 'duplicate chunk (sha256# …)' END], lambda x: x IS NOT NULL)) AS message FROM done) GROUP BY 1",
     "validate_dedupe_reindex": f"WITH {_CHECKED} SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY i) - 1 AS chunk_index, sha256(t) AS chunk_sha256 FROM done WHERE keep",
     "validate_summary": f"WITH {_CHECKED} SELECT doc_key, count(*) AS chunks, count(*) FILTER (keep) AS valid, count(*) FILTER (NOT keep) AS filtered, bool_and(keep) AS is_valid, coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) AS renumbered, CASE WHEN coalesce(list(i ORDER BY i) FILTER (keep), []) <> range(0, count(*) FILTER (keep)) THEN 'chunk_index not sequential after filtering; re-indexing from [' || array_to_string(list(i ORDER BY i) FILTER (keep), ', ') || '] to [' || array_to_string(range(0, count(*) FILTER (keep)), ', ') || ']' ELSE '' END AS renumbering FROM done GROUP BY doc_key",
+    "validate_lines": "SELECT doc_id || '-' || i AS doc_key, CASE WHEN k < 2 THEN 'chunk_text is empty or whitespace-only' WHEN k = 2 THEN 'chunk_text contains null bytes (possible binary corruption)' ELSE '' END AS errors, CASE WHEN k < 3 THEN '' ELSE array_to_string(list_filter([CASE WHEN i % 3 = 0 THEN 'source_name' END, CASE WHEN i % 2 = 0 THEN 'heading_path' END, CASE WHEN k = 3 THEN 'chunk_text|chunk_text' END], lambda x: x IS NOT NULL), '|') END AS warnings FROM (SELECT doc_id, i, (doc_id + i) % 6 AS k FROM (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents))",
     "token_share": f"SELECT source, doc_id, CAST(floor(sum(n) OVER w / count(*) OVER w) AS BIGINT) AS share FROM (SELECT source, doc_id, {_WORDS.format('text')} AS n FROM documents) WINDOW w AS (PARTITION BY source, doc_id // 16)",
     "vector_namespace_upsert": f"WITH v AS (SELECT lower('NS' || label) || '-' || vec_id AS vector_id, lower('NS' || label) AS ns, len(embedding) AS dim, CASE WHEN vec_id % 10 = 7 THEN -1 ELSE 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings) SELECT unnest([ns, 'all']) AS namespace, vector_id, dim, checksum FROM v",
     "vector_fallback_upsert": f"SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 's-' || vec_id END AS embedding_id, CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 5 = 0 THEN 1 END * {_CHECKSUM.format('embedding')} AS checksum FROM embeddings",

@@ -128,6 +128,15 @@ def page_links(spark, d):
     return extract.page_links(extract.crawl_pages(_pages(spark, d)))
 
 
+@query
+def page_links_allowed(spark, d):
+    """Links to the hosts of every second page, without urls that were visited."""
+    pages = table(spark, d, "pages")
+    hosts = pages.where("page_id % 2 = 0").select(N.authority("url").alias("domain"))
+    seen = pages.where("page_id % 3 = 0").select(F.explode(F.array(*[F.concat(_origin(), F.lit(p)) for p in ("/the", "/The", "/and", "/to", "/in")])).alias("url"))
+    return extract.page_links(extract.crawl_pages(_pages(spark, d)), hosts, seen)
+
+
 @query
 def link_frontier_bfs(spark, d):
     links = extract.page_links(extract.crawl_pages(_pages(spark, d)))
@@ -544,6 +553,18 @@ def _counted(spark, d):
     return table(spark, d, "documents").select("source", "doc_id", N.word_count("text").cast("long").alias("token_count"))
 
 
+@query
+def validate_lines(spark, d):
+    """Every document's lines as chunks that are null, blank, binary, cut off or whole, some with a bad heading or no source name."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    k, said = (F.col("doc_id") + F.col("i")) % 6, F.md5(F.col("line").cast("binary"))
+    text = F.when(k == 1, " \t\n ").when(k == 2, F.concat(F.lit("T\0"), said)).when(k == 3, F.concat(F.lit("a"), said)).when(k == 4, F.concat(F.lit("The "), said, F.lit("."))).when(k == 5, F.concat(F.lit("Zz "), said, F.lit("?) ")))
+    path = F.when(F.col("i") % 2 == 0, F.array(F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("text")))).otherwise(F.array(F.struct(F.lit(1).alias("level"), F.lit("h").alias("text"))))
+    rows = lines.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("doc_key"), F.lit(0).alias("chunk_index"), text.alias("chunk_text"), F.lit("text").alias("chunk_type"), F.lit(100).alias("token_count"), F.lit("u").alias("source_url"), F.when(F.col("i") % 3 == 0, "").otherwise("s").alias("source_name"), F.create_map(*map(F.lit, ("source_agency", "X", "chunk_index", "0", "chunk_type", "text"))).alias("metadata"), path.alias("heading_path"))
+    got = validate.checked(rows.withColumn("word_count", N.word_count("chunk_text")))
+    return got.select("doc_key", _join(F.transform("errors", lambda e: e["message"])).alias("errors"), _join(F.transform("warnings", lambda e: e["field"])).alias("warnings"))
+
+
 @query
 def embed_batches(spark, d):
     got = vectors.embed_batches(_counted(spark, d), "source", "doc_id", 5000, 20)
