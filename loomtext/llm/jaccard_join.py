@@ -13,8 +13,9 @@ shingles last, by counts over all documents in a table of fixed size, so common
 x is the size with the least cost: subsets enumerated for sets up to x against lists scanned for the others.
 
 Components need no list of all pairs. A list whose pairs across components are few names them all and is done. A longer
-one takes the members with the most such pairs as pivots, names theirs and drops them; what remains, after parities too,
-goes on in the next round with more pivots, unless it lies in one component by then. So a list of n near copies costs
+one takes the members with the most such pairs as pivots, names some of theirs with each component, the nearest, and drops
+those that have no more; what remains, after parities too, goes on in the next round with more pivots and more pairs of each
+with a component, unless it lies in one component by then. So a list of n near copies costs
 about n checks and two rounds, however long it is: lists too long for a task's memory stream past the pivots, and those
 in one component are left out before, by their least and largest component. Of named pairs, parities of 1024 places rule out most that differ too much; the others' whole sets
 are compared.
@@ -375,6 +376,10 @@ def _name_pairs(t: int, pivots: int):
                     out[j : min(j + 32, a + TILE)] &= (100 + t) * (both - differ) >= 2 * t * both
         return out
 
+    def near(h: int, j: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """How far members j are from member h: by parities where they are known, else by size."""
+        return np.bitwise_count(bits[j] ^ bits[h]).sum(axis=1, dtype=np.int64) if bits.shape[1] else np.abs(n[j] - n[h])
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -399,7 +404,7 @@ def _name_pairs(t: int, pivots: int):
                 recorded = 0
 
         def weighed(n: np.ndarray, cls: np.ndarray, comp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """A list's pairs if they are few; else those of its best connected members, and the others go on."""
+            """A list's pairs if they are few; else those of its best connected members, `pivots` with each component, and who has more goes on."""
             none = np.zeros(0, np.int64)
             kinds, at = np.unique(comp, return_inverse=True)
             if len(kinds) == 1:
@@ -410,14 +415,15 @@ def _name_pairs(t: int, pivots: int):
                 i, j = np.nonzero(np.triu(may))
                 record(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), none, none, none)
                 return
-            heads = np.argsort(-most, kind="stable")[:pivots]
-            for a in range(0, len(heads), 32):
-                i, j = np.nonzero(may[heads[a : a + 32]])
-                i = heads[a : a + 32][i]
-                record(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), none, none, none)
-                yield from given(GIVEN)
             on = most > 0
-            on[heads] = False
+            for h in np.argsort(-most, kind="stable")[:pivots]:
+                j = np.flatnonzero(may[h])
+                j = j[np.lexsort((near(h, j, n, bits), at[j]))]  # by component, the nearest first
+                starts = np.flatnonzero(np.diff(at[j], prepend=-1))
+                j = j[np.arange(len(j)) - np.repeat(starts, np.diff(starts, append=len(j))) < pivots]
+                record(np.minimum(cls[h], cls[j]), np.maximum(cls[h], cls[j]), none, none, none)
+                on[h] = len(j) < most[h]
+                yield from given(GIVEN)
             record(none, none, n[on], cls[on], rest[on])
 
         def heads_of(first: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:

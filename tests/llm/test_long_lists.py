@@ -76,3 +76,20 @@ def test_parities_in_slices(monkeypatch):
     whole = J._parities(d, h, 50).to_pylist()
     monkeypatch.setattr(J, "COUNTED", 7)
     assert J._parities(d, h, 50).to_pylist() == whole
+
+
+def test_pivots_name_few_pairs_with_a_component():
+    """Thirty sets that a large component doesn't take in: not a pair with each of its members in a round, but all in the end."""
+    n, alone = 1000, 30
+    comp = np.r_[np.zeros(n, np.int64), np.arange(n, n + alone)]
+    left, named, first, pivots = np.arange(n + alone), set(), None, 8
+    while len(left):
+        cols = [np.zeros(len(left), np.int64), np.full(len(left), 100), left, comp[left], np.zeros(len(left), np.int64)]
+        got = pa.Table.from_batches(J._name_pairs(80, pivots)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "n", "cls", "comp", "place"])]))).to_pydict()
+        pairs = {(u, v) for u, v, p in zip(got["u"], got["cls"], got["pair"], strict=True) if p}
+        first = first or len(pairs)
+        named |= pairs
+        left = np.array(sorted(v for v, p in zip(got["cls"], got["pair"], strict=True) if not p), np.int64)
+        pivots *= 8
+    assert first < n
+    assert named == {(u, v) for v in range(n, n + alone) for u in range(v)}
