@@ -36,10 +36,9 @@ def hashed_vector(text: str, dim: int) -> list[float]:
     """An offline stand-in for an embedding service: signed hashed words, of unit length."""
     import zlib
 
-    v = np.zeros(dim)
-    for w in text.lower().split():
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1 if h >> 31 else -1
+    said = text.lower().split()
+    h = np.fromiter(map(zlib.crc32, map(str.encode, said)), np.int64, len(said))
+    v = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
     n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 

@@ -27,6 +27,15 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to as many tasks as a shuffle has, by keys if given: for short rows that take long each.
+
+    Files and shuffles are cut into tasks by their bytes, so a small table of such rows would run in one or two.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def give_back() -> None:
     """Return freed memory to the system, as a worker that is reused would keep it for the tasks that follow."""
     pa.default_memory_pool().release_unused()

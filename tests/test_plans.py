@@ -1,5 +1,6 @@
 """Plans: how often tables are read and Python is called."""
 
+import pytest
 from loomtext.plans import document_pipeline
 from loomtext.queries import _pages, queries
 
@@ -35,3 +36,27 @@ def test_urls_are_computed_once(spark, sf):
     """A link's URL is bound to a name before it is taken apart, so that it isn't copied into each of its parts."""
     got = plan(queries()["page_links"](spark, sf))
     assert got.count("RLIKE") <= 5 and got.count("regexp_extract") <= 8 and got.count("aggregate(") <= 1 and len(got) < 12_000
+
+
+@pytest.mark.parametrize("name", ["pdf_text", "html_tables", "rate_tables"])
+def test_short_rows_are_dealt_to_many_tasks(name, spark, sf):
+    """A small table whose rows take long is not read and worked on in one task."""
+    from loomtext.queries import queries
+
+    assert "REPARTITION_BY_NUM" in queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_files_share_batches(spark):
+    """Many small files make one Arrow batch, not one each."""
+    import pyarrow as pa
+
+    from loomtext.sources import pdf_write
+
+    class Rows:
+        sparkSession = spark  # noqa: N815
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_pylist([{"url": str(i)} for i in range(50)])])))
+
+    got = pdf_write._written(Rows(), lambda row: row["url"].encode())
+    assert len(got) == 1 and got[0].column(1).to_pylist()[49] == b"49"
