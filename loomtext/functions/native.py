@@ -18,14 +18,18 @@ def col(x: _C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: All that a Unicode-aware \\s matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: _C) -> Column:
-    """Without white space at both ends, of any kind."""
-    return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, of any kind. Only the ends are looked at, where a pattern would try each place."""
+    return F.btrim(col(x), F.lit(WHITE))
 
 
 def tidy(x: _C) -> Column:
     """Runs of blanks and tabs to one blank, three or more newlines to two, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(col(x), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(col(x), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def word_count(x: _C) -> Column:

@@ -1,5 +1,7 @@
 """PDFs as rows: a task reads a file's objects into marks, Spark lays them out as lines, pages and table grids.
 
+Text stays in its file's row, so that laying it out needs no shuffle; marks of tables are rows of their own.
+
 Two readings, as choose_pdf_text() wants them. The primary one follows the cross references and the page tree and
 orders text by its place on the page: lines from the top, runs from the left. It fails on damaged files. The fallback
 scans for objects, skips what it can't read, takes pages by number where the tree is broken, and keeps the order in
@@ -24,14 +26,19 @@ LINE, SNAP = 3.0, 3.0
 #: Marks in one batch of a task's output.
 MARKS = 20_000
 _FIELDS = [("url", pa.string()), ("kind", pa.string()), ("page", pa.int32()), ("seq", pa.int32()), ("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64()), ("size", pa.float64()), ("text", pa.string())]
+#: A run by what orders it: height from the top, place along the line, number; then its end, size and text.
+_RUN = pa.struct([("y", pa.float64()), ("x0", pa.float64()), ("seq", pa.int32()), ("x1", pa.float64()), ("size", pa.float64()), ("text", pa.string())])
 _SUMMARY = [("primary_title", pa.string()), ("primary_pages", pa.int32()), ("primary_error", pa.string()), ("fallback_text", pa.string()), ("fallback_title", pa.string()), ("fallback_pages", pa.int32()), ("fallback_error", pa.string())]
 _SQL = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
 
 
-def read_pdf(data: bytes) -> tuple[str, str, int]:
-    """The fallback reading: (text in the order it is drawn, title, number of pages); a ValueError for what is no PDF or encrypted."""
+def read_pdf(data: bytes, scanned: P.File | None = None) -> tuple[str, str, int]:
+    """The fallback reading: (text in the order it is drawn, title, number of pages); a ValueError for what is no PDF or encrypted.
+
+    scanned: the file, if it has been read by a scan already.
+    """
     try:
-        file = P.File(data, scan=True)
+        file = scanned or P.File(data, scan=True)
     except P.DAMAGE as e:
         raise ValueError(str(e)) from e
     pages, texts = 0, []
@@ -63,55 +70,115 @@ def _drawn(texts: list[tuple]) -> str:
     return re.sub(r"\s*\n\s*", "\n", "".join(out)).strip()
 
 
-def _primary(data: bytes) -> tuple[list[tuple], str, int]:
-    """(marks as rows without url, title, number of pages)."""
-    file = P.File(data)
-    rows, pages = [], 0
+def _pages(file: P.File) -> Iterator[P.Marks]:
     for page in file.pages():
-        pages += 1
         marks = P.Marks(file)
         marks.page(page)
-        rows += [("text", pages, i, x0, y, x1, y, size, text) for i, (x0, y, x1, size, text, _) in enumerate(marks.texts) if text.strip()]
-        rows += [("edge", pages, i, *e, None, None) for i, e in enumerate(marks.edges)]
-    return rows, file.title() or "Untitled", pages
+        yield marks
 
 
-def marks(objects: DataFrame, with_fallback: bool = True) -> DataFrame:
-    """objects(url, content) to rows of kind text or edge, and for each file one of kind file that sums it up.
-
-    A file that the primary reading fails on, or finds no text in, has the fallback's answer in its summary.
-    """
+def marks(objects: DataFrame) -> DataFrame:
+    """objects(url, content) to rows of kind text or edge by the primary reading; files that it fails on have none."""
     arrow_batches(objects.sparkSession)
-    every = [*_FIELDS, *_SUMMARY]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(every)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, every, strict=True)], [n for n, _ in every])
+        columns = zip(*rows, strict=True) if rows else [()] * len(_FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (None,) * len(_SUMMARY)
         out: list[tuple] = []
         for b in batches:
             for url, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, first, again = [], (None, None, None), (None,) * 4
+                rows = []
                 try:
-                    rows, title, pages = _primary(data or b"")
-                    first = (title, pages, None)
-                except P.DAMAGE as e:  # a damaged file is a row's error, not the job's
-                    first = (None, None, type(e).__name__)
-                if with_fallback and not any(r[0] == "text" for r in rows):
-                    try:
-                        again = (*read_pdf(data or b""), None)
-                    except P.DAMAGE as e:
-                        again = (None, None, None, type(e).__name__)
-                out += [(url, *r, *none) for r in rows]
-                out.append((url, "file", 0, 0, None, None, None, None, None, None, *first, *again))
+                    for n, page in enumerate(_pages(P.File(data or b"")), 1):
+                        rows += [(url, "text", n, i, x0, y, x1, y, size, text) for i, (x0, y, x1, size, text, _) in enumerate(page.texts) if text.strip()]
+                        rows += [(url, "edge", n, i, *e, None, None) for i, e in enumerate(page.edges)]
+                except P.DAMAGE:
+                    continue
+                out += rows
                 while len(out) >= MARKS:
                     yield batch(out[:MARKS])
                     out = out[MARKS:]
         yield batch(out)
 
-    return objects.select(F.col("url").cast("string").alias("url"), F.col("content").cast("binary").alias("content")).mapInArrow(run, ", ".join(f"{n} {_SQL[k]}" for n, k in every))
+    return objects.select(F.col("url").cast("string").alias("url"), F.col("content").cast("binary").alias("content")).mapInArrow(run, ", ".join(f"{n} {_SQL[k]}" for n, k in _FIELDS))
+
+
+class _Runs:
+    """A batch of files' runs as columns: those of _RUN, where pages and files end, and what sums a file up."""
+
+    def __init__(self):
+        self.urls, self.of_file, self.of_page, self.sums = [], [0], [0], []
+        self.columns: list[list] = [[] for _ in range(_RUN.num_fields)]
+
+    def add(self, url: str | None, data: bytes) -> None:
+        file, error, pages, title = None, None, [], None
+        again: tuple = (None,) * 4
+        try:
+            file = P.File(data)
+            pages = [[(-y, x0, i, x1, size, text) for i, (x0, y, x1, size, text, _) in enumerate(page.texts) if text.strip()] for page in _pages(file)]
+            title = file.title() or "Untitled"
+        except P.DAMAGE as e:  # a damaged file is a row's error, not the job's
+            error, pages = type(e).__name__, []
+        if not any(pages):
+            try:
+                again = (*read_pdf(data, file if file and file.scanned else None), None)
+            except P.DAMAGE as e:
+                again = (None, None, None, type(e).__name__)
+        for page in pages:
+            for column, values in zip(self.columns, zip(*page, strict=True), strict=False):
+                column += values
+            self.of_page.append(len(self.columns[0]))
+        self.of_file.append(len(self.of_page) - 1)
+        self.urls.append(url)
+        self.sums.append((title, None if error else len(pages), error, *again))
+
+    def batch(self) -> pa.RecordBatch:
+        runs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, _RUN, strict=True)], fields=list(_RUN))
+        pages = pa.ListArray.from_arrays(pa.array(self.of_page, pa.int32()), runs)
+        files = pa.ListArray.from_arrays(pa.array(self.of_file, pa.int32()), pages)
+        sums = zip(*self.sums, strict=True) if self.sums else [()] * len(_SUMMARY)
+        return pa.RecordBatch.from_arrays([pa.array(self.urls, pa.string()), files, *(pa.array(c, k) for c, (_, k) in zip(sums, _SUMMARY, strict=True))], ["url", "pages", *(n for n, _ in _SUMMARY)])
+
+
+def _runs(objects: DataFrame) -> DataFrame:
+    """objects(url, content) to url, pages array<array<run>> by the primary reading, and what sums the file up.
+
+    A file that the primary reading fails on, or finds no text in, has the fallback's answer in its summary.
+    """
+    arrow_batches(objects.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Runs()
+        for b in batches:
+            for url, data in zip(b.column(0), b.column(1), strict=True):
+                out.add(url.as_py(), data.as_py() or b"")
+                if len(out.columns[0]) >= MARKS or len(out.urls) >= MARKS:
+                    yield out.batch()
+                    out = _Runs()
+        yield out.batch()
+
+    fields = ", ".join(f"{f.name}:{_SQL[f.type]}" for f in _RUN)
+    return objects.select(F.col("url").cast("string").alias("url"), F.col("content").cast("binary").alias("content")).mapInArrow(run, f"url string, pages array<array<struct<{fields}>>>, " + ", ".join(f"{n} {_SQL[k]}" for n, k in _SUMMARY))
+
+
+def _line(runs: Column) -> Column:
+    """The text of a line's runs, from the left."""
+    along = F.array_sort(F.transform(runs, lambda r: F.struct(r["x0"].alias("x0"), r["seq"].alias("seq"), r["x1"].alias("x1"), r["size"].alias("size"), r["text"].alias("text"))))
+    gap = lambda rs, r, i: (i > 0) & (r["x0"] - F.get(rs, i - 1)["x1"] > P.GAP * r["size"])
+    joined = N.once(along, lambda rs: F.array_join(F.transform(rs, lambda r, i: F.when(gap(rs, r, i), F.concat(F.lit(" "), r["text"])).otherwise(r["text"])), ""))
+    return N.strip(F.when(F.size(runs) == 1, F.get(runs, F.lit(0))["text"]).otherwise(joined))
+
+
+def _page_text(runs: Column) -> Column:
+    """A page's runs as text: lines from the top, runs from the left; a run that lies lower than the one before begins a line."""
+
+    def laid_out(rs: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(rs) - 1), lambda i: (i == 0) | (F.get(rs, i)["y"] - F.get(rs, i - 1)["y"] > LINE))
+        return N.once(begins, lambda at: F.transform(at, lambda a, k: _line(F.slice(rs, a + 1, F.coalesce(F.get(at, k + 1), F.size(rs)) - a))))
+
+    return F.when(F.size(runs) == 0, F.lit("")).otherwise(F.array_join(F.filter(N.once(F.array_sort(runs), laid_out), lambda t: t != ""), "\n"))
 
 
 def lines(runs: DataFrame, keys: list[str], carry: dict[str, Column] | None = None) -> DataFrame:
@@ -134,15 +201,11 @@ def lines(runs: DataFrame, keys: list[str], carry: dict[str, Column] | None = No
 def read_pdfs(objects: DataFrame) -> DataFrame:
     """objects(url, content) to what choose_pdf_text() takes: each reading's text, title, pages and error.
 
-    Pages are joined by an empty line, blank ones left out. Nulls are files that are no PDF. A url that repeats is read
-    as one file with the marks of both: keep urls unique.
+    Pages are joined by an empty line, blank ones left out. Nulls are files that are no PDF. One row for each object, no
+    shuffle: a url that repeats has several.
     """
-    names = [n for n, _ in _SUMMARY]
-    rows = marks(objects).where("kind <> 'edge'")
-    pages = lines(rows, ["url", "page"], {n: F.max(n) for n in names})
-    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), lambda t: t != ""), "\n\n")
-    got = pages.groupBy("url").agg(text.alias("primary_text"), *(F.max(n).alias(n) for n in names))
-    return got.select("url", F.when(F.col("primary_error").isNull(), F.col("primary_text")).alias("primary_text"), *names)
+    text = F.array_join(F.filter(F.transform("pages", _page_text), lambda t: t != ""), "\n\n")
+    return _runs(objects).select("url", F.when(F.col("primary_error").isNull(), text).alias("primary_text"), *(n for n, _ in _SUMMARY))
 
 
 def _islands(edges: DataFrame, keys: list[str], lo: str, hi: str, name: str) -> DataFrame:
@@ -165,7 +228,7 @@ def read_tables(objects: DataFrame) -> DataFrame:
     edges are the grid's columns and rows. A cell has the runs whose middle lies in it. Tables with no filled cell are
     left out, as are damaged files; a table of a single row has no headers.
     """
-    rows = marks(objects, with_fallback=False)
+    rows = marks(objects)
     page = ["url", "page"]
     e = rows.where("kind = 'edge'").select(*page, "x0", "y0", "x1", "y1")
     e = _islands(e, page, "y0", "y1", "a")

@@ -83,3 +83,17 @@ def test_streaming_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     assert event_counts(events).isStreaming
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.functions import native as N
+
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), 0x1F600]]
+    rows = spark.createDataFrame([(f"{c} a{c}b \n{c}",) for c in every] + [("",), (None,), (" 　\n",)], "t string")
+    old = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    tidied = old(F.regexp_replace(F.regexp_replace("t", r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    assert rows.where(~N.strip("t").eqNullSafe(old(F.col("t"))) | ~N.tidy("t").eqNullSafe(tidied)).count() == 0
+    plan = rows.select(N.strip("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan

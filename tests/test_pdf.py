@@ -111,3 +111,44 @@ def test_cells_without_text_and_several_pages(spark):
     pages = [pdf_write.table_page([["h", "", "i"], ["", "v", ""]], codes), b"", pdf_write.table_page([["q"], ["w"], ["日本"]], codes)]
     got = tables(spark, pdf_write.write_pdf(pages, codes, "t", "1.5"))
     assert got == [("0", 1, 0, ["h", "", "i"], [["", "v", ""]]), ("0", 3, 0, ["q"], [["w"], ["日本"]])]
+
+
+def test_text_is_laid_out_in_its_files_row(spark):
+    rows = spark.createDataFrame([("a", "", ["x"], "1.4", False, True)], "url string, title string, words array<string>, version string, shuffled boolean, tree boolean")
+    plan = pdf.read_pdfs(pdf_write.write_texts(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_text_objects_read_together_are_read_as_one_by_one(spark):
+    pairs = b"".join(b"<%04x> <%s> " % (code, to) for code, to in ((1, b"0041"), (2, b"65e5"), (3, b"d83dde00"), (4, b"00660069"), (0xD801, b"0042")))
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar %s endbfchar" % pairs
+    several = b"5 0 obj <</Type /Font /Subtype /Type0 /ToUnicode 6 0 R /DescendantFonts [<</DW 500>>]>> endobj\n6 0 obj <</Length %d>>\nstream\n%s\nendstream endobj\n" % (len(cmap), cmap)
+    single = several.replace(b"<00660069>", b"<0066>    ")
+    body = b"BT /F 10 Tf 1 0 0 1 40 700 Tm <000100020003> Tj ET\nBT 1 0 0 1 40 686 Tm <00 04d801> Tj ET\nBT /F 9 Tf 40 672 Td <000100> Tj ET BT 40 658 Td <0002zz0009> Tj ET\nBT 1 0 0 1 80 658 Tm (\x00\x01) Tj ET BT 2 0 0 2 40 630 Tm <> Tj ET 2 Ts BT 0 1 -1 0 40 600 Tm <0001> Tj ET q 2 0 0 2 0 0 cm BT 20 250 Td <00010001> Tj ET Q BT 20 400 Td <0002> Tj ET"
+    for font in (several, single):
+        files = [plain_pdf(body.replace(b"BT ", how), b"/Font <</F 5 0 R>>", font) for how in (b"BT ", b"BT %\n")]
+        seen = []
+        for f in files:
+            file = P.File(f)
+            marks = P.Marks(file)
+            marks.page(next(file.pages()))
+            seen.append(marks.texts)
+        assert seen[0] == seen[1] and len(seen[0]) == 9
+        assert read(spark, files[0])["0"].primary_text.split("\n")[0] == "A日😀"
+
+
+def test_texts_and_lists_of_words_make_the_same_files(spark):
+    texts = [None, "", " \t", "a", " ".join(map(str, range(700))), "é x\n日本 \x0b😀\x1f q"]
+    kind = "url string, title string, words {}, version string, shuffled boolean, tree boolean"
+    made = []
+    for of, listed in (("string", texts), ("array<string>", [None if t is None else [w.decode() for w in t.encode().split()] for t in texts])):
+        rows = spark.createDataFrame([(str(i), "t", w, "1.5", i % 2 == 0, True) for i, w in enumerate(listed)], kind.format(of))
+        made.append(sorted((r.url, bytes(r.content)) for r in pdf_write.write_texts(rows).collect()))
+    assert made[0] == made[1] and len(made[0]) == 6
+
+
+def test_usual_values_are_read_as_others():
+    for usual in (b"<</A 3 0 R/B -4 /C /D\n/E [1 +2\n-3] /F [7 0 R 9 0 R]/G []/H 1.5/I<</J 2>>>>", b"[ 1 2 3 ]", b"[1 0 R]", b"[1 2 R]", b"<</A /B>>"):
+        apart = usual.replace(b"[", b"[%x\n").replace(b"/", b"%x\n/")
+        assert P.read_value(usual, 0)[0] == P.read_value(apart, 0)[0]
+    assert P.read_value(b"[7 0 R]", 0)[0] == [7] and isinstance(P.read_value(b"[7 0 R]", 0)[0][0], P.Ref)
