@@ -52,25 +52,30 @@ def pattern(alternatives: tuple[str, ...]) -> str:
     return "(?iU)" + "|".join(rf"\b{a[:-1]}" if a.endswith("*") else rf"\b{a}\b" for a in alternatives)
 
 
-def _marks_of(alternative: str) -> str:
-    """A run of letters that each match of an alternative has, in lower case."""
-    sure = re.split(r"[(\[?]", alternative.rstrip("*"))[0]
-    return max(re.split(r"[^A-Za-z]+", sure.replace(r"\s", " ")), key=len).lower()
+def _marks_of(alternative: str) -> list[str]:
+    """The runs of letters that each match of an alternative has, in lower case; none if that isn't sure."""
+    sure = re.sub(r"\((?:[^()])*\)|\[[^\]]*\]|\\.", " ", alternative.rstrip("*"))
+    sure = re.sub(r"[A-Za-z](?=[?*{])", " ", sure)
+    return [] if re.search(r"[|()]", sure) else sorted({run.lower() for run in re.findall("[A-Za-z]+", sure)})
 
 
 def labels(text: Column, rules, default: tuple[str, ...] = ()) -> Column:
     """Sorted labels of the rules that match, or the default.
 
-    A rule's pattern is only tried on a text that has a run of letters which one of its alternatives needs. The other
-    letters that count as s, i and k in any case are folded first. The labels' list is used once, so it is computed once.
+    A rule's pattern is only tried on a text that has all runs of letters which one of its alternatives needs. The other
+    letters that count as s, i and k in any case are folded first, once for all rules.
     """
-    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
-    tries = []
-    for label, alternatives in sorted(rules):
-        may = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in sorted({_marks_of(a) for a in alternatives})])
-        tries.append(F.when(may & text.rlike(pattern(alternatives)), F.lit(label)))
-    found = F.regexp_replace(F.concat_ws("|", *tries), "^$", "|".join(default))
-    return F.array_remove(F.split(found, r"\|"), "")
+    fold = lambda t: F.lower(functools.reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), zip("\u017f\u0131\u0130\u212a", "siik", strict=True), t))
+
+    def found(text: Column, low: Column) -> Column:
+        tries = []
+        for label, alternatives in sorted(rules):
+            has = [functools.reduce(lambda a, b: a & b, [F.contains(low, F.lit(m)) for m in _marks_of(a)], F.lit(True)) for a in alternatives]
+            may = functools.reduce(lambda a, b: a | b, has)
+            tries.append(F.when(may & text.rlike(pattern(alternatives)), F.lit(label)))
+        return F.regexp_replace(F.concat_ws("|", *tries), "^$", "|".join(default))
+
+    return F.array_remove(F.split(once(text, lambda t: once(fold(t), lambda low: found(t, low))), r"\|"), "")
 
 
 def keywords(text: Column, words: tuple[str, ...]) -> Column:
@@ -113,10 +118,14 @@ def metadata(text: _C, headings: _C, title: _C, source: _C) -> Column:
     """All of a document's metadata as one struct, with warnings for what wasn't found."""
     t = F.coalesce(col(text), F.lit(""))
     said = F.concat(t, F.lit(" "), F.array_join(F.transform(col(headings), lambda h: h["text"]), " "))
-    code, day = agency(source), effective_date(t)
-    warn = F.array_compact(F.array(F.when(code == "", F.concat(F.lit("Unknown source_name '"), F.coalesce(col(source), F.lit("")), F.lit("' — source_agency left empty"))), F.when(day == "", F.lit("No effective date found in document text"))))
+    code = agency(source)
+    return once(effective_date(t), lambda day: _metadata(col(title), col(source), code, section(headings, title), day, t, said))
+
+
+def _metadata(title: Column, source: Column, code: Column, part: Column, day: Column, t: Column, said: Column) -> Column:
+    warn = F.array_compact(F.array(F.when(code == "", F.concat(F.lit("Unknown source_name '"), F.coalesce(source, F.lit("")), F.lit("' — source_agency left empty"))), F.when(day == "", F.lit("No effective date found in document text"))))
     return F.struct(
-        col(title).alias("title"), code.alias("source_agency"), section(headings, title).alias("section"), day.alias("effective_date"), F.try_to_date(day, "yyyy-MM-dd").alias("effective_on"),
+        title.alias("title"), code.alias("source_agency"), part.alias("section"), day.alias("effective_date"), F.try_to_date(day, "yyyy-MM-dd").alias("effective_on"),
         labels(said, R.PROPERTY_RULES, ("all",)).alias("property_types"), labels(t, R.CITIZENSHIP_RULES, ("all",)).alias("citizenship_types"), labels(said, R.TOPIC_RULES).alias("topic_tags"), warn.alias("metadata_warnings"),
     )
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomtext.functions import native as N
 from loomtext.functions import tokens as K
 from loomtext.operators.extract import HEADINGS, map_rows
+from loomtext.session import arrow_batches
 from loomtext.sources import rules as R
 
 PIECES = f"doc_key string, chunk_index int, chunk_text string, start int, heading_path {HEADINGS}, word_count int, token_count int"
@@ -46,7 +50,7 @@ def chunks(docs: DataFrame, size: int = R.CHUNK_TOKENS, overlap: int = R.CHUNK_O
 
     def work(row: dict) -> Iterator[dict]:
         count = K.counter(tokens, ranks)
-        same = {"doc_key": row["doc_key"]} | {c: row[c] for c in own}
+        same = {"doc_key": row["doc_key"]}
         at = -1
         for p in _pieces(row["text"], row["headings"], size, overlap, count):
             at = p.pop("chunk_index")
@@ -56,7 +60,21 @@ def chunks(docs: DataFrame, size: int = R.CHUNK_TOKENS, overlap: int = R.CHUNK_O
             yield same | {"chunk_index": i, "chunk_text": t["text"], "chunk_type": "table", "heading_path": [], "word_count": len(t["text"].split()), "token_count": count(t["text"]), "table_caption": t["caption"], "table_source_tag": t["tag"]}
 
     made = f"doc_key string, chunk_index int, chunk_text string, chunk_type string, heading_path {HEADINGS}, word_count int, token_count int, table_caption string, table_source_tag string"
-    return map_rows(rows, work, made + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in own))
+    kind = to_arrow_schema(T._parse_datatype_string(made))
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's own columns are repeated within Arrow: they aren't taken apart for each chunk."""
+        for b in batches:
+            out, of = [], []
+            for i, row in enumerate(b.drop_columns(list(own)).to_pylist()):
+                for piece in work(row):
+                    out.append(piece)
+                    of.append(i)
+            at = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_pylist(out, schema=kind).columns, *(b.column(c).take(at) for c in own)], [*kind.names, *own])
+
+    return rows.mapInArrow(run, made + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in own))
 
 
 def word_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:

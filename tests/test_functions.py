@@ -97,3 +97,21 @@ def test_strip_takes_what_the_pattern_takes(spark):
     assert rows.where(~N.strip("t").eqNullSafe(old(F.col("t"))) | ~N.tidy("t").eqNullSafe(tidied)).count() == 0
     plan = rows.select(N.strip("t"))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_labels_fold_a_text_once_and_find_what_the_patterns_find(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.functions import native as N
+    from loomtext.sources import rules as R
+
+    assert N._marks_of(r"loan[-\s]to[-\s]value") == ["loan", "to", "value"] and N._marks_of(r"singapore\s+(?:permanent\s+resident|PR)") == ["singapore"]
+    assert N._marks_of("colou?rs*") == ["colo", "rs"] and N._marks_of("a|b") == []
+    said = ["", "loan-to-value", "value to loan", "NON-REſIDENT", "non resident", "Houſing  grant", "KLTV LTV", "current", "Rent.", "buyer’s stamp duty", "sıngapore PR", "İndustrial", "EC second", "landed residential", "private property", "cooling measures"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for rules in (R.PROPERTY_RULES, R.CITIZENSHIP_RULES, R.TOPIC_RULES):
+        plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(N.pattern(a)), F.lit(label)) for label, a in sorted(rules)]))
+        got = rows.select("t", N.labels(F.col("t"), rules).alias("got"), plain.alias("want"))
+        assert got.where("not got <=> want").collect() == []
+        shown = got.select("got")._jdf.queryExecution().executedPlan().toString()
+        assert shown.count("lower(") == 1

@@ -60,3 +60,29 @@ def test_written_files_share_batches(spark):
 
     got = pdf_write._written(Rows(), lambda row: row["url"].encode())
     assert len(got) == 1 and got[0].column(1).to_pylist()[49] == b"49"
+
+
+def test_a_documents_own_columns_are_not_taken_apart(spark, monkeypatch):
+    """Metadata go round Python's dictionaries: a batch's rows are read without them."""
+    import pyarrow as pa
+
+    from loomtext.operators import chunk
+
+    given = []
+
+    class Rows:
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        def select(self, *cols):
+            return Rows(self.df.select(*cols))
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            batch = self.df.toArrow().combine_chunks().to_batches()[0]
+            monkeypatch.setattr(chunk, "_pieces", lambda text, *_: given.append(text) or iter([{"chunk_index": i, "chunk_text": w, "start": 0, "heading_path": [], "word_count": 1, "token_count": 1} for i, w in enumerate(text.split())]))
+            return pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+
+    kind = "doc_key string, text string, headings array<struct<level:int,text:string>>, tables array<struct<headers:array<string>,rows:array<array<string>>,caption:string,page_number:int,source_tag:string>>, metadata struct<a:string>, url string, source string, content_type string"
+    rows = spark.createDataFrame([("1", "p q", [], [], ("m",), "u", "s", "html"), ("2", "", [], [], ("n",), "v", "s", "html"), ("3", "r", [], [], None, None, "t", "html")], kind)
+    got = chunk.chunks(Rows(rows), tokens="words")
+    assert [(r["doc_key"], r["chunk_text"], r["metadata"], r["source_url"], r["source_name"]) for r in got] == [("1", "p", {"a": "m"}, "u", "s"), ("1", "q", {"a": "m"}, "u", "s"), ("3", "r", None, None, "t")]
