@@ -196,6 +196,6 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]], threshold: float, k
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that contain a benchmark item, with all columns; rows with null ids stay."""
-    found = contaminated(docs, benchmark, threshold, k, id_col, text_col).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct()
+    found = contaminated(docs, benchmark, threshold, k, id_col, text_col).select(F.col("doc_id").alias("__hit")).where("__hit is not null")
     found = cut(found, f"{shared_dir(docs.sparkSession)}/contaminated")
-    return without(docs, found, docs[id_col].cast("long") == found["__hit"], found.count())
+    return without(docs, found.distinct(), docs[id_col].cast("long") == found["__hit"], found.count())

@@ -101,7 +101,7 @@ def dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not (is_table(docs) if from_files is None else from_files):
         docs = cut(docs, f"{shared_dir(spark)}/docs")
     dropped = exact_dedup(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    dropped = cut(dropped, f"{shared_dir(spark)}/dropped")
+    dropped = cut(dropped, f"{shared_dir(spark)}/dropped", 2 * docs.count())
     names = docs.columns
     placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     kept = without(placed, dropped, (placed["__file"] == dropped["__file"]) & (placed["__row"] == dropped["__row"]), dropped.count())

@@ -52,6 +52,8 @@ PAIRS_EACH = 8
 WHOLE, TILE = 4096, 128
 #: Pairs and entries that a task gathers before it gives them out, and sets whose parities it counts at once.
 GIVEN, COUNTED = 200_000, 2048
+#: A pair whose whole sets are compared counts as so many rows where small cuts share files.
+SET_ROWS = 8
 #: Members of a list that a task holds at a time; longer lists stream past pivots from among the first ones held, so many at most.
 HELD, PASSED = 50_000, 4096
 
@@ -159,7 +161,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
     round by round; written rounds keep plans short.
     """
     spark = links.sparkSession
-    own = cut(links.select("u", "v").distinct(), f"{path}/links")
+    own = cut(links.select("u", "v").distinct(), f"{path}/links", links.count())
     if own.count() <= FEW_LINKS:
         return cut(own.coalesce(1).mapInArrow(_united, "id long, comp long"), f"{path}/labels")
     edges = cut(own.union(own.select(F.col("v"), F.col("u"))), f"{path}/edges")
@@ -204,6 +206,11 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
     rows and equal sets link. Null ids are never a component's id unless all its rows have none. Whole texts count,
     however long. An empty table gives no rows; other columns play no part. A set's class is known by a 64-bit hash.
     """
+    return _alike(docs, t, k, id_col, text_col)[0]
+
+
+def _alike(docs: DataFrame, t: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """alike(), and the number of its rows."""
     spark = docs.sparkSession
     arrow_batches(spark)
     base = shared_dir(spark)
@@ -297,12 +304,13 @@ def alike(docs: DataFrame, t: int = 85, k: int = 4, id_col: str = "doc_id", text
     arrow_batches(spark)
     links = met.where("link").select("u", F.col("cls").alias("v")).distinct()
     lists = met.where(~F.col("link")).select("key", "cls", "n", "place").distinct()
-    found = _verified_rounds(lists, links, rows, members, t, k, base)
+    n, n_met = members.count(), met.count()
+    found = _verified_rounds(lists, links, n_met, rows, members, n, t, k, base)
     labels = components(found, f"{base}/components")
-    return _placed(members, labels, base)
+    return _placed(members, n, labels, base), n
 
 
-def _placed(members: DataFrame, labels: DataFrame, base: str) -> DataFrame:
+def _placed(members: DataFrame, n: int, labels: DataFrame, base: str) -> DataFrame:
     """Each row's component, settled for classes first: copies and components are as large as they like, classes are rows.
 
     Only classes with copies or links have an entry, which is broadcast or, beyond BROADCAST_IDS, joined; all others are
@@ -311,12 +319,12 @@ def _placed(members: DataFrame, labels: DataFrame, base: str) -> DataFrame:
     few = labels.count() <= BROADCAST_IDS
     ids = labels.withColumnRenamed("id", "cls")
     classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1").unionByName(
-        members.where("n > 0").join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("least"), F.lit(0).cast("long").alias("copies"))), f"{base}/classes")
+        members.where("n > 0").join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("least"), F.lit(0).cast("long").alias("copies"))), f"{base}/classes", 2 * n)
     linked = classes.where("copies = 0").join(F.broadcast(ids) if few else ids, "cls")
     heads = linked.groupBy("comp").agg(F.min("least").alias("component"))
     of_links = linked.join(F.broadcast(heads) if few else heads, "comp").select("cls", "component")
     of_copies = classes.where("copies > 1").join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_anti").select("cls", F.col("least").alias("component"))
-    entries = cut(of_links.unionByName(of_copies), f"{base}/entries")
+    entries = cut(of_links.unionByName(of_copies), f"{base}/entries", 2 * n)
     joined = members.join(F.broadcast(entries) if entries.count() <= BROADCAST_IDS else entries, "cls", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -325,14 +333,15 @@ def prefix_size_of(n: np.ndarray, t: int) -> np.ndarray:
     return n - -(-t * n // 100) + 1
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, bits: DataFrame, t: int, k: int, base: str) -> DataFrame:
-    """Those of pairs (u, v) of classes that link. Parities rule out most others before any set is compared."""
+def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, n: int, bits: DataFrame, t: int, k: int, base: str) -> DataFrame:
+    """Those of pairs (u, v) of classes that link; n members. Parities rule out most others before any set is compared."""
     sides = pairs.join(bits.select(F.col("cls").alias("u"), F.col("bits").alias("ub"), F.col("n").alias("un")), "u").join(bits.select(F.col("cls").alias("v"), F.col("bits").alias("vb"), F.col("n").alias("vn")), "v")
     differ = F.aggregate(F.zip_with("ub", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # 2 * shared = un + vn - differing, and differing >= differ
-    able = cut(sides.where((100 + t) * (F.col("un") + F.col("vn") - differ) >= 2 * t * (F.col("un") + F.col("vn"))).select("u", "v"), f"{base}/able")
+    able = cut(sides.where((100 + t) * (F.col("un") + F.col("vn") - differ) >= 2 * t * (F.col("un") + F.col("vn"))).select("u", "v"), f"{base}/able", pairs.count() + n)
+    n_able = able.count()
     named = able.select(F.col("u").alias("cls")).union(able.select(F.col("v"))).distinct()
-    chosen = cut(members.join(named, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{base}/chosen")
+    chosen = cut(members.join(named, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{base}/chosen", n + 2 * n_able)
 
     @released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +356,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, bits: DataF
     if not chosen.where("doc_id is null").isEmpty():  # classes all of whose rows have null ids
         picked = picked.unionByName(rows.where("doc_id is null"))
     whole = cut(picked.mapInArrow(sets, "cls long, shingles array<long>").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi"), f"{base}/sets")
-    small = able.count() <= BROADCAST_IDS
+    small = n_able <= BROADCAST_IDS
     left = whole.select(F.col("cls").alias("u"), F.col("shingles").alias("us"))
     both = left.join(F.broadcast(able) if small else able, "u").join(whole.select(F.col("cls").alias("v"), F.col("shingles").alias("vs")), "v")
     shared = F.size(F.array_intersect("us", "vs"))
-    checked = cut(both.where((100 + t) * shared >= t * (F.size("us") + F.size("vs"))).select("u", "v").distinct(), f"{base}/checked")
+    checked = cut(both.where((100 + t) * shared >= t * (F.size("us") + F.size("vs"))).select("u", "v").distinct(), f"{base}/checked", SET_ROWS * n_able)
     drop_path(rows.sparkSession, f"{base}/sets")
     return checked
 
@@ -489,13 +498,13 @@ def _name_pairs(t: int, pivots: int):
     return run
 
 
-def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, members: DataFrame, t: int, k: int, base: str) -> DataFrame:
-    """All links that components need: proven ones and those that checks of named pairs find."""
+def _verified_rounds(lists: DataFrame, links: DataFrame, n_met: int, rows: DataFrame, members: DataFrame, n: int, t: int, k: int, base: str) -> DataFrame:
+    """All links that components need: proven ones and those that checks of named pairs find. n_met entries and links, n members."""
     spark = rows.sparkSession
     spread = partitions(spark)
-    found, step = cut(links, f"{base}/links0"), 0
-    alive = cut(lists.withColumn("u", F.lit(0).cast("long")), f"{base}/alive0")
-    bits = cut(members.groupBy("cls").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), f"{base}/bits")
+    found, step = cut(links, f"{base}/links0", n_met), 0
+    alive = cut(lists.withColumn("u", F.lit(0).cast("long")), f"{base}/alive0", n_met)
+    bits = cut(members.groupBy("cls").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), f"{base}/bits", n)
     while True:
         step += 1
         labels = components(found, f"{base}/comp{step}")
@@ -511,10 +520,10 @@ def _verified_rounds(lists: DataFrame, links: DataFrame, rows: DataFrame, member
             tagged = tagged.join(bits.select("cls", "bits"), "cls").select("key", "n", "cls", "comp", "place", "bits")
         named = cut(tagged.repartition(spread, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_name_pairs(t, 8 ** (step - 1)), "u long, cls long, key long, n long, place long, pair boolean"), f"{base}/named{step}")
         arrow_batches(spark)
-        pairs = cut(named.where("pair").select("u", F.col("cls").alias("v")).distinct(), f"{base}/pairs{step}")
+        pairs = cut(named.where("pair").select("u", F.col("cls").alias("v")).distinct(), f"{base}/pairs{step}", named.count())
         alive = named.where("not pair").select("key", "cls", "n", "place", "u")
         if not pairs.isEmpty():
-            checked = _verified(pairs, rows, members, bits, t, k, f"{base}/verify{step}")
+            checked = _verified(pairs, rows, members, n, bits, t, k, f"{base}/verify{step}")
             found = cut(found.union(checked), f"{base}/links{step}")
         if alive.isEmpty():
             return found
@@ -525,6 +534,6 @@ def near_dedup_stage(docs: DataFrame, t: int = 80, k: int = 5, id_col: str = "do
 
     Of rows that share that id, all stay that belong to it: run exact deduplication first. Rows with null ids stay.
     """
-    groups = alike(docs, t, k, id_col, text_col)
-    dropped = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), f"{shared_dir(docs.sparkSession)}/near")
+    groups, n = _alike(docs, t, k, id_col, text_col)
+    dropped = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), f"{shared_dir(docs.sparkSession)}/near", n)
     return without(docs, dropped, docs[id_col].cast("long") == dropped["__dropped"], dropped.count())

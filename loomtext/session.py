@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch. All operators use these, so it doesn't matter whose plan is built last.
 BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
+#: Rows that share a file of a small cut.
+FILE_ROWS = 10_000
 #: Used only by a single machine that names no shared folder (tests).
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -68,8 +70,14 @@ def shared_dir(spark: SparkSession, name: str = "loomtext") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, path: str) -> DataFrame:
-    """Write df to path and read it back: the lineage ends there, and a lost executor costs no recomputation."""
+def cut(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """Write df to path and read it back: the lineage ends there, and a lost executor costs no recomputation.
+
+    rows: at least as many as the last stage of df reads. Few of them share tasks, and so files: on a local disk Hadoop
+    runs two processes for each file it creates, and each is as large as the executor's JVM until its program is loaded.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
