@@ -6,7 +6,7 @@ documents. Examples are vectors over it with weights (1 + log tf) * idf, of unit
 that many examples have are columns of a matrix, with each column's largest weight in each block; all others have lists
 of their examples, which are added up first. A document's cosine with any example of a block is at most the most that
 the lists gave there and the sum of its weights times the block's largest ones, so blocks whose bound is below the k-th
-best cosine are left out. What comes near the k-th best is added up again in double precision: the k nearest are exact.
+best cosine are left out; where that spares few, one product with all blocks costs less, and bounds are tried again later. What comes near the k-th best is added up again in double precision: the k nearest are exact.
 Their labels vote with weight cosine squared divided by the number of examples of their class, as the classes are
 sampled and met unevenly; the share of label 1 in these votes is the score. It ranks; a rising map makes it a
 probability, which is given beside it. The map is learnt from the examples alone, each searched among all others and
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .labelled import held_out, sample
 from .packed import pack, unpack
 from .runtime import arrow_batches, cut, released, shared_dir, text_rows
-from .words import U64, _hash, mix, words_of
+from .words import U64, hash_each, mix, spans_of
 
 #: Examples of each class at most; neighbours; examples in a block; terms kept as columns; documents searched at once;
-#: blocks of each document that give the first bound.
-EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST = 3000, 15, 64, 1536, 128, 8
+#: blocks of each document that give the first bound; batches after one that needed most blocks which try no bounds.
+EACH, NEAREST, BLOCK, COLUMNS, TOGETHER, FIRST, WHOLE = 3000, 15, 64, 1536, 256, 8, 15
 #: Ranges of terms whose document frequencies are added up apart.
 RANGES = 16
 _STOP = np.zeros(256, bool)
@@ -40,18 +40,19 @@ _AFFIXES = [(3, False), (4, False), (4, True)]
 
 def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, term hash) of all words of a batch, then of each kind of affix."""
-    w = words_of(column)
-    starts, ends, doc = w.starts, w.ends.copy(), w.doc
+    buf, starts, ends, first = spans_of(column)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for _ in range(3):
-        cut_ = (ends > starts) & _STOP[w.buf[np.maximum(ends - 1, 0)]] if len(w.buf) else np.zeros(0, bool)
+        cut_ = (ends > starts) & _STOP[buf[np.maximum(ends - 1, 0)]] if len(buf) else np.zeros(0, bool)
         ends = ends - cut_
     ok = ends > starts
     starts, ends, doc = starts[ok], ends[ok], doc[ok]
-    yield doc, _hash(w.buf, starts, ends, True)
-    for n, last in _AFFIXES:
-        long = ends - starts > n
-        s, e = (ends[long] - n, ends[long]) if last else (starts[long], starts[long] + n)
-        yield doc[long], mix(_hash(w.buf, s, e, True) + U64(2 * n + last))
+    longer = [ends - starts > n for n, _ in _AFFIXES]
+    parts = [(ends[on] - n, ends[on]) if last else (starts[on], starts[on] + n) for (n, last), on in zip(_AFFIXES, longer, strict=True)]
+    whole, *hashes = hash_each(buf, [(starts, ends), *parts])
+    yield doc, whole
+    for (n, last), on, h in zip(_AFFIXES, longer, hashes, strict=True):
+        yield doc[on], mix(h + U64(2 * n + last))
 
 
 class Vocabulary:
@@ -158,6 +159,7 @@ class Examples:
         df = np.bincount(self.term, minlength=m)
         wide = np.argsort(-df, kind="stable")[:COLUMNS]
         wide = np.sort(wide[df[wide] > BLOCK])
+        self.whole = 0  # so many batches of documents are next searched without bounds
         self.column = np.full(m, -1, np.int32)
         self.column[wide] = np.arange(len(wide))
         col = self.column[self.term]
@@ -168,7 +170,7 @@ class Examples:
         self.most = self.wide.reshape(self.blocks, BLOCK, len(wide)).max(axis=1)
         rest = np.flatnonzero(col < 0)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.slots, self.weights = slot[rest], self.weight[rest]
+        self.slots, self.weights = slot[rest].astype(np.int64), self.weight[rest]
         self.list_at = np.zeros(m + 1, np.int64)
         self.list_at[1:] = np.cumsum(np.where(self.column < 0, df, 0))
         self.error = (len(wide) + 16) * 2.0**-23  # of single-precision sums of as many products, at lengths up to 1
@@ -186,24 +188,32 @@ class Examples:
             self._index()
         size = self.blocks * BLOCK
         score = np.zeros((n, size))
-        own = np.zeros((n, self.wide.shape[1]))
+        q = np.zeros((n, self.wide.shape[1]), np.float32)
+        own = []  # each document's columns and their weights
         for d in range(n):
             t, y = term[first[d] : first[d + 1]], x[first[d] : first[d + 1]]
             col = self.column[t]
-            own[d, col[col >= 0]] = y[col >= 0]
+            own.append((col[col >= 0], y[col >= 0]))
+            q[d, own[d][0]] = own[d][1]
             t, y = t[col < 0], y[col < 0]
             many = self.list_at[t + 1] - self.list_at[t]
             at = _ranges(self.list_at[t], many)
-            score[d] = np.bincount(self.slots[at], self.weights[at] * np.repeat(y, many), size)
-        q = own.astype(np.float32)
+            score[d] = np.bincount(self.slots.take(at, mode="clip"), self.weights.take(at, mode="clip") * np.repeat(y, many), size) if len(at) else 0
+        if self.whole:
+            self.whole -= 1
+            return self._kept(score, self._all(score, q), own, k)
         bound = (q @ self.most.T + score.reshape(n, self.blocks, BLOCK).max(axis=2)) * (1 + self.error)
         rank = np.empty((n, self.blocks), np.int64)
-        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.blocks)[None, :], 1)
+        best = np.argsort(-bound, axis=1, kind="stable")
+        np.put_along_axis(rank, best, np.arange(self.blocks)[None, :], 1)
         done, least = np.zeros((n, self.blocks), bool), np.zeros(n)
         found = np.zeros((n, size), np.float32)
         for upto in (FIRST, self.blocks):
             todo = (rank < upto) & ~done & (bound > 0) & (bound >= (least - self.error)[:, None])
             many = todo.sum(axis=0)
+            if upto > FIRST and 2 * many.sum() >= n * self.blocks:  # most need most: one product, as for the next documents
+                found, self.whole = self._all(score, q), WHOLE
+                break
             for b in np.flatnonzero(many).tolist():
                 part = slice(b * BLOCK, (b + 1) * BLOCK)
                 if 2 * many[b] >= n:  # most need it: no copies of rows; what the others get is right, too
@@ -212,12 +222,27 @@ class Examples:
                     rows = np.flatnonzero(todo[:, b])
                     found[rows, part] = score[rows, part] + q[rows] @ self.wide[part].T
             done |= todo
-            if size >= k:
-                least = np.partition(found, size - k, axis=1)[:, size - k].astype(float)
+            if upto == FIRST and (seen := min(FIRST, self.blocks) * BLOCK) >= k:
+                least = np.partition(np.take_along_axis(found.reshape(n, self.blocks, BLOCK), best[:, :FIRST, None], 1).reshape(n, seen), seen - k, axis=1)[:, seen - k].astype(float)
+        return self._kept(score, found, own, k)
+
+    def _all(self, score: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """All cosines in single precision, no block left out."""
+        found = q @ self.wide.T
+        return np.add(score, found, out=found, casting="same_kind")
+
+    def _kept(self, score: np.ndarray, found: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest of each document, by sums in double precision of what comes near the k-th best found."""
+        least = np.zeros(len(own))
+        if self.blocks >= k:  # the k-th best of all is no less than that of the blocks' best
+            least = np.partition(found.reshape(len(own), self.blocks, BLOCK).max(axis=2), self.blocks - k, axis=1)[:, self.blocks - k].astype(float)
         out = []
-        for d in range(n):
+        for d in range(len(own)):
             s = np.flatnonzero((found[d] > 0) & (found[d] >= least[d] - 2 * self.error))
-            c = score[d, s] + (self.wide[s].astype(float) + self.finer[s]) @ own[d]
+            if len(s) > k:
+                s = s[found[d, s] >= float(np.partition(found[d, s], len(s) - k)[len(s) - k]) - 2 * self.error]
+            cell = s[:, None], own[d][0][None, :]
+            c = score[d, s] + (self.wide[cell].astype(float) + self.finer[cell]) @ own[d][1]
             top = np.lexsort((s, -np.round(c, 12)))[:k]
             out.append((s[top], c[top]))
         return out

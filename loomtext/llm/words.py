@@ -81,8 +81,8 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
-    """lower: A-Z count as a-z (in the hashes; buf stays as it is)."""
+def spans_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """buf, starts, ends and first of the words, without hashes."""
     buf, offsets = raw(column)
     n = len(buf)
     edge = np.zeros(n + 1, bool)
@@ -96,7 +96,12 @@ def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
     after[:-1] = space[1:]
     starts = np.flatnonzero(~space & (before | edge[:-1]))
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    first = np.searchsorted(starts, offsets)
+    return buf, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
+    """lower: A-Z count as a-z (in the hashes; buf stays as it is)."""
+    buf, starts, ends, first = spans_of(column)
     return Words(buf, starts, ends, first, _hash(buf, starts, ends, lower))
 
 
@@ -106,22 +111,31 @@ def second_hashes(w: Words, lower: bool = True) -> np.ndarray:
 
 
 def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, values: np.ndarray = _BYTES) -> np.ndarray:
+    return hash_each(buf, [(starts, ends)], lower, values)[0]
+
+
+def hash_each(buf: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = True, values: np.ndarray = _BYTES) -> list[np.ndarray]:
+    """Hashes of the words that the first spans are, and of their parts that the others are; bytes are weighed once for all."""
     table = values[_LOWER] if lower else values
-    out = np.empty(len(starts), U64)
+    starts, ends = spans[0]
+    out = [np.empty(len(s), U64) for s, _ in spans]
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK)))
         a, b = int(starts[i]), int(ends[j - 1])
         sums = np.zeros(b - a + 1, U64)
         np.cumsum(table[buf[a:b]] * powers(_P, b - a), out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * powers(_P_INV, b - a)[s] + (e - s).astype(U64)
+        for got, (first, last) in zip(out, spans, strict=True):
+            x, y = np.searchsorted(first, [a, b])
+            s, e = first[x:y] - a, last[x:y] - a
+            got[x:y] = (sums[e] - sums[s]) * powers(_P_INV, b - a)[s] + (e - s).astype(U64)
         i = j
-    out = mix(out)
-    for i in np.flatnonzero(ends - starts > LONG).tolist():
-        word = buf[starts[i] : ends[i]]
-        salt = int(values[0]).to_bytes(8, "little")
-        out[i] = int.from_bytes(blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8, salt=salt).digest(), "little")
+    out = [mix(got) for got in out]
+    for got, (first, last) in zip(out, spans, strict=True):
+        for i in np.flatnonzero(last - first > LONG).tolist():
+            word = buf[first[i] : last[i]]
+            salt = int(values[0]).to_bytes(8, "little")
+            got[i] = int.from_bytes(blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8, salt=salt).digest(), "little")
     return out
 
 

@@ -52,3 +52,38 @@ def test_search_equals_all_cosines(monkeypatch):
         assert evidence == index.ids[top].tolist()
         pull = cosines[i][top] ** 2 / number[index.labels[top]]
         assert abs(score - pull @ index.labels[top] / pull.sum()) < 1e-9
+
+
+def test_bytes_of_a_batch_are_weighed_once(monkeypatch):
+    from loomtext.llm import words
+
+    column = pa.array([f"Some words, of which {'longer' * i} ones have affixes." for i in range(30)])
+    each = [h for _, h in T.terms_of(column)]
+    calls = []
+    own = words.powers
+    monkeypatch.setattr(words, "powers", lambda base, n: calls.append(base) or own(base, n))
+    assert all((a == b).all() for a, b in zip(each, (h for _, h in T.terms_of(column)), strict=True))
+    assert calls.count(words._P) == 1
+
+
+def test_search_without_bounds_finds_the_same(monkeypatch):
+    """Where bounds spare few blocks, the documents that follow are searched without them."""
+    rng = np.random.default_rng(4)
+    vocab = T.Vocabulary(rng.integers(1, 2**63, 50, dtype=np.uint64))
+    examples = [(i, i % 2, np.sort(rng.choice(50, 12, replace=False)), rng.integers(1, 4, 12)) for i in range(2000)]
+    first, term = np.arange(0, 12 * 601, 12), np.concatenate([e[2] for e in examples[:600]])
+    times = np.concatenate([e[3] for e in examples[:600]])
+    got = []
+    for whole in (0, 5):
+        monkeypatch.setattr(T, "WHOLE", whole)
+        index = T.Examples(vocab, rng.uniform(1, 5, 50) if not got else index.idf)
+        index.build(examples)
+        got.append(index.scores(first, term, times))
+        assert (index.whole > 0) == (whole > 0)
+    assert got[0] == got[1]
+    dense = np.zeros((2000, 50))
+    for i, e in enumerate(examples):
+        dense[i, e[2]] = index.vectors(e[2], e[3])
+    for i in range(0, 600, 40):
+        cosines = dense[index.ids] @ dense[i]
+        assert got[0][i][1] == index.ids[np.lexsort((np.arange(2000), -np.round(cosines, 12)))[: T.NEAREST]].tolist()
