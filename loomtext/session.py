@@ -74,7 +74,7 @@ def cut(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
     """Write df to path and read it back: the lineage ends there, and a lost executor costs no recomputation.
 
     rows: at least as many as the last stage of df reads. Few of them share tasks, and so files: on a local disk Hadoop
-    runs two processes for each file it creates, and each is as large as the executor's JVM until its program is loaded.
+    runs chmod for files it creates, and such a process shares all of the executor's JVM until its program is loaded.
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
