@@ -4,10 +4,13 @@
     spark.read.format("loomtext_objects").option("path", root).option("prefix", "raw-html/site").load()
 
 Rows are (key string, content binary). A key is a path below the root: parts of letters, digits and ._-=, none of them . or ..
+Rows that have a column version (string) as well are versions of their key: each is an object of its own, and only the same
+version of the same key replaces it. Without that column, or where it is null, it's the version "". Readers get all versions;
+.schema(VERSIONED) tells them apart.
 A task writes its objects into a folder of its own; the commit moves them to their keys and then lists them in a manifest,
 which is what readers go by. A failed job leaves no manifest, so none of its objects is seen; its folder is removed, but for what
 tasks still write while they are being stopped.
-Of one key the object of the last manifest counts; within one write the one of the last row's task and place does.
+Of one key and version the object of the last manifest counts; within one write the one of the last row's task and place does.
 The root must be a folder that the driver and all executors share. Writes and reads use Hadoop's file systems through
 pyarrow where one is named (hdfs://, s3://), else files.
 """
@@ -27,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 NAME = "loomtext_objects"
-SCHEMA = "key string, content binary"
+SCHEMA, VERSIONED = "key string, content binary", "key string, version string, content binary"
 #: Bytes of objects in one partition, and rows of one batch.
 PART_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 _KEY = re.compile(r"^(?!.*(^|/)\.{1,2}(/|$))[\w.=-]+(/[\w.=-]+)*$", re.A)
@@ -47,55 +50,59 @@ def _manifests(root: str) -> list[str]:
     return sorted(f.path for f in found if f.type == fs.FileType.File)
 
 
-def listed(root: str, prefix: str = "") -> dict[str, tuple[str, int]]:
-    """Key to (file below the root, size), of all committed objects whose key begins with prefix."""
+def listed(root: str, prefix: str = "") -> dict[tuple[str, str], tuple[str, int]]:
+    """(key, version) to (file below the root, size), of all committed objects whose key begins with prefix."""
     store, _ = _store(root)
-    out: dict[str, tuple[str, int]] = {}
+    out: dict[tuple[str, str], tuple[str, int]] = {}
     for path in _manifests(root):
         with store.open_input_stream(path) as f:
-            for key, (place, size) in json.loads(f.read()).items():
+            for key, version, place, size in json.loads(f.read()):
                 if key.startswith(prefix):
-                    out[key] = (place, size)
+                    out[key, version] = (place, size)
     return out
 
 
 @dataclass
 class Part(InputPartition):
-    objects: list[tuple[str, str]]
+    objects: list[tuple[str, str, str]]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    objects: dict[str, tuple[str, int]]
+    objects: dict[tuple[str, str], tuple[str, int]]
 
 
 class Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.root, self.prefix = options["path"], options.get("prefix", "")
+    def __init__(self, options: dict[str, str], names: tuple[str, ...] = ("key", "content")):
+        self.root, self.prefix, self.names = options["path"], options.get("prefix", ""), names
 
     def partitions(self) -> list[Part]:
         parts, held, size = [], [], 0
-        for key, (place, n) in sorted(listed(self.root, self.prefix).items()):
+        for (key, version), (place, n) in sorted(listed(self.root, self.prefix).items()):
             if held and size + n > PART_BYTES:
                 parts.append(Part(held))
                 held, size = [], 0
-            held.append((key, place))
+            held.append((key, version, place))
             size += n
         return [*parts, Part(held)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         store, base = _store(self.root)
-        keys, contents, size = [], [], 0
-        for key, place in part.objects:
+        held, size = [], 0
+        for key, version, place in part.objects:
             with store.open_input_stream(f"{base}/{place}") as f:
-                contents.append(f.read())
-            keys.append(key)
-            size += len(contents[-1])
+                held.append((key, version, f.read()))
+            size += len(held[-1][-1])
             if size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(contents, pa.binary())], ["key", "content"])
-                keys, contents, size = [], [], 0
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(contents, pa.binary())], ["key", "content"])
+                yield self._batch(held)
+                held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+        keys, versions, contents = zip(*held, strict=True)
+        columns = {"key": pa.array(keys), "version": pa.array(versions), "content": pa.array(contents, pa.binary())}
+        return pa.RecordBatch.from_arrays([columns[c] for c in self.names], list(self.names))
 
 
 class Writer(DataSourceWriter):
@@ -108,6 +115,7 @@ class Writer(DataSourceWriter):
         folder, out = f"{_STAGED}/{self.job}/{uuid.uuid4().hex}", {}
         for i, row in enumerate(rows):
             key, content = row["key"], row["content"]
+            version = (row["version"] or "") if "version" in row else ""
             if key is None or not _KEY.match(key):
                 raise ValueError(f"not a key: {key!r}")
             data = bytes(content or b"")
@@ -115,7 +123,7 @@ class Writer(DataSourceWriter):
                 store.create_dir(f"{base}/{folder}", recursive=True)
             with store.open_output_stream(f"{base}/{folder}/{i}") as f:
                 f.write(data)
-            out[key] = (f"{folder}/{i}", len(data))
+            out[key, version] = (f"{folder}/{i}", len(data))
         return Written(out)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -124,17 +132,17 @@ class Writer(DataSourceWriter):
         old, number = _manifests(self.root), 0
         if old:
             number = 1 + int(old[-1].rpartition("/")[2].split("-")[0])
-        manifest: dict[str, tuple[str, int]] = {}
+        manifest: dict[tuple[str, str], tuple[str, int]] = {}
         for m in messages:
-            for key, (place, size) in (m.objects if m else {}).items():
-                target = f"{key}/{self.job}"
+            for (key, version), (place, size) in (m.objects if m else {}).items():
+                target = manifest[key, version][0] if (key, version) in manifest else f"{key}/{self.job}-{len(manifest)}"
                 store.create_dir(f"{base}/{key}", recursive=True)
                 store.move(f"{base}/{place}", f"{base}/{target}")
-                manifest[key] = (target, size)
+                manifest[key, version] = (target, size)
         store.create_dir(f"{base}/{_MANIFESTS}", recursive=True)
         name = f"{base}/{_MANIFESTS}/{number:012d}-{self.job}"
         with store.open_output_stream(f"{base}/{_STAGED}-{self.job}") as f:
-            f.write(json.dumps(manifest).encode())
+            f.write(json.dumps([[*k, *v] for k, v in manifest.items()]).encode())
         store.move(f"{base}/{_STAGED}-{self.job}", name)  # one step: the write is there, or it isn't
         if self.overwrite:
             for path in old:
@@ -159,7 +167,7 @@ class Objects(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options)
+        return Reader(self.options, tuple(schema.fieldNames()))
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(self.options, overwrite)

@@ -35,6 +35,35 @@ def test_writes_are_whole(spark, tmp_path, monkeypatch):
     assert read(spark, root) == [("z", b"only")]
 
 
+def test_versions_of_a_key(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def write(rows):
+        df = spark.createDataFrame(rows, object_store.VERSIONED).repartition(3)
+        df.write.format(object_store.register(spark)).option("path", root).mode("append").save()
+
+    write([("a", "1", b"one"), ("a", "2", b"two"), ("b", None, b"x")])
+    write([("a", "2", b"again")])
+    assert read(spark, root) == [("a", b"again"), ("a", b"one"), ("b", b"x")]
+    got = spark.read.format(object_store.register(spark)).schema(object_store.VERSIONED).option("path", root).load()
+    assert sorted((r["key"], r["version"], bytes(r["content"])) for r in got.collect()) == [("a", "1", b"one"), ("a", "2", b"again"), ("b", "", b"x")]
+    put(spark, root, [("b", b"y")])
+    assert read(spark, root, "b") == [("b", b"y")]
+
+
+def test_pages_of_one_url(spark, tmp_path, same):
+    """Pages may share a url and so a key: each is kept, as in the SQL, whichever of them is written again."""
+    import duckdb
+
+    from loomtext import oracle, queries
+
+    page = "concat('<html><head><title>t</title></head><body><article><p>', id, '</p></article></body></html>')"
+    spark.range(12).selectExpr("id AS page_id", "concat('http://h.example/', id div 4) AS url", f"{page} AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(queries.queries()["object_store_pages"](spark, str(tmp_path)), con.sql(oracle.oracle_sql()["object_store_pages"]))
+
+
 def test_landed_files_and_sites(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF-")
     (tmp_path / "y.html").write_bytes(b"<p>")
