@@ -1,6 +1,9 @@
 """Keyed objects: all of a write or none of it; tables moved between versions; object and site sources."""
 
+import pickle
+
 import pytest
+from pyspark.sql import Row
 
 from loomtext import schemas
 from loomtext.sources import object_store, tables
@@ -64,6 +67,29 @@ def test_pages_of_one_url(spark, tmp_path, same):
     same(queries.queries()["object_store_pages"](spark, str(tmp_path)), con.sql(oracle.oracle_sql()["object_store_pages"]))
 
 
+def test_the_driver_holds_no_keys(tmp_path, monkeypatch):
+    def write(root, rows, mark):
+        w = object_store.Writer({"path": root}, False)
+        message = w.write(Row(key=f"k/{i}", content=b"%s%d" % (mark, i)) for i in rows)
+        w.commit([message, None])
+        return message
+
+    held = []
+    for n in (10, 5000):
+        root = str(tmp_path / str(n))
+        message = write(root, range(n), b"a")
+        held.append(len(pickle.dumps((message, object_store.Reader({"path": root}).partitions()))))
+    assert held[1] < held[0] + 100
+    for name, many in (("LIST_OBJECTS", 700), ("GROUP_OBJECTS", 50), ("PART_OBJECTS", 900)):
+        monkeypatch.setattr(object_store, name, many)
+    write(root, [*range(1000, 3000), *range(2990, 3000)], b"b")
+    reader = object_store.Reader({"path": root})
+    parts = reader.partitions()
+    assert len(reader.lists) == 4 and len(parts) == 8
+    got = [(r["key"], r["content"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == sorted((f"k/{i}", b"%s%d" % (b"b" if 1000 <= i < 3000 else b"a", i)) for i in range(5000))
+
+
 def test_landed_files_and_sites(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF-")
     (tmp_path / "y.html").write_bytes(b"<p>")
